@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, media, packing, urls
+from . import bpe, html, media, packing, substring, urls
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -39,6 +39,11 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("__n_words").alias("n_words"), substring.removed_words(F.col("__spans")).alias("n_removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op3_html_extraction": op3_html_extraction,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filters": op9_url_filters,
 }
@@ -74,4 +80,18 @@ FROM parts p LEFT JOIN LATERAL (
   ORDER BY length(rh || rp) DESC, length(rh) DESC, rv DESC LIMIT 1) r ON true
 """
 
-ORACLE_SQL = {"op9_url_filters": OP9_SQL}
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM starts),
+firsts AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM win JOIN firsts USING (h) WHERE lo < doc_id),
+lost AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN lost USING (doc_id)
+"""
+
+ORACLE_SQL = {"op5_substring_dedup": OP5_SQL, "op9_url_filters": OP9_SQL}
