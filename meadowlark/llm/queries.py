@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, media, packing, substring, urls
+from . import bpe, html, jaccard, media, packing, substring, urls
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("__n_words").alias("n_words"), substring.removed_words(F.col("__spans")).alias("n_removed"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filters": op9_url_filters,
 }
