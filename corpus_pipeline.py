@@ -16,9 +16,8 @@ from meadowlark.llm.queries import vocabulary_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score 0.7 or more) go; null and empty texts stay."""
-    columns = docs.columns
-    judged = toxicity.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.where((F.col("predicted") == 0) | (F.coalesce(F.col("text"), F.lit("")) == "")).select(*columns)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where((F.coalesce(F.col("text"), F.lit("")) == "") | (toxicity.toxicity_score(F.col("text"), model) < 0.7))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
