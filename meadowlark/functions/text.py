@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def any_of(words: list[str]) -> str:
     return "|".join(re.escape(w).replace(r"\ ", " ").replace(r"\-", "-").replace(r"\&", "&") for w in words)
 
@@ -66,22 +72,23 @@ def normalise_venue_name(name: Column) -> Column:
     low = F.lower(F.trim(name))
     t = F.regexp_replace(name, r"\s*\(\d+\)(\s*-\s*.+)?$", "")
     t = F.regexp_replace(t, r"(?i)\s*\([^)]*(?:Premier|Festival|Championship|Finals|Qualifier|Scope|Senior|Junior|Pony|Winter|Summer|League)[^)]*\)\s*$", "")
-    t = title_case(F.trim(t))
     code = r"\(([A-Za-z]{1,2}\d[A-Za-z\d]?)\)$"
-    t = F.when(t.rlike(code), F.concat(F.regexp_replace(t, code, ""), F.lit("("), F.upper(F.regexp_extract(t, code, 1)), F.lit(")"))).otherwise(t)
-    bare = F.trim(F.regexp_replace(t, rf"(?i)\s*\(?{POSTCODE}\)?\s*", " "))
-    t = F.when(bare == "", t).otherwise(bare)
+    t = let(title_case(F.trim(t)), lambda x: F.when(x.rlike(code), F.concat(F.regexp_replace(x, code, ""), F.lit("("), F.upper(F.regexp_extract(x, code, 1)), F.lit(")"))).otherwise(x))
+    t = let(t, lambda x: F.coalesce(F.nullif(F.trim(F.regexp_replace(x, rf"(?i)\s*\(?{POSTCODE}\)?\s*", " ")), F.lit("")), x))
     t = F.regexp_replace(t, r"(?i)\s+Limited$", "")
     t = F.regexp_replace(t, r"\s*-\s+[A-Z][A-Za-z]{1,4}$", "")
     t = F.regexp_replace(t, rf"(?i)(?:\s+(?:{any_of(rules.VENUE_SUFFIXES)}))+$", "")
     t = F.regexp_replace(F.rtrim(t), r"\s{2,}", " ")
     t = F.trim(F.regexp_replace(t, r"[-–—:&,.\s]+$", ""))
     t = F.trim(F.regexp_replace(t, r"(?i)\s+(?:Of|At|In|For|The|And|&)\s*$", ""))
-    junk = (F.length(t) < 2) | t.rlike(r"(?i)^[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}$") | t.rlike(r"(?i)^[A-Z0-9]{4,}\+[A-Z0-9]+") | t.rlike(r"(?i)^https?://") | (F.length(t) > 100)
-    first = F.trim(F.split_part(t, F.lit(","), F.lit(1)))
-    commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
-    cut = F.when((commas > 0) & (F.length(first) >= 4) & ((commas >= 2) | (F.length(t) > 50)), first).otherwise(t)
-    return F.when(F.coalesce(low, F.lit("")) == "", "Tbc").when(low.startswith("online") | (low == "virtual"), "Online").when(junk, "Tbc").otherwise(cut)
+
+    def guarded(x: Column) -> Column:
+        junk = (F.length(x) < 2) | (F.length(x) > 100) | x.rlike(r"(?i)^[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}$|^[A-Z0-9]{4,}\+[A-Z0-9]+|^https?://")
+        first = F.trim(F.split_part(x, F.lit(","), F.lit(1)))
+        commas = F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
+        return F.when(junk, "Tbc").when((commas > 0) & (F.length(first) >= 4) & ((commas >= 2) | (F.length(x) > 50)), first).otherwise(x)
+
+    return F.when(F.coalesce(low, F.lit("")) == "", "Tbc").when(low.startswith("online") | (low == "virtual"), "Online").otherwise(let(t, guarded))
 
 
 def normalise_discipline(raw: Column) -> Column:
