@@ -141,9 +141,10 @@ def resolve_coordinates(venues: DataFrame, parsed: DataFrame, postcodes: DataFra
     )
     j = venues.join(given, venues["id"] == given["venue_id"], "left").join(own, text.normalise_postcode(F.col("postcode")) == F.col("pc1"), "left").join(row, F.col("row_pc") == F.col("pc2"), "left")
     told = F.col("name").rlike(r"\([A-Z]{1,2}\d[A-Z\d]?\)$")
-    pair = F.coalesce(
-        F.when(F.col("latitude").isNotNull() & ~told, F.struct(F.col("latitude").alias("a"), F.col("longitude").alias("o"))), F.when(F.col("lat1").isNotNull(), F.struct(F.col("lat1"), F.col("lng1"))),
-        F.when(F.col("glat").isNotNull() & ~told, F.struct(F.col("glat"), F.col("glng"))), F.when(F.col("lat2").isNotNull(), F.struct(F.col("lat2"), F.col("lng2"))),
-    )
+
+    def point(lat: str, lng: str, allowed: Column) -> Column:
+        return F.when(F.col(lat).isNotNull() & allowed, F.struct(F.col(lat).alias("a"), F.col(lng).alias("o")))
+
+    pair = F.coalesce(point("latitude", "longitude", ~told), point("lat1", "lng1", F.lit(True)), point("glat", "glng", ~told), point("lat2", "lng2", F.lit(True)))
     pair = F.when(F.col("name") != "Online", pair)
     return j.select("id", "name", F.coalesce("postcode", "row_pc").alias("postcode"), pair["a"].alias("latitude"), pair["o"].alias("longitude"))
