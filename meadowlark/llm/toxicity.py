@@ -60,7 +60,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, least_rows: int = 3, least_ratio: float = 1.0, ridge: float = 1e-4, rounds: int = 300, cut: float = 0.7) -> Model:
+def fit(rows: list[np.ndarray], toxic: np.ndarray, least_rows: int = 4, least_ratio: float = 2.0, ridge: float = 1e-4, rounds: int = 300, cut: float = 0.7) -> Model:
     """Fits on n-gram sets. The log-count ratio of an n-gram compares how often each class has it; features are
     presence times ratio; n-grams in fewer than least_rows rows or with a ratio below least_ratio are left out.
     Logistic loss with a ridge, by accelerated gradient descent; then the intercept moves so that the gap between the
