@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .classify import escaped, has, normalised
-from .text import lookup, title_case
+from .text import let, lookup, title_case
 
 STRINGS = "array<string>"
 
@@ -184,14 +184,18 @@ def valid(tags: Column) -> Column:
 def extract_tags(name: Column, description: Column, discipline: Column, kind: Column, source: Column, classes: Column, venue: Column) -> Column:
     """All tags in their order: discipline, type, level, affiliation, format, scope, age, special, final, series,
     class, category, tier."""
-    text = normalised(name, description)
-    affiliations = affiliation_tags(text, source)
     type_tag = F.concat(F.lit("type:"), F.coalesce(lookup(rules.TYPE_TAGS, kind), F.lit("competition")))
-    return valid(F.concat(
-        discipline_tags(name, classes, discipline, venue, source), present(type_tag, level_tag(text)), affiliations, format_tags(text),
-        present(scope_tag(text)), age_tags(text), special_tags(text), present(final_tag(text, classes)), series_tags(text),
-        class_tags(classes), category_tags(text), present(tier_tag(text, affiliations)),
-    ))
+
+    def worded(text: Column) -> Column:
+        def around(affiliations: Column) -> Column:
+            return F.concat(
+                present(type_tag, level_tag(text)), affiliations, format_tags(text), present(scope_tag(text)), age_tags(text), special_tags(text), present(final_tag(text, classes)),
+                series_tags(text), class_tags(classes), category_tags(text), present(tier_tag(text, affiliations)),
+            )
+
+        return let(affiliation_tags(text, source), around)
+
+    return valid(F.concat(discipline_tags(name, classes, discipline, venue, source), let(normalised(name, description), worded)))
 
 
 def display_name(tag: Column) -> Column:
