@@ -70,7 +70,7 @@ def html_table(pages: DataFrame) -> DataFrame:
     start, end = dates.date_range(F.get("c", 0))
     cancelled = seven & F.upper(F.get("c", 6)).isin("X", "CANCELLED")
     name = F.when(seven, F.get("c", 1)).otherwise(F.concat_ws(" - ", F.get("c", 1), F.get("c", 2)))
-    classes = F.when(seven, F.filter(F.transform(F.split(F.get("c", 2), ","), F.trim), lambda x: x != ""))
+    classes = F.when(seven, F.filter(F.transform(F.split(F.get("c", 2), ","), lambda x: F.trim(x)), lambda x: x != ""))
     return rows.where((seven | four) & ~cancelled).select("source_id", "batch_seq", name.alias("name"), start.alias("date_start"), end.alias("date_end"), F.when(seven, F.get("c", 3)).otherwise(F.get("c", 2)).alias("venue_name"), classes.alias("classes"))
 
 
