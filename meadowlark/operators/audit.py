@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, rules
-from ..functions.text import disambiguate_venue, normalise_venue_name
+from ..functions import geo, rules, tags
+from ..functions.text import disambiguate_venue, normalise_discipline, normalise_venue_name
 from .search import real_place
 
 #: Fixed values of the alerts: share of the run before, length of a streak, runs looked back on.
@@ -162,3 +162,47 @@ def nearest_postcode(points: DataFrame, postcodes: DataFrame, steps_km: tuple[fl
         left = left.join(best, "id", "left_anti")
         out = best if out is None else out.union(best)
     return out
+
+
+def discipline_audit(rows: DataFrame) -> DataFrame:
+    """raw, n, canonical, outcome (kept, rewritten, unmapped) of each raw discipline. Values are normalised after they
+    have been counted, once each."""
+    g = rows.groupBy(F.col("discipline").alias("raw")).agg(F.count("*").alias("n")).withColumn("canonical", normalise_discipline(F.col("raw")))
+    return g.withColumn("outcome", F.when(F.col("canonical").isNull(), "unmapped").when(F.col("canonical") == F.col("raw"), "kept").otherwise("rewritten"))
+
+
+def gauges(events: DataFrame, venues: DataFrame, sources: DataFrame, scans: DataFrame, today: Column) -> DataFrame:
+    """gauge, label, value: run time per source (95 of 100), active competitions by discipline, venues by source and
+    with coordinates, enabled sources."""
+
+    def rows(df: DataFrame, gauge: str, label: Column, value: Column) -> DataFrame:
+        return df.groupBy(label.cast("string").alias("label")).agg(value.cast("double").alias("value")).select(F.lit(gauge).alias("gauge"), "label", "value")
+
+    active = events.where((F.col("event_type") == "competition") & (F.col("date_start") >= today))
+    parts = [
+        rows(active, "active by discipline", F.coalesce("discipline", F.lit("none")), F.count("*")), rows(venues, "venues by source", F.col("source"), F.count("*")),
+        rows(venues, "venues located", F.lit("all"), F.count("latitude")), rows(sources, "sources enabled", F.lit("all"), F.count_if("enabled")),
+    ]
+    out = rows(scans, "scan p95", F.col("source_id"), F.percentile_approx("seconds", 0.95, 100_000))
+    for p in parts:
+        out = out.union(p)
+    return out
+
+
+RAW = "struct<description:string,classes:array<string>,affiliation:string>"
+
+
+def retag(events: DataFrame, feed_affiliation: bool = True) -> DataFrame:
+    """events (with raw_extract, JSON) with description, classes and tags made anew from the stored extract, and which
+    of the three changed. The extract's affiliation counts first unless feed_affiliation is off."""
+    raw = F.from_json("raw_extract", RAW)
+    empty = F.array().cast("array<string>")
+    e = events.withColumns({"__raw": raw, "__old": tags.from_json_list(F.col("classes"))})
+    classes = F.coalesce("__raw.classes", empty)
+    own = F.col("__raw.affiliation") if feed_affiliation else F.lit(None).cast("string")
+    new = tags.extract_tags(F.col("name"), F.col("__raw.description"), F.col("discipline"), F.col("event_type"), own, classes, F.lit(None).cast("string"))
+    e = e.withColumns({"__tags": new, "__before": tags.from_json_list(F.col("tags"))})
+    return e.select(
+        "id", F.col("__raw.description").alias("description"), classes.alias("classes"), F.col("__tags").alias("tags"),
+        (F.coalesce("description", F.lit("")) != F.coalesce("__raw.description", F.lit(""))).alias("description_changed"), (F.col("__old") != classes).alias("classes_changed"), (F.col("__before") != F.col("__tags")).alias("tags_changed"),
+    )

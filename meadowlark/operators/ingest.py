@@ -112,7 +112,7 @@ def upsert(table: DataFrame, batch: DataFrame, seen_at: Column) -> DataFrame:
     news = targeted.groupBy(target.alias("target"), "t_id").agg(
         *[F.min_by(c, order).alias(c) for c in [*KEY, "source_id"]], F.min("batch_seq").alias("batch_seq"),
         *[F.max_by(c, order).alias(c) for c in REFRESHED], F.min_by("date_end", ended).alias("date_end"), F.max_by("url", linked).alias("url"),
-    )
+    ).checkpoint()
     changed = news.where("t_id IS NOT NULL").select(F.col("t_id").alias("id"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in [*REFRESHED, "date_end", "url"]])
     merged = table.join(changed, "id", "left")
     values = {c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in REFRESHED}

@@ -57,10 +57,10 @@ DISC = {a: d for d, al in rules.DISCIPLINES.items() for a in al}
 DISC_MAP = "MAP {" + ", ".join(f"'{a}': '{d}'" for a, d in DISC.items()) + "}"
 
 
-@query(
-    "N3_discipline",
-    f"WITH m AS (SELECT {DISC_MAP} AS m) SELECT batch_seq, discipline AS raw, coalesce(m[replace(lower(trim(discipline)), '_', ' ')], list_filter(list_transform(regexp_split_to_array(discipline, '[,/]'), lambda x: m[replace(lower(trim(x)), '_', ' ')]), lambda x: x IS NOT NULL)[1]) AS discipline FROM extracted, m",
-)
+DISC_SQL = "coalesce(m[replace(lower(trim({x})), '_', ' ')], list_filter(list_transform(regexp_split_to_array({x}, '[,/]'), lambda y: m[replace(lower(trim(y)), '_', ' ')]), lambda y: y IS NOT NULL)[1])"
+
+
+@query("N3_discipline", f"WITH m AS (SELECT {DISC_MAP} AS m) SELECT batch_seq, discipline AS raw, {DISC_SQL.format(x='discipline')} AS discipline FROM extracted, m")
 def _(t):
     return t.extracted.select("batch_seq", C("discipline").alias("raw"), text.normalise_discipline(C("discipline")).alias("discipline"))
 

@@ -13,6 +13,7 @@ from ..operators import search as S
 from ..sources import feeds, sinks
 from .demo import TODAY
 from .registry import query
+from .scalar_queries import DISC_MAP, DISC_SQL, title
 from .search_queries import CLASSES, JOINED, TAGS, T, miles
 
 C = F.col
@@ -224,10 +225,9 @@ def _(t):
     return v.agg(F.count("*").alias("total"), F.count("latitude").alias("located"), F.round(100.0 * F.count("latitude") / F.count("*"), 1).alias("share"), F.count_if(F.lower("name").isin(rules.HEALTH_PLACEHOLDERS)).alias("placeholders"), F.count_if(C("used").isNull()).alias("orphans"))
 
 
-@query("A11_discipline_audit", "SELECT discipline AS raw, count(*) AS n FROM extracted GROUP BY discipline")
+@query("A11_discipline_audit", f"WITH m AS (SELECT {DISC_MAP} AS m), g AS (SELECT discipline AS raw, count(*) AS n FROM extracted GROUP BY discipline) SELECT raw, n, {DISC_SQL.format(x='raw')} AS canonical, CASE WHEN {DISC_SQL.format(x='raw')} IS NULL THEN 'unmapped' WHEN {DISC_SQL.format(x='raw')} = raw THEN 'kept' ELSE 'rewritten' END AS outcome FROM g, m")
 def _(t):
-    g = t.extracted.groupBy(C("discipline").alias("raw")).agg(F.count("*").alias("n"))
-    return g.withColumn("canonical", text.normalise_discipline(C("raw"))).select("raw", "n")
+    return A.discipline_audit(t.extracted)
 
 
 @query("A12_prefix_groups", "SELECT split_part(name, ' ', 1) AS word, count(*) AS n, array_to_string(list_sort(list(name)), ';') AS names FROM venue WHERE source = 'dynamic' GROUP BY 1 HAVING count(*) >= 2")
@@ -254,9 +254,14 @@ def _(t):
     return g.orderBy(F.desc("n"), "name_").limit(100).withColumnRenamed("name_", "name")
 
 
-@query("A16_gauges", "SELECT source_id, count(*) AS runs, sum(competitions_found_comp) AS found, quantile_disc(seconds, 0.95) AS p95 FROM scan GROUP BY source_id")
+@query(
+    "A16_gauges",
+    f"""SELECT 'scan p95' AS gauge, CAST(source_id AS VARCHAR) AS label, CAST(quantile_disc(seconds, 0.95) AS DOUBLE) AS value FROM scan GROUP BY source_id
+    UNION ALL SELECT 'active by discipline', coalesce(discipline, 'none'), count(*) FROM event WHERE event_type = 'competition' AND date_start >= {T} GROUP BY discipline
+    UNION ALL SELECT 'venues by source', source, count(*) FROM venue GROUP BY source UNION ALL SELECT 'venues located', 'all', count(latitude) FROM venue UNION ALL SELECT 'sources enabled', 'all', count(CASE WHEN enabled THEN 1 END) FROM source""",
+)
 def _(t):
-    return t.scan.groupBy("source_id").agg(F.count("*").alias("runs"), F.sum("competitions_found_comp").alias("found"), F.percentile_approx("seconds", 0.95, 100_000).alias("p95"))
+    return A.gauges(t.event, t.venue, t.source, t.scan, t.today())
 
 
 @query("A17_venue_page", f"SELECT venue_id, count(*) AS n, CASE WHEN count(*) <= 5 THEN array_to_string(list(id ORDER BY date_start, id), ';') END AS links FROM event WHERE date_start >= {T} AND venue_id IS NOT NULL GROUP BY venue_id")
@@ -347,12 +352,21 @@ def m1(t):
     return I.upsert(stored, batch, now).select("id", "source_id", "name", "date_start", "venue_id", "date_end", "discipline", "url")
 
 
+CANON = f"""SELECT *, CASE WHEN c IN ('Rectory Farm', 'Brook Farm') AND postcode IS NOT NULL THEN c || ' (' || split_part(postcode, ' ', 1) || ')' ELSE c END AS canonical
+FROM (SELECT * REPLACE (CASE WHEN id % 4 = 0 THEN upper(regexp_replace(name, ' [0-9]+$', '')) || ' EC' ELSE regexp_replace(name, ' [0-9]+$', '') END AS name), {title("regexp_replace(name, ' [0-9]+$', '')")} AS c FROM venue)"""
+
+
 @query(
     "M2_renormalise",
-    f"WITH p AS (SELECT id, first_value(id) OVER (PARTITION BY canonical ORDER BY (name = canonical) DESC, (latitude IS NOT NULL) DESC, (postcode IS NOT NULL) DESC, id) AS keeper FROM ({GROUPED})) SELECT e.id, coalesce(p.keeper, e.venue_id) AS venue_id FROM event e LEFT JOIN p ON p.id = e.venue_id",
+    f"WITH p AS (SELECT id, canonical, first_value(id) OVER (PARTITION BY canonical ORDER BY (name = canonical) DESC, (latitude IS NOT NULL) DESC, (postcode IS NOT NULL) DESC, id) AS keeper FROM ({CANON})) SELECT e.id, coalesce(p.keeper, e.venue_id) AS venue_id, p.canonical AS venue_name FROM event e LEFT JOIN p ON p.id = e.venue_id",
 )
 def _(t):
-    return A.remap(t.event, A.merge_plan(t.venue, grouped(t))).select("id", "venue_id")
+    bare = F.regexp_replace("name", " [0-9]+$", "")
+    v = t.venue.withColumn("name", F.when(C("id") % 4 == 0, F.concat(F.upper(bare), F.lit(" EC"))).otherwise(bare))
+    plan = A.merge_plan(v, A.canonical_names(v, t.alias))
+    names = plan.select(C("id").alias("venue_id"), C("name").alias("venue_name"))
+    named = t.event.select("id", "venue_id").join(names, "venue_id", "left")
+    return A.remap(named, plan).select("id", "venue_id", "venue_name")
 
 
 @query("M3_placeholders_resolved", "WITH u AS (SELECT postcode, min(id) AS vid FROM venue WHERE postcode IS NOT NULL GROUP BY 1 HAVING count(*) = 1), x AS (SELECT batch_seq, venue_postcode AS pc FROM extracted WHERE lower(venue_name) = 'tbc' OR batch_seq % 10 = 0) SELECT batch_seq, vid AS venue_id FROM x JOIN u ON u.postcode = pc")
@@ -361,11 +375,10 @@ def _(t):
     return waiting.join(A.unique_postcodes(t.venue), "postcode").select("batch_seq", "venue_id")
 
 
-@query("M4_retagged", f"SELECT id, NOT list_contains({TAGS}, 'type:competition') AS tags_changed FROM event WHERE tags IS NOT NULL")
+@query("M4_retagged", f"SELECT id, coalesce(description, '') <> CASE WHEN id % 5 = 0 THEN 'Fresh text' ELSE coalesce(description, '') END AS description_changed, id % 3 = 0 AND array_to_string({CLASSES}, ';') <> 'Discovery' AS classes_changed FROM event")
 def _(t):
-    raw = F.to_json(F.struct(F.lit("type:competition").alias("tag")))
-    again = F.get_json_object(raw, "$.tag")
-    return t.event.where("tags IS NOT NULL").select("id", (~F.array_contains(from_json_list(C("tags")), again)).alias("tags_changed"))
+    new = F.struct(F.when(C("id") % 5 == 0, "Fresh text").otherwise(F.coalesce("description", F.lit(""))).alias("description"), F.when(C("id") % 3 == 0, F.array(F.lit("Discovery"))).otherwise(from_json_list(C("classes"))).alias("classes"), F.lit("nsea").alias("affiliation"))
+    return A.retag(t.event.withColumn("raw_extract", F.to_json(new))).select("id", "description_changed", "classes_changed")
 
 
 @query("M5_disambiguated_reset", f"SELECT id, CASE WHEN regexp_matches(name, '[(][A-Z]{{1,2}}[0-9][A-Z0-9]?[)]$') THEN NULL ELSE latitude END AS latitude FROM (SELECT id, CASE WHEN postcode IS NOT NULL AND id % 3 = 0 THEN name || ' (' || split_part(postcode, ' ', 1) || ')' ELSE name END AS name, latitude FROM venue)")
@@ -496,6 +509,14 @@ def _(t):
     return rolling_ingest(t.extracted.where("batch_seq % 2 = 0"))
 
 
+@query("R1_stream_upsert")
+def _(t):
+    """The whole ingest flow per batch; tests compare its keys with one batch upsert."""
+    from ..streaming.ingest import stream_upsert
+
+    return stream_upsert(t.extracted, t.venue, t.alias).select("id", "source_id", "name", "date_start", "venue_id", "event_type", "discipline")
+
+
 @query("R2_run_log_alerts", f"WITH r AS (SELECT source_id, id, {FOUND} AS found, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS back FROM scan WHERE status = 'completed'), s AS (SELECT source_id, sum(CASE WHEN found > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY id DESC) AS hits FROM r WHERE back <= 20) SELECT source_id, count(CASE WHEN hits = 0 THEN 1 END) AS streak, count(CASE WHEN hits = 0 THEN 1 END) >= 3 AS alert FROM s GROUP BY source_id")
 def _(t):
     from ..streaming.ingest import run_log

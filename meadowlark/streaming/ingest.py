@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ingest import gate
+from ..operators.ingest import KEY, REFRESHED, classified, gate, prepare, resolve_venues, upsert
 from ..operators.storage import scratch
 
+EVENT_SCHEMA = (
+    "id long, source_id long, name string, date_start date, venue_id long, date_end date, discipline string, event_type string, spectator boolean, hidden boolean, "
+    "description string, classes string, url string, first_seen_at timestamp, last_seen_at timestamp"
+)
+
 
 def rolling_ingest(extracted: DataFrame, files: int = 4) -> DataFrame:
     """name, date_start, first_seq, deliveries: the rows are written as files, read as a stream of one file at a time,
@@ -33,6 +38,30 @@ def rolling_ingest(extracted: DataFrame, files: int = 4) -> DataFrame:
     return spark.read.parquet(f"{state}/v{last['version']}")
 
 
+def stream_upsert(extracted: DataFrame, venues: DataFrame, aliases: DataFrame, sources: int = 4) -> DataFrame:
+    """The event table after extracted rows have arrived as files, one file a batch: validated, normalised, resolved
+    against the venues, classified, and upserted. Each batch writes the next version of the table; a batch that runs
+    again starts from the version before it, so nothing is taken twice."""
+    spark = extracted.sparkSession
+    landing, state = scratch(spark, "landing"), scratch(spark, "events")
+    extracted.repartition(sources, "source_id").write.parquet(landing)
+    empty = spark.createDataFrame([], EVENT_SCHEMA)
+    last = {"version": None}
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = prepare(batch)
+        matched = resolve_venues(rows, venues, aliases).select("venue_name", "postcode", "venue_id")
+        same = (rows["venue_name"] == matched["venue_name"]) & rows["postcode"].eqNullSafe(matched["postcode"])
+        ready = classified(rows.join(matched, same, "left").drop(matched["venue_name"], matched["postcode"])).checkpoint()
+        before = spark.read.parquet(f"{state}/v{number - 1}") if number else empty
+        upsert(before, ready.select("batch_seq", "source_id", *KEY, "date_end", *REFRESHED, "url"), F.current_timestamp()).write.mode("overwrite").parquet(f"{state}/v{number}")
+        last["version"] = number
+
+    stream = spark.readStream.schema(extracted.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return empty if last["version"] is None else spark.read.parquet(f"{state}/v{last['version']}")
+
+
 def run_log(scans: DataFrame, files: int = 3) -> DataFrame:
     """The run log after runs have been appended as they complete (file sink of a stream)."""
     spark = scans.sparkSession

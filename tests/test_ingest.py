@@ -83,3 +83,19 @@ def test_page_is_clamped(spark):
     got = search.page(df, [F.col("id")], 9).collect()
     assert len(got) == 20 and got[0].page == 3 and got[0].total == 120
     assert search.page(df.limit(0), [F.col("id")], 1).count() == 0
+
+
+def test_stream_equals_one_batch(spark):
+    from meadowlark.plans.demo import Tables
+    from meadowlark.streaming.ingest import EVENT_SCHEMA, stream_upsert
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    some = t.extracted.where("batch_seq < 300")
+    got = stream_upsert(some, t.venue, t.alias)
+    rows = ingest.prepare(some)
+    matched = ingest.resolve_venues(rows, t.venue, t.alias).select("venue_name", F.col("postcode").alias("pc"), "venue_id")
+    ready = ingest.classified(rows.join(matched, [rows["venue_name"] == matched["venue_name"], rows["postcode"].eqNullSafe(matched["pc"])]).drop(matched["venue_name"]))
+    want = ingest.upsert(spark.createDataFrame([], EVENT_SCHEMA), ready.select("batch_seq", "source_id", *ingest.KEY, "date_end", *ingest.REFRESHED, "url"), now())
+    keys = ["name", "date_start", "venue_id"]
+    assert got.select(*keys).exceptAll(want.select(*keys)).count() == 0 and got.count() == want.count() > 100
+    assert got.select("id").distinct().count() == got.count()
