@@ -106,7 +106,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     """Fits on at most most_toxic and most_clean labelled rows that aren't held out: those with the least hashes of
-    doc_id. Only their n-gram sets, at most 2^22 numbers each, come to the driver."""
+    doc_id. Their n-gram sets (at most 2^22 numbers each) meet in one task, which fits; the driver gets the weights."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     chosen = known.where("toxic = 1").orderBy("order", "doc_id").limit(most_toxic).union(known.where("toxic = 0").orderBy("order", "doc_id").limit(most_clean))
@@ -115,13 +115,20 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     def sets(texts: pa.Array) -> pa.Array:
         return pa.array([np.unique(grams(x)).tobytes() for x in texts.to_pylist()], pa.binary())
 
+    def fitted(batches):
+        ids, toxic, rows = [], [], []
+        for b in batches:
+            ids += b.column(0).to_pylist()
+            toxic += b.column(1).to_pylist()
+            rows += [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column(2)]  # views of the batch, no copies
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], len(rows[k]), rows[k].tobytes()[:64]))
+        m = fit([rows[k] for k in order], np.array([toxic[k] for k in order]))
+        yield pa.RecordBatch.from_arrays([pa.array([m.places]), pa.array([m.weights]), pa.array([m.bias])], names=["places", "weights", "bias"])
+
     # at most most_toxic + most_clean short rows: a proven bound for the broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
-    got = sample.select("toxic", "doc_id", sets(F.col("text")).alias("grams")).toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    rows = [np.frombuffer(x, np.uint32) for x in got.column("grams").to_pylist()]
-    toxic = got.column("toxic").to_numpy()
-    return fit([rows[k] for k in order], toxic[order])
+    got = sample.select("doc_id", "toxic", sets(F.col("text")).alias("grams")).repartition(1).mapInArrow(fitted, "places binary, weights binary, bias double").first()
+    return Model(bytes(got["places"]), bytes(got["weights"]), got["bias"]) if got else fit([], np.zeros(0))
 
 
 def toxicity_score(text: Column, model: Model) -> Column:
