@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def join_anew(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with an aggregate that has one row per key, with columns named as in a plain join on keys.
+
+    An aggregate comes out dealt by its keys, and a join on them would take place in the same stage, where Spark can't
+    split a hot key's partition. Joining on an expression of the keys makes Spark deal both sides anew for the join
+    alone (the aggregate is small by then), and adaptive execution splits the large side's hot partitions.
+    """
+    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    longs = {k for k in keys if left.schema[k].dataType.typeName() == "long"}
+
+    def anew(df: DataFrame, name: str, key: str) -> Column:
+        return F.bitwise_not(df[name]) if key in longs else F.concat(df[name].cast("binary"), F.lit(b"\x00"))
+
+    return left.join(other, [anew(left, k, k) == anew(other, f"__{k}", k) for k in keys], how).drop(*[f"__{k}" for k in keys])
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

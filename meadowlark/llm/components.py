@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_anew
+
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges (a long, b long) -> node, component: the smallest node that it is connected with, for each node of an
@@ -19,9 +21,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = join_anew(both.where("b > a"), least, ["a"]).select(F.col("m").alias("a"), "b").where("a < b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        pairs = large.join(least, "b")
+        pairs = join_anew(large, least, ["b"])
         small = pairs.select(F.col("m").alias("a"), F.col("b")).union(pairs.select(F.col("m").alias("a"), F.col("a").alias("b")))
         now = small.where("a < b").distinct().checkpoint()
         before, mark = mark, _mark(now)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_anew, stored
 from .components import components
 from .hashing import BASES, digest, mixed, normal, windows, word_hashes
 
@@ -180,7 +180,7 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Da
     reps = sketches.join(contents.withColumnRenamed("rep_id", "doc_id"), ["content", "doc_id"]).dropDuplicates(["content", "doc_id"])
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "lo")
-    groups = stored(components(banded.join(buckets, "band").where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))))
+    groups = stored(components(join_anew(banded, buckets, ["band"]).where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))))
 
     sized = groups.join(reps.groupBy(F.col("doc_id").alias("node")).agg(F.sum("size").alias("size"), F.sum("copies").alias("copies")), "node")
     totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
@@ -214,7 +214,8 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Da
     found = stored(celled.groupBy("cell").applyInPandas(judge, "node long, links long, least long"))
     classes = components(found.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnsRenamed({"node": "rep_id", "component": "class_id"})
     links = found.groupBy(F.col("node").alias("rep_id")).agg(F.sum("links").alias("links"))
-    result = sketches.select("doc_id", "content").join(contents, "content", "left").join(classes, "rep_id", "left").join(links, "rep_id", "left")
+    facts = stored(classes.join(links, "rep_id", "full"))
+    result = sketches.select("doc_id", "content").join(contents, "content", "left").join(facts, "rep_id", "left")
     result = result.select(
         "doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("class_id", "rep_id", "doc_id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),

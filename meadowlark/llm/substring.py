@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_anew, stored
 from .hashing import BASES, digest, normal, sliding_minimum, windows, word_hashes
 
 #: Words of the grams by which windows are sampled; a window is known by the gram of least hash within it.
@@ -57,11 +57,11 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull())
     sketches = stored(known.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, content binary, anchors array<long>"))
     first = sketches.groupBy("content").agg(F.min("doc_id").alias("first"))
-    copies = sketches.select("doc_id", "content").join(first, "content").where("doc_id > first").select("doc_id", "content", F.lit(None).cast("long").alias("h1"))
+    copies = join_anew(sketches.select("doc_id", "content"), first, ["content"]).where("doc_id > first").select("doc_id", "content", F.lit(None).cast("long").alias("h1"))
     kept = sketches.join(first.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi")
     own = kept.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    chosen = own.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("__anchors"))
+    chosen = join_anew(own, shared, ["anchor"]).groupBy("doc_id").agg(F.collect_set("anchor").alias("__anchors"))
     columns = known.columns
 
     def candidates(batches):
@@ -83,7 +83,7 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 
     hashed = known.join(chosen, "doc_id").select(*[F.col(f"`{c}`") for c in columns], "__anchors").mapInArrow(candidates, "doc_id long, h1 long, h2 long")
     counted = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    repeated = hashed.join(counted, ["h1", "h2"]).where("doc_id > lo").select("doc_id", F.lit(None).cast("binary").alias("content"), "h1")
+    repeated = join_anew(hashed, counted, ["h1", "h2"]).where("doc_id > lo").select("doc_id", F.lit(None).cast("binary").alias("content"), "h1")
     return repeated.union(copies.select("doc_id", "content", "h1")).groupBy("doc_id").agg(F.collect_set("content").alias("wholes"), F.collect_set("h1").alias("hashes"))
 
 

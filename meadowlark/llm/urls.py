@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_anew
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,4 +65,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     confirmed = hashed.join(found, "prefix").where((F.col("full") == F.col("digest")) & (F.col("suffix") == F.col("rule_host")) & F.startswith("path", "rule_path"))
     rank = F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict").alias("verdict"), F.concat("rule_host", "rule_path").alias("rule"))
     best = confirmed.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    return cut.join(best, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in extra], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return join_anew(cut, best, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in extra], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
