@@ -23,11 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id stays (of repeated rows, one); rows
     with null doc_id or without words stay."""
-    columns = docs.columns
-    gone = jaccard.similar_documents(docs.select("doc_id", "text")).where("class_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    known = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
-    return known.union(left.where(F.col("doc_id").isNull())).select(*columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    judged = jaccard.similar_documents(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").groupBy("doc_id")
+    marks = stored(judged.agg(F.min("class_id").alias("__class"), F.count("*").alias("__rows")).where("__class <> doc_id OR __rows > 1"))
+    marked = docs.join(marks, "doc_id", "left")
+    alone = marked.where("__class IS NULL").select(*columns)
+    again = marked.where("__class = doc_id").select(*columns).dropDuplicates(["doc_id", "text"])
+    return alone.union(again)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
