@@ -76,24 +76,16 @@ def should_skip(discipline: Column, name: Column) -> Column:
     return (given & normalise_discipline(discipline).isNull()) | (event_type(name) != "competition")
 
 
-CODES = r"(?iU)\b(?:CSIO?|CDIO?|CCIO?|CHIO?)\b"
-MARQUEE = r"(?iU)\b(?:county show|country fair|country festival|village show|ploughing match|hedgelaying|agricultural|national championship|world championship|european championship|world cup|nations cup|international horse show)\b"
-
-
 def spectator(name: Column, kind: Column, hint: Column | None = None) -> Column:
     """Worth watching: the hint, else a show, an international code, a star rating or a marquee term."""
     n = F.coalesce(name, F.lit(""))
-    out = F.coalesce(kind == "show", F.lit(False)) | n.rlike(CODES) | n.rlike(r"\d\s*\*") | n.rlike(MARQUEE)
+    out = F.coalesce(kind == "show", F.lit(False)) | n.rlike(rules.CODES) | n.rlike(r"\d\s*\*") | n.rlike(rules.MARQUEE)
     return out if hint is None else F.coalesce(hint, out)
 
 
-ENTERABLE = r"(?iU)\b1\s*\*|\b2\s*\*|\bYH\b|young\s*horse|jonge\s*paard|\byouth\b|\bjunior|\bpony|\bchildren\b|\bU2[15]\b|amateur|talent|\bJ\s*/\s*P"
-ELITE = r"(?iU)\bCSIO\b|\bCHIO\b|\bCDIO\b|\bCCIO\b|[3-5]\s*\*|nations?\s*cup|world\s*cup|european\s*championship|global\s*champions|grand\s*champions|championship"
-
-
 def continental_type(name: Column) -> Column:
     n = F.coalesce(name, F.lit(""))
-    return F.when(event_type(n) == "training", "training").when(n.rlike(ENTERABLE), "competition").when(n.rlike(ELITE), "show").otherwise("competition")
+    return F.when(event_type(n) == "training", "training").when(n.rlike(rules.ENTERABLE), "competition").when(n.rlike(rules.ELITE), "show").otherwise("competition")
 
 
 def continental_discipline(name: Column) -> Column:
@@ -109,7 +101,7 @@ def rally_type(name: Column) -> Column:
 
 def is_booking_payment(name: Column) -> Column:
     """Deposits and instalments that sources list as rows of their own."""
-    return F.coalesce(name.rlike(r"(?iU)\bpayt\b|\bbalance\s+due\b|\bdeposits\b|(?:[-–(/:]\s*|\b(?:camp|booking)\s+)deposit\b|\b(?:final|first|second|third|fourth|fifth|sixth|\d{1,2}(?:st|nd|rd|th)?)\s+(?:payments?|install?ments?)\b"), F.lit(False))
+    return F.coalesce(name.rlike(rules.BOOKING), F.lit(False))
 
 
 def is_hidden(name: Column, start: Column, end: Column, days: int = 120) -> Column:

@@ -124,7 +124,7 @@ def category_tags(text: Column) -> Column:
 
 def tier_tag(text: Column, affiliations: Column) -> Column:
     return first_of(
-        (text.rlike(r"(?U)\b(?:csio?|cdio?|ccio?|chio?)\b|[3-5]\s*\*|world cup|nations cup|global champions"), "tier:elite"),
+        (text.rlike(rules.TIER_CODES), "tier:elite"),
         (has(text, rules.COUNTY_SHOW), "tier:county-show"),
         (has(text, rules.NATIONAL_SHOW), "tier:national"),
         (F.size(F.filter(affiliations, lambda a: a != "affiliation:unaffiliated")) > 0, "tier:affiliated"),

@@ -71,7 +71,7 @@ def normalise_venue_name(name: Column) -> Column:
     title case; junk becomes Tbc, virtual places Online; long addresses are cut at the first comma."""
     low = F.lower(F.trim(name))
     t = F.regexp_replace(name, r"\s*\(\d+\)(\s*-\s*.+)?$", "")
-    t = F.regexp_replace(t, r"(?i)\s*\([^)]*(?:Premier|Festival|Championship|Finals|Qualifier|Scope|Senior|Junior|Pony|Winter|Summer|League)[^)]*\)\s*$", "")
+    t = F.regexp_replace(t, rf"(?i)\s*\([^)]*(?:{rules.BRACKETED})[^)]*\)\s*$", "")
     code = r"\(([A-Za-z]{1,2}\d[A-Za-z\d]?)\)$"
     t = let(title_case(F.trim(t)), lambda x: F.when(x.rlike(code), F.concat(F.regexp_replace(x, code, ""), F.lit("("), F.upper(F.regexp_extract(x, code, 1)), F.lit(")"))).otherwise(x))
     t = let(t, lambda x: F.coalesce(F.nullif(F.trim(F.regexp_replace(x, rf"(?i)\s*\(?{POSTCODE}\)?\s*", " ")), F.lit("")), x))
@@ -80,7 +80,7 @@ def normalise_venue_name(name: Column) -> Column:
     t = F.regexp_replace(t, rf"(?i)(?:\s+(?:{any_of(rules.VENUE_SUFFIXES)}))+$", "")
     t = F.regexp_replace(F.rtrim(t), r"\s{2,}", " ")
     t = F.trim(F.regexp_replace(t, r"[-–—:&,.\s]+$", ""))
-    t = F.trim(F.regexp_replace(t, r"(?i)\s+(?:Of|At|In|For|The|And|&)\s*$", ""))
+    t = F.trim(F.regexp_replace(t, rf"(?i)\s+(?:{rules.LEFT_OVER})\s*$", ""))
 
     def guarded(x: Column) -> Column:
         junk = (F.length(x) < 2) | (F.length(x) > 100) | x.rlike(r"(?i)^[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}$|^[A-Z0-9]{4,}\+[A-Z0-9]+|^https?://")

@@ -55,6 +55,29 @@ def meetings_api(pages: DataFrame) -> DataFrame:
     return rows.select("source_id", F.col("e.id").alias("batch_seq"), F.col("e.name").alias("name"), F.try_to_date("e.start_on").alias("date_start"), F.nullif(F.try_to_date("e.end_on"), F.try_to_date("e.start_on")).alias("date_end"))
 
 
+SEARCH = "rows array<struct<id:long,name:string,start:string,end:string,venue_name:string,publicUrl:string>>"
+
+
+@feed("search_api")
+def search_api(pages: DataFrame) -> DataFrame:
+    """{"rows": [{id, name, start, end, venue_name, publicUrl}]}: one row per id, the first of repeated ones."""
+    rows = pages.select("source_id", F.explode(F.from_json("body", SEARCH)["rows"]).alias("e"))
+    start, end = dates.parse_date(F.col("e.start")), dates.parse_date(F.col("e.end"))
+    flat = rows.select("source_id", F.col("e.id").alias("batch_seq"), F.col("e.name").alias("name"), start.alias("date_start"), F.nullif(end, start).alias("date_end"), F.col("e.venue_name").alias("venue_name"), F.col("e.publicUrl").alias("url"))
+    return flat.dropDuplicates(["source_id", "batch_seq"])
+
+
+TOUR = "payload struct<show_ids:array<struct<virtual_week_code:string,description:string,start_at:string,end_at:string>>>"
+
+
+@feed("tour_api")
+def tour_api(pages: DataFrame) -> DataFrame:
+    """{"payload": {"show_ids": [{virtual_week_code, description, start_at, end_at}]}}: names of code and description."""
+    rows = pages.select("source_id", F.posexplode(F.from_json("body", TOUR)["payload"]["show_ids"]).alias("batch_seq", "e"))
+    start, end = dates.parse_date(F.substring("e.start_at", 1, 10)), dates.parse_date(F.substring("e.end_at", 1, 10))
+    return rows.select("source_id", "batch_seq", F.concat_ws(" ", "e.virtual_week_code", "e.description").alias("name"), start.alias("date_start"), F.nullif(end, start).alias("date_end"))
+
+
 def table_cells(body: Column) -> Column:
     """Rows of HTML tables as arrays of cell texts without markup."""
     rows = F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)

@@ -67,6 +67,10 @@ def test_feeds(spark):
     assert [(r.name, str(r.date_start), str(r.date_end), r.classes) for r in rows] == [("Show &", "2026-03-28", "2026-03-29", ["90", "100"]), ("BS - Kent", "2026-05-02", "None", None)]
     gbr = '[{"id":1,"name":"A","start_on":"2026-01-02","end_on":"2026-01-02","venue_country":"GBR"},{"id":2,"name":"B","start_on":"2026-01-02","venue_country":"FRA"}]'
     assert [(r.batch_seq, r.date_end) for r in feeds.FEEDS["meetings_api"](spark.createDataFrame([(1, gbr)], "source_id long, body string")).collect()] == [(1, None)]
+    search = '{"totalRows":2,"rows":[{"id":7,"name":"A","start":"2026-01-02 09:00:00","end":"2026-01-03 09:00:00","venue_name":"V","publicUrl":"u"},{"id":7,"name":"A","start":"2026-01-02 09:00:00"}]}'
+    assert [(r.batch_seq, r.name, str(r.date_start)) for r in feeds.FEEDS["search_api"](spark.createDataFrame([(1, search)], "source_id long, body string")).collect()] == [(7, "A", "2026-01-02")]
+    tour = '{"payload":{"show_ids":[{"virtual_week_code":"W1","description":"CSI2*","start_at":"2026-02-03T00:00","end_at":"2026-02-08T00:00"}]}}'
+    assert [(r.name, str(r.date_end)) for r in feeds.FEEDS["tour_api"](spark.createDataFrame([(1, tour)], "source_id long, body string")).collect()] == [("W1 CSI2*", "2026-02-08")]
     page = "<nav>menu</nav><main>" + "word " * 60 + "</main><table><tr><td>short</td></tr></table>"
     assert spark.createDataFrame([(page,)], "x string").select(feeds.clean_html(F.col("x")).alias("t")).first().t == ("word " * 60).strip()
 
