@@ -200,7 +200,7 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Da
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     celled = loaded.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    few = F.lit(max(1, docs.sparkSession.sparkContext.defaultParallelism * 8))
+    few = F.lit(max(1, groups.count() // BLOCK))  # as many as fill a block on average, however many there are
     # a task's group: one pair of blocks of a large component, or many small components
     celled = celled.select(
         "node", "component", "copies", "sig", "shingles", lo.alias("lo"), hi.alias("hi"), (F.col("own") != lo).cast("int").alias("side"),
