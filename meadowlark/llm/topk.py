@@ -13,6 +13,8 @@ from pyspark.sql import Window
 
 #: Vectors of one index block, queries of one chunk, and the width of an impact level.
 BLOCK, CHUNK, LEVEL = 16_384, 1024, 32
+#: Chunks that go to a block at once.
+SET = 8
 
 
 def scaled(embedding: Column, by: int = 256) -> Column:
@@ -129,28 +131,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
         return df.withColumn("part", part).groupBy("dim", "part").applyInPandas(pack, f"dim int, {name} long, ids binary, data binary")
 
-    blocks = dealt(usable, BLOCK, 0, "block")
+    def numbers(which: int, each: int) -> Column:
+        """0, 1, … up to how many packs of `each` rows a dimension has, less one."""
+        most = F.create_map(*[F.lit(x) for dim, v in sizes.items() for x in (dim, max(1, -(-v[which] // each)) - 1)])
+        return F.sequence(F.lit(0).cast("long"), most[F.col("dim")].cast("long"))
+
     asked = usable.where("asks").dropDuplicates(["vec_id", "vector"])
-    chunks = dealt(asked, CHUNK, 1, "chunk").withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
-    counts = F.create_map(*[F.lit(x) for dim, v in sizes.items() for x in (dim, max(1, -(-v[0] // BLOCK)))])
-    sent = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), counts[F.col("dim")].cast("long") - 1)))
-
-    def search(batches):
-        held: dict[tuple, Index] = {}
-        for b in batches:
-            for row in b.to_pylist():
-                key = (row["dim"], row["block"])
-                if key not in held:
-                    held.clear()
-                    held[key] = Index(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["data"], "<i8").reshape(-1, row["dim"]))
-                out = [], [], [], []
-                for q, v in zip(np.frombuffer(row["q_ids"], "<i8").tolist(), np.frombuffer(row["q_data"], "<i8").reshape(-1, row["dim"]), strict=True):
+    chunks = dealt(asked, CHUNK, 1, "chunk").withColumn("set", F.col("chunk").cast("long") - F.col("chunk") % SET)
+    blocks = dealt(usable, BLOCK, 0, "block")
+    # each block meets each set of chunks; a pair of these is bounded and one task's work
+    sent = chunks.withColumn("block", F.explode(numbers(0, BLOCK))).select("dim", "block", "set", "ids", "data")
+    met = blocks.withColumn("set", F.explode(F.filter(numbers(1, CHUNK), lambda x: x % SET == 0))).select("dim", "block", "set", "ids", "data")
+
+    def search(block: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [], [], [], []
+        for row in block.to_pylist():
+            index = Index(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["data"], "<i8").reshape(-1, row["dim"]))
+            for asking in queries.to_pylist():
+                for q, v in zip(np.frombuffer(asking["ids"], "<i8").tolist(), np.frombuffer(asking["data"], "<i8").reshape(-1, row["dim"]), strict=True):
                     mark = zlib.crc32(v.tobytes())
-                    for i, s in held[key].search(v, q, k):
+                    for i, s in index.search(v, q, k):
                         for column, x in zip(out, (q, mark, i, s), strict=True):
                             column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "mark", "vec_id", "score"])
+        return pa.table([pa.array(x, pa.int64()) for x in out], names=["query_id", "mark", "vec_id", "score"])
 
-    found = blocks.join(sent, ["dim", "block"]).mapInArrow(search, "query_id long, mark long, vec_id long, score long")
+    keys = ["dim", "block", "set"]
+    found = met.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(search, "query_id long, mark long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
