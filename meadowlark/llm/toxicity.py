@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 GRAMS = (4, 5, 6)
 BITS = 22
 #: Most labelled rows of either class that the classifier is fitted on, by order of a hash of doc_id.
-MOST_TOXIC, MOST_CLEAN = 2000, 3000
+MOST_TOXIC, MOST_CLEAN = 1200, 1800
 SPACE = re.compile(r"\s+")
 
 
