@@ -109,11 +109,13 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def compare(cell: pd.DataFrame, threshold: float) -> list[tuple[int, int, int]]:
-    """(node, links, least node reached) of the documents of one or two blocks that have links here."""
+def compare(cell: pd.DataFrame, threshold: float, same: bool) -> list[tuple[int, int, int]]:
+    """(node, links, least node reached) of the documents of one block (same) or two that have links here. Of two, only
+    pairs across are compared, so there are none if either is empty."""
     cell = cell.drop_duplicates("node").sort_values(["side", "node"])
     split = int((cell["side"] == 0).sum())
-    same = split == len(cell)
+    if not same and split in (0, len(cell)):
+        return []
     sig = np.stack([np.frombuffer(x, np.uint32) for x in cell["sig"]])
     sets = [np.frombuffer(x, np.uint64) for x in cell["shingles"]]
     sizes = np.array([len(s) for s in sets])
@@ -208,7 +210,7 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Da
     )
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [x for _, cell in pdf.groupby(["component", "lo", "hi"], sort=False) if len(cell) > 1 for x in compare(cell, threshold)]
+        out = [x for (_, lo, hi), cell in pdf.groupby(["component", "lo", "hi"], sort=False) if len(cell) > 1 for x in compare(cell, threshold, lo == hi)]
         return pd.DataFrame(out, columns=["node", "links", "least"])
 
     found = stored(celled.groupBy("cell").applyInPandas(judge, "node long, links long, least long"))

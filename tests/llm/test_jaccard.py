@@ -57,6 +57,20 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect()) == want
 
 
+def test_empty_blocks(spark, monkeypatch):
+    """Groups of two to five texts in more blocks than texts: pairs count once, however many blocks are empty."""
+    rng, rows = random.Random(4), []
+    for size in (2, 2, 3, 3, 4, 5):
+        base = [f"b{rng.randrange(10_000)}" for _ in range(200)]
+        for _ in range(size):
+            w = list(base)
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10_000)}"
+            rows.append((len(rows) + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect()) == brute(rows)
+
+
 def test_edges(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
