@@ -109,10 +109,10 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def compare(cell: pd.DataFrame, threshold: float, same: bool) -> list[tuple[int, int, int]]:
-    """(node, links, least node reached) of the documents of one block (same) or two that have links here. Of two, only
-    pairs across are compared, so there are none if either is empty."""
-    cell = cell.drop_duplicates("node").sort_values(["side", "node"])
+def compare(cell: pd.DataFrame, threshold: float, same: bool) -> list[tuple[int, bytes, int, int]]:
+    """(node, content, links, least node reached) of the texts of one block (same) or two that have links here. Of two,
+    only pairs across are compared, so there are none if either is empty."""
+    cell = cell.drop_duplicates("content").sort_values(["side", "node", "content"])
     split = int((cell["side"] == 0).sum())
     if not same and split in (0, len(cell)):
         return []
@@ -145,7 +145,7 @@ def compare(cell: pd.DataFrame, threshold: float, same: bool) -> list[tuple[int,
             break
     least = pd.Series(node).groupby(root).transform("min").to_numpy()
     own = np.unique(np.concatenate([i, j]))
-    return list(zip(node[own].tolist(), links[own].astype(np.int64).tolist(), least[own].tolist(), strict=True))
+    return list(zip(node[own].tolist(), cell["content"].to_numpy()[own].tolist(), links[own].astype(np.int64).tolist(), least[own].tolist(), strict=True))
 
 
 def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -157,7 +157,8 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Da
     shingles, a class of its own, no links. Fewer than n words: one shingle of all. Null doc_id: null class, 0 links.
     Rows with one doc_id count as one document each when copies are counted; with different texts they share a class.
 
-    Copies meet by their words' digest and go on as one. MinHash bands link documents to the smallest of their bucket
+    Copies meet by their words' digest and go on as one; each different text is compared, also where one doc_id has
+    several, and these become one class by edges of that doc_id. MinHash bands link documents to the smallest of their bucket
     (two aggregates and a join, no pairs); what these links connect is a candidate group. Groups are compared inside
     tasks, large ones in blocks by blocks, so no pair is ever a row: a task gives each document's links and the least
     document it reached. Nothing is capped; the tolerance only bounds the chance of dropping a true pair.
@@ -182,44 +183,60 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Da
     reps = sketches.join(contents.withColumnRenamed("rep_id", "doc_id"), ["content", "doc_id"]).dropDuplicates(["content", "doc_id"])
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "lo")
-    groups = stored(components(join_anew(banded, buckets, ["band"]).where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))))
-
-    sized = groups.join(reps.groupBy(F.col("doc_id").alias("node")).agg(F.sum("size").alias("size"), F.sum("copies").alias("copies")), "node")
+    linked = components(join_anew(banded, buckets, ["band"]).where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
+    # doc_ids of several texts, and those whose texts have none but each other to be compared with
+    text_of = F.coalesce("content", F.lit(b""))
+    several = stored(sketches.groupBy("doc_id").agg(F.min(text_of).alias("lo"), F.max(text_of).alias("hi")).where("lo < hi").select("doc_id"))
+    alone = reps.join(several, "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti")
+    groups = stored(linked.union(alone.select("doc_id", "doc_id")))
+
+    sized = reps.select("doc_id", "content", "size", "copies").join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
     totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    members = sized.join(totals, "component").select(F.col("node").alias("doc_id"), "component", "blocks", "copies")
+    members = sized.join(totals, "component").select("doc_id", "content", "component", "blocks", "copies")
+
+    def digested(batches):
+        for b in batches:
+            content = pa.array([digest(normal(t)) for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, content], names=["doc_id", "text", "content"])
 
     def payload(batches):
         for b in batches:
             sig, sets = [], []
-            for t in b.column(4).to_pylist():
+            for t in b.column(5).to_pylist():
                 values = shingles(normal(t), n)
                 sig.append(signature(values).tobytes())
                 sets.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], names=["node", "component", "blocks", "copies", "sig", "shingles"])
-
-    loaded = known.join(members, "doc_id").select("doc_id", "component", "blocks", "copies", "text")
-    loaded = loaded.mapInArrow(payload, "node long, component long, blocks long, copies long, sig binary, shingles binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], names=["node", "content", "component", "blocks", "copies", "sig", "shingles"])
+
+    # a doc_id alone tells which text is meant, but where it has several
+    single = known.join(members.join(several, "doc_id", "left_anti"), "doc_id")
+    mixed = known.join(several, "doc_id", "left_semi").mapInArrow(digested, "doc_id long, text string, content binary").join(members, ["doc_id", "content"])
+    columns = ["doc_id", "content", "component", "blocks", "copies", "text"]
+    loaded = single.select(*columns).union(mixed.select(*columns))
+    loaded = loaded.mapInArrow(payload, "node long, content binary, component long, blocks long, copies long, sig binary, shingles binary")
+    own = F.pmod(F.xxhash64("content"), F.col("blocks"))
     celled = loaded.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     few = F.lit(max(1, groups.count() // BLOCK))  # as many as fill a block on average, however many there are
     # a task's group: one pair of blocks of a large component, or many small components
     celled = celled.select(
-        "node", "component", "copies", "sig", "shingles", lo.alias("lo"), hi.alias("hi"), (F.col("own") != lo).cast("int").alias("side"),
+        "node", "content", "component", "copies", "sig", "shingles", lo.alias("lo"), hi.alias("hi"), (F.col("own") != lo).cast("int").alias("side"),
         F.when(F.col("blocks") > 1, F.xxhash64("component", lo, hi)).otherwise(F.pmod(F.xxhash64("component"), few)).alias("cell"),
     )
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [x for (_, lo, hi), cell in pdf.groupby(["component", "lo", "hi"], sort=False) if len(cell) > 1 for x in compare(cell, threshold, lo == hi)]
-        return pd.DataFrame(out, columns=["node", "links", "least"])
-
-    found = stored(celled.groupBy("cell").applyInPandas(judge, "node long, links long, least long"))
-    classes = components(found.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnsRenamed({"node": "rep_id", "component": "class_id"})
-    links = found.groupBy(F.col("node").alias("rep_id")).agg(F.sum("links").alias("links"))
-    facts = stored(classes.join(links, "rep_id", "full"))
-    result = sketches.select("doc_id", "content").join(contents, "content", "left").join(facts, "rep_id", "left")
+        return pd.DataFrame(out, columns=["node", "content", "links", "least"])
+
+    found = stored(celled.groupBy("cell").applyInPandas(judge, "node long, content binary, links long, least long"))
+    own_texts = sketches.join(several, "doc_id", "left_semi").select("doc_id", "content").distinct().join(contents, "content").select(F.col("doc_id").alias("a"), F.col("rep_id").alias("b"))
+    classes = stored(components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).union(own_texts)).withColumnsRenamed({"node": "rep_id", "component": "class_id"}))
+    links = found.groupBy("content").agg(F.sum("links").alias("links"))
+    facts = stored(contents.join(links, "content", "left").join(classes, "rep_id", "left"))
+    shared = several.join(classes.withColumnRenamed("rep_id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("shared_id"))
+    result = sketches.select("doc_id", "content").join(facts, "content", "left").join(stored(shared), "doc_id", "left")
     result = result.select(
-        "doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("class_id", "rep_id", "doc_id").alias("class_id"),
+        "doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("shared_id", "class_id", "rep_id", "doc_id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
     )
     null = F.lit(None).cast("long")

@@ -71,6 +71,25 @@ def test_empty_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect()) == brute(rows)
 
 
+def test_several_texts_of_one_doc_id(spark, monkeypatch):
+    """Each text of a repeated doc_id is compared, and the texts share a class."""
+    rng = random.Random(5)
+    base = [[f"b{rng.randrange(10_000)}" for _ in range(60)] for _ in range(7)]
+    near = [" ".join([*b[:-1], "end"]) for b in base]
+    text = [" ".join(b) for b in base]
+    rows = [
+        (1, text[0]), (5, near[0]), (5, text[1]), (5, None), (7, near[1]),  # two groups joined by 5
+        (10, text[2]), (10, near[2]),  # near each other only
+        (20, text[3]), (21, text[4]), (22, text[3]), (22, text[4]), (22, text[4]),  # copies of two documents
+        (30, text[5]), (30, text[6]), (31, text[6] + " more"), (32, near[5]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect()) == want
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect()) == want
+
+
 def test_edges(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
