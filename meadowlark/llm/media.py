@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BLOCK, UNIT = 64, 6
 #: Largest number of 16-pixel units along one side.
 SIDE = 65535 // 16
@@ -418,18 +420,17 @@ class Image:
         return b.tobytes()[:n]
 
 
-def features(media: bytes) -> dict:
-    """What the stored bytes hold: the payload's digests, and sums over the RGB tensor as a feature string."""
-    image = Image(media)
-    payload, tensor = image.payload(), image.rgb()
-    sums = tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
+def features(media: bytes, height: int, width: int, tensor: pa.Buffer) -> dict:
+    """What the stored bytes hold: the payload's digests, and sums over the stored RGB tensor as a feature string."""
+    payload = Image(media).payload()
+    sums = np.frombuffer(tensor, np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
     return {
         "payload_bytes": len(payload),
         "payload_sha256": hashlib.sha256(payload).hexdigest(),
         "tail_crc32": zlib.crc32(payload[-64:]),
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": f"{tensor.shape[0]}x{tensor.shape[1]}x3 rgb {sums[0]} {sums[1]} {sums[2]}",
+        "feature": f"{height}x{width}x3 rgb {sums[0]} {sums[1]} {sums[2]}",
     }
 
 
@@ -472,11 +473,14 @@ FEATURES = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "
 
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with a struct column `found` of features read back from a media column of store_media; null stays null."""
+    """df with a struct column `found` of features of a media column of store_media; null stays null. The RGB tensors
+    are written beside the media as Parquet in the shared folder; the features come from what is read back."""
     fields = pa.struct([(k, pa.int64() if t == "long" else pa.string()) for k, t in FEATURES.items()])
 
     @F.arrow_udf("struct<" + ",".join(f"{k}:{t}" for k, t in FEATURES.items()) + ">")
-    def found(values: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else features(x) for x in values.to_pylist()], fields)
+    def found(values: pa.Array, heights: pa.Array, widths: pa.Array, data: pa.Array) -> pa.Array:
+        rows = zip(values, heights, widths, data, strict=True)
+        return pa.array([features(x.as_py(), h.as_py(), w.as_py(), t.as_buffer()) if x.is_valid else None for x, h, w, t in rows], fields)
 
-    return df.withColumn("found", found(F.col(media)))
+    kept = stored(df.withColumn("tensor", rgb_tensors(F.col(media))))
+    return kept.withColumn("found", found(F.col(media), F.col("tensor.height"), F.col("tensor.width"), F.col("tensor.data"))).drop("tensor")

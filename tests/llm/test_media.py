@@ -73,3 +73,20 @@ def test_columns(spark):
     assert spark.createDataFrame([(b"junk",), (None,)], "m binary").select(media.rgb_tensors(F.col("m")).alias("t")).where("t IS NULL").count() == 2
     with pytest.raises(ValueError):
         media.encode_payload(b"abc")
+
+
+def test_stored_tensors(spark, monkeypatch):
+    """The features come from a Parquet table with every full-resolution tensor."""
+    kept, write = [], getattr(media, "stored", None)
+    monkeypatch.setattr(media, "stored", lambda df: kept.append(write(df)) or kept[-1], raising=False)
+    df = spark.createDataFrame([(1, "abc"), (2, "ü" * 5000), (3, "")], "doc_id long, text string").withColumn("media", media.store_media(media.padded(F.col("text"))))
+    got = {r.doc_id: r.found.feature for r in media.media_features(df).collect()}
+    assert len(kept) == 1 and kept[0].inputFiles()
+    rows = kept[0].collect()
+    assert len(rows) == 3
+    for r in rows:
+        want = media.Image(bytes(r.media)).rgb()
+        t = np.frombuffer(bytes(r.tensor.data), np.uint8).reshape(r.tensor.height, r.tensor.width, 3)
+        assert (t == want).all() and got[r.doc_id] == f"{t.shape[0]}x{t.shape[1]}x3 rgb " + " ".join(map(str, t.reshape(-1, 3).sum(axis=0, dtype=int)))
+    none = spark.createDataFrame([(1, None)], "doc_id long, media binary")
+    assert media.media_features(none).first().found is None
