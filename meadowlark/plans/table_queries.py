@@ -266,8 +266,10 @@ def _(t):
 
 @query("A17_venue_page", f"SELECT venue_id, count(*) AS n, CASE WHEN count(*) <= 5 THEN array_to_string(list(id ORDER BY date_start, id), ';') END AS links FROM event WHERE date_start >= {T} AND venue_id IS NOT NULL GROUP BY venue_id")
 def _(t):
-    g = t.event.where((C("date_start") >= t.today()) & C("venue_id").isNotNull()).groupBy("venue_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("date_start", "id"))).alias("e"))
-    return g.select("venue_id", "n", F.when(C("n") <= 5, F.array_join(F.transform("e", lambda x: x["id"].cast("string")), ";")).alias("links"))
+    e = t.event.where((C("date_start") >= t.today()) & C("venue_id").isNotNull()).select("venue_id", "date_start", "id")
+    n = e.groupBy("venue_id").agg(F.count("*").alias("n"))
+    few = e.join(n.where("n <= 5").select("venue_id"), "venue_id", "left_semi").groupBy("venue_id").agg(F.sort_array(F.collect_list(F.struct("date_start", "id"))).alias("e"))
+    return n.join(few, "venue_id", "left").select("venue_id", "n", F.array_join(F.transform("e", lambda x: x["id"].cast("string")), ";").alias("links"))
 
 
 @query("W1_keep_first", "SELECT batch_seq FROM extracted QUALIFY row_number() OVER (PARTITION BY lower(name), date_start ORDER BY batch_seq) = 1")
@@ -410,6 +412,8 @@ def _(t):
 
 # -- feeds and sinks ----------------------------------------------------------------------------------------------
 
+#: Ids of one payload of seeds or rules, however many there are in all.
+BUCKET = 1000
 CLEAN = "replace(name, '&', 'and')"
 
 
@@ -468,14 +472,14 @@ def _(t):
 @query("S7_venue_seeds", "SELECT name, postcode, 'venue' AS kind FROM venue UNION ALL SELECT name, name || ' Alt', 'alias' FROM venue")
 def _(t):
     entry = F.struct("postcode", C("latitude").alias("lat"), C("longitude").alias("lng"), F.array(F.concat("name", F.lit(" Alt"))).alias("aliases"))
-    payload = t.venue.groupBy((C("id") % 7).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", entry)))).alias("body"))
+    payload = t.venue.groupBy(F.floor(C("id") / BUCKET).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", entry)))).alias("body"))
     venues, aliases = feeds.venue_seeds(payload)
     return venues.select("name", "postcode", F.lit("venue").alias("kind")).union(aliases.select("name", "alias", F.lit("alias")))
 
 
 @query("S8_rule_json", "SELECT p_brand AS key, p_type AS word FROM part")
 def _(t):
-    payload = t.part.groupBy("p_brand").agg(F.collect_list("p_type").alias("w")).groupBy((F.xxhash64("p_brand") % 5).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "w")))).alias("body"))
+    payload = t.part.groupBy(F.floor(C("p_partkey") / BUCKET).alias("part"), "p_brand").agg(F.collect_list("p_type").alias("w")).groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "w")))).alias("body"))
     return feeds.rule_rows(payload).select("key", "word")
 
 

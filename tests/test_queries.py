@@ -59,3 +59,26 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["id", "name", "venue_name", "distance"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not glob.glob(f"{SF}/orders.parquet*"), reason="needs the driver's tables")
+@pytest.mark.parametrize(("name", "reader"), [("S7_venue_seeds", "venue_seeds"), ("S8_rule_json", "rule_rows")])
+def test_bounded_payloads(spark, monkeypatch, name, reader):
+    """The number of payloads grows with the rows, not the payloads."""
+    import json
+
+    from meadowlark.plans import table_queries
+
+    seen, read = [], getattr(table_queries.feeds, reader)
+    monkeypatch.setattr(table_queries, "BUCKET", 1, raising=False)
+    monkeypatch.setattr(table_queries.feeds, reader, lambda payload: seen.append(payload) or read(payload))
+    rows = QUERIES[name](spark, SF).count()
+    sizes = [sum(len(v) if isinstance(v, list) else 1 for v in json.loads(r.body).values()) for r in seen[0].collect()]
+    assert max(sizes) == 1 and sum(sizes) * (2 if name[1] == "7" else 1) == rows
+
+
+@pytest.mark.skipif(not glob.glob(f"{SF}/orders.parquet*"), reason="needs the driver's tables")
+def test_links_of_few_events_only(spark):
+    """A17 counts first and collects the events of venues that show links."""
+    plan = QUERIES["A17_venue_page"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
