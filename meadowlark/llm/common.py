@@ -14,11 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where unset, as in tests, a folder of our own."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, as in tests, a folder of our own
+    if the driver is the only machine, else an error: other machines wouldn't see it."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -44,13 +63,14 @@ def join_anew(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     split a hot key's partition. Joining on an expression of the keys makes Spark deal both sides anew for the join
     alone (the aggregate is small by then), and adaptive execution splits the large side's hot partitions.
     """
-    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    own = dict(zip(keys, fresh(left, *[f"key_{k}" for k in range(len(keys))]), strict=True))
+    other = right.withColumnsRenamed(own)
     longs = {k for k in keys if left.schema[k].dataType.typeName() == "long"}
 
     def anew(df: DataFrame, name: str, key: str) -> Column:
         return F.bitwise_not(df[name]) if key in longs else F.concat(df[name].cast("binary"), F.lit(b"\x00"))
 
-    return left.join(other, [anew(left, k, k) == anew(other, f"__{k}", k) for k in keys], how).drop(*[f"__{k}" for k in keys])
+    return left.join(other, [anew(left, k, k) == anew(other, own[k], k) for k in keys], how).drop(*own.values())
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Rabin-Karp hashes of words and word windows in numpy, modulo 2^64."""
+"""Rabin-Karp hashes of word windows in numpy, modulo the prime 2^61 - 1, over keyed digests of the words."""
 
 from __future__ import annotations
 
@@ -6,24 +6,72 @@ import hashlib
 
 import numpy as np
 
-#: Odd multipliers (bytes within words, words within windows) of two independent hashes.
-BASES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+PRIME = (1 << 61) - 1
+#: Key of the word digests and multiplier of the windows: random numbers, fixed for good.
+KEY, BASE = bytes.fromhex("8f1bbcdc6ed9eba15a827999ca62c1d6"), 0x0B5A_D4EC_EDA1_CE2A
+#: Words whose digests are kept at a time, and the length up to which they are.
+KEPT, SHORT = 400_000, 64
+M29, M30, M31, M32, P = (np.uint64((1 << k) - 1) for k in (29, 30, 31, 32, 61))
+S29, S30, S31, S32, S61 = (np.uint64(k) for k in (29, 30, 31, 32, 61))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^0, base^1, ... and their inverses, n at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(1 << 12, 1 << (int(n) - 1).bit_length())
+class _Digests(dict):
+    """Word to number, computed when first asked for; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little") % PRIME
+        if len(word) <= SHORT:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_digests = _Digests()
+_powers: list[np.ndarray] = []
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words [^\\x20\\x09-\\x0D]+ of a text, unchanged."""
+    return (text or "").encode().split()
+
+
+def normal(text: str | None) -> bytes:
+    """The words of a text, joined by one space."""
+    return b" ".join(words_of(text))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A keyed digest of each word, below PRIME."""
+    return np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words))
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & P) + (x >> S61)
+    return np.where(x >= P, x - P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it, by halves of 31 bits (2^62 is 2, 2^61 is 1)."""
+    a1, a0, b1, b0 = a >> S31, a & M31, b >> S31, b & M31
+    mid = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << np.uint64(1)) + (mid >> S30) + ((mid & M30) << S31) + a0 * b0)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^0, BASE^1, ... and their inverses, n at least."""
+    if not _powers or len(_powers[0]) < n:
         made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            made.append(np.multiply.accumulate(steps))
-        if size > 1 << 20:  # too large to keep
+        for base in (BASE, pow(BASE, -1, PRIME)):
+            out = np.ones(1, np.uint64)
+            while len(out) < max(n, 1 << 12):
+                out = np.concatenate([out, times(out, np.uint64(pow(base, len(out), PRIME)))])
+            made.append(out)
+        if len(made[0]) > 1 << 21:  # too large to keep
             return made[0], made[1]
-        _powers[base] = made[0], made[1]
-    return _powers[base]
+        _powers[:] = made
+    return _powers[0], _powers[1]
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -33,40 +81,19 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def windows(values: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Hash of each run of `width` consecutive values."""
+def windows(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of `width` consecutive values, from sums of values times powers."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(base, len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mixed((sums[width:] - sums[:n]) * down[:n])
-
-
-def normal(text: str | None) -> bytes:
-    """The words [^\\x20\\x09-\\x0D]+ of a text, unchanged, joined by one space."""
-    return b" ".join((text or "").encode().split())
-
-
-def word_hashes(words: bytes, which: int = 0, chunk: int = 1 << 18) -> np.ndarray:
-    """Hash of each word of normal(text)."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    a = np.frombuffer(words, np.uint8)
-    gaps = np.flatnonzero(a == 32)
-    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(a)]])
-    out, k = np.empty(len(starts), np.uint64), 0
-    while k < len(starts):
-        to = max(k + 1, int(np.searchsorted(ends, starts[k] + chunk, "right")))
-        first, last = starts[k], ends[to - 1]
-        up, down = powers(BASES[which][0], last - first)
-        sums = np.zeros(last - first + 1, np.uint64)
-        np.cumsum((a[first:last].astype(np.uint64) + np.uint64(1)) * up[: last - first], out=sums[1:])
-        s, e = starts[k:to] - first, ends[k:to] - first
-        out[k:to] = (sums[e] - sums[s]) * down[s]
-        k = to
-    return mixed(out)
+    up, down = powers(len(values))
+    terms = times(values, up[: len(values)])
+    sums = np.zeros((2, len(values) + 1), np.uint64)
+    np.cumsum(terms & M32, out=sums[0, 1:])
+    np.cumsum(terms >> S32, out=sums[1, 1:])
+    low, high = sums[:, width:] - sums[:, :n]
+    total = ((high & M29) << S32) + (high >> S29) + (low & P) + (low >> S61)
+    return mixed(times(reduced(total), down[:n]))
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:

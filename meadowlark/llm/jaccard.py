@@ -9,46 +9,43 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_anew, stored
 from .components import components
-from .hashing import BASES, digest, mixed, normal, windows, word_hashes
+from .hashing import digest, mixed, windows, word_hashes, words_of
 
 #: Bands of equal MinHash values make candidates: at a similarity of 0.8 a pair shares none of 36 bands of 5 with a
 #: probability of 6e-7, and less above.
 BANDS, ROWS = 36, 5
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 30, 1e-6
-#: Documents, and their shingles, of one block of a large candidate group.
-BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Texts, and bytes of their words, of one block of a large candidate group.
+BLOCK, BLOCK_BYTES = 256, 2_000_000
 
 
-def shingles(words: bytes, n: int) -> np.ndarray:
+def shingles(words: list[bytes], n: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of n words; of fewer words, of all together; of none, none."""
-    hashes = word_hashes(words)
-    if not len(hashes):
-        return hashes
-    return np.unique(windows(hashes, min(n, len(hashes)), BASES[0][1]))
+    return np.unique(windows(word_hashes(words), min(n, len(words)))) if words else np.zeros(0, np.uint64)
 
 
 @lru_cache(maxsize=1)
 def family() -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers and summands of the MinHash functions, fixed for good."""
-    seeds = mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
-    return seeds[: BANDS * ROWS, None] | np.uint64(1), seeds[BANDS * ROWS :, None]
+    """Multipliers and masks of the MinHash functions, fixed for good."""
+    seeds = (mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    return seeds[: BANDS * ROWS, None] | np.uint32(1), seeds[BANDS * ROWS :, None]
 
 
 def signature(values: np.ndarray) -> np.ndarray:
-    """MinHash values, 32 bits each."""
+    """MinHash values of 32 bits."""
     a, b = family()
-    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    values, least = (values >> np.uint64(32)).astype(np.uint32), np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     for k in range(0, len(values), 1024):
         part = values[None, k : k + 1024] * a
-        part += b
+        part ^= b
         np.minimum(least, part.min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return least
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -76,22 +73,30 @@ def least_matches(threshold: float) -> dict[int, int]:
     return out
 
 
-def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (places in a, places in b) that the comparison of more and more MinHash values doesn't rule out."""
-    alive = np.minimum(size_a[:, None], size_b[None, :]) >= threshold * np.maximum(size_a[:, None], size_b[None, :])
-    if same:
-        alive &= np.triu(np.ones(alive.shape, bool), 1)
-    i, j = np.nonzero(alive)
+def likely(sig: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) that the comparison of more and more MinHash values doesn't rule out."""
     found = np.zeros(len(i), np.int32)
     for n, least in least_matches(threshold).items():
         if not len(i):
             break
-        found += (a[i, n - STEP : n] == b[j, n - STEP : n]).sum(axis=1, dtype=np.int32)
+        found += (sig[i, n - STEP : n] == sig[j, n - STEP : n]).sum(axis=1, dtype=np.int32)
         keep = found >= least
         i, j, found = i[keep], j[keep], found[keep]
     return i, j
 
 
+def numbered(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The n-word shingles of each text of words, as numbers given to the words themselves: equal numbers, equal words."""
+    known: dict[bytes, int] = {}
+    out = []
+    for text in texts:
+        gaps = [k for k, c in enumerate(text) if c == 32] if len(text) < 200 else np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist()
+        starts, ends = [0, *(k + 1 for k in gaps)], [*gaps, len(text)]
+        m = min(n, len(starts))
+        out.append(np.array(sorted({known.setdefault(text[a:b], len(known)) for a, b in zip(starts, ends[m - 1 :], strict=False)}), np.int64))
+    return out
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by products of 0/1 matrices over the values that two sets share at least."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -109,33 +114,35 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def compare(cell: pd.DataFrame, threshold: float, same: bool) -> list[tuple[int, bytes, int, int]]:
-    """(node, content, links, least node reached) of the texts of one block (same) or two that have links here. Of two,
-    only pairs across are compared, so there are none if either is empty."""
-    cell = cell.drop_duplicates("content").sort_values(["side", "node", "content"])
-    split = int((cell["side"] == 0).sum())
-    if not same and split in (0, len(cell)):
+def compare(cell: pd.DataFrame, n: int, threshold: float, band: int, same: bool) -> list[tuple[bytes, int, bytes]]:
+    """(content, links, least content reached) of the texts of one block (same) or two that have links here. Of two,
+    only pairs across are compared, so there are none if either is empty. From a bucket of a band, a pair is judged
+    only if it shares no earlier one (band -1: every pair)."""
+    cell = cell.drop_duplicates("content").sort_values(["content"])
+    side, size = cell["side"].to_numpy(), cell["size"].to_numpy()
+    near = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
+    near &= np.triu(np.ones(near.shape, bool), 1) if same else (side[:, None] == 0) & (side[None, :] == 1)
+    i, j = np.nonzero(near)
+    if band > 0 and len(i):
+        keys = np.stack(cell["bands"].to_numpy())[:, :band]
+        for k in range(band):
+            new = keys[i, k] != keys[j, k]
+            i, j = i[new], j[new]
+    if not len(i):
         return []
-    sig = np.stack([np.frombuffer(x, np.uint32) for x in cell["sig"]])
-    sets = [np.frombuffer(x, np.uint64) for x in cell["shingles"]]
-    sizes = np.array([len(s) for s in sets])
-    if same:
-        i, j = likely(sig, sig, sizes, sizes, threshold, True)
-    else:
-        i, j = likely(sig[:split], sig[split:], sizes[:split], sizes[split:], threshold, False)
-        j = j + split
+    i, j = likely(np.stack([np.frombuffer(x, np.uint16) for x in cell["sig"]]), i, j, threshold)
     if not len(i):
         return []
     used, places = np.unique(np.concatenate([i, j]), return_inverse=True)
-    shared = intersections([sets[k] for k in used])[places[: len(i)], places[len(i) :]]
+    sets = numbered([cell["words"].iat[k] for k in used], n)
+    exact, i_at, j_at = np.array([len(s) for s in sets]), places[: len(i)], places[len(i) :]
+    shared = intersections(sets)[i_at, j_at]
     t = Fraction(str(threshold))
-    true = shared * t.denominator >= t.numerator * (sizes[i] + sizes[j] - shared)
+    true = shared * t.denominator >= t.numerator * (exact[i_at] + exact[j_at] - shared)
     i, j = i[true], j[true]
-    if not len(i):
-        return []
-    node, copies = cell["node"].to_numpy(), cell["copies"].to_numpy()
-    links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-    root = np.arange(len(node))
+    copies, content = cell["copies"].to_numpy(), cell["content"].to_numpy()
+    links = np.bincount(i, copies[j], len(copies)) + np.bincount(j, copies[i], len(copies))
+    root = np.arange(len(copies))  # in order of content, so the least place is the least content
     while True:
         before = root.copy()
         np.minimum.at(root, i, root[j])
@@ -143,9 +150,8 @@ def compare(cell: pd.DataFrame, threshold: float, same: bool) -> list[tuple[int,
         root = root[root]
         if (root == before).all():
             break
-    least = pd.Series(node).groupby(root).transform("min").to_numpy()
     own = np.unique(np.concatenate([i, j]))
-    return list(zip(node[own].tolist(), cell["content"].to_numpy()[own].tolist(), links[own].astype(np.int64).tolist(), least[own].tolist(), strict=True))
+    return [(content[k], int(links[k]), content[root[k]]) for k in own.tolist()]
 
 
 def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -157,87 +163,100 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Da
     shingles, a class of its own, no links. Fewer than n words: one shingle of all. Null doc_id: null class, 0 links.
     Rows with one doc_id count as one document each when copies are counted; with different texts they share a class.
 
-    Copies meet by their words' digest and go on as one; each different text is compared, also where one doc_id has
-    several, and these become one class by edges of that doc_id. MinHash bands link documents to the smallest of their bucket
-    (two aggregates and a join, no pairs); what these links connect is a candidate group. Groups are compared inside
-    tasks, large ones in blocks by blocks, so no pair is ever a row: a task gives each document's links and the least
-    document it reached. Nothing is capped; the tolerance only bounds the chance of dropping a true pair.
+    Copies meet by their words' digest and go on as one, so each different text is compared once, whatever its
+    doc_ids. Texts that share a MinHash band are candidates. Star links to the smallest of each bucket connect
+    candidates to groups (two aggregates and a join, no pairs). A group that fills one block at most is compared as a
+    whole inside a task. A larger one is compared in blocks by blocks, or by its buckets, a pair in the first one that
+    it shares, whichever sends its texts to fewer places; so unlike texts that chains of chance bands connect cost
+    what their buckets cost. No pair is ever a row: a task gives each text's links and the least text it reached.
+    MinHash values only rule pairs out; a pair that is left is verified by its shingles' words. Nothing is capped; the
+    tolerance and the number of bands only bound the chance of missing a true pair.
     """
 
     def sketch(batches):
         for b in batches:
-            ids, contents, sizes, keys = [], [], [], []
+            ids, contents, lengths, sizes, keys, sigs = [], [], [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = normal(t)
+                words = words_of(t)
                 values = shingles(words, n)
+                sig = signature(values)
+                whole = b" ".join(words)
                 ids.append(d)
-                contents.append(digest(words) if words else None)
+                contents.append(digest(whole) if words else None)
+                lengths.append(len(whole))
                 sizes.append(len(values))
-                keys.append(band_keys(signature(values)).view(np.int64).tolist() if words else [])
-            arrays = [pa.array(ids, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "size", "bands"])
+                keys.append(band_keys(sig).view(np.int64).tolist() if words else None)
+                sigs.append(sig.astype(np.uint16).tobytes() if words else None)
+            arrays = [pa.array(ids, pa.int64()), pa.array(contents, pa.binary()), pa.array(lengths, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "bytes", "size", "bands", "sig"])
 
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = stored(known.mapInArrow(sketch, "doc_id long, content binary, size long, bands array<long>"))
-    contents = stored(sketches.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")))
-    reps = sketches.join(contents.withColumnRenamed("rep_id", "doc_id"), ["content", "doc_id"]).dropDuplicates(["content", "doc_id"])
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("band", "lo")
-    linked = components(join_anew(banded, buckets, ["band"]).where("doc_id > lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b")))
-    # doc_ids of several texts, and those whose texts have none but each other to be compared with
-    text_of = F.coalesce("content", F.lit(b""))
-    several = stored(sketches.groupBy("doc_id").agg(F.min(text_of).alias("lo"), F.max(text_of).alias("hi")).where("lo < hi").select("doc_id"))
-    alone = reps.join(several, "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti")
-    groups = stored(linked.union(alone.select("doc_id", "doc_id")))
-
-    sized = reps.select("doc_id", "content", "size", "copies").join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
-    totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    members = sized.join(totals, "component").select("doc_id", "content", "component", "blocks", "copies")
-
-    def digested(batches):
-        for b in batches:
-            content = pa.array([digest(normal(t)) for t in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, content], names=["doc_id", "text", "content"])
-
-    def payload(batches):
-        for b in batches:
-            sig, sets = [], []
-            for t in b.column(5).to_pylist():
-                values = shingles(normal(t), n)
-                sig.append(signature(values).tobytes())
-                sets.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], names=["node", "content", "component", "blocks", "copies", "sig", "shingles"])
-
-    # a doc_id alone tells which text is meant, but where it has several
-    single = known.join(members.join(several, "doc_id", "left_anti"), "doc_id")
-    mixed = known.join(several, "doc_id", "left_semi").mapInArrow(digested, "doc_id long, text string, content binary").join(members, ["doc_id", "content"])
-    columns = ["doc_id", "content", "component", "blocks", "copies", "text"]
-    loaded = single.select(*columns).union(mixed.select(*columns))
-    loaded = loaded.mapInArrow(payload, "node long, content binary, component long, blocks long, copies long, sig binary, shingles binary")
+    sketches = stored(known.mapInArrow(sketch, "doc_id long, content binary, bytes long, size long, bands array<long>, sig binary"))
+    contents = stored(sketches.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies")))
+    # the rows of a content agree in all but doc_id, so any one of them will do
+    reps = sketches.join(contents.withColumnRenamed("rep_id", "doc_id"), ["content", "doc_id"]).dropDuplicates(["content"]).withColumn("node", node_of(F.col("content")))
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", "lo")
+    linked = components(join_anew(banded, buckets, ["band"]).where("node > lo").select(F.col("node").alias("a"), F.col("lo").alias("b")))
+    members = stored(reps.join(stored(linked), "node").select("content", "doc_id", "bytes", "size", "copies", "bands", "sig", "component"))
+
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES))
+    groups = stored(members.groupBy("component").agg(blocks.alias("blocks"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
+    large = groups.where("blocks > 1")
+    by_band = members.join(large.select("component"), "component").select("component", "bytes", F.explode("bands").alias("band"))
+    bucketed = stored(by_band.groupBy("band").agg(F.min("component").alias("component"), blocks.alias("blocks"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1"))
+    cost = bucketed.groupBy("component").agg(F.sum(F.col("n") * F.col("blocks")).alias("sent"))
+    by_bands = (F.col("blocks") > 1) & (F.coalesce("sent", F.lit(0)) < F.col("n") * F.col("blocks"))
+    ways = stored(groups.join(cost, "component", "left").select("component", "blocks", "n", "bytes", by_bands.alias("by_band")))
+
+    # a task's group: one pair of blocks of a large group or bucket, or small ones that are about a block together
+    small = ways.where("NOT by_band").union(bucketed.select("component", "blocks", "n", "bytes", F.lit(True))).where("blocks = 1")
+    totals = small.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = F.lit(max(1, totals[0] // BLOCK_BYTES, totals[1] // BLOCK))
+    told = members.join(ways.select("component", "blocks", "by_band"), "component")
+    whole = told.where("NOT by_band").select("content", "component", F.lit(-1).alias("band"), "blocks")
+    split = told.where("by_band").select("content", F.posexplode("bands").alias("band", "key"))
+    split = join_anew(split, bucketed.select(F.col("band").alias("key"), "blocks"), ["key"]).select("content", F.col("key").alias("component"), "band", "blocks")
     own = F.pmod(F.xxhash64("content"), F.col("blocks"))
-    celled = loaded.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    places = whole.union(split).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    few = F.lit(max(1, groups.count() // BLOCK))  # as many as fill a block on average, however many there are
-    # a task's group: one pair of blocks of a large component, or many small components
-    celled = celled.select(
-        "node", "content", "component", "copies", "sig", "shingles", lo.alias("lo"), hi.alias("hi"), (F.col("own") != lo).cast("int").alias("side"),
-        F.when(F.col("blocks") > 1, F.xxhash64("component", lo, hi)).otherwise(F.pmod(F.xxhash64("component"), few)).alias("cell"),
-    )
+    cell = F.when(F.col("blocks") > 1, F.xxhash64("component", "band", lo, hi)).otherwise(F.pmod(F.xxhash64("component", "band"), few))
+    places = places.select("content", "component", "band", lo.alias("lo"), hi.alias("hi"), (F.col("own") != lo).cast("int").alias("side"), cell.alias("cell"))
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [x for (_, lo, hi), cell in pdf.groupby(["component", "lo", "hi"], sort=False) if len(cell) > 1 for x in compare(cell, threshold, lo == hi)]
-        return pd.DataFrame(out, columns=["node", "content", "links", "least"])
+    def worded(batches):
+        for b in batches:
+            words = [b" ".join(words_of(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(w) for w in words], pa.binary()), pa.array(words, pa.binary())], names=["content", "words"])
+
+    # the texts of doc_ids that stand for a content; of a repeated doc_id also others, which no content here meets
+    ids = stored(members.select("doc_id").distinct())
+    texts = known.join(ids, "doc_id", "left_semi").select("text").mapInArrow(worded, "content binary, words binary").groupBy("content").agg(F.first("words").alias("words"))
+    loaded = texts.join(members.select("content", "size", "copies", "bands", "sig"), "content")
+    celled = places.join(loaded, "content")
 
-    found = stored(celled.groupBy("cell").applyInPandas(judge, "node long, content binary, links long, least long"))
-    own_texts = sketches.join(several, "doc_id", "left_semi").select("doc_id", "content").distinct().join(contents, "content").select(F.col("doc_id").alias("a"), F.col("rep_id").alias("b"))
-    classes = stored(components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).union(own_texts)).withColumnsRenamed({"node": "rep_id", "component": "class_id"}))
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [x for (_, band, lo, hi), part in pdf.groupby(["component", "band", "lo", "hi"], sort=False) if len(part) > 1 for x in compare(part, n, threshold, band, lo == hi)]
+        return pd.DataFrame(out, columns=["content", "links", "least"])
+
+    found = stored(celled.groupBy("cell").applyInPandas(judge, "content binary, links long, least binary"))
+    # texts of one doc_id are one class
+    several = stored(sketches.where("content IS NOT NULL").groupBy("doc_id").agg(F.min("content").alias("first"), F.max("content").alias("last")).where("first < last").select("doc_id", "first"))
+    together = sketches.join(several, "doc_id").where("content > first").select(F.col("content").alias("a"), F.col("first").alias("b"))
+    classes = stored(components(found.select(F.col("content").alias("a"), F.col("least").alias("b")).union(together)).join(contents.select(F.col("content").alias("node"), "rep_id"), "node"))
+    least = classes.groupBy("component").agg(F.min("rep_id").alias("class_id"))
     links = found.groupBy("content").agg(F.sum("links").alias("links"))
-    facts = stored(contents.join(links, "content", "left").join(classes, "rep_id", "left"))
-    shared = several.join(classes.withColumnRenamed("rep_id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("shared_id"))
-    result = sketches.select("doc_id", "content").join(facts, "content", "left").join(stored(shared), "doc_id", "left")
-    result = result.select(
-        "doc_id", F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("shared_id", "class_id", "rep_id", "doc_id").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
-    )
-    null = F.lit(None).cast("long")
-    return result.union(docs.where(F.col("doc_id").isNull()).select(null, null, null, F.lit(0).cast("long")))
+    facts = contents.join(links, "content", "left").join(join_anew(classes.select(F.col("node").alias("content"), "component"), least, ["component"]).drop("component"), "content", "left")
+    facts = stored(facts.select("content", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    result = join_anew(sketches.where("content IS NOT NULL").select("doc_id", "content"), facts, ["content"]).select("doc_id", "rep_id", "class_id", "n_links")
+    # rows without words: alone, or in the class of their doc_id's other texts
+    wordless = stored(sketches.where("content IS NULL").select("doc_id"))
+    kin = sketches.where("content IS NOT NULL").join(wordless.distinct(), "doc_id", "left_semi").join(facts, "content").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    wordless = wordless.join(kin, "doc_id", "left")
+    zero, null = F.lit(0).cast("long"), F.lit(None).cast("long")
+    result = result.union(wordless.select("doc_id", F.col("doc_id").alias("rep_id"), F.coalesce("class_id", "doc_id"), zero))
+    return result.union(docs.where(F.col("doc_id").isNull()).select(null, null, null, zero))
+
+
+def node_of(content: Column) -> Column:
+    """64 bits of a digest. Two contents with equal ones are only compared with each other's candidates."""
+    return F.conv(F.hex(F.substring(content, 1, 8)), 16, -10).cast("long")

@@ -7,18 +7,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_anew, stored
-from .hashing import BASES, digest, normal, sliding_minimum, windows, word_hashes
+from .common import fresh, join_anew, named, stored
+from .hashing import digest, sliding_minimum, windows, word_hashes, words_of
 
 #: Words of the grams by which windows are sampled; a window is known by the gram of least hash within it.
 GRAM = 12
 
 
-def anchors(words: np.ndarray, width: int) -> np.ndarray:
+def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each window, the least hash of the grams within it. Equal windows have equal anchors, so a window can
     repeat only if its anchor does; neighbours mostly share theirs."""
     gram = min(GRAM, width)
-    return sliding_minimum(windows(words, gram, BASES[0][1]), width - gram + 1)
+    return sliding_minimum(windows(hashes, gram), width - gram + 1)
 
 
 def as_long(a: np.ndarray) -> pa.Array:
@@ -31,113 +31,120 @@ def lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), as_long(flat))
 
 
+def confirmed(words: list[bytes], starts: np.ndarray, width: int) -> list[bytes]:
+    """Digests of the windows' own words."""
+    return [digest(b" ".join(words[i : i + width])) for i in starts.tolist()]
+
+
 def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, wholes array<binary>, hashes array<long>: of each document with repeated windows, the digests of its
-    word sequence if a smaller doc_id has it whole, else hashes of the windows that also start under a smaller doc_id.
+    """doc_id, wholes array<binary>, windows array<struct<h long, d binary>>: of each document with repeated windows,
+    the digests of its word sequence if a smaller doc_id has it whole, else the windows that also start under a
+    smaller doc_id: Rabin-Karp hash and digest of the words.
 
     Windows of copies are those of the copy with the smallest doc_id, so only that one goes on. Windows whose anchor
-    occurs in one document only are unique and are left out before the count; all others are hashed to 128 bits and
-    counted in Spark. Minima are aggregated before the shuffle; joins on hot windows are of a large side with one row
-    per key, whose partitions adaptive execution splits.
+    occurs in one document only are unique and are left out before the count. The others are counted in Spark by hash
+    and digest of their words (128 bits of BLAKE2), so that no two different windows count as one. Minima are
+    aggregated before the shuffle; joins on hot windows are of a large side with one row per key, whose partitions
+    adaptive execution splits.
     """
 
     def sketch(batches):
         for b in batches:
             ids, contents, found = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = normal(t)
-                if words.count(b" ") + 1 < width:
+                words = words_of(t)
+                if len(words) < width:
                     continue
                 m = anchors(word_hashes(words), width)
                 ids.append(d)
-                contents.append(digest(words))
+                contents.append(digest(b" ".join(words)))
                 found.append(np.unique(m[np.flatnonzero(np.diff(m, prepend=~m[:1]))]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contents, pa.binary()), lists(found)], names=["doc_id", "content", "anchors"])
 
-    known = docs.where(F.col("doc_id").isNotNull())
-    sketches = stored(known.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, content binary, anchors array<long>"))
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = stored(known.mapInArrow(sketch, "doc_id long, content binary, anchors array<long>"))
     first = sketches.groupBy("content").agg(F.min("doc_id").alias("first"))
-    copies = join_anew(sketches.select("doc_id", "content"), first, ["content"]).where("doc_id > first").select("doc_id", "content", F.lit(None).cast("long").alias("h1"))
+    no_window = F.lit(None).cast("struct<h:long,d:binary>").alias("w")
+    copies = join_anew(sketches.select("doc_id", "content"), first, ["content"]).where("doc_id > first").select("doc_id", "content", no_window)
     kept = sketches.join(first.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi")
     own = kept.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = own.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    chosen = join_anew(own, shared, ["anchor"]).groupBy("doc_id").agg(F.collect_set("anchor").alias("__anchors"))
-    columns = known.columns
+    chosen = join_anew(own, shared, ["anchor"]).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
     def candidates(batches):
         for b in batches:
             ids, one, two = [], [], []
-            at = b.schema.get_field_index
-            for d, t, shared_here in zip(b.column(at("doc_id")).to_pylist(), b.column(at("text")).to_pylist(), b.column(at("__anchors")), strict=True):
-                words = normal(t)
-                hashes = word_hashes(words)
-                if len(hashes) < width:
+            for d, t, shared_here in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                words = words_of(t)
+                if len(words) < width:
                     continue
-                hit = np.isin(anchors(hashes, width), np.asarray(shared_here.values).view(np.uint64))
-                h1, at_first = np.unique(windows(hashes, width, BASES[0][1])[hit], return_index=True)
-                ids.append(np.full(len(h1), d, np.int64))
-                one.append(h1)
-                two.append(windows(word_hashes(words, 1), width, BASES[1][1])[hit][at_first])
+                hashes = word_hashes(words)
+                hit = np.flatnonzero(np.isin(anchors(hashes, width), np.asarray(shared_here.values).view(np.uint64)))
+                here = dict.fromkeys(zip(windows(hashes, width)[hit].view(np.int64).tolist(), confirmed(words, hit, width), strict=True))
+                ids += [d] * len(here)
+                one += [h for h, _ in here]
+                two += [x for _, x in here]
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), as_long(np.concatenate(one)), as_long(np.concatenate(two))], names=["doc_id", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.binary())], names=["doc_id", "h", "d"])
 
-    hashed = known.join(chosen, "doc_id").select(*[F.col(f"`{c}`") for c in columns], "__anchors").mapInArrow(candidates, "doc_id long, h1 long, h2 long")
-    counted = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    repeated = join_anew(hashed, counted, ["h1", "h2"]).where("doc_id > lo").select("doc_id", F.lit(None).cast("binary").alias("content"), "h1")
-    return repeated.union(copies.select("doc_id", "content", "h1")).groupBy("doc_id").agg(F.collect_set("content").alias("wholes"), F.collect_set("h1").alias("hashes"))
+    hashed = known.join(chosen, "doc_id").select("doc_id", "text", "anchors").mapInArrow(candidates, "doc_id long, h long, d binary")
+    counted = hashed.groupBy("h", "d").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "d", "lo")
+    repeated = join_anew(hashed, counted, ["h", "d"]).where("doc_id > lo").select("doc_id", F.lit(None).cast("binary").alias("content"), F.struct("h", "d").alias("w"))
+    return repeated.union(copies).groupBy("doc_id").agg(F.collect_set("content").alias("wholes"), F.collect_set("w").alias("windows"))
 
 
-def cut(text: str | None, wholes: list[bytes], hashes: np.ndarray, width: int) -> tuple[int, list[tuple[int, int]], bytes]:
+def cut(text: str | None, wholes: list[bytes], repeated: set[tuple[int, bytes]], width: int) -> tuple[int, list[tuple[int, int]], bytes]:
     """(number of words, maximal removal intervals [from, to) in words, kept words joined by one space)."""
-    words = normal(text)
-    n = words.count(b" ") + 1 if words else 0
-    if n < width or not (len(hashes) or wholes):
-        return n, [], words
-    if digest(words) in wholes:
+    words = words_of(text)
+    n = len(words)
+    whole = b" ".join(words)
+    if n < width or not (repeated or wholes):
+        return n, [], whole
+    if wholes and digest(whole) in wholes:
         return n, [(0, n)], b""
-    starts = np.flatnonzero(np.isin(windows(word_hashes(words), width, BASES[0][1]), hashes))
+    hashes = windows(word_hashes(words), width)
+    starts = np.flatnonzero(np.isin(hashes, np.array([h for h, _ in repeated], np.int64).view(np.uint64)))
+    told = zip(hashes[starts].view(np.int64).tolist(), confirmed(words, starts, width), strict=True)
+    starts = starts[np.array([x in repeated for x in told], bool)]
     if not len(starts):
-        return n, [], words
+        return n, [], whole
     breaks = np.flatnonzero(np.diff(starts) > width)
     lo, hi = starts[np.concatenate([[0], breaks + 1])], starts[np.concatenate([breaks, [len(starts) - 1]])] + width
     spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
-    split, kept, at = words.split(b" "), [], 0
+    kept, at = [], 0
     for a, b in spans:
-        kept += split[at:a]
+        kept += words[at:a]
         at = b
-    return n, spans, b" ".join(kept + split[at:])
+    return n, spans, b" ".join(kept + words[at:])
 
 
-def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """docs (doc_id, text and any other columns) with __n_words, __spans (maximal removal intervals in words) and
-    __kept (the words left, joined by one space).
+def remove_repeats(docs: DataFrame, width: int = 50, names: tuple[str, str, str] = ("n_words", "spans", "kept")) -> DataFrame:
+    """docs (doc_id, text and any other columns) with three columns of the given names: number of words, maximal
+    removal intervals in words, and the words left, joined by one space.
 
     A window is `width` consecutive words of one document; each word covered by a window whose words also start in a
     document with a smaller doc_id goes, judged on the input. Null or empty text: no words. Fewer words than a
     window: nothing goes. Null doc_id: it takes no part, nothing goes. Rows with the same doc_id count as one
-    document: they don't remove each other's words.
+    document: they don't remove each other's words. Columns of docs with one of the names are replaced.
     """
-    found = find_repeats(docs, width).select("doc_id", F.col("wholes").alias("__wholes"), F.col("hashes").alias("__hashes"))
+    kept_columns = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    docs = docs.select(*[named(c) for c in kept_columns])
+    wholes, hashes, result, other = fresh(docs, "wholes", "windows", "cut", "other_id")
+    found = find_repeats(docs, width).select(F.col("doc_id").alias(other), F.col("wholes").alias(wholes), F.col("windows").alias(hashes))
     kind = "struct<n_words:long,spans:array<struct<from:long,to:long>>,kept:string>"
     arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept", pa.string())])
 
     @F.arrow_udf(kind)
-    def judged(texts: pa.Array, wholes: pa.Array, hashes: pa.Array) -> pa.Array:
+    def judged(texts: pa.Array, whole: pa.Array, repeated: pa.Array) -> pa.Array:
         out = []
-        for t, w, h in zip(texts.to_pylist(), wholes.to_pylist(), hashes, strict=True):
-            bad = np.asarray(h.values).view(np.uint64) if h.is_valid else np.zeros(0, np.uint64)
-            n, spans, kept = cut(t, w or [], bad, width)
+        for t, w, r in zip(texts.to_pylist(), whole.to_pylist(), repeated.to_pylist(), strict=True):
+            n, spans, kept = cut(t, w or [], {(x["h"], x["d"]) for x in r or []}, width)
             out.append({"n_words": n, "spans": [{"from": a, "to": b} for a, b in spans], "kept": kept.decode()})
         return pa.array(out, arrow)
 
-    columns = docs.columns
-    known = docs.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left")
-    unknown = docs.where(F.col("doc_id").isNull())
-    nothing = [F.lit(None).cast("array<binary>").alias("__wholes"), F.lit(None).cast("array<long>").alias("__hashes")]
-    plain = [F.col(f"`{c}`") for c in columns]
-    every = known.select(*plain, "__wholes", "__hashes").union(unknown.select(*plain, *nothing))
-    done = every.withColumn("__cut", judged(F.col("text"), F.col("__wholes"), F.col("__hashes")))
-    return done.select(*plain, F.col("__cut.n_words").alias("__n_words"), F.col("__cut.spans").alias("__spans"), F.col("__cut.kept").alias("__kept"))
+    every = docs.join(found, docs["doc_id"].cast("long") == found[other], "left")
+    done = every.withColumn(result, judged(F.col("text"), F.col(wholes), F.col(hashes)))
+    return done.select(*[named(c) for c in kept_columns], *[F.col(f"{result}.{f}").alias(n) for f, n in zip(("n_words", "spans", "kept"), names, strict=True)])
 
 
 def removed_words(spans: Column) -> Column:

@@ -5,6 +5,7 @@ from math import comb
 
 import numpy as np
 from meadowlark.llm import components, jaccard
+from meadowlark.llm.hashing import mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,7 +68,7 @@ def test_empty_blocks(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"e{rng.randrange(10_000)}"
             rows.append((len(rows) + 1, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 60)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 300)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect()) == brute(rows)
 
 
@@ -90,6 +91,46 @@ def test_several_texts_of_one_doc_id(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect()) == want
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_that_collide_under_weak_hashes(spark):
+    """Thue-Morse words are equal under any polynomial modulo 2^64; they and shingles of them must not be."""
+    one, two = thue_morse(4096), thue_morse(4096, "b", "a")
+    tail = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, f"{one} x y z q"), (2, f"{two} x y z q"), (3, f"{one} {tail}"), (4, f"{two} {tail}"), (5, " ".join(thue_morse(2048))), (6, " ".join(thue_morse(2048, "b", "a")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect()) == brute(rows)
+
+
+def test_one_template_by_buckets(spark, monkeypatch):
+    """Texts of one template, about 0.38 alike, and a cluster of near copies among them, in one candidate group: they
+    are compared by buckets in small blocks, each pair once."""
+    rng = random.Random(8)
+    template = [f"t{k}" for k in range(120)]
+    rows = [(k, " ".join(template + [f"o{rng.randrange(10**6)}" for _ in range(100)])) for k in range(150)]
+    base = rows[7][1].split()
+    for k in range(30):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"e{k}"
+        rows.append((200 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect()) == brute(rows)
+
+
+def test_bucket_judges_only_new_pairs():
+    import pandas as pd
+
+    words = [b" ".join(b"w%d" % k for k in range(40)), b" ".join([*(b"w%d" % k for k in range(39)), b"x"])]
+    sig = [jaccard.signature(jaccard.shingles(w.split(), 5)) for w in words]
+    rows = [{"content": bytes([k]), "side": 0, "size": 36, "copies": 1, "bands": np.array([5, k, 9]), "sig": sig[k].astype(np.uint16).tobytes(), "words": words[k]} for k in (0, 1)]
+    cell = pd.DataFrame(rows)
+    assert len(jaccard.compare(cell, 5, 0.8, 0, True)) == len(jaccard.compare(cell, 5, 0.8, -1, True)) == 2
+    assert jaccard.compare(cell, 5, 0.8, 2, True) == [] and jaccard.compare(cell, 5, 0.99, 0, True) == []
+
+
 def test_edges(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
@@ -109,10 +150,10 @@ def test_posterior():
 
 def test_intersections_and_signatures():
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 6000, rng.integers(1, 3000)).astype(np.uint64)) for _ in range(9)]
+    sets = [np.unique(rng.integers(0, 6000, rng.integers(1, 3000))) for _ in range(9)]
     got = jaccard.intersections(sets)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
-    a, b = np.arange(4000, dtype=np.uint64), np.arange(400, 4400, dtype=np.uint64)
+    a, b = mixed(np.arange(4000, dtype=np.uint64)), mixed(np.arange(400, 4400, dtype=np.uint64))
     same = (jaccard.signature(a) == jaccard.signature(b)).mean()
     assert abs(same - 3600 / 4400) < 0.12
 
