@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meadowlark.llm import jaccard, packing, substring, toxicity
-from meadowlark.llm.common import stored, table
+from meadowlark.llm.common import fresh, named, stored, table
 from meadowlark.llm.queries import vocabulary_path
 
 
@@ -21,23 +21,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays (of repeated rows, one); rows
-    with null doc_id or without words stay."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    judged = jaccard.similar_documents(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").groupBy("doc_id")
-    marks = stored(judged.agg(F.min("class_id").alias("__class"), F.count("*").alias("__rows")).where("__class <> doc_id OR __rows > 1"))
-    marked = docs.join(marks, "doc_id", "left")
-    alone = marked.where("__class IS NULL").select(*columns)
-    again = marked.where("__class = doc_id").select(*columns).dropDuplicates(["doc_id", "text"])
-    return alone.union(again)
+    """Of each class of near duplicates the document with the smallest doc_id stays; of rows with this doc_id the one
+    that is least by hash, text and the hash of all columns. Rows with null doc_id stay, and rows without words whose
+    doc_id has no other row."""
+    columns = [named(c) for c in docs.columns]
+    own, kept_id, rows = fresh(docs, "own_id", "class_id", "rows")
+    judged = jaccard.similar_documents(docs.select("doc_id", "text")).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own))
+    marks = stored(judged.agg(F.min("class_id").alias(kept_id), F.count("*").alias(rows)).where(f"{kept_id} <> {own} OR {rows} > 1"))
+    marked = docs.join(marks, docs["doc_id"].cast("long") == marks[own], "left")
+    alone = marked.where(F.col(kept_id).isNull()).select(*columns)
+    again = marked.where(F.col(kept_id) == F.col(own)).select(F.col(own), F.struct(F.xxhash64(*columns).alias("h"), F.col("text").alias("t"), F.struct(*columns).alias("row")).alias("r"))
+    least = again.groupBy(own).agg(F.min_by("r.row", F.struct("r.h", "r.t")).alias("r"))
+    return alone.union(least.select("r.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows that a smaller doc_id has too go; texts without any stay as they are. n_chars is kept true."""
-    done = substring.remove_repeats(docs)
-    text = F.when(F.size("__spans") > 0, F.col("__kept")).otherwise(F.col("text"))
-    changed = done.withColumn("text", text).withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    """Words of windows that a smaller doc_id has too go; texts without any stay as they are. A column n_chars, where
+    there is one, is kept true."""
+    names = fresh(docs, "n_words", "spans", "kept")
+    done = substring.remove_repeats(docs, names=tuple(names))
+    hit, kept = F.size(names[1]) > 0, F.col(names[2])
+    new = {"text": F.when(hit, kept).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.select(*[new[c].alias(c) if c in new else named(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
