@@ -2,7 +2,8 @@
 
 Each page scores its containers; the generalised tag-class paths of the containers get votes, summed per host in
 Spark; pages are then extracted again with their host's winning paths. A page that has none of them falls back to its
-own best container.
+own best container. Names that sound like furniture (ads, sharing, related links) only lower a score: whether such an
+element goes is voted on per host too, by what it holds.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import stored
+from .common import fresh, named, stored
 
 TOKEN = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)
     |(script|style|noscript|textarea|title|iframe|xmp)\b[^>]*>(?:.*?</\1[^>]*>|.*)
-    |(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]{0,4000}"|'[^']{0,4000}')*+(?=>)|[^>]*)>
+    |(/?)([a-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=[^"'])))*+(?=>)|[^>]*)>
     |[!?][^>]*>)""",
     re.IGNORECASE | re.DOTALL | re.VERBOSE,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
 TELLING = re.compile("class|id|role|hidden|style", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -36,42 +37,84 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 P_ENDS, P_WITHIN = {"p"}, {"table", "td", "th", "div", "li", "section", "article", "main", "body", "button", "object"}
 BOILER_TAGS = frozenset("nav footer aside form button select dialog menu svg template object canvas head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary dialog alertdialog alert search menu menubar form".split())
+#: Words of class names and ids that furniture often has, those of readers' comments, and those that say nothing.
 BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related recommended share sharing social comment comments disqus respond reply replies footer popup modal overlay signup login pagination pager skip toolbar masthead topbar".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related recommended share sharing social footer popup modal overlay signup login pagination pager skip toolbar masthead topbar".split()
+)
+COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
+NEUTRAL_WORDS = frozenset(
+    "a area article bar block body bottom box btn button buttons center col column container content form group has header id inner item items js left links list main off on outer page pane panel post posts right row section site slot text the title top unit with wrap wrapper zone".split()
 )
 SAFE_TAGS = frozenset({"html", "body", "article", "main"})
 DEPTH = 6
+#: How an element's name speaks: of nothing, of furniture among other things, of furniture alone, of comments; and what
+#: the text in it counts for a score.
+PLAIN, MIXED, FURNITURE, COMMENTS = range(4)
+WEIGHT = (1.0, 0.5, 0.1, 0.0)
+#: Words of a block that reads like prose, and blocks that furniture by name must hold to pass for a page's body.
+PROSE_WORDS, BODY_BLOCKS = 5, 3
+#: Paths of a host that win: these many at most, with this share of the best one's votes; names of furniture told apart.
+SHARE, TOLD = 0.5, 100
 
 
 def words_of(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w]
 
 
-@lru_cache(maxsize=10_000)
-def traits(tag: str, attrs: str) -> tuple[str, bool]:
-    """(generalised label, is boilerplate) of an element. Digits of class names count as one sign."""
+def speaks(names: str) -> int:
+    words = set(words_of(names))
+    if words & COMMENT_WORDS:
+        return COMMENTS
+    if not words & BOILER_WORDS:
+        return PLAIN
+    return MIXED if any(not w.isdigit() for w in words - BOILER_WORDS - NEUTRAL_WORDS) else FURNITURE
+
+
+def judged(tag: str, attrs: str) -> tuple[str, bool, int]:
+    """(generalised label, is no content by tag or role, how its name speaks) of an element. Digits of class names
+    count as one sign."""
     if not TELLING.search(attrs):
-        return tag, tag in BOILER_TAGS
-    found = {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(attrs)} if attrs else {}
+        return tag, tag in BOILER_TAGS, PLAIN
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        found.setdefault(m[1].lower(), unescape((m[2] or "").strip("\"'")))
     classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
     label = ".".join([tag, *classes])
-    boiler = tag in BOILER_TAGS or found.get("role", "").lower() in BOILER_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
-    if not boiler and tag not in SAFE_TAGS:
-        boiler = any(w in BOILER_WORDS for v in ("class", "id") for w in words_of(found.get(v, "")))
-    return label, boiler
+    hard = tag in BOILER_TAGS or found.get("role", "").lower() in BOILER_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
+    name = PLAIN if tag in SAFE_TAGS else max(map(speaks, [*found.get("class", "").split(), found.get("id", "")]))
+    if name and speaks(found.get("id", "")):
+        label += "#" + re.sub(r"\d+", "#", found["id"].lower())
+    return label, hard, name
+
+
+remembered = lru_cache(maxsize=10_000)(judged)
+
+
+def traits(tag: str, attrs: str) -> tuple[str, bool, int]:
+    return remembered(tag, attrs) if len(attrs) < 300 else judged(tag, attrs)
+
+
+def unclosed(m: re.Match) -> bool:
+    """A comment, or an element of raw text, that goes on to the end."""
+    if m[1]:
+        return not re.search(rf"</{m[1]}[^>]*>\Z", m[0], re.IGNORECASE)
+    return m[0].startswith("<!--") and not m[0].endswith("-->")
 
 
 class Page:
-    """Elements of a page in order (parent, tag, path, boilerplate), and runs of text: (element, text), or (element,
-    None) where a block begins or ends."""
+    """Elements of a page in order (parent, tag, path, no content, nearest element named like furniture), and runs of
+    text: (element, text), or (element, None) where a block begins or ends."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.boiler = [-1], ["#"], [""], [False]
+        self.parent, self.tag, self.path, self.boiler, self.soft = [-1], ["#"], [""], [False], [0]
+        self.name: dict[int, int] = {}
+        self.holds: set[int] = set()
         self.runs: list[tuple[int, str | None]] = []
         self.open: dict[str, int] = {}
         stack, at, runs = [0], 0, self.runs
         below: dict[tuple[str, str], str] = {}
-        for m in TOKEN.finditer(html):
+        last, m = html.rfind(">") + 1, None
+        for m in TOKEN.finditer(html, 0, last):  # behind the last > nothing can be a tag
             start, end = m.span()
             if start > at:
                 runs.append((stack[-1], html[at:start]))
@@ -95,7 +138,7 @@ class Page:
                     self.imply(stack, *CLOSES[tag])
             if tag in VOID:
                 continue
-            label, boiler = traits(tag, m[4])
+            label, boiler, name = traits(tag, m[4])
             top = stack[-1]
             if tag == "header":
                 boiler = boiler or not (self.open.get("article") or self.open.get("main"))
@@ -106,10 +149,21 @@ class Page:
             self.tag.append(tag)
             self.path.append(below[above, label])
             self.boiler.append(self.boiler[top] or boiler)
-            stack.append(len(self.parent) - 1)
+            node = len(self.parent) - 1
+            if name:
+                self.name[node] = name
+            self.soft.append(node if name else self.soft[top])
+            if tag in ("h1", "article", "main") and not self.boiler[node]:
+                k = self.soft[top]
+                while k and k not in self.holds:
+                    self.holds.add(k)
+                    k = self.soft[self.parent[k]]
+            stack.append(node)
             self.open[tag] = self.open.get(tag, 0) + 1
-        if at < len(html):
-            runs.append((stack[-1], html[at:]))
+        if m and at == last and unclosed(m):
+            return
+        if rest := html[at:].partition("<!--")[0]:
+            runs.append((stack[-1], rest))
 
     def close(self, stack: list[int], k: int) -> None:
         for node in stack[k:]:
@@ -126,63 +180,145 @@ class Page:
                 return None
         return None
 
+    def holder(self, node: int) -> int:
+        """The container of a run of text: neither inline nor a paragraph."""
+        while self.tag[node] in INLINE and node > 0:
+            node = self.parent[node]
+        return self.parent[node] if self.tag[node] in LEAF else node
+
+    def linked(self, node: int) -> bool:
+        while self.tag[node] in INLINE and self.tag[node] != "a" and node > 0:
+            node = self.parent[node]
+        return self.tag[node] == "a"
+
+    def blocks(self):
+        """(element of its first run, characters, is prose) of each block that has text and may be content."""
+        node, size, links, words = 0, 0, 0, 0
+        for at, text in [*self.runs, (0, None)]:
+            if text is None:
+                if size:
+                    yield node, size, words >= PROSE_WORDS and 2 * links < size
+                size = links = words = 0
+            elif not self.boiler[at] and (n := len(text.strip())):
+                node = node if size else at
+                size, words = size + n, words + len(text.split())
+                links += n if self.linked(at) else 0
+
+    def furniture_votes(self) -> dict[str, int]:
+        """For each path of elements named like furniture, characters that speak for keeping it less those against.
+        A name that says other things too is judged by its prose; a name of furniture alone stays if the element
+        holds the page's heading or body, or most of its prose; one of comments only if it holds the heading or body."""
+        if not self.name:
+            return {}
+        prose, other, count, outside = {}, {}, {}, 0
+        for node, size, reads in self.blocks():
+            k = self.soft[node]
+            if not k:
+                outside += size * reads
+            elif reads:
+                prose[k], count[k] = prose.get(k, 0) + size, count.get(k, 0) + 1
+            else:
+                other[k] = other.get(k, 0) + size
+        votes: dict[str, int] = {}
+        for k, name in self.name.items():
+            p, o = prose.get(k, 0), other.get(k, 0)
+            if k in self.holds or (name == FURNITURE and count.get(k, 0) >= BODY_BLOCKS and p > outside):
+                vote = p + o + 1
+            else:
+                vote = p - o if name == MIXED else -(p + o)
+            votes[self.path[k]] = votes.get(self.path[k], 0) + vote
+        return votes
+
     def scores(self) -> dict[int, float]:
         """Credit of each container: the text of its paragraphs counts twice, that of its children's once; links
-        count nothing."""
+        count nothing, text under names of furniture less."""
+        weight = [1.0]
+        for k in range(1, len(self.parent)):
+            weight.append(0.0 if self.boiler[k] else weight[self.parent[k]] * WEIGHT[self.name.get(k, 0)])
         credit: dict[int, float] = {}
         for node, text in self.runs:
-            if text is None or self.boiler[node]:
+            if text is None or not weight[node]:
                 continue
-            size, k = len(text.strip()), node
-            if not size:
+            size = len(text.strip()) * weight[node]
+            if not size or self.linked(node):
                 continue
-            while self.tag[k] in INLINE and self.tag[k] != "a":
-                k = self.parent[k]
-            if self.tag[k] == "a":
-                continue
-            if self.tag[k] in LEAF:
-                k = self.parent[k]
-            for weight in (2, 1):
-                if k > 0:
-                    credit[k] = credit.get(k, 0) + weight * size * (1.25 if self.tag[k] in ("article", "main") else 1)
+            k = self.holder(node)
+            for share in (2, 1):
+                if k >= 0:
+                    credit[k] = credit.get(k, 0) + share * size * (1.25 if self.tag[k] in ("article", "main") else 1)
                     k = self.parent[k]
         return credit
 
+    def best(self, credit: dict[int, float]) -> int:
+        """The best container, or the one around it: its article, or while its siblings hold prose of some size too."""
+        best = k = max(credit, key=lambda k: (credit[k], -k))
+        while k > 0:
+            if self.tag[k] == "article":
+                return k
+            k = self.parent[k]
+        prose = [0] * len(self.parent)
+        for node, size, reads in self.blocks():
+            if reads and not self.soft[node]:
+                prose[node] += size
+        for k in range(len(prose) - 1, 0, -1):
+            prose[self.parent[k]] += prose[k]
+        while (up := self.parent[best]) > 0 and self.tag[up] not in ("html", "body") and 10 * prose[best] <= 9 * prose[up]:
+            best = up
+        return best
+
     def votes(self) -> list[tuple[str, int]]:
-        """Generalised paths with shares of one million."""
+        """Generalised paths with shares of one million; the best container has those of all within it."""
         credit = self.scores()
         total = sum(credit.values())
+        if not total:
+            return []
+        best = self.best(credit)
         by_path: dict[str, float] = {}
         for k, v in credit.items():
-            by_path[self.path[k]] = by_path.get(self.path[k], 0) + v
-        return [(p, round(1e6 * v / total)) for p, v in by_path.items()] if total else []
-
-    def text_at(self, chosen: set[int]) -> str:
-        """The text within the chosen elements without boilerplate, blocks in page order."""
-        inside = [False] * len(self.parent)
+            up = k
+            while up > best:
+                up = self.parent[up]
+            at = self.path[best if up == best else k]
+            by_path[at] = by_path.get(at, 0) + v
+        return [(p, round(1e6 * v / total)) for p, v in by_path.items()]
+
+    def text_at(self, chosen: set[int], gone: set[str]) -> str:
+        """The text within the chosen elements without furniture, blocks in page order."""
+        inside, out = [False] * len(self.parent), list(self.boiler)
         for k in range(len(self.parent)):
             inside[k] = k in chosen or (k > 0 and inside[self.parent[k]])
+            out[k] = out[k] or (k > 0 and out[self.parent[k]]) or (k in self.name and self.path[k] in gone)
         blocks, part = [], []
         for node, text in self.runs:
             if text is None:
                 if part:
                     blocks += unescape("".join(part)).split()
                     part = []
-            elif inside[node] and not self.boiler[node]:
+            elif inside[node] and not out[node]:
                 part.append(text)
         return " ".join([*blocks, *unescape("".join(part)).split()])
 
-    def extract(self, paths: list[str]) -> str:
-        own = self.path
-        for path in paths or ():
-            chosen = {k for k in range(1, len(own)) if own[k] == path and not self.boiler[k]}
-            if chosen and (text := self.text_at(chosen)):
-                return text
+    def extract(self, paths: list[str] | None, told: dict[str, bool] | None = None) -> str:
+        """Text of all elements at the winning paths. told: what the host says about paths named like furniture (true:
+        they stay); the page's own votes decide about others."""
+        own, told = self.path, told or {}
+        gone = {p for p, v in self.furniture_votes().items() if not told.get(p, v > 0)}
+        chosen: set[int] = set()
+        around: set[int] = set()
+        for path in paths or ():  # best first: what holds a better one is no choice of its own
+            new = [k for k in range(len(own)) if own[k] == path and not self.boiler[k] and k not in around]
+            chosen.update(new)
+            for k in new:
+                while k not in around and k >= 0:
+                    around.add(k)
+                    k = self.parent[k]
+        if chosen and (text := self.text_at(chosen, gone)):
+            return text
         credit = self.scores()
         if not credit:
             return ""
-        best = max(credit, key=lambda k: (credit[k], -k))
-        return self.text_at({k for k in range(len(own)) if own[k] == own[best] and not self.boiler[k]})
+        best = own[self.best(credit)]
+        return self.text_at({k for k in range(len(own)) if own[k] == best and not self.boiler[k]}, gone)
 
 
 def host_of(url: Column) -> Column:
@@ -190,22 +326,35 @@ def host_of(url: Column) -> Column:
 
 
 def page_votes(html: Column) -> Column:
-    kind = pa.list_(pa.struct([("path", pa.string()), ("votes", pa.int64())]))
+    """Votes of each page: for paths of containers, and for or against paths named like furniture."""
+    kind = pa.list_(pa.struct([("furniture", pa.bool_()), ("path", pa.string()), ("votes", pa.int64())]))
 
-    @F.arrow_udf("array<struct<path:string,votes:long>>")
+    def cast(html: str) -> list[dict]:
+        page = Page(html)
+        sides = ((False, page.votes()), (True, page.furniture_votes().items()))
+        return [{"furniture": side, "path": p, "votes": v} for side, found in sides for p, v in found]
+
+    @F.arrow_udf("array<struct<furniture:boolean,path:string,votes:long>>")
     def votes(pages: pa.Array) -> pa.Array:
-        return pa.array([[{"path": p, "votes": v} for p, v in Page(x or "").votes()] for x in pages.to_pylist()], kind)
+        return pa.array([cast(x or "") for x in pages.to_pylist()], kind)
 
     return votes(html)
 
 
 def host_paths(pages: DataFrame, keep: int = 3) -> DataFrame:
-    """host, paths: the paths with most votes on each host, best first (ties: by path). Votes are whole numbers, so
-    that sums don't depend on their order; they are summed before the shuffle, so a host of any size is cheap."""
+    """host, paths, told: the winning paths of each host, best first (ties: by path), and which of its paths named like
+    furniture stay or go (of the TOLD with most votes either way; pages decide about others themselves). Votes are
+    whole numbers, so that sums don't depend on their order; they are summed before the shuffle, so a host of any size
+    is cheap."""
     cast = pages.select(host_of(F.col("url")).alias("host"), F.explode(page_votes(F.col("html"))).alias("v"))
-    summed = cast.groupBy("host", F.col("v.path").alias("path")).agg(F.sum("v.votes").alias("votes"))
-    best = summed.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("place") <= keep)
-    return best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+    summed = cast.groupBy("host", "v.furniture", "v.path").agg(F.sum("v.votes").alias("votes"))
+    w = Window.partitionBy("host", "furniture").orderBy(F.desc(F.abs("votes")), "path")
+    ranked = summed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("furniture"), TOLD).otherwise(keep))
+    one = F.struct("place", "path", "votes")
+    best = ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.when(~F.col("furniture"), one))).alias("p"), F.array_sort(F.collect_list(F.when(F.col("furniture"), one))).alias("f"))
+    won = F.filter("p", lambda x: x["votes"] >= F.get("p", 0)["votes"] * SHARE)
+    told = F.transform("f", lambda x: F.struct(x["path"].alias("path"), (x["votes"] > 0).alias("stays")))
+    return best.select("host", F.transform(won, lambda x: x["path"]).alias("paths"), told.alias("told"))
 
 
 def extract_main_text(pages: DataFrame, keep: int = 3) -> DataFrame:
@@ -216,11 +365,17 @@ def extract_main_text(pages: DataFrame, keep: int = 3) -> DataFrame:
     The paths of hosts are written once; Spark broadcasts them if they are small and else joins by host, splitting
     the partitions of large hosts (adaptive skew join).
     """
-    paths = stored(host_paths(pages, keep)).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"))
-    joined = pages.withColumn("__host", host_of(F.col("url"))).join(paths, "__host", "left")
+    host, found = fresh(pages, "host", "found")
+    paths = stored(host_paths(pages, keep)).select(F.col("host").alias(host), F.struct("paths", "told").alias(found))
+    joined = pages.withColumn(host, host_of(F.col("url"))).join(paths, host, "left")
 
     @F.arrow_udf("string")
-    def text(html: pa.Array, chosen: pa.Array) -> pa.Array:
-        return pa.array([Page(x or "").extract(p) for x, p in zip(html.to_pylist(), chosen.to_pylist(), strict=True)], pa.string())
-
-    return joined.withColumn("text", text(F.col("html"), F.col("__paths"))).drop("__host", "__paths")
+    def text(html: pa.Array, hosts: pa.Array) -> pa.Array:
+        out = []
+        for x, f in zip(html.to_pylist(), hosts.to_pylist(), strict=True):
+            f = f or {"paths": None, "told": None}
+            out.append(Page(x or "").extract(f["paths"], {t["path"]: t["stays"] for t in f["told"] or ()}))
+        return pa.array(out, pa.string())
+
+    columns = [named(c) for c in pages.columns if c.lower() != "text"]
+    return joined.select(*columns, text(F.col("html"), F.col(found)).alias("text"))

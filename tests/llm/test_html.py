@@ -33,9 +33,51 @@ def test_hostile_markup():
     assert H.Page("<div>" * 30_000 + "deep").extract([]) == "deep"
     assert H.Page("<p title=\"unclosed <p>x").extract([]) is not None
     assert H.Page("<script>never closed <p>x</p>").extract([]) == ""
+    assert H.Page("<p a=\"x>y\" b='>' c=d'>It isn't lost</p><p title=\"never closed>x").extract([]).startswith("It isn't lost")
     H.Page("</div></p></x><li><li><td>" * 1000 + "<!-- open").extract([])
 
 
+def test_long_attributes():
+    """However long a value is, its signs don't end the tag, and no name in it counts."""
+    for quote in "\"'":
+        value = "a > LEAKED class=ad hidden " * 40_000
+        text = H.Page(page(f"<article><p title={quote}{value}{quote}>Main text of the page</p></article>")).extract(["html>body>article"])
+        assert len(value) > 1_000_000 and text == "Main text of the page"
+    H.Page("<a b=\"" * 100_000)
+    H.Page("<a b='>" * 100_000 + "\"")
+    assert H.Page("<div>text <!-- a > b <b>").extract([]) == H.Page("<div>text <script>a > b").extract([]) == H.Page("<div>text <!-- a").extract([]) == "text"
+    assert H.Page("<div>text <b").extract([]) == "text <b"
+
+
+def test_lead_and_body():
+    lead, body = "The lead says it all in one line.", "And the body tells it at length. " * 20
+    html = page(f"<article><section class=lead><p>{lead}</p></section><section class=body><p>{body}</p></section></article>")
+    votes = dict(H.Page(html).votes())
+    assert max(votes, key=votes.get) == "html>body>article"
+    assert H.Page(html).extract(["html>body>article"]) == H.Page(html).extract([]) == f"{lead} {body}".strip()
+    parts = page(f"<div class=wrap><div class=lead><p>{lead * 3}</p></div><div class=body><p>{body}</p></div></div>")
+    assert H.Page(parts).extract([]) == f"{lead * 3} {body}".strip()
+
+
+def test_names_only_lower_scores():
+    """Prose under a name that says more than furniture stays; links and short bits under it go; so does furniture."""
+    first, work, price = "The study was long in the making.", "Related work has been done by many groups before.", "The share price rose by a tenth on that day."
+    parts = [f"<p>{first}</p>", f"<div class=related-work><p>{work}</p></div>", f"<div class=share-price>{price}</div>"]
+    furniture = ["<div class='social-share'>Share on X</div>", "<div class='ad-slot'>Buy our fine boots today at half the price</div>", "<ul class='related-posts'><li><a href=x>Another post that is long enough to read</a></ul>", "<div class='share-tools'><a>Post it</a></div>"]
+    assert H.Page(page("<article>" + "".join(parts + furniture) + "</article>")).extract([]) == f"{first} {work} {price}"
+    inside = page(f"<div class='with-sidebar'><h1>Title</h1><p>{first}</p><p>{work}</p><p>{price}</p><div class=sidebar>Side</div></div>")
+    assert H.Page(inside).extract([]) == f"Title {first} {work} {price}"
+
+
+def test_host_decides_on_names(spark):
+    """One page's links under a name don't take the host's prose away, nor the other way round."""
+    prose = page("<article><p>Text of this page here.</p><div class='related-work'><p>Prose about other work that people did.</p></div></article>")
+    links = page("<article><p>Text of this page here.</p><div class='related-work'><a href=x>Link</a></div></article>")
+    df = spark.createDataFrame([(k, "https://a.example/", prose) for k in range(5)] + [(9, "https://a.example/", links)], "page_id long, url string, html string")
+    by = {r.page_id: r.text for r in H.extract_main_text(df).collect()}
+    assert by[9] == "Text of this page here. Link" and by[0].endswith("people did.")
+
+
 def test_hosts_vote(spark):
     good = page("<div class=main><p>Long text about horses and riders, with many words in it.</p></div><div class=box><p>Short box.</p></div>")
     odd = page("<div class=main><p>Hi.</p></div><div class=box><p>On this page the box is far longer than the text in the main part, yet the host has decided.</p></div>")
@@ -47,10 +89,13 @@ def test_hosts_vote(spark):
     assert by[9] == "Hi." and by[10] == "" and by[11].startswith("On this page") and by[3].startswith("Long text")
     assert H.extract_main_text(df.limit(0)).count() == 0
     assert H.extract_main_text(df.withColumn("text", df.page_id)).where("text = 'Hi.'").count() == 2
+    clash = df.selectExpr("*", "'own' AS host", "'own' AS found", "'own' AS __host", "'own' AS __paths", "'own' AS `a.b`", "'own' AS paths")
+    got = H.extract_main_text(clash)
+    assert got.columns == [*clash.columns, "text"] and got.where("text = 'Hi.' AND host = 'own' AND found = 'own' AND `a.b` = 'own'").count() == 2
 
 
 def test_whole_table_against_plain_version(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     if not glob.glob(f"{sf}/pages.parquet*"):
         return
     for r in H.extract_main_text(table(spark, sf, "pages")).collect():
