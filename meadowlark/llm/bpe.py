@@ -110,24 +110,27 @@ def cased_ids(fast, text: str, special: dict[str, int]) -> list[int]:
 # -- operator 1 ---------------------------------------------------------------------------------------------------
 
 
-def balanced(texts: list[str], most: int):
-    """(owners, pieces) of about `most` bytes each: long texts are cut at safe places, short ones are put together."""
+def balanced(texts: list[str], most: int, cuttable: bool):
+    """(owners, pieces) of at most `most` bytes of UTF-8 each, but for single larger pieces: long texts are cut at safe
+    places if they may be, short ones are put together."""
     owners, pieces, held = [], [], 0
     for k, text in enumerate(texts):
-        for piece in safe_pieces(text):
-            owners.append(k)
-            pieces.append(piece)
-            held += len(piece)
-            if held >= most:
+        for piece in safe_pieces(text) if cuttable else (text,):
+            size = len(piece) if piece.isascii() else len(piece.encode())
+            if pieces and held + size > most:
                 yield owners, pieces
                 owners, pieces, held = [], [], 0
+            owners.append(k)
+            pieces.append(piece)
+            held += size
     if pieces:
         yield owners, pieces
 
 
 @lru_cache(maxsize=4)
 def counter(path: str):
-    """A function from a list of texts to their token counts, by the library that the file's kind calls for."""
+    """A function from a list of texts to their token counts, which encodes them by one call of the library that the
+    file's kind calls for, and whether texts may be cut for it."""
     if path.endswith(".model"):
         import sentencepiece
 
@@ -146,7 +149,15 @@ def counter(path: str):
         t.no_padding()
         return (lambda texts: [len(x) for x in t.encode_batch_fast(texts, add_special_tokens=False)]), False
     special = vocabulary(path).special
-    return (lambda texts: [len(cased_ids(fast, x, special)) for x in texts]), True
+
+    def lengths(texts: list[str]) -> list[int]:
+        spaced = {k for k, x in enumerate(texts) if len(x) >= 5000 and LONG_SPACE.search(x)}
+        out = [len(x) for x in fast.encode_batch(["" if k in spaced else x for k, x in enumerate(texts)], num_threads=1, allowed_special="all")]
+        for k in spaced:
+            out[k] = len(cased_ids(fast, texts[k], special))
+        return out
+
+    return lengths, True
 
 
 def token_counts(text: Column, path: str, batch_bytes: int = 1 << 20) -> Column:
@@ -160,11 +171,8 @@ def token_counts(text: Column, path: str, batch_bytes: int = 1 << 20) -> Column:
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
         lengths_of, cuttable = counter(path)
-        values = ["" if x is None else x for x in texts.to_pylist()]
-        if not cuttable:
-            return pa.array(lengths_of(values), pa.int64())
-        total = np.zeros(len(values), np.int64)
-        for owners, pieces in balanced(values, batch_bytes):
+        total = np.zeros(len(texts), np.int64)
+        for owners, pieces in balanced(["" if x is None else x for x in texts.to_pylist()], batch_bytes, cuttable):
             np.add.at(total, owners, lengths_of(pieces))
         return pa.array(total)
 
@@ -268,6 +276,7 @@ def bpe_decode(ids: Column, path: str) -> Column:
 
 
 def bpe_round_trip(df: DataFrame, path: str) -> DataFrame:
-    """df with ids (binary) of its text column and the text decoded from them; see bpe_encode and bpe_decode."""
+    """df with ids (binary) of its text column and decoded, the text decoded from them; see bpe_encode and bpe_decode.
+    Columns of df with these names are replaced."""
     with_ids = df.withColumn("ids", bpe_encode(F.col("text"), path))
     return with_ids.withColumn("decoded", bpe_decode(F.col("ids"), path))

@@ -111,3 +111,8 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def number(data: bytes) -> int:
+    """64 bits of a digest, signed."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)

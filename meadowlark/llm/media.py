@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, named, stored
 
 BLOCK, UNIT = 64, 6
 #: Largest number of 16-pixel units along one side.
@@ -329,7 +329,11 @@ class Image:
         if media[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG")
         while at < len(media):
-            marker, length = media[at + 1], 0
+            if media[at] != 0xFF:
+                raise ValueError("no marker where one must be")
+            while media[at + 1] == 0xFF:  # fill bytes
+                at += 1
+            marker = media[at + 1]
             if marker == EOI:
                 break
             (length,) = struct.unpack_from(">H", media, at + 2)
@@ -353,6 +357,8 @@ class Image:
                 self.most = max(c.h for c in self.parts.values()), max(c.v for c in self.parts.values())
                 self.units = -(-self.width // (8 * self.most[0])), -(-self.height // (8 * self.most[1]))
                 sizes = [c.shape(self.units, self.width, self.height, self.most) for c in self.parts.values()]
+                if sum(sizes) > 8 * len(media):  # every block has a bit at least
+                    raise ValueError("too large for its bytes")
                 self.coef, start = np.zeros((sum(sizes), 64), np.int32), 0
                 for c, blocks in zip(self.parts.values(), sizes, strict=True):
                     c.coef, start = self.coef[start : start + blocks], start + blocks
@@ -367,6 +373,8 @@ class Image:
             elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError(f"not progressive: marker {marker:x}")
         self.quant = quant
+        if not self.parts:
+            raise ValueError("no image")
 
     def planes(self) -> list[np.ndarray]:
         """8-bit samples of each component, at its own resolution."""
@@ -420,17 +428,17 @@ class Image:
         return b.tobytes()[:n]
 
 
-def features(media: bytes, height: int, width: int, tensor: pa.Buffer) -> dict:
-    """What the stored bytes hold: the payload's digests, and sums over the stored RGB tensor as a feature string."""
-    payload = Image(media).payload()
-    sums = np.frombuffer(tensor, np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
+def features(image: Image, media: bytes, tensor: np.ndarray) -> dict:
+    """What the stored bytes hold: the payload's digests, and sums over the RGB tensor as a feature string."""
+    payload = image.payload()
+    sums = tensor.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
     return {
         "payload_bytes": len(payload),
         "payload_sha256": hashlib.sha256(payload).hexdigest(),
         "tail_crc32": zlib.crc32(payload[-64:]),
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": f"{height}x{width}x3 rgb {sums[0]} {sums[1]} {sums[2]}",
+        "feature": f"{tensor.shape[0]}x{tensor.shape[1]}x3 rgb {sums[0]} {sums[1]} {sums[2]}",
     }
 
 
@@ -451,6 +459,15 @@ def store_media(payload: Column) -> Column:
     return store(payload)
 
 
+#: What malformed bytes may raise on their way through the reader.
+MALFORMED = (ArithmeticError, AttributeError, LookupError, TypeError, ValueError, struct.error)
+TENSOR = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
+
+
+def tensor_row(t: np.ndarray) -> dict:
+    return {"height": t.shape[0], "width": t.shape[1], "data": t.tobytes()}
+
+
 def rgb_tensors(media: Column) -> Column:
     """Full-resolution RGB tensors of progressive JPEGs: struct(height, width, data); null, or bytes that are no
     progressive JPEG: null."""
@@ -460,11 +477,10 @@ def rgb_tensors(media: Column) -> Column:
         out = []
         for x in values.to_pylist():
             try:
-                t = Image(x).rgb()
-                out.append({"height": t.shape[0], "width": t.shape[1], "data": t.tobytes()})
-            except (TypeError, ValueError, KeyError, IndexError, struct.error):
+                out.append(tensor_row(Image(x).rgb()))
+            except MALFORMED:
                 out.append(None)
-        return pa.array(out, pa.struct([("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())]))
+        return pa.array(out, TENSOR)
 
     return tensors(media)
 
@@ -473,14 +489,31 @@ FEATURES = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "
 
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with a struct column `found` of features of a media column of store_media; null stays null. The RGB tensors
-    are written beside the media as Parquet in the shared folder; the features come from what is read back."""
-    fields = pa.struct([(k, pa.int64() if t == "long" else pa.string()) for k, t in FEATURES.items()])
+    """df with `tensor`, the full-resolution RGB tensor of a media column of store_media as in rgb_tensors, and `found`,
+    a struct of features of the stored bytes and of the tensor. Null, and bytes that hold no payload: null in both.
+    Columns of df with these names are replaced.
 
-    @F.arrow_udf("struct<" + ",".join(f"{k}:{t}" for k, t in FEATURES.items()) + ">")
-    def found(values: pa.Array, heights: pa.Array, widths: pa.Array, data: pa.Array) -> pa.Array:
-        rows = zip(values, heights, widths, data, strict=True)
-        return pa.array([features(x.as_py(), h.as_py(), w.as_py(), t.as_buffer()) if x.is_valid else None for x, h, w, t in rows], fields)
+    The media are written as Parquet in the shared folder and decoded from what is read back. The tensors, larger than
+    all else here, are a column of the result, stored where its user writes it, and not twice.
+    """
+    fields = pa.struct([(k, pa.int64() if t == "long" else pa.string()) for k, t in FEATURES.items()])
+    kinds = ",".join(f"{k}:{t}" for k, t in FEATURES.items())
 
-    kept = stored(df.withColumn("tensor", rgb_tensors(F.col(media))))
-    return kept.withColumn("found", found(F.col(media), F.col("tensor.height"), F.col("tensor.width"), F.col("tensor.data"))).drop("tensor")
+    @F.arrow_udf(f"struct<tensor:struct<height:int,width:int,data:binary>,found:struct<{kinds}>>")
+    def decoded(values: pa.Array) -> pa.Array:
+        tensors, found = [], []
+        for x in values.to_pylist():
+            try:
+                image = Image(x)
+                t = image.rgb()
+                one = features(image, x, t)
+            except MALFORMED:
+                t = one = None
+            tensors.append(None if t is None else tensor_row(t))
+            found.append(one)
+        return pa.StructArray.from_arrays([pa.array(tensors, TENSOR), pa.array(found, fields)], ["tensor", "found"])
+
+    kept = df.select(*[named(c) for c in df.columns if c.lower() not in ("tensor", "found")])
+    both = fresh(kept, "decoded")[0]
+    read = stored(kept).withColumn(both, decoded(named(media)))
+    return read.select(*[named(c) for c in kept.columns], F.col(f"{both}.tensor").alias("tensor"), F.col(f"{both}.found").alias("found"))

@@ -26,7 +26,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stored = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.store_media(media.padded(F.col("text"))).alias("media"))
-    return media.media_features(stored).select("doc_id", "n_bytes", *[f"found.{c}" for c in media.FEATURES])
+    return media.media_features(stored).select("doc_id", "n_bytes", *[f"found.{c}" for c in media.FEATURES], "tensor")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

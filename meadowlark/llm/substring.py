@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, join_anew, named, stored
-from .hashing import digest, sliding_minimum, windows, word_hashes, words_of
+from .hashing import digest, number, sliding_minimum, windows, word_hashes, words_of
 
 #: Words of the grams by which windows are sampled; a window is known by the gram of least hash within it.
 GRAM = 12
@@ -31,19 +31,19 @@ def lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), as_long(flat))
 
 
-def confirmed(words: list[bytes], starts: np.ndarray, width: int) -> list[bytes]:
-    """Digests of the windows' own words."""
-    return [digest(b" ".join(words[i : i + width])) for i in starts.tolist()]
+def confirmed(words: list[bytes], starts: np.ndarray, width: int) -> list[int]:
+    """Digests of the windows' own words, 64 bits."""
+    return [number(b" ".join(words[i : i + width])) for i in starts.tolist()]
 
 
 def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """doc_id, wholes array<binary>, windows array<struct<h long, d binary>>: of each document with repeated windows,
+    """doc_id, wholes array<binary>, windows array<struct<h long, d long>>: of each document with repeated windows,
     the digests of its word sequence if a smaller doc_id has it whole, else the windows that also start under a
     smaller doc_id: Rabin-Karp hash and digest of the words.
 
     Windows of copies are those of the copy with the smallest doc_id, so only that one goes on. Windows whose anchor
     occurs in one document only are unique and are left out before the count. The others are counted in Spark by hash
-    and digest of their words (128 bits of BLAKE2), so that no two different windows count as one. Minima are
+    (61 bits) and a digest of the window's words themselves (64 bits of BLAKE2), 125 bits in all. Minima are
     aggregated before the shuffle; joins on hot windows are of a large side with one row per key, whose partitions
     adaptive execution splits.
     """
@@ -64,7 +64,7 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stored(known.mapInArrow(sketch, "doc_id long, content binary, anchors array<long>"))
     first = sketches.groupBy("content").agg(F.min("doc_id").alias("first"))
-    no_window = F.lit(None).cast("struct<h:long,d:binary>").alias("w")
+    no_window = F.lit(None).cast("struct<h:long,d:long>").alias("w")
     copies = join_anew(sketches.select("doc_id", "content"), first, ["content"]).where("doc_id > first").select("doc_id", "content", no_window)
     kept = sketches.join(first.select("content", F.col("first").alias("doc_id")), ["content", "doc_id"], "left_semi")
     own = kept.select("doc_id", F.explode("anchors").alias("anchor"))
@@ -85,15 +85,15 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                 one += [h for h, _ in here]
                 two += [x for _, x in here]
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.binary())], names=["doc_id", "h", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "h", "d"])
 
-    hashed = known.join(chosen, "doc_id").select("doc_id", "text", "anchors").mapInArrow(candidates, "doc_id long, h long, d binary")
+    hashed = known.join(chosen, "doc_id").select("doc_id", "text", "anchors").mapInArrow(candidates, "doc_id long, h long, d long")
     counted = hashed.groupBy("h", "d").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "d", "lo")
     repeated = join_anew(hashed, counted, ["h", "d"]).where("doc_id > lo").select("doc_id", F.lit(None).cast("binary").alias("content"), F.struct("h", "d").alias("w"))
     return repeated.union(copies).groupBy("doc_id").agg(F.collect_set("content").alias("wholes"), F.collect_set("w").alias("windows"))
 
 
-def cut(text: str | None, wholes: list[bytes], repeated: set[tuple[int, bytes]], width: int) -> tuple[int, list[tuple[int, int]], bytes]:
+def cut(text: str | None, wholes: list[bytes], repeated: set[tuple[int, int]], width: int) -> tuple[int, list[tuple[int, int]], bytes]:
     """(number of words, maximal removal intervals [from, to) in words, kept words joined by one space)."""
     words = words_of(text)
     n = len(words)
@@ -142,7 +142,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, names: tuple[str, str, str]
             out.append({"n_words": n, "spans": [{"from": a, "to": b} for a, b in spans], "kept": kept.decode()})
         return pa.array(out, arrow)
 
-    every = docs.join(found, docs["doc_id"].cast("long") == found[other], "left")
+    # rows with a doc_id are dealt by it as in find_repeats, so that Spark can reuse the shuffle of doc_id and text
+    known = docs.where(F.col("doc_id").isNotNull())
+    known = known.join(found, known["doc_id"] == found[other], "left").drop(other)
+    nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in (wholes, hashes)]
+    every = known.union(docs.where(F.col("doc_id").isNull()).select(*[named(c) for c in kept_columns], *nothing))
     done = every.withColumn(result, judged(F.col("text"), F.col(wholes), F.col(hashes)))
     return done.select(*[named(c) for c in kept_columns], *[F.col(f"{result}.{f}").alias(n) for f, n in zip(("n_words", "spans", "kept"), names, strict=True)])
 

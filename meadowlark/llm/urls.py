@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_anew
+from .common import fresh, join_anew, named
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,8 +53,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         F.coalesce(F.max(F.length(F.regexp_replace(folder(F.col("rule_path")), "[^/]", ""))), F.lit(0)).alias("folders"),
     ).first()
     host, path = split_url(F.col("url"))
-    extra = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    cut = pages.select(*[F.col(f"`{c}`") for c in extra], host.alias("host"), path.alias("path"))
+    extra = [named(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    cut = pages.select(*extra, host.alias("host"), path.alias("path"))
     urls = cut.select("host", "path").where(F.col("host") != "").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest["labels"]))), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
@@ -64,5 +64,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     hashed = expressions.withColumn("full", F.sha2(F.concat("suffix", F.lit("\n"), "folder"), 256)).withColumn("prefix", F.substring("full", 1, 8))
     confirmed = hashed.join(found, "prefix").where((F.col("full") == F.col("digest")) & (F.col("suffix") == F.col("rule_host")) & F.startswith("path", "rule_path"))
     rank = F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.length("rule_host").alias("h"), F.col("rule_verdict").alias("verdict"), F.concat("rule_host", "rule_path").alias("rule"))
-    best = confirmed.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    return join_anew(cut, best, ["host", "path"], "left").select(*[F.col(f"`{c}`") for c in extra], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    told = fresh(cut, "best")[0]
+    best = confirmed.groupBy("host", "path").agg(F.max(rank).alias(told))
+    return join_anew(cut, best, ["host", "path"], "left").select(*extra, "host", "path", F.col(f"{told}.rule").alias("rule"), F.coalesce(f"{told}.verdict", F.lit(default)).alias("verdict"))

@@ -74,3 +74,32 @@ def test_columns(spark):
     got = bpe.bpe_round_trip(df, PATH).collect()
     assert sorted(r.decoded for r in got) == ["", "", "x y"]
     assert bpe.bpe_round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_batches_by_bytes():
+    """No batch passes the limit in bytes of UTF-8 but a single piece that can't be cut; nothing is lost."""
+    texts = ["é" * 700, "ab cd " * 500, "", "中" * 300, "x" * 5000, "ü" * 400]
+    for cuttable in (True, False):
+        got = list(bpe.balanced(texts, 2000, cuttable))
+        assert all(len(p) == 1 or sum(len(x.encode()) for x in p) <= 2000 for _, p in got)
+        joined = [""] * len(texts)
+        for owners, pieces in got:
+            for k, x in zip(owners, pieces, strict=True):
+                joined[k] += x
+        assert joined == texts
+
+
+def test_counts_of_other_files(spark):
+    """Files that the merge core can't take are encoded whole by their own libraries."""
+    import sentencepiece
+
+    texts = ["", "A text of words, two  spaces", None, "été 中文 " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, x string")
+    for name in ("piece_bpe_32k.model", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        if path.endswith(".model"):
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            want = [len(model.encode(x or "")) for x in texts]
+        else:
+            want = [len(Tokenizer.from_file(path).encode(x or "", add_special_tokens=False).ids) for x in texts]
+        assert [r.n for r in df.select("k", bpe.token_counts(F.col("x"), path).alias("n")).orderBy("k").collect()] == want

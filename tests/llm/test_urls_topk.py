@@ -31,6 +31,11 @@ def test_urls_against_plain_rules(spark):
     got = urls.judge_urls(df, spark.createDataFrame([*rules, (None, "/", "block"), ("net", "/", "maybe")], "host string, path string, verdict string"))
     rows = got.collect()
     assert len(rows) == len(made) + 1 and all((r.host, r.path, r.rule, r.verdict) == brute_url(made[r.page_id], rules) for r in rows)
+    clash = df.drop("verdict")
+    for name in "best __host __path key_0 suffix full rule_host a.b".split():
+        clash = clash.withColumn(name, F.lit("own"))
+    again = urls.judge_urls(clash, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert again.columns == [*clash.columns, "host", "path", "rule", "verdict"] and again.where("best = 'own' AND __host = 'own' AND `a.b` = 'own'").count() == len(rows)
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert urls.judge_urls(df, none, "block").where("verdict = 'block' AND rule IS NULL").count() == len(rows)
     assert urls.judge_urls(df.limit(0), none).count() == 0
