@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import found, lookup
+from .text import found, let, lookup
 
 #: Formats tried in order; the first that fits wins.
 FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd.MM.yyyy", "dd-MM-yyyy", "d MMMM yyyy", "d MMM yyyy", "d MMM yy", "yyyyMMdd")
@@ -38,24 +38,31 @@ def make(year: Column, month: Column, day: Column) -> Column:
 
 
 def date_range(text: Column) -> tuple[Column, Column]:
-    """(start, end) of "30 Oct - 1 Nov 2026", "4 - 7 March 26", "28 Mar 2026", ordinals and "&"; the end is null for
-    a single day."""
+    """(start, end) of "30 Oct - 1 Nov 2026", "4 - 7 March 26", "28 Mar 2026", "4th & 5th May 2026", and of two such
+    ranges joined by "&" ("4 - 5 May & 8 - 9 May 2026"): the first day and the last. The end is null for a single
+    day. Each date is taken apart once; what it lacks of month and year is that of the next one."""
+    piece = r"(\d{1,2})(?:\s+([A-Za-z]{3,9})\b(?:,?\s+(\d{4}|\d{2})\b)?)?"
+    whole = rf"({piece}(?:\s*-\s*{piece})*)"
+
+    def read(t: Column) -> Column:
+        """Days of the first run of dates that ends with a year."""
+        runs = F.regexp_extract_all(t, F.lit(whole), 1)
+        run = F.get(F.filter(runs, lambda r: r.rlike(r"[A-Za-z]{3,9},?\s+(?:\d{4}|\d{2})$")), 0)
+        pieces = F.transform(F.regexp_extract_all(run, F.lit(rf"({piece})"), 1), lambda p: F.struct(full_year(found(p, piece, 3)).alias("y"), month_number(found(p, piece, 2)).alias("m"), found(p, piece, 1).alias("d")))
+
+        def before(later: Column, p: Column) -> Column:
+            """The days so far, with p in front: of the month and year of the day after it unless it has its own."""
+            after = F.get(later, 0)
+            month = F.coalesce(p["m"], after["m"])
+            year = F.coalesce(p["y"], F.when(month > after["m"], after["y"] - 1).otherwise(after["y"]))
+            return F.concat(F.array(F.struct(year.alias("y"), month.alias("m"), p["d"].alias("d"))), later)
+
+        return F.aggregate(F.reverse(pieces), F.array().cast("array<struct<y:int,m:int,d:string>>"), before)
+
     t = F.regexp_replace(F.regexp_replace(F.trim(text), ORDINAL, "$1"), r"\s*(?:&|–|—|\bto\b|\band\b)\s*", " - ")
-    cross = r"(\d{1,2})\s+([A-Za-z]{3,9})\s*-\s*(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4}|\d{2})\b"
-    same = r"(\d{1,2})\s*-\s*(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4}|\d{2})\b"
-    one = r"(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{4}|\d{2})\b"
-
-    def g(p: str, k: int) -> Column:
-        return found(t, p, k)
-
-    cy, c1, c2 = full_year(g(cross, 5)), month_number(g(cross, 2)), month_number(g(cross, 4))
-    start = F.coalesce(
-        make(F.when(c1 > c2, cy - 1).otherwise(cy), c1, g(cross, 1)),
-        make(full_year(g(same, 4)), month_number(g(same, 3)), g(same, 1)),
-        make(full_year(g(one, 3)), month_number(g(one, 2)), g(one, 1)),
-    )
-    end = F.coalesce(make(cy, c2, g(cross, 3)), make(full_year(g(same, 4)), month_number(g(same, 3)), g(same, 2)))
-    return start, F.nullif(end, start)
+    days = let(t, read)
+    both = let(days, lambda x: F.struct(*[make(F.get(x, k)["y"], F.get(x, k)["m"], F.get(x, k)["d"]).alias(n) for n, k in (("start", F.lit(0)), ("end", F.size(x) - 1))]))
+    return both["start"], let(both, lambda x: F.nullif(x["end"], x["start"]))
 
 
 def mentioned(text: Column) -> tuple[Column, Column]:
@@ -76,15 +83,19 @@ def academic_date(month: Column, day: Column, start_year: Column) -> Column:
     return make(F.when(month >= 9, start_year).otherwise(start_year + 1), month, day.cast("string"))
 
 
-def date_in_url(url: Column) -> Column:
-    """From …-YYYYMMDD, /on/YYYY/MM/DD or dd-mm-yyyy in a URL."""
+def date_in_url(url: Column, today: Column | None = None) -> Column:
+    """From …-YYYYMMDD, /on/YYYY/MM/DD or dd-mm-yyyy in a URL; with today also from …-4th-march, the next such day."""
     on = r"/on/(\d{4})/(\d{1,2})/(\d{1,2})"
     dashed = r"(\d{1,2})-(\d{1,2})-(\d{4})"
-    return F.coalesce(
+    named = r"(?i)(?:^|[-/])(\d{1,2})(?:st|nd|rd|th)-(" + "|".join(rules.MONTHS) + r")[a-z]*(?:[-/.?#]|$)"
+    options = [
         F.try_to_date(found(url, r"-(\d{8})(?:\D|$)"), "yyyyMMdd"),
         make(found(url, on, 1).try_cast("int"), found(url, on, 2).try_cast("int"), found(url, on, 3)),
         make(found(url, dashed, 3).try_cast("int"), found(url, dashed, 2).try_cast("int"), found(url, dashed, 1)),
-    )
+    ]
+    if today is not None:
+        options.append(roll_forward(month_number(found(url, named, 2)), found(url, named, 1).try_cast("int"), today))
+    return F.coalesce(*options)
 
 
 def day_list(text: Column, months: list[str]) -> tuple[Column, Column]:

@@ -32,6 +32,11 @@ def bounding_box(lat: float, lng: float, miles: float) -> tuple[float, float, fl
     return lat - d, lat + d, lng - e, lng + e
 
 
+def cells_wide(lat: Column) -> Column:
+    """How many square grid cells of a radius's height lie to each side of a point at most, up to 85 degrees."""
+    return F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + 1, F.lit(86.0)))), F.lit(0.05))).cast("int")
+
+
 def coordinates_in(text: Column) -> tuple[Column, Column]:
     """(latitude, longitude) from "latitude":"…" fields, data-lat attributes or a map link, in that order."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .classify import escaped, has, normalised
+from .classify import escaped, has, normalised, whole
 from .text import let, lookup, title_case
 
 STRINGS = "array<string>"
@@ -124,7 +124,7 @@ def category_tags(text: Column) -> Column:
 
 def tier_tag(text: Column, affiliations: Column) -> Column:
     return first_of(
-        (text.rlike(rules.TIER_CODES), "tier:elite"),
+        (whole(text, rules.SHOW_CODES) | text.rlike(r"[3-5]\s*\*") | text.rlike("|".join(map(escaped, rules.TOP_TERMS))), "tier:elite"),
         (has(text, rules.COUNTY_SHOW), "tier:county-show"),
         (has(text, rules.NATIONAL_SHOW), "tier:national"),
         (F.size(F.filter(affiliations, lambda a: a != "affiliation:unaffiliated")) > 0, "tier:affiliated"),
@@ -165,12 +165,20 @@ def scan_disciplines(name: str, classes: list[str], primary: str | None, venue:
 
 
 def discipline_tags(name: Column, classes: Column, primary: Column, venue: Column, source: Column) -> Column:
-    """scan_disciplines in Arrow batches: the one step here that needs Python, as spans are claimed in order."""
+    """scan_disciplines in Arrow batches: the one step here that needs Python, as spans are claimed in order. Listings
+    repeat, so each different one of a batch is scanned once."""
 
     @F.arrow_udf("array<string>")
     def scan(names: pa.Array, class_lists: pa.Array, primaries: pa.Array, venues: pa.Array, sources: pa.Array) -> pa.Array:
         columns = (names.to_pylist(), class_lists.to_pylist(), primaries.to_pylist(), venues.to_pylist(), sources.to_pylist())
-        return pa.array([scan_disciplines(n or "", c or [], p, v, s) for n, c, p, v, s in zip(*columns, strict=True)], pa.list_(pa.string()))
+        known: dict[tuple, list[str]] = {}
+        out = []
+        for n, c, p, v, s in zip(*columns, strict=True):
+            key = (n, tuple(c or ()), p, v, s)
+            if key not in known:
+                known[key] = scan_disciplines(n or "", c or [], p, v, s)
+            out.append(known[key])
+        return pa.array(out, pa.list_(pa.string()))
 
     return scan(name, classes, primary, venue, source)
 
@@ -203,6 +211,12 @@ def display_name(tag: Column) -> Column:
     return F.when(~F.contains(tag, F.lit(":")), tag).otherwise(F.coalesce(lookup(rules.DISPLAY, value), title_case(F.replace(value, F.lit("-"), F.lit(" ")))))
 
 
+def class_list(text: Column) -> Column:
+    """Classes of a text such as "Classes: 90cm, 1m + Open 2 and Mini": its parts without running numbers."""
+    parts = F.transform(F.split(F.regexp_replace(text, "^Classes:", ""), r"[,+|]|\band\b"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"\s+[0-9]+$", "")))
+    return F.filter(parts, lambda x: x != "")
+
+
 def from_json_list(text: Column) -> Column:
     """Tags or classes stored as JSON text; anything that is no list becomes an empty one."""
     return F.coalesce(F.from_json(text, STRINGS), F.array().cast(STRINGS))

@@ -69,26 +69,34 @@ def disambiguate_venue(name: Column, postcode: Column, ambiguous: list[str] | No
 def normalise_venue_name(name: Column) -> Column:
     """Canonical form of a venue name: show numbers, event brackets, postcodes, company forms and common endings go;
     title case; junk becomes Tbc, virtual places Online; long addresses are cut at the first comma."""
-    low = F.lower(F.trim(name))
-    t = F.regexp_replace(name, r"\s*\(\d+\)(\s*-\s*.+)?$", "")
-    t = F.regexp_replace(t, rf"(?i)\s*\([^)]*(?:{rules.BRACKETED})[^)]*\)\s*$", "")
-    code = r"\(([A-Za-z]{1,2}\d[A-Za-z\d]?)\)$"
-    t = let(title_case(F.trim(t)), lambda x: F.when(x.rlike(code), F.concat(F.regexp_replace(x, code, ""), F.lit("("), F.upper(F.regexp_extract(x, code, 1)), F.lit(")"))).otherwise(x))
-    t = let(t, lambda x: F.coalesce(F.nullif(F.trim(F.regexp_replace(x, rf"(?i)\s*\(?{POSTCODE}\)?\s*", " ")), F.lit("")), x))
-    t = F.regexp_replace(t, r"(?i)\s+Limited$", "")
-    t = F.regexp_replace(t, r"\s*-\s+[A-Z][A-Za-z]{1,4}$", "")
-    t = F.regexp_replace(t, rf"(?i)(?:\s+(?:{any_of(rules.VENUE_SUFFIXES)}))+$", "")
-    t = F.regexp_replace(F.rtrim(t), r"\s{2,}", " ")
-    t = F.trim(F.regexp_replace(t, r"[-–—:&,.\s]+$", ""))
-    t = F.trim(F.regexp_replace(t, rf"(?i)\s+(?:{rules.LEFT_OVER})\s*$", ""))
+    marks, outward = "-–—:&,. \t\n\r", r"\(([a-z]{1,2}\d[a-z\d]?)\)$"
 
-    def guarded(x: Column) -> Column:
-        junk = (F.length(x) < 2) | (F.length(x) > 100) | x.rlike(r"(?i)^[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}$|^[A-Z0-9]{4,}\+[A-Z0-9]+|^https?://")
-        first = F.trim(F.split_part(x, F.lit(","), F.lit(1)))
-        commas = F.length(x) - F.length(F.replace(x, F.lit(","), F.lit("")))
-        return F.when(junk, "Tbc").when((commas > 0) & (F.length(first) >= 4) & ((commas >= 2) | (F.length(x) > 50)), first).otherwise(x)
+    def ending(words: list[str]) -> str:
+        return rf"(?i)(?:\s+(?:{any_of(words)}))"
+
+    def titled(x: Column) -> Column:
+        """Title case, but for an outward code in brackets at the end, which is in capitals."""
+        code = F.regexp_extract(x, "(?i)" + outward, 1)
+        return F.when(code == "", title_case(x)).otherwise(F.concat(title_case(F.regexp_replace(x, "(?i)" + outward, "")), F.lit("("), F.upper(code), F.lit(")")))
+
+    def uncoded(x: Column) -> Column:
+        return F.coalesce(F.nullif(F.trim(F.regexp_replace(x, rf"(?i)[\s(]*{POSTCODE}\)?\s*", " ")), F.lit("")), x)
 
-    return F.when(F.coalesce(low, F.lit("")) == "", "Tbc").when(low.startswith("online") | (low == "virtual"), "Online").otherwise(let(t, guarded))
+    def guarded(x: Column) -> Column:
+        first, rest = F.trim(F.split_part(x, F.lit(","), F.lit(1))), F.size(F.split(x, ",")) - 1
+        odd = normalise_postcode(x).isNotNull() | x.rlike(r"^[A-Za-z\d]{4,}\+[A-Za-z\d]") | F.lower(x).rlike("^https?:")
+        address = (F.length(first) >= 4) & ((rest >= 2) | ((rest == 1) & (F.length(x) > 50)))
+        return F.when(odd | ~F.length(x).between(2, 100), "Tbc").when(address, first).otherwise(x)
+
+    event = rf"(?i)\s*\([^)]*(?:{any_of(rules.EVENT_WORDS)})[^)]*\)\s*$"
+    t = F.regexp_replace(F.regexp_replace(name, r"\s*\(\d+\)(?:\s*-.*)?$", ""), event, "")
+    t = let(let(F.trim(t), titled), uncoded)
+    t = F.regexp_replace(F.regexp_replace(t, ending(["limited"]) + "$", ""), r"\s*-\s+[A-Z][A-Za-z]{1,4}$", "")
+    t = F.regexp_replace(F.rtrim(F.regexp_replace(t, ending(rules.VENUE_SUFFIXES) + "+$", "")), r"\s+", " ")
+    t = F.trim(F.rtrim(t, F.lit(marks)))
+    t = F.trim(F.regexp_replace(t, ending(rules.LEFT_OVER) + r"\s*$", ""))
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    return F.when(low == "", "Tbc").when(low.startswith("online") | (low == "virtual"), "Online").otherwise(let(t, guarded))
 
 
 def normalise_discipline(raw: Column) -> Column:
@@ -113,27 +121,61 @@ def venue_after_sign(name: Column) -> Column:
     return F.nullif(F.trim(found(name, r"@\s*(.+)$")), F.lit(""))
 
 
+def venue_or_organiser(name: Column, organiser: Column) -> Column:
+    """The place that a title names ("at Place", "@ Place"), else who holds the event, else TBC."""
+    return F.coalesce(venue_at(name), venue_after_sign(name), F.nullif(F.trim(organiser), F.lit("")), F.lit("TBC"))
+
+
 def venue_of_title(name: Column) -> Column:
-    """The place in "Title - Place", "Title : Place" or "Title | Place"; else Tbc."""
-    return F.coalesce(F.trim(found(name, r" - (.+)$")), F.trim(found(name, r" : (.+)$")), F.trim(found(name, r" \| (.+)$")), F.lit("Tbc"))
+    """The place in "Place - Title", "Place : Title" or "Place | Title", or before a word that titles go on with; it has
+    more than three characters; else Tbc. A bracket at the end goes first."""
+
+    def long(x: Column) -> Column:
+        return F.when(F.length(x) > 3, x)
+
+    def before(t: Column) -> Column:
+        parts = [long(F.trim(F.regexp_replace(t, rf"(?s) {re.escape(sign)} .*$", ""))) for sign in ("-", ":", "|")]
+        cut = [F.when(F.contains(t, F.lit(f" {sign} ")), part) for sign, part in zip(("-", ":", "|"), parts, strict=True)]
+        words = any_of(sorted(rules.TITLE_GOES_ON, key=len, reverse=True))
+        goes_on = rf"(?is)\b(?:(?:{words})\b|(?:{any_of(rules.TITLE_GOES_ON_NUMBERED)})\s+\d|\d{{1,2}}(?:st|nd|rd|th)\s+(?:{any_of(rules.MONTHS)})).*$"
+        told = F.when(t.rlike(goes_on), long(F.trim(F.rtrim(F.trim(F.regexp_replace(t, goes_on, "")), F.lit("-: ")))))
+        return F.coalesce(*cut, told, F.lit("Tbc"))
+
+    return let(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", ""), before)
+
+
+def is_junk_venue(name: Column) -> Column:
+    """A booking link or a street address that stands where a venue should."""
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    return low.rlike(f"^(?:{any_of(rules.JUNK_BEGINNINGS)})") | low.rlike(rf"\d+ +\w+ +(?:{any_of(rules.STREETS)})\b")
 
 
 def split_place(text: Column) -> tuple[Column, Column]:
     """(venue, postcode) of "venue, address, POSTCODE": the text before the postcode without its trailing marks, its
-    first part as the venue; TBC if nothing is there."""
+    first part as the venue; TBC if nothing is there, or junk."""
     code = extract_postcode(text)
     before = F.when(code.isNull(), text).otherwise(F.substring(text, F.lit(1), F.instr(text, code) - 1))
-    venue = F.regexp_replace(F.split_part(F.regexp_replace(before, r"[ ,.\-]+$", ""), F.lit(","), F.lit(1)), r"[ ,.\-]+$", "")
-    return F.coalesce(F.nullif(F.trim(venue), F.lit("")), F.lit("TBC")), normalise_postcode(code)
+    venue = F.trim(F.rtrim(F.split_part(F.rtrim(before, F.lit(" ,.-")), F.lit(","), F.lit(1)), F.lit(" ,.-")))
+    return F.coalesce(F.when(~is_junk_venue(before), F.nullif(venue, F.lit(""))), F.lit("TBC")), normalise_postcode(code)
 
 
 def venue_stem(name: Column, stems: dict[str, str], location: Column) -> Column:
-    """The venue of an event stem such as "Aston-le-Walls International (2)": sponsor and series endings go, then the
-    dictionary; else the location."""
-    t = F.regexp_replace(name, r"(?i)\s*\(\d+\)\s*$", "")
-    t = F.regexp_replace(t, r"(?i)\s+(?:sponsored by|supported by|in association with)\s.*$", "")
-    t = F.regexp_replace(t, r"(?i)(?:\s+(?:international|horse trials|one day event|spring|summer|autumn))+$", "")
-    return F.coalesce(lookup({k.lower(): v for k, v in stems.items()}, F.lower(F.trim(t))), location)
+    """The venue of an event title such as "Aston-le-Walls International (2)": what follows the stem goes, then the
+    dictionary; the location for travelling finals; else the stem itself."""
+
+    def cleaned(t: Column) -> Column:
+        t = F.regexp_replace(t, r"\s+-\s.*$", "")
+        t = F.regexp_replace(t, rf"(?i)\s+(?:{any_of(rules.STEM_ENDINGS)})\b.*$", "")
+        for ending in (r"\s+horse trials?", r"\s+\d{4}", r"\s*\(\d+\)", r"\s+international"):
+            t = F.regexp_replace(t, rf"(?i){ending}\s*$", "")
+        return title_case(F.trim(t))
+
+    def named(stem: Column) -> Column:
+        known = lookup({k.lower(): v for k, v in stems.items()}, F.lower(stem))
+        travels = F.lower(name).rlike(r"\b(?:" + any_of(rules.TRAVELLING) + ")")
+        return F.coalesce(known, F.when(~travels, F.nullif(stem, F.lit(""))), F.nullif(F.trim(location), F.lit("")), F.lit("TBC"))
+
+    return let(let(F.trim(name), cleaned), named)
 
 
 def prefix_venue(name: Column, label: Column) -> Column:

@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, rules, tags
-from ..functions.text import disambiguate_venue, normalise_discipline, normalise_venue_name
+from ..functions.text import area_letters, disambiguate_venue, normalise_discipline, normalise_venue_name
 from .search import real_place
 
 #: Fixed values of the alerts: share of the run before, length of a streak, runs looked back on.
 DROP, STREAK, LOOK_BACK = 0.5, 3, 20
 
 
-def venue_map(events: DataFrame, venues: DataFrame, today: Column, most: int = 600) -> DataFrame:
-    """venue_id, n, disciplines of the busiest venues by upcoming events that are no hire; placeholders left out."""
+def venue_map(events: DataFrame, venues: DataFrame, today: Column, most: int = 600, around: tuple[float, float, float] | None = None) -> DataFrame:
+    """venue_id, n, disciplines of the busiest venues by upcoming events that are no hire; placeholders left out.
+    around: latitude, longitude and miles; of the busiest, those so near, with their distance."""
     v = venues.where(real_place(F.col("name")) & F.col("latitude").isNotNull()).select(F.col("id").alias("venue_id"), "latitude", "longitude")
     up = events.where((F.col("date_start") >= today) & (F.col("event_type") != "venue_hire") & ~F.col("hidden").eqNullSafe(True))
     counted = up.join(v, "venue_id").groupBy("venue_id", "latitude", "longitude").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("discipline")).alias("disciplines"))
-    return counted.orderBy(F.desc("n"), "venue_id").limit(most)
+    top = counted.orderBy(F.desc("n"), "venue_id").limit(most)
+    if around is None:
+        return top
+    lat, lng, miles = around
+    far = F.round(geo.haversine_miles(F.lit(lat), F.lit(lng), F.col("latitude"), F.col("longitude")), 1)
+    return top.withColumn("distance", far).where(F.col("distance") <= miles)
 
 
 def venue_search(events: DataFrame, venues: DataFrame, term: str, today: Column, most: int = 25) -> DataFrame:
@@ -54,10 +60,21 @@ def source_totals(events: DataFrame, today: Column) -> DataFrame:
     return totals.withColumn("stale", (F.col("ever") > 0) & (F.col("future") == 0))
 
 
-def prefix_groups(venues: DataFrame) -> DataFrame:
-    """Groups of two or more venues whose names share the first word."""
-    g = venues.groupBy(F.split_part("name", F.lit(" "), F.lit(1)).alias("word")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names"))
-    return g.where("n >= 2")
+def dynamic_venues(venues: DataFrame, seeds: DataFrame, seed_aliases: DataFrame) -> DataFrame:
+    """id, name, matched, word, n for each dynamic venue: whether a seed or a seed's alias has its name; for the others
+    the first word, and how many of them share it (null if alone): candidates to be made one."""
+    known = seeds.select(F.col("name").alias("known")).union(seed_aliases.select("alias")).distinct()
+    dynamic = venues.where("source = 'dynamic'").select("id", "name").join(known, F.col("name") == F.col("known"), "left")
+    dynamic = dynamic.select("id", "name", F.col("known").isNotNull().alias("matched"), F.when(F.col("known").isNull(), F.split_part(F.trim("name"), F.lit(" "), F.lit(1))).alias("word"))
+    counts = dynamic.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return dynamic.join(counts, "word", "left").select("id", "name", "matched", "word", "n")
+
+
+def match_share(audited: DataFrame) -> DataFrame:
+    """total, matched, unmatched, groups, share (percent, one decimal) of dynamic_venues()."""
+    g = audited.groupBy("word", "n").agg(F.count("*").alias("rows"), F.count_if("matched").alias("matched"))
+    total, matched = F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("matched"), F.lit(0))
+    return g.agg(total.alias("total"), matched.alias("matched"), (total - matched).alias("unmatched"), F.count_if(F.col("n").isNotNull()).alias("groups"), F.coalesce(F.round(100.0 * matched / total, 1), F.lit(0.0)).alias("share"))
 
 
 def collapse_days(rows: DataFrame, key: str, day: str, category: str) -> DataFrame:
@@ -89,9 +106,10 @@ def fill_down(rows: DataFrame, partition: str, order: str, value: str) -> DataFr
 
 
 def prefer(feeds: DataFrame, partition: str, rank: Column) -> DataFrame:
-    """Rows of the preferred feed on each key, all of them; others only where it has none."""
-    best = F.min(rank).over(Window.partitionBy(partition))
-    return feeds.withColumn("__best", best).where(F.col("__best") == rank).drop("__best")
+    """Rows of the preferred feed on each key, all of them; others only where it has none. The best rank of a key is
+    aggregated before its shuffle and joined back, so that a key of any size can be split."""
+    best = feeds.select(F.col(partition).alias("p_key"), rank.alias("p_rank")).groupBy("p_key").agg(F.min("p_rank").alias("p_best"))
+    return feeds.join(best, F.col(partition).eqNullSafe(F.col("p_key")) & (rank == F.col("p_best"))).drop("p_key", "p_best")
 
 
 def unique_postcodes(venues: DataFrame) -> DataFrame:
@@ -110,12 +128,27 @@ def canonical_names(venues: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def merge_plan(venues: DataFrame, canonical: DataFrame) -> DataFrame:
     """id, keeper, name, postcode, latitude, longitude: of each canonical name the kept venue (name already right, then
-    coordinates, then postcode, then lowest id) with the first values that its group has, in that order."""
+    coordinates, then postcode, then lowest id) with the first postcode and coordinates that its group has, in that
+    order. Groups are aggregated before their shuffle and joined back, so that a hot name can be split."""
     v = venues.join(canonical, "id")
-    order = [F.desc(F.col("name") == F.col("canonical")), F.desc(F.col("latitude").isNotNull()), F.desc(F.col("postcode").isNotNull()), F.asc("id")]
-    w = Window.partitionBy("canonical").orderBy(*order)
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return v.select("id", F.first("id").over(every).alias("keeper"), F.col("canonical").alias("name"), *[F.first(c, ignorenulls=True).over(every).alias(c) for c in ("postcode", "latitude", "longitude")])
+    order = F.struct(F.col("name") != F.col("canonical"), F.col("latitude").isNull(), F.col("postcode").isNull(), F.col("id"))
+    point = F.min_by(F.struct("latitude", "longitude"), F.when(F.col("latitude").isNotNull(), order))
+    groups = v.groupBy(F.col("canonical").alias("name")).agg(F.min_by("id", order).alias("keeper"), F.min_by("postcode", F.when(F.col("postcode").isNotNull(), order)).alias("postcode"), point.alias("point"))
+    joined = v.select("id", "canonical").join(groups, F.col("canonical") == F.col("name"))
+    return joined.select("id", "keeper", "name", "postcode", F.col("point.latitude").alias("latitude"), F.col("point.longitude").alias("longitude"))
+
+
+def renormalise(venues: DataFrame, aliases: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+    """One job over all venues: plan (what each venue becomes: MERGE, RENAME, FILL or KEEP; nothing is written, so this
+    is the dry run), venues (the keepers with their names, postcodes and coordinates), aliases and events with the
+    keepers' ids, dead aliases gone."""
+    plan = merge_plan(venues, canonical_names(venues, aliases))
+    old = venues.select("id", F.col("name").alias("old_name"), F.col("postcode").alias("old_code"), F.col("latitude").alias("old_lat"))
+    action = F.when(F.col("id") != F.col("keeper"), "MERGE").when(F.col("old_name") != F.col("name"), "RENAME").when(~F.col("postcode").eqNullSafe(F.col("old_code")) | ~F.col("latitude").eqNullSafe(F.col("old_lat")), "FILL").otherwise("KEEP")
+    told = plan.join(old, "id").withColumn("action", action)
+    kept = plan.where("id = keeper").select("id", "name", "postcode", "latitude", "longitude")
+    alive = remap(aliases, plan).join(kept.select(F.col("id").alias("venue_id")), "venue_id", "left_semi")
+    return {"plan": told.select("id", "action", "old_name", "keeper", "name"), "venues": kept, "aliases": alive.select(*aliases.columns), "events": remap(events, plan)}
 
 
 def remap(rows: DataFrame, plan: DataFrame, key: str = "venue_id") -> DataFrame:
@@ -124,18 +157,28 @@ def remap(rows: DataFrame, plan: DataFrame, key: str = "venue_id") -> DataFrame:
     return rows.join(moved, key, "left").withColumn(key, F.coalesce("keeper", key)).drop("keeper").select(*rows.columns)
 
 
+#: Postcode areas outside the postcode table.
+CROWN_AREAS = ["GY", "JE", "IM"]
+
+
 def seed_issues(seeds: DataFrame, postcodes: DataFrame, miles: float = 20.0) -> DataFrame:
-    """issue, name: bad postcode, out of bounds, far from its postcode, coordinates without postcode, ambiguous name
-    without postcode."""
+    """issue, name: bad postcode, out of bounds, postcode not known, far from its postcode, alias like its own name (if
+    there is a column aliases), coordinates without postcode, and ambiguous names that no seed has."""
     ok = F.col("postcode").rlike(r"^[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2}$")
     p = postcodes.groupBy("postcode").agg(F.min("latitude").alias("plat"), F.min("longitude").alias("plng"))
     far = geo.haversine_miles(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plng")) > miles
+    located = F.col("latitude").isNotNull()
+    checked = located & ok & ~area_letters(F.col("postcode")).isin(CROWN_AREAS)
     s = seeds.join(p, "postcode", "left")
+    own = F.array_contains("aliases", F.col("name")) if "aliases" in seeds.columns else F.lit(False)
     issues = F.array_compact(F.array(
-        F.when(F.col("postcode").isNotNull() & ~ok, F.lit("format")), F.when(F.col("latitude").isNotNull() & ~geo.in_box(F.col("latitude"), F.col("longitude"), geo.SEED_BOX), F.lit("bounds")),
-        F.when(far, F.lit("far")), F.when(F.col("latitude").isNotNull() & F.col("postcode").isNull(), F.lit("no postcode")), F.when(F.col("name").isin(rules.AMBIGUOUS) & F.col("postcode").isNull(), F.lit("ambiguous")),
+        F.when(F.col("postcode").isNotNull() & ~ok, F.lit("format")), F.when(located & ~geo.in_box(F.col("latitude"), F.col("longitude"), geo.SEED_BOX), F.lit("bounds")),
+        F.when(checked & F.col("plat").isNull(), F.lit("unknown postcode")), F.when(checked & far, F.lit("far")), F.when(own, F.lit("self alias")),
+        F.when(located & F.col("postcode").isNull(), F.lit("no postcode")),
     ))
-    return s.select(F.explode(issues).alias("issue"), "name")
+    names = seeds.sparkSession.createDataFrame([(x,) for x in rules.AMBIGUOUS], "name string")
+    missing = names.join(seeds.select("name"), "name", "left_anti").select(F.lit("ambiguous missing").alias("issue"), "name")
+    return s.select(F.explode(issues).alias("issue"), "name").union(missing)
 
 
 def sync_actions(wanted: DataFrame, stored: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -148,14 +191,16 @@ def sync_actions(wanted: DataFrame, stored: DataFrame, key: str, columns: list[s
 
 def nearest_postcode(points: DataFrame, postcodes: DataFrame, steps_km: tuple[float, ...] = (2.0, 20.0)) -> DataFrame:
     """id, postcode, km of the nearest postcode within the first step, else within the next: an equi-join on grid
-    cells as high as the step; only points without a hit go on to the next."""
+    cells as high as the step and as many to each side as the latitude asks for; only points without a hit go on to
+    the next. For latitudes up to 85 degrees; places across the 180th meridian don't meet."""
     left, out = points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude"), None
     for km in steps_km:
         miles = km * 0.621371
         size = miles * geo.MARGIN / geo.DEGREE_MILES
         cell = lambda c, s=size: F.floor(F.col(c) / s)
         p = postcodes.select("postcode", F.col("latitude").alias("plat"), F.col("longitude").alias("plng"), cell("latitude").alias("cy"), cell("longitude").alias("cx"))
-        around = left.withColumn("cy", F.explode(F.sequence(cell("latitude") - 1, cell("latitude") + 1))).withColumn("cx", F.explode(F.sequence(cell("longitude") - 2, cell("longitude") + 2)))
+        wide = geo.cells_wide(F.col("latitude"))
+        around = left.withColumn("cy", F.explode(F.sequence(cell("latitude") - 1, cell("latitude") + 1))).withColumn("cx", F.explode(F.sequence(cell("longitude") - wide, cell("longitude") + wide)))
         d = geo.haversine_miles(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plng"))
         hit = around.join(p, ["cy", "cx"]).withColumn("km", d / 0.621371).where(F.col("km") <= km)
         best = hit.groupBy("id").agg(F.min(F.struct("km", "postcode")).alias("b")).select("id", F.col("b.postcode").alias("postcode"), F.col("b.km").alias("km"))
@@ -189,7 +234,7 @@ def gauges(events: DataFrame, venues: DataFrame, sources: DataFrame, scans: Data
     return out
 
 
-RAW = "struct<description:string,classes:array<string>,affiliation:string>"
+RAW = "struct<description:string,classes:array<string>,affiliation:string,venue_postcode:string>"
 
 
 def retag(events: DataFrame, feed_affiliation: bool = True) -> DataFrame:

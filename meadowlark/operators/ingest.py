@@ -78,48 +78,81 @@ def prepare(extracted: DataFrame) -> DataFrame:
     return rows.withColumn("venue_name", text.disambiguate_venue(text.normalise_venue_name(F.coalesce("venue_name", F.lit(""))), F.col("postcode")))
 
 
+def matched(rows: DataFrame, venues: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Prepared rows with venue_id (null: not known yet), matched_name and venue_match_type."""
+    found = resolve_venues(rows, venues, aliases).select(F.col("venue_name").alias("v_name"), F.col("postcode").alias("v_code"), "venue_id", "matched_name", F.col("match_type").alias("venue_match_type"))
+    return rows.join(found, (F.col("venue_name") == F.col("v_name")) & F.col("postcode").eqNullSafe(F.col("v_code")), "left").drop("v_name", "v_code")
+
+
+def with_new_venues(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """Rows of matched() with the ids of the venues that were made for unknown names."""
+    ids = made.select(F.lower("name").alias("m_key"), F.col("id").alias("m_id"))
+    joined = rows.join(ids, F.when(F.col("venue_id").isNull(), F.lower("matched_name")) == F.col("m_key"), "left")
+    return joined.withColumn("venue_id", F.coalesce("venue_id", "m_id")).drop("m_key", "m_id")
+
+
+RAW = "struct<description:string,classes:array<string>,affiliation:string,venue_postcode:string>"
+
+
 def classified(rows: DataFrame) -> DataFrame:
-    """rows with classes as a list, and canonical discipline, event type, spectator and hidden flags."""
+    """rows with canonical discipline, event type, spectator and hidden flags, tags (JSON), and raw_extract, the parts
+    of the extract that later runs make tags and venues of anew. A column affiliation, if there is one, is the
+    feed's own."""
     classes = tags.from_json_list(F.col("classes"))
-    detail = tags.detail_text(F.col("description"), classes)
-    kind = classify.event_type(F.col("name"), F.col("event_type"))
-    return rows.withColumns({
-        "discipline": classify.discipline_of(F.col("name"), F.col("discipline"), detail), "event_type": kind, "spectator": classify.spectator(F.col("name"), kind),
-        "hidden": classify.is_hidden(F.col("name"), F.col("date_start"), F.col("date_end")), "detail": detail,
+    own = F.col("affiliation") if "affiliation" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumns({"detail": tags.detail_text(F.col("description"), classes), "event_type": classify.event_type(F.col("name"), F.col("event_type")), "feed_affiliation": own})
+    rows = rows.withColumns({
+        "discipline": classify.discipline_of(F.col("name"), F.col("discipline"), F.col("detail")), "spectator": classify.spectator(F.col("name"), F.col("event_type")),
+        "hidden": classify.is_hidden(F.col("name"), F.col("date_start"), F.col("date_end")),
+        "raw_extract": F.to_json(F.struct("description", classes.alias("classes"), F.col("feed_affiliation").alias("affiliation"), F.col("venue_postcode"))),
     })
+    every = tags.extract_tags(F.col("name"), F.col("detail"), F.col("discipline"), F.col("event_type"), F.col("feed_affiliation"), classes, F.col("venue_name"))
+    return rows.withColumn("tags", F.to_json(every))
 
 
 KEY = ["name", "date_start", "venue_id"]
-REFRESHED = ["discipline", "event_type", "spectator", "hidden", "description", "classes"]
+REFRESHED = ["discipline", "event_type", "spectator", "hidden", "description", "classes", "tags", "raw_extract", "venue_match_type"]
 
 
-def upsert(table: DataFrame, batch: DataFrame, seen_at: Column) -> DataFrame:
+def upsert(table: DataFrame, batch: DataFrame, seen_at: Column, largest: int | None = None) -> DataFrame:
     """The event table after a batch (columns of the table, batch with source_id and batch_seq).
 
-    A row's target is the stored row with its name, date and venue, of the same source if there is one, else the one
-    with the lowest id; rows without a target make one new row per key. Refreshed columns get the last row's values,
-    date_end the first value that isn't null unless one is stored, url the last that isn't null; name, date, source
-    and first_seen_at stay. The batch is aggregated before it meets the table; both sides are shuffled once, by key.
+    A row's target is the stored row with its name, date and venue (null is a venue of its own), of the same source if
+    there is one, else the one with the lowest id; rows without a target make one new row per key. Refreshed columns
+    get the last row's values, date_end the first value that isn't null unless one is stored, url the last that isn't
+    null; name, date, source and first_seen_at stay. largest: the largest id in use, if the table is only a part.
+
+    The batch is aggregated by key and source before its first shuffle, so that a key of any size is one row per
+    source by then. These rows meet the stored keys in one join by key; what follows is grouped by key too and needs
+    no shuffle of its own but that of the ids, by which the changes meet the table.
     """
-    stored = table.select(*KEY, F.col("id").alias("t_id"), F.col("source_id").alias("t_source"))
-    matched = batch.alias("b").join(stored.alias("s"), [F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}")) for k in KEY], "left")
-    best = F.min(F.when(F.col("s.t_id").isNotNull(), F.struct((F.col("s.t_source") != F.col("b.source_id")).alias("other"), F.col("s.t_id").alias("id"))))
-    plain = [F.col(f"b.{c}") for c in batch.columns]
-    targeted = matched.groupBy(*plain).agg(best.alias("best")).withColumn("t_id", F.col("best.id")).drop("best")
-    order = F.struct("source_id", "batch_seq")
-    target = F.coalesce(F.col("t_id").cast("string"), F.concat_ws("\x01", F.lit("new"), *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in KEY]))
-    ended, linked = F.when(F.col("date_end").isNotNull(), order), F.when(F.col("url").isNotNull(), order)
-    news = targeted.groupBy(target.alias("target"), "t_id").agg(
-        *[F.min_by(c, order).alias(c) for c in [*KEY, "source_id"]], F.min("batch_seq").alias("batch_seq"),
-        *[F.max_by(c, order).alias(c) for c in REFRESHED], F.min_by("date_end", ended).alias("date_end"), F.max_by("url", linked).alias("url"),
-    ).checkpoint()
-    changed = news.where("t_id IS NOT NULL").select(F.col("t_id").alias("id"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in [*REFRESHED, "date_end", "url"]])
+    refreshed = [c for c in REFRESHED if c in table.columns]
+    keys, order = [f"k_{c}" for c in KEY], F.struct("source_id", "batch_seq")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"k_name": F.coalesce("name", F.lit("\x00")), "k_date_start": F.col("date_start"), "k_venue_id": F.coalesce("venue_id", F.lit(-1))})
+
+    def folded(df: DataFrame, by: list[str], kept: list) -> DataFrame:
+        ended, linked = F.when(F.col("date_end").isNotNull(), order), F.when(F.col("url").isNotNull(), order)
+        return df.groupBy(*by).agg(
+            *kept, *[F.min_by(c, order).alias(c) for c in KEY], *[F.max_by(c, order).alias(c) for c in refreshed],
+            F.min_by("date_end", ended).alias("date_end"), F.max_by("url", linked).alias("url"),
+        )
+
+    per_source = folded(keyed(batch), [*keys, "source_id"], [F.min("batch_seq").alias("first_seq"), F.max("batch_seq").alias("batch_seq")])
+    stored = keyed(table).select(*keys, F.col("id").alias("t_id"), F.col("source_id").alias("t_source"))
+    choice = F.min(F.when(F.col("t_id").isNotNull(), F.struct((F.col("t_source") != F.col("source_id")).alias("other"), F.col("t_id").alias("id"))))
+    met = per_source.join(stored, keys, "left")
+    targets = met.groupBy(*keys, "source_id").agg(choice["id"].alias("t_id"), *[F.first(c).alias(c) for c in [*KEY, "first_seq", "batch_seq", *refreshed, "date_end", "url"]])
+    news = folded(targets, [*keys, "t_id"], [F.min("source_id").alias("first_source"), F.min("first_seq").alias("first_seq")]).checkpoint()
+    changed = news.where("t_id IS NOT NULL").select(F.col("t_id").alias("id"), F.lit(True).alias("hit"), *[F.col(c).alias(f"new_{c}") for c in [*refreshed, "date_end", "url"]])
     merged = table.join(changed, "id", "left")
-    values = {c: F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)) for c in REFRESHED}
-    values |= {"date_end": F.coalesce("date_end", "__date_end"), "url": F.coalesce("__url", "url"), "last_seen_at": F.when(F.col("__hit"), seen_at).otherwise(F.col("last_seen_at"))}
+    values = {c: F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in refreshed}
+    values |= {"date_end": F.coalesce("date_end", "new_date_end"), "url": F.coalesce("new_url", "url"), "last_seen_at": F.when(F.col("hit"), seen_at).otherwise(F.col("last_seen_at"))}
     kept = merged.select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
-    largest = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = numbered(news.where("t_id IS NULL").drop("t_id", "target"), ["source_id", "batch_seq"], largest)
+    if largest is None:
+        largest = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = numbered(news.where("t_id IS NULL").withColumn("source_id", F.col("first_source")), ["source_id", "first_seq", *keys], largest)
     fresh = fresh.withColumns({"id": F.col("number"), "first_seen_at": seen_at, "last_seen_at": seen_at})
     return kept.unionByName(fresh.select(*table.columns))
 
@@ -127,6 +160,17 @@ def upsert(table: DataFrame, batch: DataFrame, seen_at: Column) -> DataFrame:
 EVENT_COLUMNS = ["id", "source_id", *KEY, "date_end", *REFRESHED, "url", "first_seen_at", "last_seen_at"]
 
 
+def run_counters(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """source_id, competitions, others, exact, alias, postcode, new, inserted: a run's rows by type and by how their
+    venue was found, and how many keys (name and date) the stored events don't have yet."""
+    kind = F.coalesce("event_type", F.lit("competition"))
+    by_match = [F.count_if(F.col("venue_match_type") == m).alias(m) for m in ("exact", "alias", "postcode", "new")]
+    counted = rows.groupBy("source_id").agg(F.count_if(kind == "competition").alias("competitions"), F.count_if(kind != "competition").alias("others"), *by_match)
+    unseen = rows.select("source_id", "name", "date_start").distinct().join(stored.select("name", "date_start").distinct(), ["name", "date_start"], "left_anti")
+    inserted = unseen.groupBy("source_id").agg(F.count("*").alias("inserted"))
+    return counted.join(inserted, "source_id", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0)))
+
+
 def resolve_coordinates(venues: DataFrame, parsed: DataFrame, postcodes: DataFrame) -> DataFrame:
     """venues with coordinates and postcode in order: own, the own postcode's, those that parsers gave (venue_id, lat,
     lng), the rows' postcode's (venue_id, row_postcode). Names with a bracketed outward code take only a postcode's;

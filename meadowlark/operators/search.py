@@ -91,6 +91,11 @@ def with_venue(events: DataFrame, venues: DataFrame) -> DataFrame:
     return events.join(v, "venue_id", "left")
 
 
+def without_online(miles: float | None, include_online: bool = False) -> Column:
+    """Asked within a radius, events of the venue Online go, and those without a venue, unless they are wanted too."""
+    return F.lit(True) if miles is None or include_online else F.coalesce(F.col("venue_name") != "Online", F.lit(False))
+
+
 def public_record(events: DataFrame, venues: DataFrame) -> DataFrame:
     joined = with_venue(events, venues)
     return joined.select(
@@ -130,14 +135,15 @@ def near_each(people: DataFrame, places: DataFrame, miles: float) -> DataFrame:
     """id, place_id, distance for all places within the radius of each person, by an equi-join on grid cells.
 
     Cells are as high as the radius; a person is sent to the cells around, wide enough for the latitude, and the exact
-    distance decides. A person and place meet in one cell only, so no pair is made twice.
+    distance decides. A person and place meet in one cell only, so no pair is made twice. For latitudes up to 85
+    degrees; places across the 180th meridian don't meet.
     """
     high = miles * geo.MARGIN / geo.DEGREE_MILES
 
     def cell(x: Column) -> Column:
         return F.floor(x / high)
 
-    wide = F.ceil(1 / F.greatest(F.cos(F.radians("latitude")), F.lit(0.05))).cast("int")
+    wide = geo.cells_wide(F.col("latitude"))
     p = places.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.col("id").alias("place_id"), F.col("latitude").alias("plat"), F.col("longitude").alias("plng"), cell(F.col("latitude")).alias("cy"), cell(F.col("longitude")).alias("cx"))
     spread = people.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude", wide.alias("w"))
     spread = spread.withColumn("cy", F.explode(F.sequence(cell(F.col("latitude")) - 1, cell(F.col("latitude")) + 1)))

@@ -79,24 +79,35 @@ def _(t):
     return t.extracted.select("batch_seq", text.disambiguate_venue(name, C("venue_postcode")).alias("venue"))
 
 
+AT = r"CASE WHEN length(trim(regexp_extract(name, '(?i)\bat\s+(.+?)$', 1))) > 2 AND NOT regexp_matches(trim(regexp_extract(name, '(?i)\bat\s+(.+?)$', 1)), '^[0-9]') THEN trim(regexp_extract(name, '(?i)\bat\s+(.+?)$', 1)) END"
+SIGN = r"nullif(trim(regexp_extract(name, '@\s*(.+)$', 1)), '')"
+
+
 @query(
     "N6_venue_in_title",
-    r"SELECT id, CASE WHEN length(trim(regexp_extract(name, '(?i)\bat\s+(.+?)$', 1))) > 2 AND NOT regexp_matches(trim(regexp_extract(name, '(?i)\bat\s+(.+?)$', 1)), '^[0-9]') THEN trim(regexp_extract(name, '(?i)\bat\s+(.+?)$', 1)) END AS at_venue, nullif(trim(regexp_extract(name, '@\s*(.+)$', 1)), '') AS sign_venue, coalesce(nullif(trim(regexp_extract(name, ' - (.+)$', 1)), ''), 'Tbc') AS dash_venue FROM event",
+    f"""SELECT id, {AT} AS at_venue, {SIGN} AS sign_venue, coalesce({AT}, {SIGN}, CASE WHEN id % 2 = 0 THEN 'Club' || id END, 'TBC') AS held_by,
+    CASE id % 5 WHEN 0 THEN 'Arena ' || id WHEN 1 THEN 'Arena ' || id WHEN 2 THEN 'Arena' WHEN 3 THEN 'Arena' ELSE 'Tbc' END AS titled FROM event""",
 )
 def _(t):
-    return t.event.select("id", text.venue_at(C("name")).alias("at_venue"), text.venue_after_sign(C("name")).alias("sign_venue"), text.venue_of_title(C("name")).alias("dash_venue"))
+    k, n = C("id") % 5, C("id").cast("string")
+    made = F.when(k == 0, F.concat(F.lit("Arena "), n, F.lit(" - Show (open)"))).when(k == 1, F.concat(F.lit("Arena "), n, F.lit(" | Show"))).when(k == 2, "Arena British Dressage 2026").when(k == 3, "Arena Sat 4").otherwise("Mini")
+    return t.event.select("id", text.venue_at(C("name")).alias("at_venue"), text.venue_after_sign(C("name")).alias("sign_venue"), text.venue_or_organiser(C("name"), F.when(C("id") % 2 == 0, F.concat(F.lit("Club"), n))).alias("held_by"), text.venue_of_title(made).alias("titled"))
 
 
-@query("N7_split_place", rf"WITH p AS (SELECT id, name || ', Long Lane, ' || coalesce(postcode, '') AS place FROM venue) SELECT id, regexp_replace(split_part(regexp_replace(regexp_replace(place, '\b{PC} [0-9][A-Z]{{2}}$', ''), '[ ,.-]+$', ''), ',', 1), '[ ,.-]+$', '') AS venue, nullif(regexp_extract(place, '\b{PC} [0-9][A-Z]{{2}}$'), '') AS postcode FROM p")
+@query("N7_split_place", rf"WITH p AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'Book now' WHEN id % 5 = 1 THEN id || ' Mill Lane' ELSE name || ', Long Lane, ' || coalesce(postcode, '') END AS place FROM venue) SELECT id, CASE WHEN id % 5 < 2 THEN 'TBC' ELSE regexp_replace(split_part(regexp_replace(regexp_replace(place, '\b{PC} [0-9][A-Z]{{2}}$', ''), '[ ,.-]+$', ''), ',', 1), '[ ,.-]+$', '') END AS venue, nullif(regexp_extract(place, '\b{PC} [0-9][A-Z]{{2}}$'), '') AS postcode FROM p")
 def _(t):
-    venue, code = text.split_place(F.concat(C("name"), F.lit(", Long Lane, "), F.coalesce("postcode", F.lit(""))))
+    k = C("id") % 5
+    place = F.when(k == 0, "Book now").when(k == 1, F.concat(C("id").cast("string"), F.lit(" Mill Lane"))).otherwise(F.concat(C("name"), F.lit(", Long Lane, "), F.coalesce("postcode", F.lit(""))))
+    venue, code = text.split_place(place)
     return t.venue.select("id", venue.alias("venue"), code.alias("postcode"))
 
 
-@query("N8_event_stem", "SELECT id, CASE id % 3 WHEN 0 THEN 'Aston-le-Walls' WHEN 1 THEN 'Hickstead' ELSE name END AS venue FROM venue")
+@query("N8_event_stem", "SELECT id, CASE id % 4 WHEN 0 THEN 'Aston-le-Walls' WHEN 1 THEN 'Hickstead' WHEN 2 THEN name ELSE 'Nowhere ' || upper(substr(split_part(name, ' ', 1), 1, 1)) || lower(substr(split_part(name, ' ', 1), 2)) END AS venue FROM (SELECT id, replace(name, '-', ' ') AS name FROM venue)")
 def _(t):
-    stem = F.when(C("id") % 3 == 0, F.concat(F.lit("Aston International (2)"))).when(C("id") % 3 == 1, F.lit("HICKSTEAD Spring Horse Trials sponsored by Acme")).otherwise(F.lit("Nowhere"))
-    return t.venue.select("id", text.venue_stem(stem, {"Aston": "Aston-le-Walls", "Hickstead": "Hickstead"}, C("name")).alias("venue"))
+    v = t.venue.withColumn("name", F.replace("name", F.lit("-"), F.lit(" ")))
+    k = C("id") % 4
+    made = F.when(k == 0, "Aston International (2)").when(k == 1, "HICKSTEAD Horse Trials sponsored by Acme").when(k == 2, "Grassroots Championship").otherwise(F.concat(F.lit("NOWHERE "), F.split_part("name", F.lit(" "), F.lit(1)), F.lit(" International 2026")))
+    return v.select("id", text.venue_stem(made, {"Aston": "Aston-le-Walls", "Hickstead": "Hickstead"}, C("name")).alias("venue"))
 
 
 @query("N9_names_built", "SELECT e.id, CASE WHEN contains(lower(e.name), lower(split_part(v.name, ' ', 1))) THEN trim(e.name) ELSE v.name || ' — ' || trim(e.name) END AS prefixed, 'BS Senior' || coalesce(' ' || e.discipline, '') || ' - ' || v.name AS built FROM event e JOIN venue v ON v.id = e.venue_id")
@@ -107,10 +118,13 @@ def _(t):
     return j.select("id", text.prefix_venue(C("name"), C("venue_name")).alias("prefixed"), text.event_title(F.lit("BS Senior"), C("discipline"), C("venue_name")).alias("built"))
 
 
-@query("N10_slug_title", f"SELECT id, CASE WHEN contains(trim(lower(name)), ' ') THEN substr({title('trim(lower(name))')}, 1, 100) END AS title FROM (SELECT id, regexp_replace(name, '( [0-9]+)$', '') AS name FROM event WHERE regexp_full_match(name, '[A-Za-z ]+[0-9]*'))")
+SLUG = "trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), '( [0-9]+)+ *$', ''))"
+
+
+@query("N10_slug_title", f"SELECT id, CASE WHEN contains(x, ' ') THEN substr({title('x')}, 1, 100) END AS title FROM (SELECT id, {SLUG} AS x FROM event)")
 def _(t):
-    e = t.event.where(C("name").rlike("^[A-Za-z ]+[0-9]*$"))
-    return e.select("id", text.title_of_slug(F.concat(F.lit("events/"), F.replace(F.lower("name"), F.lit(" "), F.lit("-")), F.lit("-20260304"))).alias("title"))
+    slug = F.rtrim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), F.lit("-"))
+    return t.event.select("id", text.title_of_slug(F.concat(F.lit("events/"), slug, F.lit("-20260304"))).alias("title"))
 
 
 @query("N11_postcode_parts", f"SELECT id, nullif(regexp_extract(postcode, '^{PC}'), '') AS outward, nullif(regexp_extract(postcode, '^([A-Z]{{1,2}})[0-9]', 1), '') AS area, replace(postcode, ' ', '') AS compact FROM venue")
@@ -137,14 +151,17 @@ def _(t):
     return days(t).select("k", dates.parse_date(raw).alias("parsed"))
 
 
-@query("D2_range_text", f"SELECT k, d AS start, CASE WHEN k % 3 = 2 THEN NULL ELSE d + 1 + CAST(k % 20 AS INT) END AS finish FROM ({DAYS}) WHERE k % 3 <> 1 OR month(d) = month(d + 1 + CAST(k % 20 AS INT))")
+@query("D2_range_text", f"SELECT k, d AS start, CASE WHEN k % 4 = 2 THEN NULL ELSE d + 1 + CAST(k % 20 AS INT) + CASE WHEN k % 4 = 3 THEN 4 ELSE 0 END END AS finish FROM ({DAYS})")
 def _(t):
-    end = F.date_add("d", (C("k") % 20).cast("int") + 1)
-    day, kind = F.date_format("d", "d"), C("k") % 3
+    """Two days of one month or two; one day; two ranges, of which the first day and the last count."""
+    end, kind, day = F.date_add("d", (C("k") % 20).cast("int") + 1), C("k") % 4, F.date_format("d", "d")
+    own_month = F.when(F.date_trunc("month", "d") == F.date_trunc("month", end), "").otherwise(F.concat(F.lit(" "), F.date_format("d", "MMM")))
     cross = F.concat(day, F.lit("th "), F.date_format("d", "MMM"), F.lit(" – "), F.date_format(end, "d MMMM yyyy"))
-    raw = F.when(kind == 0, cross).when(kind == 1, F.concat(day, F.lit(" & "), F.date_format(end, "d MMM yyyy"))).otherwise(F.date_format("d", "d MMM yyyy"))
+    double = F.concat(cross, F.lit(" & "), F.date_format(F.date_add(end, 2), "d MMM"), F.lit(" - "), F.date_format(F.date_add(end, 4), "d MMM yyyy"))
+    both = F.concat(day, own_month, F.lit(" & "), F.date_format(end, "d MMM yyyy"))
+    raw = F.when(kind == 0, cross).when(kind == 1, both).when(kind == 2, F.date_format("d", "d MMM yyyy")).otherwise(double)
     start, finish = dates.date_range(raw)
-    return days(t).where((kind != 1) | (F.month("d") == F.month(end))).select("k", start.alias("start"), finish.alias("finish"))
+    return days(t).select("k", start.alias("start"), finish.alias("finish"))
 
 
 @query("D3_mentioned", f"SELECT k, d AS start, CASE WHEN k % 5 = 0 THEN NULL ELSE d + CAST(k % 5 AS INT) END AS finish FROM ({DAYS})")
@@ -160,11 +177,12 @@ def _(t):
     return days(t).select("k", dates.roll_forward(m, day, t.today()).alias("rolled"), dates.academic_date(m, day, F.lit(1997)).alias("academic"))
 
 
-@query("D5_date_in_url", f"SELECT k, CASE WHEN k % 4 = 3 THEN NULL ELSE d END AS found FROM ({DAYS})")
+@query("D5_date_in_url", f"SELECT k, CASE k % 5 WHEN 3 THEN NULL WHEN 4 THEN make_date(CASE WHEN make_date(1998, month(d), least(day(d), 28)) < {T} THEN 1999 ELSE 1998 END, month(d), least(day(d), 28)) ELSE d END AS found FROM ({DAYS})")
 def _(t):
-    k = C("k") % 4
-    url = F.when(k == 0, F.concat(F.lit("https://e.example/show-"), F.date_format("d", "yyyyMMdd"))).when(k == 1, F.concat(F.lit("/on/"), F.date_format("d", "yyyy/MM/dd"))).when(k == 2, F.concat(F.lit("/e/"), F.date_format("d", "dd-MM-yyyy"), F.lit("/x"))).otherwise("/none")
-    return days(t).select("k", dates.date_in_url(url).alias("found"))
+    k, low = C("k") % 5, F.make_date(F.lit(1998), F.month("d"), F.least(F.dayofmonth("d"), F.lit(28)))
+    slug = F.concat(F.lit("/e/show-"), F.dayofmonth(low).cast("string"), F.lit("th-"), F.lower(F.date_format("d", "MMMM")), F.lit("-final"))
+    url = F.when(k == 0, F.concat(F.lit("https://e.example/show-"), F.date_format("d", "yyyyMMdd"))).when(k == 1, F.concat(F.lit("/on/"), F.date_format("d", "yyyy/MM/dd"))).when(k == 2, F.concat(F.lit("/e/"), F.date_format("d", "dd-MM-yyyy"), F.lit("/x"))).when(k == 4, slug).otherwise("/none")
+    return days(t).select("k", dates.date_in_url(url, t.today()).alias("found"))
 
 
 @query("D6_day_list", f"SELECT k, make_date(year(d), month(d), 1 + k % 20) AS start, make_date(year(d), month(d), 3 + k % 20) AS finish FROM ({DAYS})")
@@ -224,17 +242,22 @@ def _(t):
     return t.event.select("id", classify.first_discipline(C("name")).alias("discipline"), classify.should_skip(given, C("name")).alias("skip"))
 
 
+TIDY = r"regexp_replace(regexp_replace(lower(name), '\s+', ' ', 'g'), ' ?([*/]) ?', '\1', 'g')"
 MARQUEE = "county show|country fair|country festival|village show|ploughing match|hedgelaying|agricultural|national championship|world championship|european championship|world cup|nations cup|international horse show"
 
 
-@query("T4_spectator", rf"SELECT id, coalesce(CASE WHEN id % 13 = 0 THEN spectator END, coalesce(event_type = 'show', false) OR regexp_matches(name, '(?i)\b(CSIO?|CDIO?|CCIO?|CHIO?)\b') OR regexp_matches(name, '[0-9]\s*[*]') OR regexp_matches(name, '(?i)\b({MARQUEE})\b')) AS watch FROM event")
+@query("T4_spectator", rf"SELECT id, coalesce(CASE WHEN id % 13 = 0 THEN spectator END, coalesce(event_type = 'show', false) OR regexp_matches(n, '\b(csi|csio|cdi|cdio|cci|ccio|chi|chio|{MARQUEE})\b') OR regexp_matches(n, '[0-9][*]')) AS watch FROM (SELECT *, {TIDY} AS n FROM event)")
 def _(t):
     return t.event.select("id", classify.spectator(C("name"), C("event_type"), F.when(C("id") % 13 == 0, C("spectator"))).alias("watch"))
 
 
+OPEN_TO = r"regexp_matches(n, '\b(yh|youth|children|u21|u25|j/p)\b') OR regexp_matches(n, '\b(young ?horse|jonge ?paard|junior|pony|amateur|talent)') OR regexp_matches(n, '(^|[^0-9])[12][*]')"
+ELITE = r"regexp_matches(n, '\b(csio|chio|cdio|ccio)\b') OR regexp_matches(n, '(^|[^0-9])[3-5][*]') OR regexp_matches(n, 'nations? cup|world cup|championship|global champions|grand champions')"
+
+
 @query(
     "T5_continental",
-    rf"SELECT id, CASE WHEN {TYPE} = 'training' THEN 'training' WHEN regexp_matches(name, '(?i)\b1\s*[*]|\b2\s*[*]|\bYH\b|young\s*horse|jonge\s*paard|\byouth\b|\bjunior|\bpony|\bchildren\b|\bU2[15]\b|amateur|talent|\bJ\s*/\s*P') THEN 'competition' WHEN regexp_matches(name, '(?i)\b(CSIO|CHIO|CDIO|CCIO)\b|[3-5]\s*[*]|nations?\s*cup|world\s*cup|european\s*championship|global\s*champions|grand\s*champions|championship') THEN 'show' ELSE 'competition' END AS kind, CASE WHEN contains(upper(name), 'CDI') OR contains(upper(name), 'DRESSAGE') THEN 'Dressage' WHEN contains(upper(name), 'CCI') OR contains(upper(name), 'EVENTING') THEN 'Eventing' ELSE 'Show Jumping' END AS discipline FROM event",
+    f"SELECT id, CASE WHEN {TYPE} = 'training' THEN 'training' WHEN {OPEN_TO} THEN 'competition' WHEN {ELITE} THEN 'show' ELSE 'competition' END AS kind, CASE WHEN contains(upper(name), 'CDI') OR contains(upper(name), 'DRESSAGE') THEN 'Dressage' WHEN contains(upper(name), 'CCI') OR contains(upper(name), 'EVENTING') THEN 'Eventing' ELSE 'Show Jumping' END AS discipline FROM (SELECT *, {TIDY} AS n FROM event)",
 )
 def _(t):
     return t.event.select("id", classify.continental_type(C("name")).alias("kind"), classify.continental_discipline(C("name")).alias("discipline"))
@@ -261,6 +284,11 @@ def joined(*lists: str) -> str:
     return "array_to_string(list_filter(" + " || ".join(lists) + ", lambda z: z IS NOT NULL), ';')"
 
 
+def worded(t):
+    """Events with their normalised text, computed once for all tags."""
+    return t.event.withColumn("x", classify.normalised(C("name"), C("description")))
+
+
 NORMALISED = f"(SELECT id, name, classes, {NORM} AS x FROM event)"
 
 
@@ -274,9 +302,8 @@ NORMALISED = f"(SELECT id, name, classes, {NORM} AS x FROM event)"
     + f" AS special FROM {NORMALISED}",
 )
 def _(t):
-    x = classify.normalised(C("name"), C("description"))
-    none = F.lit(None).cast("string")
-    return t.event.select(
+    x, none = C("x"), F.lit(None).cast("string")
+    return worded(t).select(
         "id", tags.level_tag(x).alias("level"), F.array_join(tags.affiliation_tags(x, none), ";").alias("affiliation"), F.array_join(tags.format_tags(x), ";").alias("format"),
         tags.scope_tag(x).alias("scope"), F.array_join(tags.age_tags(x), ";").alias("age"), F.array_join(tags.special_tags(x), ";").alias("special"),
     )
@@ -287,7 +314,7 @@ SERIES = "[" + ", ".join(f"CASE WHEN {sql_has('x', w)}" + (f" AND {sql_has('x',
 
 @query("T9_series", f"SELECT id, {joined(SERIES)} AS series FROM {NORMALISED}")
 def _(t):
-    return t.event.select("id", F.array_join(tags.series_tags(classify.normalised(C("name"), C("description"))), ";").alias("series"))
+    return worded(t).select("id", F.array_join(tags.series_tags(C("x")), ";").alias("series"))
 
 
 def class_sql(c: str) -> str:
@@ -304,13 +331,13 @@ def _(t):
     return t.event.select("id", F.array_join(tags.class_tags(tags.from_json_list(C("classes"))), ";").alias("found"))
 
 
-TIER = rf"CASE WHEN regexp_matches(x, '\b(csio?|cdio?|ccio?|chio?)\b|[3-5]\s*[*]|world cup|nations cup|global champions') THEN 'tier:elite' WHEN {sql_has('x', rules.COUNTY_SHOW)} THEN 'tier:county-show' WHEN {sql_has('x', rules.NATIONAL_SHOW)} THEN 'tier:national' WHEN {' OR '.join(sql_has('x', w) for w in rules.AFFILIATIONS.values())} THEN 'tier:affiliated' WHEN {sql_has('x', rules.UNAFFILIATED)} THEN 'tier:unaffiliated' END"
+TIER = rf"CASE WHEN regexp_matches(x, '\b(csi|csio|cdi|cdio|cci|ccio|chi|chio)\b') OR regexp_matches(x, '[3-5]\s*[*]') OR contains(x, 'world cup') OR contains(x, 'nations cup') OR contains(x, 'global champions') THEN 'tier:elite' WHEN {sql_has('x', rules.COUNTY_SHOW)} THEN 'tier:county-show' WHEN {sql_has('x', rules.NATIONAL_SHOW)} THEN 'tier:national' WHEN {' OR '.join(sql_has('x', w) for w in rules.AFFILIATIONS.values())} THEN 'tier:affiliated' WHEN {sql_has('x', rules.UNAFFILIATED)} THEN 'tier:unaffiliated' END"
 
 
 @query("T11_category_tier", f"SELECT id, {joined('[' + ', '.join(f'CASE WHEN ' + ' OR '.join(f'contains(x, {chr(39)}{w}{chr(39)})' for w in ws) + f' THEN {chr(39)}category:{v}{chr(39)} END' for v, ws in rules.CATEGORIES.items()) + ']')} AS category, {TIER} AS tier FROM {NORMALISED}")
 def _(t):
-    x = classify.normalised(C("name"), C("description"))
-    return t.event.select("id", F.array_join(tags.category_tags(x), ";").alias("category"), tags.tier_tag(x, tags.affiliation_tags(x, F.lit(None).cast("string"))).alias("tier"))
+    x = C("x")
+    return worded(t).select("id", F.array_join(tags.category_tags(x), ";").alias("category"), tags.tier_tag(x, tags.affiliation_tags(x, F.lit(None).cast("string"))).alias("tier"))
 
 
 ALL = f"(SELECT id, x || coalesce(' | ' || nullif(lower(array_to_string({CLASSES}, ' | ')), ''), '') AS y FROM {NORMALISED})"
@@ -319,8 +346,8 @@ FINAL = f"NOT ({' OR '.join(f'contains(y, {chr(39)}{w}{chr(39)})' for w in rules
 
 @query("T12_championship_final", f"SELECT id, {FINAL} AS is_final FROM {ALL}")
 def _(t):
-    x = classify.normalised(C("name"), C("description"))
-    return t.event.select("id", tags.final_tag(x, tags.from_json_list(C("classes"))).isNotNull().alias("is_final"))
+    x = C("x")
+    return worded(t).select("id", tags.final_tag(x, tags.from_json_list(C("classes"))).isNotNull().alias("is_final"))
 
 
 @query("T13_all_tags")
@@ -388,8 +415,7 @@ def _(t):
 
 @query("G6_class_list", r"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(name, '^Classes:', ''), '[,+|]|\band\b'), lambda x: trim(regexp_replace(trim(x), '\s+[0-9]+$', ''))), lambda x: x <> ''), ';') AS found FROM event")
 def _(t):
-    parts = F.transform(F.split(F.regexp_replace("name", "^Classes:", ""), r"[,+|]|\band\b"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"\s+[0-9]+$", "")))
-    return t.event.select("id", F.array_join(F.filter(parts, lambda x: x != ""), ";").alias("found"))
+    return t.event.select("id", F.array_join(tags.class_list(C("name")), ";").alias("found"))
 
 
 @query("G7_escapes", r"SELECT id, replace(replace(replace(replace(name, '\', '\\'), ';', '\;'), ',', '\,'), chr(10), '\n') AS ical, trim(regexp_replace(name || '  x' || chr(9) || ' & y', '\s+', ' ', 'g')) AS plain FROM event")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import classify, dates, geo, rules, text
 from ..functions.tags import from_json_list
 from ..operators import search as S
+from ..sources import feeds
+from ..operators.ingest import numbered
 from .demo import TODAY
 from .registry import query
 
@@ -94,9 +96,12 @@ def _(t):
     return t.event.join(s, "source_id").select("id", "source_name")
 
 
-@query("P12_without_online", f"SELECT id FROM ({JOINED}) WHERE venue_name <> 'Online'")
+@query("P12_without_online", f"SELECT 'radius' AS asked, id FROM ({JOINED}) WHERE venue_name <> 'Online' UNION ALL SELECT 'radius with online', id FROM ({JOINED}) UNION ALL SELECT 'everywhere', id FROM ({JOINED})")
 def _(t):
-    return S.with_venue(t.event, t.venue).where(F.col("venue_name") != "Online").select("id")
+    j = S.with_venue(t.event, t.venue)
+    asked = (("radius", 25.0, False), ("radius with online", 25.0, True), ("everywhere", None, False))
+    a, b, c = (j.where(S.without_online(miles, include)).select(F.lit(name).alias("asked"), "id") for name, miles, include in asked)
+    return a.union(b).union(c)
 
 
 @query("P13_viewport", "SELECT id, latitude, longitude FROM venue WHERE latitude BETWEEN 51 AND 53.5 AND longitude BETWEEN -3 AND 0")
@@ -137,17 +142,20 @@ def _(t):
     return t.extracted.where(locatable(F.col("venue_name"), F.col("venue_postcode"))).select("batch_seq", "venue_name", "venue_postcode")
 
 
-@query(
-    "P18_hidden_flag",
-    r"SELECT id, coalesce(date_end - date_start > 120, false) OR regexp_matches(name, '(?i)\bpayt\b|\bbalance\s+due\b|\bdeposits\b|([-(/:]\s*|\b(camp|booking)\s+)deposit\b|\b(final|first|second|third|fourth|fifth|sixth|[0-9]{1,2}(st|nd|rd|th)?)\s+(payments?|install?ments?)\b') AS hide FROM event",
-)
+PAID = r"""regexp_matches(n, '\b(payt|balance due|deposits|camp deposit|booking deposit)\b') OR regexp_matches(n, '[-–(/:] *deposit\b')
+ OR regexp_matches(n, '\b(final|first|second|third|fourth|fifth|sixth|[0-9]{1,2}(st|nd|rd|th)?) (payment|payments|instalment|instalments|installment|installments)\b')"""
+
+
+@query("P18_hidden_flag", rf"SELECT id, coalesce(date_end - date_start > 120, false) OR {PAID} AS hide FROM (SELECT *, regexp_replace(lower(name), '\s+', ' ', 'g') AS n FROM event)")
 def _(t):
     return t.event.select("id", classify.is_hidden(F.col("name"), F.col("date_start"), F.col("date_end")).alias("hide"))
 
 
-@query("P19_irrelevant_rows", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R' AND NOT (l_linestatus = 'O' AND l_linenumber = 1)")
+@query("P19_irrelevant_rows", "SELECT id FROM event WHERE NOT (id % 3 = 0 AND id % 9 <> 0) AND NOT coalesce(event_type = 'training', false) AND id % 4 <> 1")
 def _(t):
-    return t.lineitem.where((F.col("l_returnflag") != "R") & ~((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 1))).select("l_orderkey", "l_linenumber")
+    status = F.when(F.col("id") % 9 == 0, "open").when(F.col("id") % 3 == 0, F.when(F.col("id") % 2 == 0, " X ").otherwise("Cancelled"))
+    country = F.when(F.col("id") % 4 == 1, "FRA").when(F.col("id") % 4 == 2, "GBR")
+    return feeds.relevant(t.event.withColumns({"status": status, "country": country})).select("id")
 
 
 @query("P20_still_running", f"SELECT batch_seq FROM extracted WHERE coalesce(TRY_CAST(coalesce(date_end, date_start) AS DATE) >= {T}, true)")
@@ -158,25 +166,27 @@ def _(t):
 ORDER = f"greatest(date_start, {T}), coalesce(date_end, date_start), id"
 
 
-@query("O1_effective_date_order", f"SELECT id, row_number() OVER (ORDER BY {ORDER}) AS place FROM event WHERE date_start >= {T} OR date_end >= {T} ORDER BY {ORDER} LIMIT 200")
+@query("O1_effective_date_order", f"SELECT id, row_number() OVER (ORDER BY {ORDER}) AS place FROM event WHERE date_start >= {T} OR date_end >= {T}")
 def _(t):
-    from pyspark.sql import Window
-
-    top = t.event.where(S.in_window(t.today())).orderBy(*S.by_effective_date(t.today())).limit(200)
-    return top.select("id", F.row_number().over(Window.orderBy(*S.by_effective_date(t.today()))).cast("long").alias("place"))
+    day, end, _ = S.by_effective_date(t.today())
+    rows = t.event.where(S.in_window(t.today())).select("id", day.alias("day"), end.alias("last"))
+    return numbered(rows, ["day", "last", "id"], 0).select("id", F.col("number").cast("long").alias("place"))
 
 
-@query("O2_sort_by_column", "(SELECT 'name' AS by, id FROM event ORDER BY name, id LIMIT 100) UNION ALL (SELECT 'discipline', id FROM event ORDER BY discipline DESC NULLS LAST, id LIMIT 100) UNION ALL (SELECT 'newest', id FROM event ORDER BY id DESC LIMIT 100)")
+@query("O2_sort_by_column", f"SELECT sorted_by, id, row_number() OVER (PARTITION BY sorted_by ORDER BY key, id) AS place FROM (SELECT 'name' AS sorted_by, name AS key, id FROM event UNION ALL SELECT 'discipline', discipline, id FROM event WHERE discipline IS NOT NULL UNION ALL SELECT 'venue', venue_name, id FROM ({JOINED}) WHERE venue_name IS NOT NULL) UNION ALL SELECT 'newest', id, row_number() OVER (ORDER BY id DESC) FROM event")
 def _(t):
-    orders = (("name", [F.asc("name"), F.asc("id")]), ("discipline", [F.desc("discipline"), F.asc("id")]), ("newest", [F.desc("id")]))
-    a, b, c = (t.event.orderBy(*o).limit(100).select(F.lit(n).alias("by"), "id") for n, o in orders)
-    return a.union(b).union(c)
+    named = S.with_venue(t.event, t.venue).select("id", "name", "discipline", "venue_name")
+    parts = [numbered(named.where(F.col(c).isNotNull()).select("id", c), [c, "id"], 0).select(F.lit(by).alias("sorted_by"), "id", "number") for by, c in (("name", "name"), ("discipline", "discipline"), ("venue", "venue_name"))]
+    newest = numbered(t.event.select("id", (-F.col("id")).alias("age")), ["age"], 0).select(F.lit("newest").alias("sorted_by"), "id", "number")
+    return parts[0].union(parts[1]).union(parts[2]).union(newest).select("sorted_by", "id", F.col("number").cast("long").alias("place"))
 
 
-@query("O3_distance_sort", f"WITH d AS (SELECT id, round({miles('52.0', '-1.5', 'latitude', 'longitude')}, 3) AS distance FROM venue) (SELECT 'asc' AS way, id, distance FROM d ORDER BY distance NULLS LAST, id LIMIT 20) UNION ALL (SELECT 'desc', id, distance FROM d ORDER BY distance DESC NULLS FIRST, id LIMIT 20)")
+@query("O3_distance_sort", f"WITH d AS (SELECT id, round({miles('52.0', '-1.5', 'latitude', 'longitude')}, 3) AS distance FROM venue) SELECT 'asc' AS way, id, distance, row_number() OVER (ORDER BY distance NULLS LAST, id) AS place FROM d UNION ALL SELECT 'desc', id, distance, row_number() OVER (ORDER BY distance DESC NULLS FIRST, id) FROM d")
 def _(t):
     d = t.venue.select("id", F.round(geo.haversine_miles(F.lit(HOME[0]), F.lit(HOME[1]), F.col("latitude"), F.col("longitude")), 3).alias("distance"))
-    return d.orderBy(*S.by_distance()).limit(20).select(F.lit("asc").alias("way"), "*").union(d.orderBy(*S.by_distance(True)).limit(20).select(F.lit("desc").alias("way"), "*"))
+    far = d.withColumns({"unknown": F.col("distance").isNull().cast("int"), "back": -F.col("distance")}).withColumn("known", 1 - F.col("unknown"))
+    up, down = numbered(far, ["unknown", "distance", "id"], 0), numbered(far, ["known", "back", "id"], 0)
+    return up.select(F.lit("asc").alias("way"), "id", "distance", F.col("number").cast("long").alias("place")).union(down.select(F.lit("desc").alias("way"), "id", "distance", F.col("number").cast("long").alias("place")))
 
 
 @query("O4_page", f"WITH e AS (SELECT id, date_start, date_end FROM event WHERE event_type = 'competition' AND date_start >= {T}), n AS (SELECT count(*) AS total FROM e) SELECT id, total, greatest(1, (total + 49) // 50) AS pages, 3 AS page FROM e, n ORDER BY {ORDER} LIMIT 50 OFFSET 100")

@@ -91,7 +91,7 @@ def html_table(pages: DataFrame) -> DataFrame:
     rows = pages.select("source_id", F.posexplode(table_cells(F.col("body"))).alias("batch_seq", "c"))
     seven, four = F.size("c") == 7, F.size("c") == 4
     start, end = dates.date_range(F.get("c", 0))
-    cancelled = seven & F.upper(F.get("c", 6)).isin("X", "CANCELLED")
+    cancelled = seven & F.upper(F.trim(F.get("c", 6))).isin("X", "CANCELLED")
     name = F.when(seven, F.get("c", 1)).otherwise(F.concat_ws(" - ", F.get("c", 1), F.get("c", 2)))
     classes = F.when(seven, F.filter(F.transform(F.split(F.get("c", 2), ","), lambda x: F.trim(x)), lambda x: x != ""))
     return rows.where((seven | four) & ~cancelled).select("source_id", "batch_seq", name.alias("name"), start.alias("date_start"), end.alias("date_end"), F.when(seven, F.get("c", 3)).otherwise(F.get("c", 2)).alias("venue_name"), classes.alias("classes"))
@@ -149,6 +149,13 @@ def clean_html(html: Column, most: int = 6000) -> Column:
     return F.substring(F.when(F.length(listed) > 200, listed).when(F.length(main) > 200, main).otherwise(plain(text)), 1, most)
 
 
+def relevant(rows: DataFrame, country: str = "GBR", kinds: tuple[str, ...] = ("training",)) -> DataFrame:
+    """Feed rows without those that are cancelled (status X or cancelled), of another country (if one is told), or of
+    kinds that a feed lists but isn't read for."""
+    status = F.upper(F.trim(F.coalesce(F.col("status"), F.lit(""))))
+    return rows.where(~status.isin("X", "CANCELLED") & (F.coalesce(F.col("country"), F.lit(country)) == country) & ~F.coalesce(F.col("event_type").isin(*kinds), F.lit(False)))
+
+
 def repair(text: str | None) -> str | None:
     """The JSON array in a reply: what stands around it goes; a truncated one is closed after its last whole object."""
     if text is None or (at := text.find("[")) < 0:

@@ -52,3 +52,12 @@ def postcode_report(venues: DataFrame) -> DataFrame:
     """postcode, n, venues (JSON): the venues of each postcode that has more than one."""
     groups = venues.where("postcode IS NOT NULL").groupBy("postcode").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "name"))).alias("venues"))
     return groups.where("n > 1").select("postcode", "n", F.to_json("venues").alias("venues"))
+
+
+def manifest_report(found: DataFrame, total: DataFrame, most: int = 100) -> DataFrame:
+    """total_new_venues, total_with_context, venues (JSON of the most by count): found as by new_venue_manifest with no
+    limit, total the names of all new venues."""
+    top = found.orderBy(F.desc("n"), "name").limit(most)
+    listed = top.agg(F.to_json(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "name", "n", "postcode", "latitude", "longitude", "urls", "names")))).alias("venues"))
+    counts = total.agg(F.count("*").alias("total_new_venues")).join(found.agg(F.count("*").alias("total_with_context")), F.lit(True))
+    return counts.join(listed, F.lit(True))

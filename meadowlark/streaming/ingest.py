@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import KEY, REFRESHED, classified, gate, prepare, resolve_venues, upsert
+from ..operators import ingest as I
+from ..operators.ingest import gate
 from ..operators.storage import scratch
 
 EVENT_SCHEMA = (
     "id long, source_id long, name string, date_start date, venue_id long, date_end date, discipline string, event_type string, spectator boolean, hidden boolean, "
-    "description string, classes string, url string, first_seen_at timestamp, last_seen_at timestamp"
+    "description string, classes string, tags string, raw_extract string, venue_match_type string, url string, first_seen_at timestamp, last_seen_at timestamp"
 )
+VENUE_SCHEMA = "id long, name string, postcode string, latitude double, longitude double, source string"
+RUN_SCHEMA = "source_id long, competitions long, others long, exact long, alias long, postcode long, new long, inserted long"
+LAYOUT = {"events": (EVENT_SCHEMA, "month string"), "venues": (VENUE_SCHEMA, "batch int"), "runs": (RUN_SCHEMA, "batch int")}
 
 
 def rolling_ingest(extracted: DataFrame, files: int = 4) -> DataFrame:
@@ -38,28 +42,70 @@ def rolling_ingest(extracted: DataFrame, files: int = 4) -> DataFrame:
     return spark.read.parquet(f"{state}/v{last['version']}")
 
 
-def stream_upsert(extracted: DataFrame, venues: DataFrame, aliases: DataFrame, sources: int = 4) -> DataFrame:
-    """The event table after extracted rows have arrived as files, one file a batch: validated, normalised, resolved
-    against the venues, classified, and upserted. Each batch writes the next version of the table; a batch that runs
-    again starts from the version before it, so nothing is taken twice."""
-    spark = extracted.sparkSession
-    landing, state = scratch(spark, "landing"), scratch(spark, "events")
-    extracted.repartition(sources, "source_id").write.parquet(landing)
-    empty = spark.createDataFrame([], EVENT_SCHEMA)
-    last = {"version": None}
+class Listings:
+    """The tables that the ingest keeps under one folder: events by month of their start, venues that were made for
+    unknown names by batch, and counters of runs by batch.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = prepare(batch)
-        matched = resolve_venues(rows, venues, aliases).select("venue_name", "postcode", "venue_id")
-        same = (rows["venue_name"] == matched["venue_name"]) & rows["postcode"].eqNullSafe(matched["postcode"])
-        ready = classified(rows.join(matched, same, "left").drop(matched["venue_name"], matched["postcode"])).checkpoint()
-        before = spark.read.parquet(f"{state}/v{number - 1}") if number else empty
-        upsert(before, ready.select("batch_seq", "source_id", *KEY, "date_end", *REFRESHED, "url"), F.current_timestamp()).write.mode("overwrite").parquet(f"{state}/v{number}")
-        last["version"] = number
+    A batch reads and rewrites only the months that it has rows of (dynamic overwrite), and starts from the venues of
+    the batches before it. If it runs again after a failure, rows that it had stored already are found and refreshed,
+    and its venues and counters replace those of its first try, so nothing is taken twice.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, venues: DataFrame, aliases: DataFrame, postcodes: DataFrame | None = None):
+        self.spark, self.base, self.aliases, self.postcodes = spark, base, aliases, postcodes
+        self.known = venues.select("id", "name", "postcode", *[(F.col(c) if c in venues.columns else F.lit(None)).cast(k).alias(c) for c, k in (("latitude", "double"), ("longitude", "double"), ("source", "string"))])
+
+        for name, (schema, part) in LAYOUT.items():
+            spark.createDataFrame([], f"{schema}, {part}").write.mode("append").partitionBy(part.split()[0]).parquet(f"{base}/{name}")
+
+    def read(self, name: str) -> DataFrame:
+        schema, part = LAYOUT[name]
+        return self.spark.read.schema(f"{schema}, {part}").parquet(f"{self.base}/{name}")
+
+    def events(self) -> DataFrame:
+        return self.read("events")
 
+    def venues(self, before: int | None = None) -> DataFrame:
+        made = self.read("venues")
+        return self.known.unionByName((made if before is None else made.where(F.col("batch") < before)).drop("batch"))
+
+    def runs(self) -> DataFrame:
+        return self.read("runs")
+
+    def put(self, df: DataFrame, name: str, part: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{self.base}/{name}")
+
+    def merge(self, batch: DataFrame, number: int, seen_at: Column | None = None) -> None:
+        """One batch of extracted rows: validated, normalised, resolved against the venues, with venues made for names
+        that no one knows, classified and tagged, counted, and upserted."""
+        venues = self.venues(number)
+        rows = I.matched(I.prepare(batch), venues, self.aliases).checkpoint()
+        made = I.new_venues(rows.where("venue_id IS NULL"), venues).checkpoint()
+        blank = made.select("id", "name", "postcode", F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"))
+        if self.postcodes is not None:
+            told = made.select(F.col("id").alias("venue_id"), "batch_seq", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), F.col("postcode").alias("row_postcode"))
+            blank = I.resolve_coordinates(blank, told, self.postcodes)
+        self.put(blank.withColumns({"source": F.lit("dynamic"), "batch": F.lit(number)}), "venues", "batch")
+        ready = I.classified(I.with_new_venues(rows, made)).checkpoint()
+
+        events, month = self.events(), F.date_format("date_start", "yyyy-MM")
+        months = [r[0] for r in ready.select(month).distinct().collect()]
+        largest = events.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        before = events.where(F.col("month").isin(months)).drop("month")
+        self.put(I.run_counters(ready, before).withColumn("batch", F.lit(number)), "runs", "batch")
+        columns = ["batch_seq", "source_id", *I.KEY, "date_end", *I.REFRESHED, "url"]
+        after = I.upsert(before, ready.select(*columns), F.current_timestamp() if seen_at is None else seen_at, largest).checkpoint()
+        self.put(after.withColumn("month", month), "events", "month")  # read before it is overwritten: checkpoint()
+
+
+def stream_upsert(extracted: DataFrame, venues: DataFrame, aliases: DataFrame, postcodes: DataFrame | None = None, files: int = 4, base: str | None = None) -> Listings:
+    """The tables after extracted rows have arrived as files, one file a batch, as Listings."""
+    spark = extracted.sparkSession
+    landing, tables = scratch(spark, "landing"), Listings(spark, base or scratch(spark, "listings"), venues, aliases, postcodes)
+    extracted.repartition(files, "source_id").write.parquet(landing)
     stream = spark.readStream.schema(extracted.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return empty if last["version"] is None else spark.read.parquet(f"{state}/v{last['version']}")
+    stream.writeStream.foreachBatch(tables.merge).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return tables
 
 
 def run_log(scans: DataFrame, files: int = 3) -> DataFrame:
