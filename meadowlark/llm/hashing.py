@@ -46,6 +46,32 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_digests.__getitem__, words), np.uint64, len(words))
 
 
+class Joined:
+    """The words of several texts and their hashes, one after the other, so that numpy works on long arrays. Values of
+    windows that reach from one text into the next mean nothing; those of a text begin at its start."""
+
+    def __init__(self, texts: list[str | None]):
+        self.words = [words_of(t) for t in texts]
+        self.starts = np.cumsum([0, *map(len, self.words)])
+        self.hashes = word_hashes([w for words in self.words for w in words])
+
+    def of(self, values: np.ndarray, k: int, width: int) -> np.ndarray:
+        """The values of text k's own windows."""
+        return values[self.starts[k] : max(self.starts[k + 1] - width + 1, self.starts[k])]
+
+
+def joined(texts: list[str | None], most: int = 1 << 18):
+    """(first place, Joined) for texts of about `most` characters together, longer ones alone."""
+    at, held = 0, 0
+    for k, t in enumerate(texts):
+        if held and held + len(t or "") > most:
+            yield at, Joined(texts[at:k])
+            at, held = k, 0
+        held += len(t or "")
+    if at < len(texts):
+        yield at, Joined(texts[at:])
+
+
 def reduced(x: np.ndarray) -> np.ndarray:
     """x modulo PRIME."""
     x = (x & P) + (x >> S61)

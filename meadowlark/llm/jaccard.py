@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import join_anew, stored
 from .components import components
-from .hashing import digest, mixed, windows, word_hashes, words_of
+from .hashing import Joined, digest, joined, mixed, windows, words_of
 
 #: Bands of equal MinHash values make candidates: at a similarity of 0.8 a pair shares none of 36 bands of 5 with a
 #: probability of 6e-7, and less above.
@@ -25,11 +25,6 @@ STEP, TOLERANCE = 30, 1e-6
 BLOCK, BLOCK_BYTES = 256, 2_000_000
 
 
-def shingles(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of n words; of fewer words, of all together; of none, none."""
-    return np.unique(windows(word_hashes(words), min(n, len(words)))) if words else np.zeros(0, np.uint64)
-
-
 @lru_cache(maxsize=1)
 def family() -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and masks of the MinHash functions, fixed for good."""
@@ -37,22 +32,39 @@ def family() -> tuple[np.ndarray, np.ndarray]:
     return seeds[: BANDS * ROWS, None] | np.uint32(1), seeds[BANDS * ROWS :, None]
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """MinHash values of 32 bits."""
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """MinHash values of 32 bits, a row for each set of hashes; of an empty set the largest number."""
     a, b = family()
-    values, least = (values >> np.uint64(32)).astype(np.uint32), np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    least = np.full((len(a), len(sets)), np.iinfo(np.uint32).max, np.uint32)
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32) if sets else own
     for k in range(0, len(values), 1024):
         part = values[None, k : k + 1024] * a
         part ^= b
-        np.minimum(least, part.min(axis=1), out=least)
-    return least
+        here = own[k : k + 1024]
+        begin = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+        of = here[begin]
+        least[:, of] = np.minimum(least[:, of], np.minimum.reduceat(part, begin, axis=1))
+    return np.ascontiguousarray(least.T)
+
+
+def shingles(texts: Joined, n: int) -> list[np.ndarray]:
+    """Of each text the distinct hashes of its runs of n words; of fewer words, of all together; of none, none."""
+    every, out = windows(texts.hashes, n), []
+    for k, words in enumerate(texts.words):
+        if len(words) >= n:
+            out.append(np.unique(texts.of(every, k, n)))
+        else:
+            out.append(windows(texts.hashes[texts.starts[k] : texts.starts[k + 1]], len(words)) if words else np.zeros(0, np.uint64))
+    return out
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    """A key of each band of each row of MinHash values."""
+    rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
     for k in range(ROWS):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
     return key
 
 
@@ -175,18 +187,18 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Da
 
     def sketch(batches):
         for b in batches:
-            ids, contents, lengths, sizes, keys, sigs = [], [], [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(t)
-                values = shingles(words, n)
-                sig = signature(values)
-                whole = b" ".join(words)
-                ids.append(d)
-                contents.append(digest(whole) if words else None)
-                lengths.append(len(whole))
-                sizes.append(len(values))
-                keys.append(band_keys(sig).view(np.int64).tolist() if words else None)
-                sigs.append(sig.astype(np.uint16).tobytes() if words else None)
+            ids, contents, lengths, sizes, keys, sigs = b.column(0).to_pylist(), [], [], [], [], []
+            for _, j in joined(b.column(1).to_pylist()):
+                sets = shingles(j, n)
+                sig = signatures(sets)
+                bands, low = band_keys(sig).view(np.int64), sig.astype(np.uint16)
+                for k, words in enumerate(j.words):
+                    whole = b" ".join(words)
+                    contents.append(digest(whole) if words else None)
+                    lengths.append(len(whole))
+                    sizes.append(len(sets[k]))
+                    keys.append(bands[k] if words else None)
+                    sigs.append(low[k].tobytes() if words else None)
             arrays = [pa.array(ids, pa.int64()), pa.array(contents, pa.binary()), pa.array(lengths, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "content", "bytes", "size", "bands", "sig"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, join_anew, named, stored
-from .hashing import digest, number, sliding_minimum, windows, word_hashes, words_of
+from .hashing import digest, joined, number, sliding_minimum, windows, word_hashes, words_of
 
 #: Words of the grams by which windows are sampled; a window is known by the gram of least hash within it.
 GRAM = 12
@@ -33,7 +33,16 @@ def lists(values: list[np.ndarray]) -> pa.Array:
 
 def confirmed(words: list[bytes], starts: np.ndarray, width: int) -> list[int]:
     """Digests of the windows' own words, 64 bits."""
-    return [number(b" ".join(words[i : i + width])) for i in starts.tolist()]
+    if not len(starts):
+        return []
+    whole, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    first = np.concatenate([[0], ends[:-1] + 1])[starts].tolist()
+    return [number(whole[a:b]) for a, b in zip(first, ends[starts + width - 1].tolist(), strict=True)]
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
 
 
 def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -50,15 +59,15 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 
     def sketch(batches):
         for b in batches:
-            ids, contents, found = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(t)
-                if len(words) < width:
-                    continue
-                m = anchors(word_hashes(words), width)
-                ids.append(d)
-                contents.append(digest(b" ".join(words)))
-                found.append(np.unique(m[np.flatnonzero(np.diff(m, prepend=~m[:1]))]))
+            ids, contents, found, doc_ids = [], [], [], b.column(0).to_pylist()
+            for at, j in joined(b.column(1).to_pylist()):
+                every = anchors(j.hashes, width)
+                for k, words in enumerate(j.words):
+                    if len(words) >= width:
+                        m = j.of(every, k, width)
+                        ids.append(doc_ids[at + k])
+                        contents.append(digest(b" ".join(words)))
+                        found.append(np.unique(m[runs(m)]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contents, pa.binary()), lists(found)], names=["doc_id", "content", "anchors"])
 
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -73,17 +82,19 @@ def find_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 
     def candidates(batches):
         for b in batches:
-            ids, one, two = [], [], []
-            for d, t, shared_here in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                words = words_of(t)
-                if len(words) < width:
-                    continue
-                hashes = word_hashes(words)
-                hit = np.flatnonzero(np.isin(anchors(hashes, width), np.asarray(shared_here.values).view(np.uint64)))
-                here = dict.fromkeys(zip(windows(hashes, width)[hit].view(np.int64).tolist(), confirmed(words, hit, width), strict=True))
-                ids += [d] * len(here)
-                one += [h for h, _ in here]
-                two += [x for _, x in here]
+            ids, one, two, doc_ids, shared_here = [], [], [], b.column(0).to_pylist(), b.column(2)
+            for at, j in joined(b.column(1).to_pylist()):
+                every, hashes = anchors(j.hashes, width), windows(j.hashes, width)
+                for k, words in enumerate(j.words):
+                    if len(words) < width:
+                        continue
+                    m, known = j.of(every, k, width), set(np.asarray(shared_here[at + k].values).view(np.uint64).tolist())
+                    begin = runs(m)
+                    hit = np.flatnonzero(np.repeat([v in known for v in m[begin].tolist()], np.diff(begin, append=len(m))))
+                    here = dict.fromkeys(zip(j.of(hashes, k, width)[hit].view(np.int64).tolist(), confirmed(words, hit, width), strict=True))
+                    ids += [doc_ids[at + k]] * len(here)
+                    one += [h for h, _ in here]
+                    two += [x for _, x in here]
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "h", "d"])
 

@@ -5,7 +5,7 @@ from math import comb
 
 import numpy as np
 from meadowlark.llm import components, jaccard
-from meadowlark.llm.hashing import mixed
+from meadowlark.llm.hashing import Joined, mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,7 +124,7 @@ def test_bucket_judges_only_new_pairs():
     import pandas as pd
 
     words = [b" ".join(b"w%d" % k for k in range(40)), b" ".join([*(b"w%d" % k for k in range(39)), b"x"])]
-    sig = [jaccard.signature(jaccard.shingles(w.split(), 5)) for w in words]
+    sig = jaccard.signatures(jaccard.shingles(Joined([w.decode() for w in words]), 5))
     rows = [{"content": bytes([k]), "side": 0, "size": 36, "copies": 1, "bands": np.array([5, k, 9]), "sig": sig[k].astype(np.uint16).tobytes(), "words": words[k]} for k in (0, 1)]
     cell = pd.DataFrame(rows)
     assert len(jaccard.compare(cell, 5, 0.8, 0, True)) == len(jaccard.compare(cell, 5, 0.8, -1, True)) == 2
@@ -154,7 +154,9 @@ def test_intersections_and_signatures():
     got = jaccard.intersections(sets)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
     a, b = mixed(np.arange(4000, dtype=np.uint64)), mixed(np.arange(400, 4400, dtype=np.uint64))
-    same = (jaccard.signature(a) == jaccard.signature(b)).mean()
+    one, two, none = jaccard.signatures([a, b, a[:0]])
+    same = (one == two).mean()
+    assert (jaccard.signatures([b])[0] == two).all() and (none == 2**32 - 1).all()
     assert abs(same - 3600 / 4400) < 0.12
 
 
