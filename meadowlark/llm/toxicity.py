@@ -10,11 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 GRAMS = (4, 5, 6)
 BITS = 22
 #: Most labelled rows of either class that the classifier is fitted on, by order of a hash of doc_id.
 MOST_TOXIC, MOST_CLEAN = 1200, 1800
+#: Most bytes of text that these rows have together, by class; a row of more than a hundredth of that isn't learned from.
+MOST_BYTES = 64_000_000
 SPACE = re.compile(r"\s+")
 
 
@@ -104,9 +107,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
-    """Fits on at most most_toxic and most_clean labelled rows that aren't held out: those with the least hashes of
-    doc_id. Their n-gram sets (at most 2^22 numbers each) meet in one task, which fits; the driver gets the weights."""
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_BYTES) -> Model:
+    """Fits on at most most_toxic and most_clean labelled rows that aren't held out, most_bytes of either class: those
+    with the least hashes of doc_id. Their n-gram sets (no more numbers than characters times n-gram sizes) meet in
+    one task, which fits; the driver gets the weights. Texts that are scored have no such bound."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     chosen = known.where("toxic = 1").orderBy("order", "doc_id").limit(most_toxic).union(known.where("toxic = 0").orderBy("order", "doc_id").limit(most_clean))
@@ -126,7 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
         yield pa.RecordBatch.from_arrays([pa.array([m.places]), pa.array([m.weights]), pa.array([m.bias])], names=["places", "weights", "bias"])
 
     # at most most_toxic + most_clean short rows: a proven bound for the broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sample = docs.select("doc_id", "text", size.alias("size")).where(F.col("size") <= most_bytes // 100).join(F.broadcast(chosen), "doc_id")
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    sample = sample.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes)
     got = sample.select("doc_id", "toxic", sets(F.col("text")).alias("grams")).repartition(1).mapInArrow(fitted, "places binary, weights binary, bias double").first()
     return Model(bytes(got["places"]), bytes(got["weights"]), got["bias"]) if got else fit([], np.zeros(0))
 
