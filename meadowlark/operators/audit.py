@@ -245,7 +245,8 @@ def retag(events: DataFrame, feed_affiliation: bool = True) -> DataFrame:
     e = events.withColumns({"__raw": raw, "__old": tags.from_json_list(F.col("classes"))})
     classes = F.coalesce("__raw.classes", empty)
     own = F.col("__raw.affiliation") if feed_affiliation else F.lit(None).cast("string")
-    new = tags.extract_tags(F.col("name"), F.col("__raw.description"), F.col("discipline"), F.col("event_type"), own, classes, F.lit(None).cast("string"))
+    detail = tags.detail_text(F.col("__raw.description"), classes)
+    new = tags.extract_tags(F.col("name"), detail, F.col("discipline"), F.col("event_type"), own, classes, F.lit(None).cast("string"))
     e = e.withColumns({"__tags": new, "__before": tags.from_json_list(F.col("tags"))})
     return e.select(
         "id", F.col("__raw.description").alias("description"), classes.alias("classes"), F.col("__tags").alias("tags"),

@@ -292,15 +292,21 @@ def worded(t):
 NORMALISED = f"(SELECT id, name, classes, {NORM} AS x FROM event)"
 
 
-@query(
-    "T8_rule_tags",
-    "SELECT id, " + f"CASE WHEN {sql_has('x', ['championship'])} THEN 'level:championship' WHEN regexp_matches(regexp_replace(x, '\\badvanced\\s+(booking|notice|entr)', '', 'g'), '\\badvanced\\b') THEN 'level:advanced' WHEN {sql_has('x', ['intermediate'])} THEN 'level:intermediate' WHEN {sql_has('x', ['novice'])} THEN 'level:novice' WHEN {sql_has('x', ['beginner'])} THEN 'level:beginner' WHEN {sql_has('x', ['all levels', 'mixed level'])} THEN 'level:mixed' END AS level, "
-    + joined(sql_tags("affiliation", rules.AFFILIATIONS)) + " AS affiliation, " + joined(sql_tags("format", rules.FORMATS)) + " AS format, "
-    + f"CASE WHEN {sql_has('x', rules.SCOPES['international'])} THEN 'scope:international' WHEN {sql_has('x', rules.SCOPES['national'])} THEN 'scope:national' END AS scope, "
-    + joined("[CASE WHEN regexp_matches(regexp_replace(x, '\\bseniors?\\s+citizens?', '', 'g'), '\\bseniors?\\b') THEN 'age:senior' END]", sql_tags("age", rules.AGES)) + " AS age, "
-    + joined(sql_tags("special", rules.SPECIALS), f"[CASE WHEN {sql_has('x', rules.MOORLAND)} THEN 'special:mountain-and-moorland' END, CASE WHEN {sql_has('x', rules.NATIVE)} THEN 'special:native-breed' END, CASE WHEN NOT {sql_has('x', rules.MOORLAND)} AND NOT {sql_has('x', rules.NATIVE)} AND {sql_has('x', rules.BREED)} THEN 'special:breed-specific' END, CASE WHEN {sql_has('x', rules.LONG_FORMAT)} THEN 'special:long-format' END]")
-    + f" AS special FROM {NORMALISED}",
+def one_of(*cases: tuple[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {hit} THEN '{tag}'" for hit, tag in cases) + " END"
+
+
+LEVEL = one_of(
+    (sql_has("x", ["championship"]), "level:championship"), (r"regexp_matches(regexp_replace(x, '\badvanced\s+(booking|notice|entr)', '', 'g'), '\badvanced\b')", "level:advanced"), (sql_has("x", ["intermediate"]), "level:intermediate"),
+    (sql_has("x", ["novice"]), "level:novice"), (sql_has("x", ["beginner"]), "level:beginner"), (sql_has("x", ["all levels", "mixed level"]), "level:mixed"),
 )
+AFFILIATION, FORMAT = sql_tags("affiliation", rules.AFFILIATIONS), sql_tags("format", rules.FORMATS)
+SCOPE = one_of((sql_has("x", rules.SCOPES["international"]), "scope:international"), (sql_has("x", rules.SCOPES["national"]), "scope:national"))
+AGE = r"[CASE WHEN regexp_matches(regexp_replace(x, '\bseniors?\s+citizens?', '', 'g'), '\bseniors?\b') THEN 'age:senior' END] || " + sql_tags("age", rules.AGES)
+SPECIAL = sql_tags("special", rules.SPECIALS) + f" || [CASE WHEN {sql_has('x', rules.MOORLAND)} THEN 'special:mountain-and-moorland' END, CASE WHEN {sql_has('x', rules.NATIVE)} THEN 'special:native-breed' END, CASE WHEN NOT {sql_has('x', rules.MOORLAND)} AND NOT {sql_has('x', rules.NATIVE)} AND {sql_has('x', rules.BREED)} THEN 'special:breed-specific' END, CASE WHEN {sql_has('x', rules.LONG_FORMAT)} THEN 'special:long-format' END]"
+
+
+@query("T8_rule_tags", f"SELECT id, {LEVEL} AS level, {joined(AFFILIATION)} AS affiliation, {joined(FORMAT)} AS format, {SCOPE} AS scope, {joined(AGE)} AS age, {joined(SPECIAL)} AS special FROM {NORMALISED}")
 def _(t):
     x, none = C("x"), F.lit(None).cast("string")
     return worded(t).select(
@@ -331,10 +337,15 @@ def _(t):
     return t.event.select("id", F.array_join(tags.class_tags(tags.from_json_list(C("classes"))), ";").alias("found"))
 
 
-TIER = rf"CASE WHEN regexp_matches(x, '\b(csi|csio|cdi|cdio|cci|ccio|chi|chio)\b') OR regexp_matches(x, '[3-5]\s*[*]') OR contains(x, 'world cup') OR contains(x, 'nations cup') OR contains(x, 'global champions') THEN 'tier:elite' WHEN {sql_has('x', rules.COUNTY_SHOW)} THEN 'tier:county-show' WHEN {sql_has('x', rules.NATIONAL_SHOW)} THEN 'tier:national' WHEN {' OR '.join(sql_has('x', w) for w in rules.AFFILIATIONS.values())} THEN 'tier:affiliated' WHEN {sql_has('x', rules.UNAFFILIATED)} THEN 'tier:unaffiliated' END"
+CATEGORY = "[" + ", ".join("CASE WHEN " + " OR ".join(f"contains(x, '{w}')" for w in ws) + f" THEN 'category:{v}' END" for v, ws in rules.CATEGORIES.items()) + "]"
+
 
+def tier_sql(affiliated: str) -> str:
+    elite = r"regexp_matches(x, '\b(csi|csio|cdi|cdio|cci|ccio|chi|chio)\b') OR regexp_matches(x, '[3-5]\s*[*]') OR contains(x, 'world cup') OR contains(x, 'nations cup') OR contains(x, 'global champions')"
+    return one_of((elite, "tier:elite"), (sql_has("x", rules.COUNTY_SHOW), "tier:county-show"), (sql_has("x", rules.NATIONAL_SHOW), "tier:national"), (affiliated, "tier:affiliated"), (sql_has("x", rules.UNAFFILIATED), "tier:unaffiliated"))
 
-@query("T11_category_tier", f"SELECT id, {joined('[' + ', '.join(f'CASE WHEN ' + ' OR '.join(f'contains(x, {chr(39)}{w}{chr(39)})' for w in ws) + f' THEN {chr(39)}category:{v}{chr(39)} END' for v, ws in rules.CATEGORIES.items()) + ']')} AS category, {TIER} AS tier FROM {NORMALISED}")
+
+@query("T11_category_tier", f"SELECT id, {joined(CATEGORY)} AS category, {tier_sql(' OR '.join(sql_has('x', w) for w in rules.AFFILIATIONS.values()))} AS tier FROM {NORMALISED}")
 def _(t):
     x = C("x")
     return worded(t).select("id", F.array_join(tags.category_tags(x), ";").alias("category"), tags.tier_tag(x, tags.affiliation_tags(x, F.lit(None).cast("string"))).alias("tier"))
@@ -350,14 +361,27 @@ def _(t):
     return worded(t).select("id", tags.final_tag(x, tags.from_json_list(C("classes"))).isNotNull().alias("is_final"))
 
 
-@query("T13_all_tags")
+KIND = "'type:' || CASE coalesce(event_type, '') WHEN 'training' THEN 'training' WHEN 'venue_hire' THEN 'venue-hire' WHEN 'show' THEN 'show' WHEN 'social' THEN 'social' WHEN 'other' THEN 'other' ELSE 'competition' END"
+
+
+def ruled(source: str) -> str:
+    """All tags but disciplines, in order, of a table with id, x (normalised text), cl (classes), event_type and own
+    (the source's affiliation)."""
+    affs = f"CASE WHEN own IN ({', '.join(repr(v) for v in rules.VOCABULARY['affiliation'])}) AND NOT list_contains(texts, 'affiliation:' || own) THEN list_append(texts, 'affiliation:' || own) ELSE texts END"
+    found = f"flatten(list_transform(cl, lambda raw: {class_sql('lower(raw)')}))"
+    every = f"[{KIND}, {LEVEL}] || affs || {FORMAT} || [{SCOPE}] || {AGE} || {SPECIAL} || [CASE WHEN {FINAL} THEN 'special:championship-final' END] || {SERIES} || found || {CATEGORY} || [{tier_sql('len(affs) > 0')}]"
+    return f"""SELECT id, array_to_string(list_filter({every}, lambda z: z IS NOT NULL), ';') AS tags FROM (SELECT *, {affs} AS affs, {found} AS found, x || coalesce(' | ' || nullif(lower(array_to_string(cl, ' | ')), ''), '') AS y
+    FROM (SELECT *, list_filter({AFFILIATION}, lambda z: z IS NOT NULL) AS texts FROM ({source})))"""
+
+
+@query("T13_all_tags", ruled(f"SELECT e.id, {NORM} AS x, {CLASSES} AS cl, event_type, s.affiliation AS own FROM event e LEFT JOIN source s ON s.id = e.source_id".replace("lower(name ||", "lower(e.name ||")))
 def _(t):
-    """The whole assembly; its parts have SQL of their own, the discipline scan has examples in tests."""
+    """The whole assembly, of which SQL tells all but the disciplines: their spans are claimed in order (T7)."""
     from ..operators.search import with_venue
 
     j = with_venue(t.event, t.venue).join(t.source.select(C("id").alias("source_id"), "affiliation"), "source_id", "left")
     every = tags.extract_tags(C("name"), C("description"), C("discipline"), C("event_type"), C("affiliation"), tags.from_json_list(C("classes")), C("venue_name"))
-    return j.select("id", F.array_join(every, ";").alias("tags"))
+    return j.select("id", F.array_join(F.filter(every, lambda x: ~F.startswith(x, F.lit("discipline:"))), ";").alias("tags"))
 
 
 VALID = "[" + ", ".join(f"'{n}:{v}'" for n, vs in rules.VOCABULARY.items() for v in vs) + "]"

@@ -13,7 +13,7 @@ from ..operators import venues as V
 from ..sources import feeds, sinks
 from .demo import TODAY
 from .registry import query
-from .scalar_queries import DISC_MAP, DISC_SQL, TYPE, title
+from .scalar_queries import DISC_MAP, DISC_SQL, TYPE, ruled, title
 from .search_queries import CLASSES, JOINED, TAGS, T, miles
 
 C = F.col
@@ -458,10 +458,17 @@ def _(t):
     return V.emptied_placeholders(*held(t)).select("id", "name")
 
 
-@query("M4_retagged", f"SELECT id, coalesce(description, '') <> CASE WHEN id % 5 = 0 THEN 'Fresh text' ELSE coalesce(description, '') END AS description_changed, id % 3 = 0 AND array_to_string({CLASSES}, ';') <> 'Discovery' AS classes_changed FROM event")
+#: Events after their descriptions and classes have been taken anew from the extract.
+FRESH = f"SELECT *, CASE WHEN id % 5 = 0 THEN 'Fresh text' ELSE coalesce(description, '') END AS fresh, CASE WHEN id % 3 = 0 THEN ['Discovery'] ELSE {CLASSES} END AS cl FROM event"
+#: Their normalised names and details.
+FRESH_X = r"trim(regexp_replace(replace(lower(name || ' ' || trim(concat_ws(' ', nullif(fresh, ''), nullif(array_to_string(cl, ' '), '')))), '&', ' and '), '\s+', ' ', 'g'))"
+
+
+@query("M4_retagged", f"WITH f AS ({FRESH}), r AS ({ruled(f'SELECT id, {FRESH_X} AS x, cl, event_type, {chr(39)}nsea{chr(39)} AS own FROM f')}) SELECT f.id, coalesce(description, '') <> fresh AS description_changed, id % 3 = 0 AND array_to_string({CLASSES}, ';') <> 'Discovery' AS classes_changed, r.tags FROM f JOIN r ON r.id = f.id".replace("SELECT f.id, coalesce(description", "SELECT f.id, coalesce(f.description").replace("AND array_to_string(", "AND array_to_string(").replace("id % 3 = 0 AND array", "f.id % 3 = 0 AND array"))
 def _(t):
     new = F.struct(F.when(C("id") % 5 == 0, "Fresh text").otherwise(F.coalesce("description", F.lit(""))).alias("description"), F.when(C("id") % 3 == 0, F.array(F.lit("Discovery"))).otherwise(from_json_list(C("classes"))).alias("classes"), F.lit("nsea").alias("affiliation"))
-    return A.retag(t.event.withColumn("raw_extract", F.to_json(new))).select("id", "description_changed", "classes_changed")
+    done = A.retag(t.event.withColumn("raw_extract", F.to_json(new)))
+    return done.select("id", "description_changed", "classes_changed", F.array_join(F.filter("tags", lambda x: ~F.startswith(x, F.lit("discipline:"))), ";").alias("tags"))
 
 
 @query("M5_disambiguated_reset", "SELECT id, name, CASE WHEN told AND id % 2 = 0 THEN 'ZZ1 1ZZ' ELSE postcode END AS postcode, CASE WHEN told THEN NULL ELSE latitude END AS latitude, CASE WHEN told THEN NULL ELSE longitude END AS longitude FROM (SELECT *, regexp_matches(name, '[(][A-Z]{1,2}[0-9][A-Z0-9]?[)]$') AS told FROM (SELECT * REPLACE (CASE WHEN postcode IS NOT NULL AND id % 3 = 0 THEN name || ' (' || split_part(postcode, ' ', 1) || ')' ELSE name END AS name) FROM venue))")

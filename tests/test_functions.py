@@ -98,3 +98,46 @@ def test_distance(spark):
     df = spark.createDataFrame(cases, "a double, b double, c double, d double")
     got = [r.m for r in df.select(geo.haversine_miles(*[F.col(c) for c in "abcd"]).alias("m")).collect()]
     assert 160 < got[0] < 170 and got[1] < 0.01 and 95 < got[2] < 110
+
+
+def test_ledger_of_rules(spark):
+    """What must match and what must not, value by value."""
+    hidden = {
+        "Balance due - Camp": True, "Camp deposit": True, "Booking Deposit": True, "Show (deposit)": True, "Deposits": True, "3rd Payment": True, "final  installment": True, "PAYT": True, "Deposit Secures": False, "No payments taken": False,
+        "Semi final payment holiday": True, "Depositary show": False, "Summer - depository": False, "Installments welcome": False,
+    }
+    assert values(spark, classify.is_booking_payment, hidden) == list(hidden.values())
+    kinds = {
+        "CDIO Aachen": "show", "CSI 2 *": "competition", "CSI 5 * Paris": "show", "Nation Cup final": "show", "Nations  Cup": "show", "J / P tour": "competition", "Jonge Paard dag": "competition", "Junioren Cup 4*": "competition",
+        "U25 Championship": "competition", "European Championship": "show", "Talents 3*": "competition", "YH Final 3*": "competition", "YHX 3*": "show", "Global Champions Tour": "show", "CSI": "competition", "1* and 5*": "competition",
+    }
+    assert values(spark, classify.continental_type, kinds) == list(kinds.values())
+    watch = {"Village Show": True, "Ploughing  match": True, "7 * test": True, "CCI2": False, "CCI Blenheim": True, "Csio": True, "Counties show": False, "World Cup": True, None: False}
+    assert values(spark, lambda x: classify.spectator(x, F.lit(None).cast("string")), watch) == list(watch.values())
+    tiers = {"Chio day": "tier:elite", "Tour 4 *": "tier:elite", "County Fair": "tier:county-show", "HOYS qualifier": "tier:national", "Unaff show": "tier:unaffiliated", "Show": None}
+    none = F.array().cast("array<string>")
+    assert values(spark, lambda x: tags.tier_tag(classify.normalised(x), none), tiers) == list(tiers.values())
+
+
+def test_places_in_titles(spark):
+    cases = {"Hickstead - Derby": "Hickstead", "Bury Farm : Show : two": "Bury Farm", "Onley | Show (1)": "Onley", "Hartpury British Dressage": "Hartpury", "Arena UK Sat 4 May": "Arena UK", "Vale View 12th Mar": "Vale View", "Min - x": "Tbc", "Saturday": "Tbc", "Solihull Riding Club": "Tbc"}
+    assert values(spark, text.venue_of_title, cases) == list(cases.values())
+    junk = {"Booking Status: open": True, "book now!": True, "12 Mill Lane": True, "Lane End": False, "4 Acre Farm": False, None: False}
+    assert values(spark, text.is_junk_venue, junk) == list(junk.values())
+    stems = {"ASTON (2)": "Aston-le-Walls", "Barbury International 2026": "Barbury", "Grassroots Championship": "There", "Burnham Market - by X": "Burnham Market", "Tweseldown & Regional BE90 Championship": "There", "Rockingham incorporating Y": "Rockingham", "": "There"}
+    assert values(spark, lambda x: text.venue_stem(x, {"Aston": "Aston-le-Walls"}, F.lit("There")), stems) == list(stems.values())
+
+
+@pytest.mark.parametrize(
+    ("raw", "start", "end"),
+    [("4th - 5th May & 8th - 9th May 2026", "2026-05-04", "2026-05-09"), ("30 Dec & 2 Jan 2027", "2026-12-30", "2027-01-02"), ("1st May, 2026", "2026-05-01", None), ("From 3 June 2026 to 5 June 2026 at 10", "2026-06-03", "2026-06-05"), ("5 and 6 July 26", "2026-07-05", "2026-07-06"), ("24 June", None, None), (None, None, None)],
+)
+def test_more_ranges(spark, raw, start, end):
+    a, b = dates.date_range(F.col("x"))
+    r = spark.createDataFrame([(raw,)], "x string").select(a.cast("string").alias("a"), b.cast("string").alias("b")).first()
+    assert (r.a, r.b) == (start, end)
+
+
+def test_dates_in_slugs(spark):
+    cases = {"/e/show-4th-march": "2027-03-04", "https://x/22nd-october-finals": "2026-10-22", "/e/march-4th": None, "/e/31st-feb": None, "/a-20260304": "2026-03-04"}
+    assert values(spark, lambda x: dates.date_in_url(x, F.lit("2026-06-01").cast("date")).cast("string"), cases) == list(cases.values())

@@ -1,15 +1,18 @@
 """Every registered query of the library against its SQL in DuckDB, on the smallest tables."""
 
 import glob
+import json
 import math
 import os
 from datetime import date, datetime
 from decimal import Decimal
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
+from meadowlark.functions import rules
 from meadowlark.plans import ORACLE_SQL, QUERIES
-from meadowlark.plans.demo import BASE_TABLES
+from meadowlark.plans.demo import BASE_TABLES, Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,8 +68,6 @@ def test_entry(spark):
 @pytest.mark.parametrize(("name", "reader"), [("S7_venue_seeds", "venue_seeds"), ("S8_rule_json", "rule_rows")])
 def test_bounded_payloads(spark, monkeypatch, name, reader):
     """The number of payloads grows with the rows, not the payloads."""
-    import json
-
     from meadowlark.plans import table_queries
 
     seen, read = [], getattr(table_queries.feeds, reader)
@@ -82,3 +83,91 @@ def test_links_of_few_events_only(spark):
     """A17 counts first and collects the events of venues that show links."""
     plan = QUERIES["A17_venue_page"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def plain_disciplines(text):
+    """Disciplines of a text by looking at every place for every alias, longest first; a place that lies within one
+    that is taken doesn't count."""
+    found, taken = set(), []
+    aliases = sorted({(a, d) for d, words in rules.DISCIPLINES.items() for a in (d.lower(), *words) if a not in rules.TITLE_DENY}, key=lambda x: -len(x[0]))
+    inside = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+    for alias, discipline in aliases:
+        for at in range(len(text)):
+            if not text.startswith(alias, at) or inside(at - 1):
+                continue
+            ends = [at + len(alias)]
+            if alias.isalpha() and len(alias) >= 4 and text[ends[0] : ends[0] + 1] == "s":
+                ends.insert(0, ends[0] + 1)
+            end = next((e for e in ends if not inside(e)), None)
+            if end is not None and not any(a <= at and end <= b for a, b in taken):
+                taken.append((at, end))
+                found.add(discipline)
+    return found
+
+
+@pytest.mark.skipif(not glob.glob(f"{SF}/orders.parquet*"), reason="needs the driver's tables")
+def test_disciplines_against_plain_version(spark):
+    """T7 over all events."""
+    t = Tables(spark, SF)
+    got = {r.id: set(filter(None, r.tags.split(";"))) for r in QUERIES["T7_multi_discipline"](spark, SF).collect()}
+    events = t.event.select("id", "name", "discipline", "classes").collect()
+    assert len(got) == len(events) > 1000
+    for e in events:
+        try:
+            classes = json.loads(e.classes or "[]")
+        except ValueError:
+            classes = []
+        found = plain_disciplines(" | ".join([e.name.lower().replace("&", " and "), *(c.lower() for c in classes)]))
+        found |= {e.discipline} & set(rules.DISCIPLINES)
+        words = [w.strip(".,:;()").lower() for w in e.name.split()]
+        if "nsea" in words and "EC" in [w.strip(".,:;()") for w in e.name.split("@")[0].split()]:
+            found.add("Eventers Challenge")
+        assert got[e.id] == {"discipline:" + d.lower().replace(" ", "-") for d in found}, e
+
+
+class Reader(HTMLParser):
+    """Texts of a page and of its article, references as they stand, elements that aren't read left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out, self.article, self.depth, self.within = [], [], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in SKIPPED
+        self.within += tag == "article"
+        self.put(" ")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in SKIPPED
+        self.within -= tag == "article"
+        self.put(" ")
+
+    def put(self, text):
+        if not self.depth:
+            self.out.append(text)
+            if self.within:
+                self.article.append(text)
+
+    handle_data = put
+
+    def handle_entityref(self, name):
+        self.put(f"&{name};")
+
+    def handle_charref(self, name):
+        self.put(f"&#{name};")
+
+
+SKIPPED = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg"}
+
+
+@pytest.mark.skipif(not glob.glob(f"{SF}/pages.parquet*"), reason="needs the driver's tables")
+def test_clean_pages_against_plain_version(spark):
+    """S5 over all pages."""
+    got = {r.page_id: r.text for r in QUERIES["S5_clean_html"](spark, SF).collect()}
+    pages = Tables(spark, SF).pages.select("page_id", "html").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        reader = Reader()
+        reader.feed(p.html.replace("<!DOCTYPE html>", " "))
+        page, article = (" ".join("".join(x).split()) for x in (reader.out, reader.article))
+        assert got[p.page_id] == (article if len(article) > 200 else page)[:6000]
