@@ -640,7 +640,7 @@ def _(t):
     SQL can't tell; tests compare it with a plain version."""
     from ..streaming.ingest import stream_upsert
 
-    return stream_upsert(t.extracted, t.venue, t.alias, t.postcode).events().select("id", "source_id", "name", "date_start", "venue_id", "event_type", "discipline", "tags", "venue_match_type")
+    return stream_upsert(t.extracted, t.venue, t.alias, t.postcode, files=2).events().select("id", "source_id", "name", "date_start", "venue_id", "event_type", "discipline", "tags", "venue_match_type")
 
 
 @query("R2_run_log_alerts", f"WITH r AS (SELECT source_id, id, {FOUND} AS found, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS back FROM scan WHERE status = 'completed'), s AS (SELECT source_id, sum(CASE WHEN found > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY id DESC) AS hits FROM r WHERE back <= 20) SELECT source_id, count(CASE WHEN hits = 0 THEN 1 END) AS streak, count(CASE WHEN hits = 0 THEN 1 END) >= 3 AS alert FROM s GROUP BY source_id")
