@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not _stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = join_anew(both.where("b > a"), least, ["a"]).select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = join_anew(both.where("b > a"), least, ["a"]).select(F.col("m").alias("a"), "b").where("a < b")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         pairs = join_anew(large, least, ["b"])
         small = pairs.select(F.col("m").alias("a"), F.col("b")).union(pairs.select(F.col("m").alias("a"), F.col("a").alias("b")))
