@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 #: Vectors of one index block, queries of one chunk, and the width of an impact level.
-BLOCK, CHUNK, LEVEL = 16_384, 1024, 32
+BLOCK, CHUNK, LEVEL = 16_384, 1024, 64
 #: Chunks that go to a block at once.
 SET = 8
 
@@ -30,8 +30,8 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.value = np.take_along_axis(vectors.T, self.order.astype(np.int64), axis=1).copy()
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
+        self.value = np.take_along_axis(vectors.T, self.order, axis=1).copy()
         self.place = {int(v): k for k, v in enumerate(ids)}
         dims, starts, ends, tops, bottoms = [], [], [], [], []
         for d, row in enumerate(self.value):
@@ -73,7 +73,7 @@ class Index:
             last[d] = s
         remaining = left.sum() - np.cumsum(size - following) if len(use) else np.zeros(0, np.int64)
 
-        gained, done, checks = np.zeros(n, np.int64), 0, 12
+        gained, done, checks = np.zeros(n, np.int64), 0, 6
         floor = None
         for c in range(1, checks + 1):
             upto = len(use) * c // checks
@@ -83,7 +83,7 @@ class Index:
                 gained[self.order[d, a:b]] += query[d] * self.value[d, a:b]
             done = upto
             open_gain = int(remaining[done - 1]) if done else int(left.sum())
-            if c < checks // 3 and open_gain:
+            if c < checks // 2 and open_gain:
                 continue
             likely = np.argpartition(-gained, min(4 * k + 4, n - 1))[: 4 * k + 4]
             scores = self.exact(query, likely)[self.ids[likely] != own_id]
