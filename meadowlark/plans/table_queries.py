@@ -141,7 +141,7 @@ def _(t):
     return V.enrich(t.extracted.select("batch_seq", "name", "url"), t.event).select("batch_seq", "description", "date_end")
 
 
-@query("J14_shared_coordinates", "WITH c AS (SELECT venue_name, min(batch_seq) AS b FROM extracted WHERE batch_seq % 7 = 0 AND venue_name <> '' GROUP BY 1) SELECT e.batch_seq, 50 + CAST(b % 100 AS DOUBLE) * 0.125 AS latitude, CASE WHEN b IS NOT NULL THEN -1.5 END AS longitude FROM extracted e LEFT JOIN c ON c.venue_name = e.venue_name")
+@query("J14_shared_coordinates", "WITH c AS (SELECT venue_name, min(batch_seq) AS b FROM extracted WHERE batch_seq % 7 = 0 AND venue_name <> '' GROUP BY 1) SELECT e.batch_seq, 50 + CAST(b % 100 AS DOUBLE) * 0.125 AS latitude, CASE WHEN b IS NOT NULL THEN CAST(-1.5 AS DOUBLE) END AS longitude FROM extracted e LEFT JOIN c ON c.venue_name = e.venue_name")
 def _(t):
     some = C("batch_seq") % 7 == 0
     e = t.extracted.select("batch_seq", "venue_name", F.when(some, 50 + (C("batch_seq") % 100).cast("double") * 0.125).alias("latitude"), F.when(some, F.lit(-1.5)).alias("longitude"))
