@@ -10,7 +10,7 @@ PRIME = (1 << 61) - 1
 #: Key of the word digests and multiplier of the windows: random numbers, fixed for good.
 KEY, BASE = bytes.fromhex("8f1bbcdc6ed9eba15a827999ca62c1d6"), 0x0B5A_D4EC_EDA1_CE2A
 #: Words whose digests are kept at a time, and the length up to which they are.
-KEPT, SHORT = 400_000, 64
+KEPT, SHORT = 100_000, 64
 M29, M30, M31, M32, P = (np.uint64((1 << k) - 1) for k in (29, 30, 31, 32, 61))
 S29, S30, S31, S32, S61 = (np.uint64(k) for k in (29, 30, 31, 32, 61))
 

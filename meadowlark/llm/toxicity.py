@@ -129,11 +129,12 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
         m = fit([rows[k] for k in order], np.array([toxic[k] for k in order]))
         yield pa.RecordBatch.from_arrays([pa.array([m.places]), pa.array([m.weights]), pa.array([m.bias])], names=["places", "weights", "bias"])
 
-    # at most most_toxic + most_clean short rows: a proven bound for the broadcast
+    # at most most_toxic + most_clean short rows: a proven bound for the broadcasts and the window
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    sample = docs.select("doc_id", "text", size.alias("size")).where(F.col("size") <= most_bytes // 100).join(F.broadcast(chosen), "doc_id")
-    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    sample = sample.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes)
+    sized = docs.select("doc_id", size.alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "order").agg(F.sum("size").alias("size")).where(F.col("size") <= most_bytes // 100)
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    allowed = sized.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(allowed), "doc_id")
     got = sample.select("doc_id", "toxic", sets(F.col("text")).alias("grams")).repartition(1).mapInArrow(fitted, "places binary, weights binary, bias double").first()
     return Model(bytes(got["places"]), bytes(got["weights"]), got["bias"]) if got else fit([], np.zeros(0))
 
