@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, media, packing, substring, topk, toxicity, urls
+from . import bpe, html, jaccard, lattice, lexical, media, packing, substring, topk, toxicity, urls, variants
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,6 +69,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"), k=10)
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.counted_words(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=6, least=5), factor=5)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_media_columns": op2_media_columns,
@@ -80,6 +92,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filters": op9_url_filters,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 OP9_SQL = r"""
@@ -121,4 +136,35 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op10_exact_top_k": OP10_SQL, "op5_substring_dedup": OP5_SQL, "op9_url_filters": OP9_SQL}
+OP11_SQL = r"""
+WITH asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark WHERE item_id IS NOT NULL),
+words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM words WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, t),
+df AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(nd) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, total GROUP BY t),
+impact AS (
+  SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l)) AS x FROM tf JOIN sizes USING (doc_id), total),
+scored AS (SELECT item_id, doc_id, CAST(sum(w * x) AS BIGINT) AS score FROM asked JOIN df USING (t) JOIN impact USING (t) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reached(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counts USING (vec_id)
+"""
+
+ORACLE_SQL = {"op11_ranked_search": OP11_SQL, "op12_embedding_near_dedup": OP12_SQL, "op10_exact_top_k": OP10_SQL, "op5_substring_dedup": OP5_SQL, "op9_url_filters": OP9_SQL}
