@@ -126,6 +126,14 @@ def venue_or_organiser(name: Column, organiser: Column) -> Column:
     return F.coalesce(venue_at(name), venue_after_sign(name), F.nullif(F.trim(organiser), F.lit("")), F.lit("TBC"))
 
 
+def organiser_of_title(name: Column) -> Column:
+    """Who holds an event by its title: the text up to the first word of an organiser's name (Riding Club, RC, …), else
+    what stands before " - "; null without either."""
+    spaced = "|".join([*(x.replace(" ", r"\s+") for x in rules.ORGANISERS), *(rf"{x}\b" for x in rules.ORGANISERS_SHORT)])
+    before = F.when(F.contains(name, F.lit(" - ")), F.nullif(F.trim(F.split_part(name, F.lit(" - "), F.lit(1))), F.lit("")))
+    return F.coalesce(F.nullif(F.trim(found(name, f"(?i)^(.*?(?:{spaced}))")), F.lit("")), before)
+
+
 def venue_of_title(name: Column) -> Column:
     """The place in "Place - Title", "Place : Title" or "Place | Title", or before a word that titles go on with; it has
     more than three characters; else Tbc. A bracket at the end goes first."""

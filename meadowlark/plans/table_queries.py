@@ -10,7 +10,7 @@ from ..operators import audit as A
 from ..operators import ingest as I
 from ..operators import search as S
 from ..operators import venues as V
-from ..sources import feeds, sinks
+from ..sources import feeds, markup, sinks
 from .demo import TODAY
 from .registry import query
 from .scalar_queries import DISC_MAP, DISC_SQL, TYPE, ruled, title
@@ -522,12 +522,16 @@ CLEAN = "replace(name, '&', 'and')"
 
 
 def listed(t):
-    """Events as a feed gives them, in pages of one source and month."""
-    return t.event.select("source_id", F.date_format("date_start", "yyyy-MM").alias("month"), "id", F.replace("name", F.lit("&"), F.lit("and")).alias("name"), "date_start", F.coalesce("date_end", "date_start").alias("date_end"), F.coalesce("url", F.lit("")).alias("url"))
+    """Events as a feed gives them; a page of a source and month holds so many ids at most, however many there are."""
+    month = F.date_format("date_start", "yyyy-MM")
+    return t.event.select(
+        "source_id", month.alias("month"), F.floor(C("id") / BUCKET).alias("page"), "id", F.replace("name", F.lit("&"), F.lit("and")).alias("name"), "date_start",
+        F.coalesce("date_end", "date_start").alias("date_end"), F.coalesce("url", F.lit("")).alias("url"),
+    )
 
 
 def paged(t, body):
-    return listed(t).groupBy("source_id", "month").agg(body.alias("body"))
+    return listed(t).groupBy("source_id", "month", "page").agg(body.alias("body"))
 
 
 @query("S1_json_payloads", f"SELECT {CLEAN} AS name, date_start, nullif(date_end, date_start) AS date_end FROM event")
@@ -536,11 +540,74 @@ def _(t):
     return feeds.FEEDS["calendar_api"](paged(t, F.to_json(F.struct(rows.alias("events"))))).select("name", "date_start", "date_end")
 
 
+@query("S1_meetings", f"SELECT id AS batch_seq, {CLEAN} AS name, date_start, nullif(date_end, date_start) AS date_end FROM event WHERE id % 3 <> 1")
+def _(t):
+    row = F.struct("id", "name", C("date_start").cast("string").alias("start_on"), C("date_end").cast("string").alias("end_on"), F.when(C("id") % 3 == 1, "FRA").otherwise("GBR").alias("venue_country"))
+    return feeds.FEEDS["meetings_api"](paged(t, F.to_json(F.collect_list(row)))).select("batch_seq", "name", "date_start", "date_end")
+
+
+@query("S1_search", f"SELECT id AS batch_seq, {CLEAN} AS name, date_start, nullif(date_end, date_start) AS date_end, 'Bury Farm' AS venue_name FROM event")
+def _(t):
+    row = F.struct("id", "name", F.concat(C("date_start").cast("string"), F.lit(" 09:00:00")).alias("start"), F.concat(C("date_end").cast("string"), F.lit(" 17:00:00")).alias("end"), F.lit("Bury Farm").alias("venue_name"))
+    rows = F.flatten(F.collect_list(F.array_repeat(row, F.when(C("id") % 4 == 0, 2).otherwise(1))))  # the feed repeats some of its rows
+    return feeds.FEEDS["search_api"](paged(t, F.to_json(F.struct(rows.alias("rows"))))).select("batch_seq", "name", "date_start", "date_end", "venue_name")
+
+
+@query("S1_tour", f"SELECT 'W' || source_id || ' ' || {CLEAN} AS name, date_start, nullif(date_end, date_start) AS date_end FROM event")
+def _(t):
+    week = F.concat(F.lit("W"), C("source_id").cast("string"))
+    row = F.struct(week.alias("virtual_week_code"), C("name").alias("description"), F.concat(C("date_start").cast("string"), F.lit("T08:00")).alias("start_at"), F.concat(C("date_end").cast("string"), F.lit("T20:00")).alias("end_at"))
+    return feeds.FEEDS["tour_api"](paged(t, F.to_json(F.struct(F.struct(F.collect_list(row).alias("show_ids")).alias("payload"))))).select("name", "date_start", "date_end")
+
+
+@query(
+    "S1_data_rows",
+    f"""SELECT id AS batch_seq, trim({CLEAN}) || ' & more' AS name, date_start, nullif(date_end, date_start) AS date_end, CASE WHEN id % 6 = 0 THEN 'TBC' ELSE 'Jo''s Yard' END AS venue_name,
+    CASE WHEN id % 2 = 0 THEN 'Prelim 1;Novice 2' ELSE '' END AS classes FROM event WHERE id % 5 <> 0 AND id % 7 <> 0""",
+)
+def _(t):
+    k = C("id")
+    row = F.struct(
+        "id", F.concat("name", F.lit(" &amp; more")).alias("full_show_name"), F.when(k % 6 != 0, "Jo&#39;s Yard").alias("venue_name"), C("date_start").cast("string").alias("start"), C("date_end").cast("string").alias("end"),
+        F.when(k % 2 == 0, "Prelim 1 + Novice 2 +").otherwise("").alias("class_range"), F.when(k % 7 == 0, "Cancelled").otherwise("open").alias("status"), F.when(k % 5 == 0, 5).otherwise(1).alias("event_status_id"),
+    )
+    rows = feeds.FEEDS["data_api"](paged(t, F.to_json(F.struct(F.collect_list(row).alias("data")))))
+    return rows.select("batch_seq", "name", "date_start", "date_end", "venue_name", F.array_join("classes", ";").alias("classes"))
+
+
+def table_of(row):
+    return F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), ""), F.lit("</table>"))
+
+
+def html_row(cells):
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+
+
 @query("S2_html_tables", f"SELECT trim({CLEAN}) AS name, date_start FROM event WHERE id % 5 <> 0")
 def _(t):
     cells = [F.date_format("date_start", "d MMM yyyy"), F.concat(F.lit("<a href='x'>"), C("name"), F.lit("</a>")), F.lit("90cm, 1m"), F.lit("Bury Farm"), F.lit(""), F.lit(""), F.when(C("id") % 5 == 0, "X").otherwise("")]
-    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
-    return feeds.FEEDS["html_table"](paged(t, F.concat(F.lit("<table>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")))).select("name", "date_start")
+    return feeds.FEEDS["html_table"](paged(t, table_of(html_row(cells)))).select("name", "date_start")
+
+
+ORGANISER = r"coalesce(nullif(trim(regexp_extract(nm, '(?i)^(.*?(?:Riding\s+Club|Pony\s+Club|Equestrian\s+Centre|Equestrian\s+Club|RC\b|PC\b))', 1)), ''), CASE WHEN contains(nm, ' - ') THEN nullif(trim(split_part(nm, ' - ', 1)), '') END, nm)"
+
+
+@query(
+    "S2_eight_cells",
+    f"""SELECT nm AS name, date_start, nullif(date_end, date_start) AS date_end, CASE WHEN id % 2 = 0 THEN 'Bury Farm' ELSE {ORGANISER} END AS venue_name,
+    CASE WHEN id % 2 = 0 THEN 'B94 6JD' END AS venue_postcode, CASE WHEN id % 3 = 0 THEN 'Dressage' END AS discipline, 'https://feed.example/e/' || id AS url
+    FROM (SELECT *, trim({CLEAN}) || ' & friends' AS nm FROM event) WHERE id % 5 <> 0""",
+)
+def _(t):
+    """Rows of eight cells, one of them with a table of its own, and cells that no tag ends."""
+    k = C("id")
+    link = F.concat(F.lit('<a href="/e/'), k.cast("string"), F.lit('">'), C("name"), F.lit("</a> &amp; friends"))
+    place = F.when(k % 2 == 0, "Bury Farm (B946JD)").otherwise("UK Location")
+    first = F.when(k % 5 == 0, "soon").otherwise(F.date_format("date_start", "dd/MM/yyyy"))
+    cells = [F.lit("<table><tr><td>add<td>share</table>"), link, first, F.date_format("date_end", "dd/MM/yyyy"), F.when(k % 3 == 0, "Dressage").otherwise(""), place, F.lit("Kent"), F.lit("3")]
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c) for c in cells])
+    pages = paged(t, table_of(row)).withColumn("url", F.lit("https://feed.example/list?page=1"))
+    return feeds.FEEDS["html_table"](pages).select("name", "date_start", "date_end", "venue_name", "venue_postcode", "discipline", "url")
 
 
 @query("S3_rss_items", f"SELECT {CLEAN} AS name, date_start FROM event")
@@ -562,8 +629,8 @@ def _(t):
 
 @query("S5_clean_html")
 def _(t):
-    """Text of pages for reading; tests compare it with a plain version."""
-    return t.pages.select("page_id", feeds.clean_html(C("html")).alias("text"))
+    """Text of pages for reading; tests compare it with a plain reader that knows no trees."""
+    return t.pages.select("page_id", markup.clean_html(C("html")).alias("text"))
 
 
 @query("S6_reply_rows", "SELECT id, name, CAST(date_start AS VARCHAR) AS date_start FROM event WHERE id % 4 <> 1")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, text
+from .markup import table_rows
 
 #: Feed key -> function of a table (source_id, url, body) to extracted rows.
 FEEDS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -78,23 +79,55 @@ def tour_api(pages: DataFrame) -> DataFrame:
     return rows.select("source_id", "batch_seq", F.concat_ws(" ", "e.virtual_week_code", "e.description").alias("name"), start.alias("date_start"), F.nullif(end, start).alias("date_end"))
 
 
-def table_cells(body: Column) -> Column:
-    """Rows of HTML tables as arrays of cell texts without markup."""
-    rows = F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), clean))
+DATA = "data array<struct<id:long,full_show_name:string,venue_name:string,start:string,end:string,class_range:string,status:string,event_status_id:int>>"
+#: Fixed value: the status of a cancelled event.
+CANCELLED = 5
+
+
+@feed("data_api")
+def data_api(pages: DataFrame) -> DataFrame:
+    """{"data": [{id, full_show_name, venue_name, start, end, class_range, status, event_status_id}]}: names and venues
+    with their character references decoded, classes joined by "+"; cancelled rows, and rows without a name or a
+    readable start, go. A row without a venue is at TBC."""
+    rows = pages.select("source_id", F.explode(F.from_json("body", DATA)["data"]).alias("e"))
+    off = F.coalesce((F.lower("e.status") == "cancelled") | (F.col("e.event_status_id") == CANCELLED), F.col("e.event_status_id") == CANCELLED, F.lit(False))
+    start, end = dates.parse_date(F.col("e.start")), dates.parse_date(F.col("e.end"))
+    flat = rows.where(~off).select(
+        "source_id", F.col("e.id").alias("batch_seq"), F.trim(unescape_html(F.col("e.full_show_name"))).alias("name"), start.alias("date_start"), F.nullif(end, start).alias("date_end"),
+        F.coalesce(F.nullif(F.trim(unescape_html(F.col("e.venue_name"))), F.lit("")), F.lit("TBC")).alias("venue_name"), listed_classes(F.col("e.class_range"), "+").alias("classes"),
+    )
+    return flat.where("name <> '' AND date_start IS NOT NULL")
+
+
+def listed_classes(value: Column, sign: str) -> Column:
+    """The parts of a text between signs, trimmed, empty ones gone."""
+    return F.filter(F.transform(F.split(value, f"[{sign}]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 @feed("html_table")
 def html_table(pages: DataFrame) -> DataFrame:
-    """Seven cells: dates, name, classes, venue, -, -, status (cancelled rows go). Four cells: date, type, area, link."""
-    rows = pages.select("source_id", F.posexplode(table_cells(F.col("body"))).alias("batch_seq", "c"))
-    seven, four = F.size("c") == 7, F.size("c") == 4
+    """Rows of tables, known by their number of cells. Seven: dates, name, classes, venue, -, -, status (cancelled rows
+    go). Four: date, type, area, link. Eight: actions, name, first day, last day, discipline, venue with postcode,
+    county, number (rows without a name or a readable first day go; "UK Location" and the like are at the organiser's,
+    which the name begins with). Tables within cells are tables of their own."""
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select("source_id", F.posexplode(table_rows(F.col("body"), url)).alias("batch_seq", "r"))
+    rows = rows.select("source_id", "batch_seq", F.col("r.cells").alias("c"), F.col("r.link").alias("url"))
+    seven, four, eight = (F.size("c") == k for k in (7, 4, 8))
     start, end = dates.date_range(F.get("c", 0))
+    first, last = (F.try_to_date(F.get("c", k), "dd/MM/yyyy") for k in (2, 3))
     cancelled = seven & F.upper(F.trim(F.get("c", 6))).isin("X", "CANCELLED")
-    name = F.when(seven, F.get("c", 1)).otherwise(F.concat_ws(" - ", F.get("c", 1), F.get("c", 2)))
-    classes = F.when(seven, F.filter(F.transform(F.split(F.get("c", 2), ","), lambda x: F.trim(x)), lambda x: x != ""))
-    return rows.where((seven | four) & ~cancelled).select("source_id", "batch_seq", name.alias("name"), start.alias("date_start"), end.alias("date_end"), F.when(seven, F.get("c", 3)).otherwise(F.get("c", 2)).alias("venue_name"), classes.alias("classes"))
+    usable = seven | four | (eight & (F.get("c", 1) != "") & first.isNotNull())
+    name = F.when(four, F.concat_ws(" - ", F.get("c", 1), F.get("c", 2))).otherwise(F.get("c", 1))
+    code = F.nullif(F.regexp_extract(F.get("c", 5), r"(?i)\b([A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2})\b", 1), F.lit(""))
+    place = F.rtrim(F.trim(F.when(code.isNull(), F.get("c", 5)).otherwise(F.replace(F.get("c", 5), code, F.lit("")))), F.lit("() "))
+    unknown = F.lower(place).isin("uk location", "n/a", "")
+    own = F.coalesce(F.when(~unknown, place), text.organiser_of_title(F.get("c", 1)), F.get("c", 1))
+    return rows.where(usable & ~cancelled).select(
+        "source_id", "batch_seq", name.alias("name"), F.when(eight, first).otherwise(start).alias("date_start"), F.when(eight, F.nullif(last, first)).otherwise(end).alias("date_end"),
+        F.when(seven, F.get("c", 3)).when(eight, own).otherwise(F.get("c", 2)).alias("venue_name"), F.when(seven, listed_classes(F.get("c", 2), ",")).alias("classes"),
+        F.when(eight, text.normalise_postcode(code)).alias("venue_postcode"), F.when(eight, F.nullif(F.get("c", 4), F.lit(""))).alias("discipline"), "url",
+    )
 
 
 ITEM = "title string, link string, pubDate string"
@@ -130,25 +163,6 @@ def json_ld(pages: DataFrame) -> DataFrame:
     return event.select("source_id", "url", get("$.name").alias("name"), start.alias("date_start"), F.nullif(end, start).alias("date_end"), get("$.location.name").alias("venue_name"))
 
 
-def clean_html(html: Column, most: int = 6000) -> Column:
-    """Text of a page for reading: boilerplate elements go; tables (over 50 characters each, over 200 in all, cells
-    joined by " | ") come first, then main or article (over 200), else the page; white space is collapsed. `most`
-    characters are kept, which is what the reader of these texts takes."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|form|noscript|iframe|svg)\b[^>]*>.*?</\1\s*>", " ")
-
-    def plain(x: Column) -> Column:
-        return F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))
-
-    def cells(x: Column) -> Column:
-        rows = F.transform(F.regexp_extract_all(x, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), plain), " | "))
-        return F.array_join(rows, "\n")
-
-    tables = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?is)(<table[^>]*>.*?</table>)"), 1), cells), lambda x: F.length(x) > 50)
-    listed = F.array_join(tables, "\n")
-    main = plain(F.regexp_extract(text, r"(?is)<(main|article)\b[^>]*>(.*?)</\1\s*>", 2))
-    return F.substring(F.when(F.length(listed) > 200, listed).when(F.length(main) > 200, main).otherwise(plain(text)), 1, most)
-
-
 def relevant(rows: DataFrame, country: str = "GBR", kinds: tuple[str, ...] = ("training",)) -> DataFrame:
     """Feed rows without those that are cancelled (status X or cancelled), of another country (if one is told), or of
     kinds that a feed lists but isn't read for."""
