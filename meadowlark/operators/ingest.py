@@ -114,13 +114,14 @@ KEY = ["name", "date_start", "venue_id"]
 REFRESHED = ["discipline", "event_type", "spectator", "hidden", "description", "classes", "tags", "raw_extract", "venue_match_type"]
 
 
-def upsert(table: DataFrame, batch: DataFrame, seen_at: Column, largest: int | None = None) -> DataFrame:
+def upsert(table: DataFrame, batch: DataFrame, seen_at: Column, largest: int | None = None, made: dict[str, Column] | None = None) -> DataFrame:
     """The event table after a batch (columns of the table, batch with source_id and batch_seq).
 
     A row's target is the stored row with its name, date and venue (null is a venue of its own), of the same source if
     there is one, else the one with the lowest id; rows without a target make one new row per key. Refreshed columns
     get the last row's values, date_end the first value that isn't null unless one is stored, url the last that isn't
-    null; name, date, source and first_seen_at stay. largest: the largest id in use, if the table is only a part.
+    null; name, date, source and first_seen_at stay. largest: the largest id in use, if the table is only a part. made: values of
+    further columns of new rows.
 
     The batch is aggregated by key and source before its first shuffle, so that a key of any size is one row per
     source by then. These rows meet the stored keys in one join by key; what follows is grouped by key too and needs
@@ -153,7 +154,7 @@ def upsert(table: DataFrame, batch: DataFrame, seen_at: Column, largest: int | N
     if largest is None:
         largest = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = numbered(news.where("t_id IS NULL").withColumn("source_id", F.col("first_source")), ["source_id", "first_seq", *keys], largest)
-    fresh = fresh.withColumns({"id": F.col("number"), "first_seen_at": seen_at, "last_seen_at": seen_at})
+    fresh = fresh.withColumns({"id": F.col("number"), "first_seen_at": seen_at, "last_seen_at": seen_at, **(made or {})})
     return kept.unionByName(fresh.select(*table.columns))
 
 

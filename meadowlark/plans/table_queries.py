@@ -11,6 +11,7 @@ from ..operators import ingest as I
 from ..operators import search as S
 from ..operators import venues as V
 from ..sources import feeds, markup, sinks
+from ..streaming.alerts import ALERTS
 from .demo import TODAY
 from .registry import query
 from .scalar_queries import DISC_MAP, DISC_SQL, TYPE, ruled, title
@@ -707,7 +708,7 @@ def _(t):
     SQL can't tell; tests compare it with a plain version."""
     from ..streaming.ingest import stream_upsert
 
-    return stream_upsert(t.extracted, t.venue, t.alias, t.postcode, files=2).events().select("id", "source_id", "name", "date_start", "venue_id", "event_type", "discipline", "tags", "venue_match_type")
+    return stream_upsert(t.extracted, t.venue, t.alias, t.postcode, files=4).events().select("id", "source_id", "name", "date_start", "venue_id", "event_type", "discipline", "tags", "venue_match_type")
 
 
 @query("R2_run_log_alerts", f"WITH r AS (SELECT source_id, id, {FOUND} AS found, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS back FROM scan WHERE status = 'completed'), s AS (SELECT source_id, sum(CASE WHEN found > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY id DESC) AS hits FROM r WHERE back <= 20) SELECT source_id, count(CASE WHEN hits = 0 THEN 1 END) AS streak, count(CASE WHEN hits = 0 THEN 1 END) >= 3 AS alert FROM s GROUP BY source_id")
@@ -715,3 +716,23 @@ def _(t):
     from ..streaming.ingest import run_log
 
     return A.zero_streaks(run_log(t.scan))
+
+
+@query(
+    "R2_alert_stream",
+    f"""WITH r AS (SELECT source_id, id, {FOUND} AS found, lag({FOUND}) OVER w AS before, max(CASE WHEN {FOUND} > 0 THEN n END) OVER w AS hit, n
+      FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS n FROM scan WHERE status = 'completed') WINDOW w AS (PARTITION BY source_id ORDER BY id)),
+    s AS (SELECT *, CAST(least(n - coalesce(hit, 0), 20) AS INT) AS streak FROM r)
+    SELECT source_id, id, 'drop' AS alert, found, before, streak FROM s WHERE found < before * 0.5 UNION ALL SELECT source_id, id, 'zeros', found, before, streak FROM s WHERE streak >= 3""",
+)
+def _(t):
+    """Alerts as they are told while runs arrive, in three deliveries by day."""
+    from ..operators.storage import scratch
+    from ..streaming.alerts import start, watch
+
+    landing, told = scratch(t.spark, "runs"), scratch(t.spark, "alerts")
+    for days in ("day <= 10", "day > 10 AND day <= 20", "day > 20"):
+        t.scan.where(days).coalesce(1).write.mode("append").parquet(landing)
+    runs = t.spark.readStream.schema(t.scan.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    start(t.spark, watch(runs), told, scratch(t.spark, "offsets")).awaitTermination()
+    return t.spark.read.schema(ALERTS).parquet(told)

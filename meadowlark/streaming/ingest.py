@@ -11,44 +11,63 @@ from ..operators.storage import scratch
 
 EVENT_SCHEMA = (
     "id long, source_id long, name string, date_start date, venue_id long, date_end date, discipline string, event_type string, spectator boolean, hidden boolean, "
-    "description string, classes string, tags string, raw_extract string, venue_match_type string, url string, first_seen_at timestamp, last_seen_at timestamp"
+    "description string, classes string, tags string, raw_extract string, venue_match_type string, url string, first_seen_at timestamp, last_seen_at timestamp, first_batch int"
 )
 VENUE_SCHEMA = "id long, name string, postcode string, latitude double, longitude double, source string"
 RUN_SCHEMA = "source_id long, competitions long, others long, exact long, alias long, postcode long, new long, inserted long"
-LAYOUT = {"events": (EVENT_SCHEMA, "month string"), "venues": (VENUE_SCHEMA, "batch int"), "runs": (RUN_SCHEMA, "batch int")}
+LAYOUT = {"events": (EVENT_SCHEMA, "month string"), "venues": (VENUE_SCHEMA, "batch int"), "runs": (RUN_SCHEMA, "batch int"), "marks": ("largest long", "batch int")}
+
+
+#: Parts of the rolling state, by the hash of the key.
+PARTS = 64
+
+
+class Rolling:
+    """The rolling state as a table in parts by the hash of its key. A batch brings the new values of the keys that it
+    changed; only the parts that hold them are read and written anew, so that a batch costs what it touches. Values
+    are whole, not increments: a batch that runs again gives the same table."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, parts: int = PARTS):
+        self.spark, self.path, self.keys, self.schema, self.parts = spark, path, keys, schema, parts
+        spark.createDataFrame([], f"{schema}, part int").write.mode("append").partitionBy("part").parquet(path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, part int").parquet(self.path)
+
+    def put(self, changed: DataFrame, number: int | None = None) -> None:
+        new = changed.withColumn("part", F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")).checkpoint()
+        touched = [r[0] for r in new.select("part").distinct().collect()]  # at most as many as there are parts
+        if touched:
+            same = [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in self.keys]
+            old = self.read().where(F.col("part").isin(touched))
+            old = old.join(new.select(*[F.col(k).alias(f"new_{k}") for k in self.keys]), same, "left_anti")
+            after = old.unionByName(new).repartition(min(len(touched), self.parts), "part").checkpoint()  # read before it is overwritten
+            after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
 
 
 def rolling_ingest(extracted: DataFrame, files: int = 4) -> DataFrame:
-    """name, date_start, first_seq, deliveries: the rows are written as files, read as a stream of one file at a time,
-    gated, and merged by key into a state table; the latest state is returned. Each batch writes a new version of the
-    state under its batch number, so a batch that runs again gives the same table."""
+    """name, date_start, first_seq, deliveries: the rows are written as files and read as a stream of one file at a
+    time, gated, and aggregated by key in the stream's state store, which writes what changes; each batch puts the keys
+    that it changed into a table (Rolling), which is returned."""
     spark = extracted.sparkSession
-    landing, state = scratch(spark, "landing"), scratch(spark, "state")
+    landing = scratch(spark, "landing")
     extracted.repartition(files).write.parquet(landing)
-    last = {"version": None}
-
-    def merge(batch: DataFrame, number: int) -> None:
-        new = gate(batch).groupBy("name", "date_start").agg(F.min("batch_seq").alias("first_seq"), F.count("*").alias("deliveries"))
-        if number:
-            new = new.union(spark.read.parquet(f"{state}/v{number - 1}")).groupBy("name", "date_start").agg(F.min("first_seq").alias("first_seq"), F.sum("deliveries").alias("deliveries"))
-        new.write.mode("overwrite").parquet(f"{state}/v{number}")
-        last["version"] = number
-
+    state = Rolling(spark, scratch(spark, "state"), ["name", "date_start"], "name string, date_start date, first_seq long, deliveries long")
     stream = spark.readStream.schema(extracted.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
+    counted = gate(stream).groupBy("name", "date_start").agg(F.min("batch_seq").alias("first_seq"), F.count("*").alias("deliveries"))
+    query = counted.writeStream.outputMode("update").foreachBatch(state.put).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
-    if last["version"] is None:
-        return gate(extracted).groupBy("name", "date_start").agg(F.min("batch_seq").alias("first_seq"), F.count("*").alias("deliveries"))
-    return spark.read.parquet(f"{state}/v{last['version']}")
+    return state.read().drop("part")
 
 
 class Listings:
-    """The tables that the ingest keeps under one folder: events by month of their start, venues that were made for
-    unknown names by batch, and counters of runs by batch.
+    """The tables that the ingest keeps under one folder: events by month of their start, with the batch that brought
+    them first; venues that were made for unknown names, counters of runs, and the largest id, each by batch.
 
-    A batch reads and rewrites only the months that it has rows of (dynamic overwrite), and starts from the venues of
-    the batches before it. If it runs again after a failure, rows that it had stored already are found and refreshed,
-    and its venues and counters replace those of its first try, so nothing is taken twice.
+    A batch reads and rewrites only the months that it has rows of (dynamic overwrite), and starts from the venues and
+    the largest id of the batches before it. If it runs again after a failure, rows that it had stored already are
+    found and refreshed; it counts as inserted what no batch before it had; and its venues, counters and largest id
+    replace those of its first try, so nothing is taken twice.
     """
 
     def __init__(self, spark: SparkSession, base: str, venues: DataFrame, aliases: DataFrame, postcodes: DataFrame | None = None):
@@ -88,13 +107,19 @@ class Listings:
         self.put(blank.withColumns({"source": F.lit("dynamic"), "batch": F.lit(number)}), "venues", "batch")
         ready = I.classified(I.with_new_venues(rows, made)).checkpoint()
 
-        events, month = self.events(), F.date_format("date_start", "yyyy-MM")
-        months = [r[0] for r in ready.select(month).distinct().collect()]
-        largest = events.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        before = events.where(F.col("month").isin(months)).drop("month")
-        self.put(I.run_counters(ready, before).withColumn("batch", F.lit(number)), "runs", "batch")
+        month = F.date_format("date_start", "yyyy-MM")
+        months = [r[0] for r in ready.select(month).distinct().collect()]  # bounded by the calendar
+        before = self.events().where(F.col("month").isin(months)).drop("month")
+        earlier = before.where(F.coalesce(F.col("first_batch") < number, F.lit(True)))
+        self.put(I.run_counters(ready, earlier).withColumn("batch", F.lit(number)), "runs", "batch")
+        # the largest id of the batches before, and of what a first try of this one has stored
+        largest = self.read("marks").where(F.col("batch") < number).agg(F.coalesce(F.max("largest"), F.lit(0))).first()[0]
+        own = before.where(F.col("first_batch") == number).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         columns = ["batch_seq", "source_id", *I.KEY, "date_end", *I.REFRESHED, "url"]
-        after = I.upsert(before, ready.select(*columns), F.current_timestamp() if seen_at is None else seen_at, largest).checkpoint()
+        seen = F.current_timestamp() if seen_at is None else seen_at
+        after = I.upsert(before, ready.select(*columns), seen, max(largest, own), {"first_batch": F.lit(number)}).checkpoint()
+        mark = after.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(largest)).cast("long").alias("largest"))
+        self.put(mark.withColumn("batch", F.lit(number)), "marks", "batch")
         self.put(after.withColumn("month", month), "events", "month")  # read before it is overwritten: checkpoint()
 
 
