@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, radians
+from math import cos, pi, radians, sin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,9 +32,38 @@ def bounding_box(lat: float, lng: float, miles: float) -> tuple[float, float, fl
     return lat - d, lat + d, lng - e, lng + e
 
 
-def cells_wide(lat: Column) -> Column:
-    """How many square grid cells of a radius's height lie to each side of a point at most, up to 85 degrees."""
-    return F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + 1, F.lit(86.0)))), F.lit(0.05))).cast("int")
+def _reach(miles: float) -> float:
+    """The chord of a distance on the unit sphere, and a little more."""
+    return 2 * sin(min(pi / 2, miles / EARTH_MILES / 2)) * 1.000001 + 1e-9
+
+
+def _axes(lat: Column, lng: Column) -> list[Column]:
+    """A place as a point of the unit sphere. There are no edges: places across the 180th meridian or around a pole are
+    as near to each other as anywhere."""
+    return [F.cos(F.radians(lat)) * F.cos(F.radians(lng)), F.cos(F.radians(lat)) * F.sin(F.radians(lng)), F.sin(F.radians(lat))]
+
+
+def cell(lat: Column, lng: Column, miles: float) -> Column:
+    """The cube of space that holds a place; its edge is twice the chord of the distance."""
+    edge = 2 * _reach(miles)
+    return F.struct(*[F.floor(x / edge).alias(n) for x, n in zip(_axes(lat, lng), "xyz", strict=True)])
+
+
+def cells_around(lat: Column, lng: Column, miles: float) -> Column:
+    """The cubes that a place within the distance can be in: at most two along each axis, fewer on average, and only
+    those that the sphere's surface passes through."""
+    reach = _reach(miles)
+    edge = 2 * reach
+    spans = [F.sequence(F.floor((x - reach) / edge), F.floor((x + reach) / edge)) for x in _axes(lat, lng)]
+
+    def surface(c: Column) -> Column:
+        low = [F.greatest(c[n] * edge, -(c[n] + 1) * edge, F.lit(0.0)) for n in "xyz"]
+        high = [F.greatest(F.abs(c[n] * edge), F.abs((c[n] + 1) * edge)) for n in "xyz"]
+        squares = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+        return (squares(low) <= 1.000001) & (squares(high) >= 0.999999)
+
+    every = F.flatten(F.flatten(F.transform(spans[0], lambda x: F.transform(spans[1], lambda y: F.transform(spans[2], lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
+    return F.filter(every, surface)
 
 
 def coordinates_in(text: Column) -> tuple[Column, Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -138,7 +139,36 @@ ALIASES = sorted(
     {(d.lower().replace(" ", "-"), a) for d, aliases in rules.DISCIPLINES.items() for a in (d.lower(), *aliases) if a not in rules.TITLE_DENY},
     key=lambda x: (-len(x[1]), list(rules.DISCIPLINES).index(next(d for d in rules.DISCIPLINES if d.lower().replace(" ", "-") == x[0])), x[1]),
 )
-PATTERNS = [(s, re.compile(rf"\b{re.escape(a)}" + (r"s?\b" if a.isalpha() and len(a) >= 4 else r"\b"))) for s, a in ALIASES]
+
+
+@lru_cache(maxsize=1)
+def _automaton():
+    """All aliases in one automaton, each with its place in the order in which they claim, and whether it has a plural."""
+    from ahocorasick import Automaton
+
+    found = Automaton()
+    for rank, (value, alias) in enumerate(ALIASES):
+        ranks = found.get(alias, ())
+        found.add_word(alias, (*ranks, (rank, len(alias), value, alias.isalpha() and len(alias) >= 4)))
+    found.make_automaton()
+    return found
+
+
+def mentioned(text: str) -> list[tuple[int, int, int, str]]:
+    """(rank, start, end, value) of every alias that stands in a text as a word of its own, or as its plural, in one
+    pass over the text; in order of rank, then place."""
+    out = []
+    word = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+    border = lambda k: word(k - 1) != word(k)
+    for last, ranks in _automaton().iter(text):
+        end = last + 1
+        for rank, size, value, plural in ranks:
+            if border(end - size):
+                if plural and text[end : end + 1] == "s" and border(end + 1):
+                    out.append((rank, end - size, end + 1, value))
+                elif border(end):
+                    out.append((rank, end - size, end, value))
+    return sorted(out)
 
 
 def scan_disciplines(name: str, classes: list[str], primary: str | None, venue: str | None, source: str | None) -> list[str]:
@@ -150,12 +180,11 @@ def scan_disciplines(name: str, classes: list[str], primary: str | None, venue:
     text = " | ".join([text, *((c or "").lower() for c in classes)])
     taken: list[tuple[int, int]] = []
     out: list[str] = []
-    for value, pattern in PATTERNS:
-        for m in pattern.finditer(text):
-            if not any(a <= m.start() and m.end() <= b for a, b in taken):
-                taken.append(m.span())
-                if value not in out:
-                    out.append(value)
+    for _, start, end, value in mentioned(text):
+        if not any(a <= start and end <= b for a, b in taken):
+            taken.append((start, end))
+            if value not in out:
+                out.append(value)
     own = (primary or "").lower().replace(" ", "-")
     if own in rules.VOCABULARY["discipline"] and own not in out:
         out.insert(0, own)
@@ -217,6 +246,13 @@ def class_list(text: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def classes_after_heading(text: Column) -> Column:
+    """Classes that a text lists after "Classes:" or "Heights -" and the like, up to the end of the line, between commas,
+    bars and slashes; none without such a heading."""
+    line = F.regexp_extract(text, r"(?i)(?:Classes?|Heights?)\s*[:\-]\s*(.+?)(?:\n|$)", 1)
+    return F.filter(F.transform(F.split(line, "[|,/]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def from_json_list(text: Column) -> Column:
     """Tags or classes stored as JSON text; anything that is no list becomes an empty one."""
     return F.coalesce(F.from_json(text, STRINGS), F.array().cast(STRINGS))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, rules, tags
 from ..functions.text import area_letters, disambiguate_venue, normalise_discipline, normalise_venue_name
+from .scans import filled, lagged
 from .search import real_place
 
 #: Fixed values of the alerts: share of the run before, length of a streak, runs looked back on.
@@ -86,12 +87,13 @@ def collapse_days(rows: DataFrame, key: str, day: str, category: str) -> DataFra
 def run_drops(scans: DataFrame, share: float = DROP) -> DataFrame:
     """Completed runs that found less than a share of the completed run before of their source."""
     total = F.col("competitions_found_comp") + F.col("competitions_found_training")
-    done = scans.where("status = 'completed'").withColumn("found", total).withColumn("before", F.lag("found").over(Window.partitionBy("source_id").orderBy("id")))
+    done = lagged(scans.where("status = 'completed'").select("id", "source_id", total.alias("found")), ["source_id"], ["id"], "found", "before")
     return done.where(F.col("found") < F.col("before") * share).select("id", "source_id", "found", "before")
 
 
 def zero_streaks(scans: DataFrame, look_back: int = LOOK_BACK, alert: int = STREAK) -> DataFrame:
-    """Of each source how many of its latest completed runs in a row found nothing, and whether that is an alert."""
+    """Of each source how many of its latest completed runs in a row found nothing, and whether that is an alert. Each
+    task keeps the latest runs of a source before they meet, so that a source of any size is a few rows by then."""
     total = F.col("competitions_found_comp") + F.col("competitions_found_training")
     w = Window.partitionBy("source_id").orderBy(F.desc("id"))
     last = scans.where("status = 'completed'").withColumn("back", F.row_number().over(w)).where(F.col("back") <= look_back)
@@ -101,8 +103,7 @@ def zero_streaks(scans: DataFrame, look_back: int = LOOK_BACK, alert: int = STRE
 
 def fill_down(rows: DataFrame, partition: str, order: str, value: str) -> DataFrame:
     """The last value that isn't null so far: headings apply to the rows after them."""
-    w = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    return filled(rows, [partition], [order], value)
 
 
 def prefer(feeds: DataFrame, partition: str, rank: Column) -> DataFrame:
@@ -190,19 +191,15 @@ def sync_actions(wanted: DataFrame, stored: DataFrame, key: str, columns: list[s
 
 
 def nearest_postcode(points: DataFrame, postcodes: DataFrame, steps_km: tuple[float, ...] = (2.0, 20.0)) -> DataFrame:
-    """id, postcode, km of the nearest postcode within the first step, else within the next: an equi-join on grid
-    cells as high as the step and as many to each side as the latitude asks for; only points without a hit go on to
-    the next. For latitudes up to 85 degrees; places across the 180th meridian don't meet."""
+    """id, postcode, km of the nearest postcode within the first step, else within the next: an equi-join on cells of
+    space as wide as the step asks for, anywhere on the globe; only points without a hit go on to the next."""
     left, out = points.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude"), None
     for km in steps_km:
         miles = km * 0.621371
-        size = miles * geo.MARGIN / geo.DEGREE_MILES
-        cell = lambda c, s=size: F.floor(F.col(c) / s)
-        p = postcodes.select("postcode", F.col("latitude").alias("plat"), F.col("longitude").alias("plng"), cell("latitude").alias("cy"), cell("longitude").alias("cx"))
-        wide = geo.cells_wide(F.col("latitude"))
-        around = left.withColumn("cy", F.explode(F.sequence(cell("latitude") - 1, cell("latitude") + 1))).withColumn("cx", F.explode(F.sequence(cell("longitude") - wide, cell("longitude") + wide)))
+        p = postcodes.select("postcode", F.col("latitude").alias("plat"), F.col("longitude").alias("plng"), geo.cell(F.col("latitude"), F.col("longitude"), miles).alias("cell"))
+        around = left.withColumn("cell", F.explode(geo.cells_around(F.col("latitude"), F.col("longitude"), miles)))
         d = geo.haversine_miles(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plng"))
-        hit = around.join(p, ["cy", "cx"]).withColumn("km", d / 0.621371).where(F.col("km") <= km)
+        hit = around.join(p, "cell").withColumn("km", d / 0.621371).where(F.col("km") <= km)
         best = hit.groupBy("id").agg(F.min(F.struct("km", "postcode")).alias("b")).select("id", F.col("b.postcode").alias("postcode"), F.col("b.km").alias("km"))
         left = left.join(best, "id", "left_anti")
         out = best if out is None else out.union(best)
@@ -216,6 +213,44 @@ def discipline_audit(rows: DataFrame) -> DataFrame:
     return g.withColumn("outcome", F.when(F.col("canonical").isNull(), "unmapped").when(F.col("canonical") == F.col("raw"), "kept").otherwise("rewritten"))
 
 
+def canonical_disciplines(rows: DataFrame) -> DataFrame:
+    """rows with each discipline that has a canonical form replaced by it: the rewrites of discipline_audit(). Values are
+    normalised once each, and only those that change are joined."""
+    known = discipline_audit(rows).where("outcome = 'rewritten'").select(F.col("raw").alias("__raw"), "canonical")
+    told = rows.join(known, F.col("discipline") == F.col("__raw"), "left")
+    return told.withColumn("discipline", F.coalesce("canonical", "discipline")).select(*rows.columns)
+
+
+#: Upper bounds of the run-time buckets in seconds.
+BUCKETS = (1, 5, 10, 30, 60, 120, 300, 600)
+
+
+def run_time_buckets(scans: DataFrame) -> DataFrame:
+    """source_id, le, n: how many runs of each source took so many seconds at most, for each bucket and +Inf (all runs);
+    runs without a time count in none."""
+    s = F.col("seconds").cast("double")
+    counts = [F.struct(F.lit(float(b)).alias("le"), F.count_if(s <= b).alias("n")) for b in BUCKETS]
+    every = F.struct(F.lit(float("inf")).alias("le"), F.count("seconds").alias("n"))
+    return scans.groupBy("source_id").agg(F.array(*counts, every).alias("b")).select("source_id", F.explode("b").alias("b")).select("source_id", "b.*")
+
+
+#: Size of the quantile sketches; their error of rank is below RANK_ERROR.
+SKETCH_K, RANK_ERROR = 800, 0.005
+
+
+def run_time_sketches(scans: DataFrame, period: str = "day") -> DataFrame:
+    """source_id, the period, and a mergeable quantile sketch of the run times in it: what is kept of runs, so that times
+    over any window of periods come from sketches, not from the runs. Runs without a time are left out."""
+    return scans.where("seconds IS NOT NULL").groupBy("source_id", period).agg(F.kll_sketch_agg_double(F.col("seconds").cast("double"), F.lit(SKETCH_K)).alias("sketch"))
+
+
+def run_time_quantile(sketches: DataFrame, share: float, by: list[str]) -> DataFrame:
+    """by, runs, seconds: the run time that a share of the runs doesn't exceed, from merged sketches; its rank is right
+    within RANK_ERROR, and exactly where a sketch has kept all (few runs)."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("s"))
+    return merged.select(*by, F.kll_sketch_get_n_double("s").alias("runs"), F.kll_sketch_get_quantile_double("s", F.lit(share)).alias("seconds"))
+
+
 def gauges(events: DataFrame, venues: DataFrame, sources: DataFrame, scans: DataFrame, today: Column) -> DataFrame:
     """gauge, label, value: run time per source (95 of 100), active competitions by discipline, venues by source and
     with coordinates, enabled sources."""

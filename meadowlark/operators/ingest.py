@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, geo, rules, tags, text
+from .scans import numbered
 
 
 def iso_date(value: Column) -> Column:
@@ -53,16 +54,6 @@ def resolve_venues(names: DataFrame, venues: DataFrame, aliases: DataFrame) -> D
     )
 
 
-def numbered(keys: DataFrame, order: list[str], start: int, buckets: int = 64) -> DataFrame:
-    """keys with `number`: start + 1, + 2, … in the given order, without a window over all rows: rows are range
-    partitioned, counted per partition, and numbered inside with the sum of the counts before."""
-    ranged = keys.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    base = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("__k", inside).join(base, "__part").withColumn("number", F.lit(start) + F.col("base") + F.col("__k")).drop("__part", "__k", "base")
-
-
 def new_venues(rows: DataFrame, venues: DataFrame) -> DataFrame:
     """One venue for each unknown name (whatever its case), numbered by first appearance after the largest id."""
     unknown = rows.join(venues.select(F.lower("name").alias("key")), F.lower("matched_name") == F.col("key"), "left_anti")

@@ -72,6 +72,13 @@ def mentions(term: str, classes: Column) -> Column:
     return F.contains(F.lower("name"), F.lit(t)) | F.contains(F.lower(F.array_join(classes, "\n")), F.lit(t))
 
 
+def at_venue_named(term: str, venue_name: str = "venue_name") -> Column:
+    """The term, whatever its case and without blanks around it, in the venue's name; an empty one lets all pass, also
+    events without a venue. The signs % and _ mean themselves."""
+    t = term.strip().lower()
+    return F.lit(True) if not t else F.coalesce(F.contains(F.lower(venue_name), F.lit(t)), F.lit(False))
+
+
 def within_box(bounds: tuple[float | None, ...], lat: str = "latitude", lng: str = "longitude") -> Column:
     """south, north, west, east; without one of them everything passes."""
     if any(b is None for b in bounds):
@@ -132,21 +139,12 @@ def near(df: DataFrame, lat: float, lng: float, miles: float) -> DataFrame:
 
 
 def near_each(people: DataFrame, places: DataFrame, miles: float) -> DataFrame:
-    """id, place_id, distance for all places within the radius of each person, by an equi-join on grid cells.
-
-    Cells are as high as the radius; a person is sent to the cells around, wide enough for the latitude, and the exact
-    distance decides. A person and place meet in one cell only, so no pair is made twice. For latitudes up to 85
-    degrees; places across the 180th meridian don't meet.
-    """
-    high = miles * geo.MARGIN / geo.DEGREE_MILES
-
-    def cell(x: Column) -> Column:
-        return F.floor(x / high)
-
-    wide = geo.cells_wide(F.col("latitude"))
-    p = places.where("latitude IS NOT NULL AND longitude IS NOT NULL").select(F.col("id").alias("place_id"), F.col("latitude").alias("plat"), F.col("longitude").alias("plng"), cell(F.col("latitude")).alias("cy"), cell(F.col("longitude")).alias("cx"))
-    spread = people.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude", wide.alias("w"))
-    spread = spread.withColumn("cy", F.explode(F.sequence(cell(F.col("latitude")) - 1, cell(F.col("latitude")) + 1)))
-    spread = spread.withColumn("cx", F.explode(F.sequence(cell(F.col("longitude")) - F.col("w"), cell(F.col("longitude")) + F.col("w"))))
-    joined = spread.join(p, ["cy", "cx"]).withColumn("distance", geo.haversine_miles(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plng")))
+    """id, place_id, distance for all places within the radius of each person, anywhere on the globe, by an equi-join on
+    cubes of space: a person is sent to the few that the circle can reach, a place is in one, so no pair is made twice;
+    the exact distance decides."""
+    p = places.where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    p = p.select(F.col("id").alias("place_id"), F.col("latitude").alias("plat"), F.col("longitude").alias("plng"), geo.cell(F.col("latitude"), F.col("longitude"), miles).alias("cell"))
+    spread = people.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude")
+    spread = spread.withColumn("cell", F.explode(geo.cells_around(F.col("latitude"), F.col("longitude"), miles)))
+    joined = spread.join(p, "cell").withColumn("distance", geo.haversine_miles(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plng")))
     return joined.where(F.col("distance") <= miles).select("id", "place_id", "distance")

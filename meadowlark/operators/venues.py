@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, rules, text
 from ..functions.tags import from_json_list
-from .ingest import RAW, numbered
+from .ingest import RAW
+from .scans import numbered
 
 #: Names that stand for no place in the manifest of new venues, and for none in events to be resolved.
 MANIFEST_SKIPS = ["online", "zoom", "teams", "microsoft teams", "google meet", "skype", "webinar", "virtual", "tbc", "tba", "tbd"]

@@ -110,11 +110,11 @@ def _(t):
     return v.select("id", text.venue_stem(made, {"Aston": "Aston-le-Walls", "Hickstead": "Hickstead"}, C("name")).alias("venue"))
 
 
-@query("N9_names_built", "SELECT e.id, CASE WHEN contains(lower(e.name), lower(split_part(v.name, ' ', 1))) THEN trim(e.name) ELSE v.name || ' — ' || trim(e.name) END AS prefixed, 'BS Senior' || coalesce(' ' || e.discipline, '') || ' - ' || v.name AS built FROM event e JOIN venue v ON v.id = e.venue_id")
+@query("N9_names_built", "SELECT e.id, CASE WHEN contains(lower(e.name), lower(split_part(v.name, ' ', 1))) THEN trim(e.name) ELSE v.name || ' — ' || trim(e.name) END AS prefixed, 'BS Senior' || coalesce(' ' || e.discipline, '') || coalesce(' - ' || v.name, '') AS built FROM event e LEFT JOIN venue v ON v.id = e.venue_id")
 def _(t):
     from ..operators.search import with_venue
 
-    j = with_venue(t.event, t.venue).where("venue_name IS NOT NULL")
+    j = with_venue(t.event, t.venue)
     return j.select("id", text.prefix_venue(C("name"), C("venue_name")).alias("prefixed"), text.event_title(F.lit("BS Senior"), C("discipline"), C("venue_name")).alias("built"))
 
 
@@ -442,6 +442,13 @@ def _(t):
     return t.event.select("id", F.array_join(tags.class_list(C("name")), ";").alias("found"))
 
 
+@query("G6_headed_classes", r"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(CASE WHEN id % 3 = 2 THEN '' ELSE name || ' / 90cm' END, '[|,/]'), lambda x: trim(x)), lambda x: x <> ''), ';') AS found FROM event")
+def _(t):
+    k = C("id") % 3
+    text = F.concat(F.lit("All welcome.\n"), F.when(k == 0, "Heights: ").when(k == 1, "CLASSES - ").otherwise("Also "), C("name"), F.lit(" / 90cm\nBring a hat: a, b"))
+    return t.event.select("id", F.array_join(tags.classes_after_heading(text), ";").alias("found"))
+
+
 @query("G7_escapes", r"SELECT id, replace(replace(replace(replace(name, '\', '\\'), ';', '\;'), ',', '\,'), chr(10), '\n') AS ical, trim(regexp_replace(name || '  x' || chr(9) || ' & y', '\s+', ' ', 'g')) AS plain FROM event")
 def _(t):
     from ..sources.sinks import ical_escape

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, geo, rules, text
 from ..functions.tags import from_json_list
 from ..operators import search as S
 from ..sources import feeds
-from ..operators.ingest import numbered
+from ..operators.scans import numbered
 from .demo import TODAY
 from .registry import query
 
@@ -90,6 +93,28 @@ def _(t):
     return t.event.where(S.mentions("Foxhunter", from_json_list(F.col("classes")))).select("id", "name")
 
 
+@query("P10_export_search", f"SELECT id, venue_name FROM ({JOINED}) WHERE (date_start >= {T} OR date_end >= {T}) AND contains(lower(venue_name), 'onley')")
+def _(t):
+    """The export's search: running and coming events at venues whose name has the text."""
+    rows = S.with_venue(t.event, t.venue).where(S.in_window(t.today()) & S.at_venue_named(" Onley "))
+    return rows.select("id", "venue_name")
+
+
+#: Terms of all kinds: long, short, with signs, and one that no text has.
+TERMS = ("Foxhunter", "show", "qual", "c&", "&", " f", "Area Final", "no such thing")
+
+
+@query("P10_text_index", f"SELECT term, id FROM event, (SELECT unnest([{', '.join(repr(x.lower()) for x in TERMS)}]) AS term) WHERE contains(lower(name || chr(10) || array_to_string({CLASSES}, chr(10))), term)")
+def _(t):
+    """The same search by an index of trigrams, which several terms use."""
+    from ..operators.storage import scratch
+    from ..operators.textindex import TextIndex
+
+    text = F.concat("name", F.lit("\n"), F.array_join(from_json_list(F.col("classes")), "\n"))
+    index = TextIndex.build(t.event.select("id", text.alias("text")), scratch(t.spark, "index"))
+    return reduce(DataFrame.union, [index.find(x).select(F.lit(x.lower()).alias("term"), "id") for x in TERMS])
+
+
 @query("P11_source_filter", "SELECT e.id, s.name AS source_name FROM event e JOIN source s ON s.id = e.source_id WHERE s.name IN ('Feed 3', 'Feed 7')")
 def _(t):
     s = t.source.where(F.col("name").isin("Feed 3", "Feed 7")).select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
@@ -173,12 +198,22 @@ def _(t):
     return numbered(rows, ["day", "last", "id"], 0).select("id", F.col("number").cast("long").alias("place"))
 
 
-@query("O2_sort_by_column", f"SELECT sorted_by, id, row_number() OVER (PARTITION BY sorted_by ORDER BY key, id) AS place FROM (SELECT 'name' AS sorted_by, name AS key, id FROM event UNION ALL SELECT 'discipline', discipline, id FROM event WHERE discipline IS NOT NULL UNION ALL SELECT 'venue', venue_name, id FROM ({JOINED}) WHERE venue_name IS NOT NULL) UNION ALL SELECT 'newest', id, row_number() OVER (ORDER BY id DESC) FROM event")
+SORTED = " UNION ALL ".join(f"SELECT '{c}' AS sorted_by, {k} AS key, id FROM ({JOINED})" for c, k in (("name", "name"), ("discipline", "discipline"), ("venue", "venue_name")))
+
+
+@query(
+    "O2_sort_by_column",
+    f"""WITH k AS ({SORTED}) SELECT sorted_by, 'asc' AS way, id, row_number() OVER (PARTITION BY sorted_by ORDER BY key NULLS FIRST, id) AS place FROM k
+    UNION ALL SELECT sorted_by, 'desc', id, row_number() OVER (PARTITION BY sorted_by ORDER BY key DESC NULLS LAST, id) FROM k UNION ALL SELECT 'newest', 'desc', id, row_number() OVER (ORDER BY id DESC) FROM event""",
+)
 def _(t):
+    """Rows without the key are first ascending, and last descending."""
     named = S.with_venue(t.event, t.venue).select("id", "name", "discipline", "venue_name")
-    parts = [numbered(named.where(F.col(c).isNotNull()).select("id", c), [c, "id"], 0).select(F.lit(by).alias("sorted_by"), "id", "number") for by, c in (("name", "name"), ("discipline", "discipline"), ("venue", "venue_name"))]
-    newest = numbered(t.event.select("id", (-F.col("id")).alias("age")), ["age"], 0).select(F.lit("newest").alias("sorted_by"), "id", "number")
-    return parts[0].union(parts[1]).union(parts[2]).union(newest).select("sorted_by", "id", F.col("number").cast("long").alias("place"))
+    ways = {"asc": F.asc_nulls_first, "desc": F.desc_nulls_last}
+    parts = [(by, way, numbered(named.select("id", c), [order(c), "id"], 0)) for by, c in (("name", "name"), ("discipline", "discipline"), ("venue", "venue_name")) for way, order in ways.items()]
+    parts.append(("newest", "desc", numbered(t.event.select("id"), [F.desc("id")], 0)))
+    rows = [df.select(F.lit(by).alias("sorted_by"), F.lit(way).alias("way"), "id", F.col("number").cast("long").alias("place")) for by, way, df in parts]
+    return reduce(DataFrame.union, rows)
 
 
 @query("O3_distance_sort", f"WITH d AS (SELECT id, round({miles('52.0', '-1.5', 'latitude', 'longitude')}, 3) AS distance FROM venue) SELECT 'asc' AS way, id, distance, row_number() OVER (ORDER BY distance NULLS LAST, id) AS place FROM d UNION ALL SELECT 'desc', id, distance, row_number() OVER (ORDER BY distance DESC NULLS FIRST, id) FROM d")

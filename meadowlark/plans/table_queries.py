@@ -203,14 +203,23 @@ def _(t):
     return t.event.select(F.explode(F.filter(from_json_list(C("tags")), lambda x: F.startswith(x, F.lit("discipline:")))).alias("tag")).distinct()
 
 
-@query("A7_source_totals", f"SELECT source_id, count(CASE WHEN date_start >= {T} AND event_type = 'competition' THEN 1 END) AS competitions, count(CASE WHEN date_start >= {T} AND event_type IN ('training', 'venue_hire') THEN 1 END) AS others, count(CASE WHEN date_start >= {T} THEN 1 END) AS future, count(*) AS ever, count(CASE WHEN date_start >= {T} THEN 1 END) = 0 AS stale FROM event WHERE source_id <> 3 OR date_start < {T} GROUP BY source_id")
+#: Events whose source is another one once they are over, so that some sources have only old ones.
+RETIRED = f"SELECT * REPLACE (CASE WHEN source_id % 3 = 1 AND coalesce(date_end, date_start) < {T} THEN source_id + 100 ELSE source_id END AS source_id) FROM event"
+
+
+def retired(t):
+    over = F.coalesce("date_end", "date_start") < t.today()
+    return t.event.withColumn("source_id", F.when((C("source_id") % 3 == 1) & over, C("source_id") + 100).otherwise(C("source_id")))
+
+
+@query("A7_source_totals", f"SELECT source_id, count(CASE WHEN date_start >= {T} AND event_type = 'competition' THEN 1 END) AS competitions, count(CASE WHEN date_start >= {T} AND event_type IN ('training', 'venue_hire') THEN 1 END) AS others, count(CASE WHEN date_start >= {T} THEN 1 END) AS future, count(*) AS ever, count(CASE WHEN date_start >= {T} THEN 1 END) = 0 AS stale FROM ({RETIRED}) GROUP BY source_id")
 def _(t):
-    return A.source_totals(t.event.where((C("source_id") != 3) | (C("date_start") < t.today())), t.today())
+    return A.source_totals(retired(t), t.today())
 
 
-@query("A8_feed_validity", f"SELECT source_id, max(coalesce(date_end, date_start)) AS valid_to, max(coalesce(date_end, date_start)) < {T} AS stale FROM event WHERE source_id % 3 <> 1 OR date_start < DATE '1997-01-01' GROUP BY source_id")
+@query("A8_feed_validity", f"SELECT source_id, max(coalesce(date_end, date_start)) AS valid_to, max(coalesce(date_end, date_start)) < {T} AS stale FROM ({RETIRED}) GROUP BY source_id")
 def _(t):
-    return V.feed_validity(t.event.where((C("source_id") % 3 != 1) | (C("date_start") < F.lit("1997-01-01").cast("date"))), t.today())
+    return V.feed_validity(retired(t), t.today())
 
 
 SEEN = "SELECT source_id, name, TRY_CAST(date_start AS DATE) AS d, coalesce(nullif(event_type, ''), " + TYPE + ") AS kind, CASE batch_seq % 5 WHEN 0 THEN 'TBC' WHEN 1 THEN 'zoom' ELSE coalesce(venue_name, '') END AS venue_name, CASE WHEN batch_seq % 3 = 0 THEN venue_postcode END AS postcode FROM extracted"
@@ -256,6 +265,11 @@ def audited(t):
     return A.dynamic_venues(t.venue, seeds(t), t.venue.where("id % 9 = 2").select(C("name").alias("alias")))
 
 
+@query("A11_rewritten", f"WITH m AS (SELECT {DISC_MAP} AS m) SELECT batch_seq, coalesce({DISC_SQL.format(x='discipline')}, discipline) AS discipline FROM extracted, m")
+def _(t):
+    return A.canonical_disciplines(t.extracted.select("batch_seq", "discipline"))
+
+
 @query("A12_prefix_groups", f"WITH {DYNAMIC} SELECT id, name, matched, w.word, n FROM w LEFT JOIN g ON g.word = w.word")
 def _(t):
     return audited(t)
@@ -303,6 +317,17 @@ def _(t):
     return A.gauges(t.event, t.venue, t.source, t.scan, t.today())
 
 
+@query("A16_run_buckets", "SELECT source_id, le, count(CASE WHEN seconds <= le THEN 1 END) AS n FROM scan, (SELECT unnest([1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0, CAST('inf' AS DOUBLE)]) AS le) GROUP BY source_id, le")
+def _(t):
+    return A.run_time_buckets(t.scan)
+
+
+@query("A16_run_times", "SELECT source_id, count(*) AS runs, quantile_disc(seconds, 0.95) AS seconds FROM scan WHERE day BETWEEN 5 AND 24 GROUP BY source_id")
+def _(t):
+    """95 of 100 runs over a window of days, from the sketch of each day; few runs, so the sketches are exact."""
+    return A.run_time_quantile(A.run_time_sketches(t.scan).where("day BETWEEN 5 AND 24"), 0.95, ["source_id"])
+
+
 @query("A17_venue_page", f"SELECT v.id AS venue_id, count(e.id) AS n, CASE WHEN count(e.id) BETWEEN 1 AND 5 THEN array_to_string(list(e.id ORDER BY date_start, e.id), ';') END AS links FROM venue v LEFT JOIN event e ON e.venue_id = v.id AND date_start >= {T} GROUP BY v.id")
 def _(t):
     return V.venue_page(t.event, t.venue, t.today()).select("venue_id", "n", F.array_join(F.transform("links", lambda x: x.cast("string")), ";").alias("links"))
