@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
+from .keywords import Scanned
 from .text import let, normalise_discipline
 
 U = "(?U)"
@@ -22,7 +23,10 @@ def word(keyword: str) -> str:
     return U + r"\b" + escaped(keyword) + (r"s?\b" if re.fullmatch("[a-z]{4,}", keyword) else r"\b")
 
 
-def has(text: Column, keywords: list[str]) -> Column:
+def has(text: Column | Scanned, keywords: list[str]) -> Column:
+    """One of the keywords as a whole word. A text whose keywords have been found already isn't read again."""
+    if isinstance(text, Scanned):
+        return text.has(keywords)
     plural = [escaped(k) for k in keywords if re.fullmatch("[a-z]{4,}", k)]
     exact = [escaped(k) for k in keywords if not re.fullmatch("[a-z]{4,}", k)]
     parts = [rf"\b(?:{'|'.join(plural)})s?\b"] * bool(plural) + [rf"\b(?:{'|'.join(exact)})\b"] * bool(exact)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .classify import escaped, has, normalised, whole
+from .keywords import Scanned, border, scanned
 from .text import let, lookup, title_case
 
 STRINGS = "array<string>"
@@ -77,6 +78,7 @@ def special_tags(text: Column) -> Column:
 
 def final_tag(text: Column, classes: Column) -> Column:
     """Championship finals: none of the excluded terms, and a phrase (from a word's start) or all terms of a group."""
+    text = text.text if isinstance(text, Scanned) else text
     joined = F.concat_ws(" | ", text, F.transform(F.coalesce(classes, F.array().cast(STRINGS)), lambda c: F.lower(F.coalesce(c, F.lit("")))))
     barred = joined.rlike("|".join(map(escaped, rules.FINALS_EXCLUDE)))
     phrase = joined.rlike(r"(?U)\b(?:" + "|".join(map(escaped, rules.FINALS)) + ")")
@@ -158,15 +160,13 @@ def mentioned(text: str) -> list[tuple[int, int, int, str]]:
     """(rank, start, end, value) of every alias that stands in a text as a word of its own, or as its plural, in one
     pass over the text; in order of rank, then place."""
     out = []
-    word = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
-    border = lambda k: word(k - 1) != word(k)
     for last, ranks in _automaton().iter(text):
         end = last + 1
         for rank, size, value, plural in ranks:
-            if border(end - size):
-                if plural and text[end : end + 1] == "s" and border(end + 1):
+            if border(text, end - size):
+                if plural and text[end : end + 1] == "s" and border(text, end + 1):
                     out.append((rank, end - size, end + 1, value))
-                elif border(end):
+                elif border(text, end):
                     out.append((rank, end - size, end, value))
     return sorted(out)
 
@@ -223,7 +223,9 @@ def extract_tags(name: Column, description: Column, discipline: Column, kind: Co
     class, category, tier."""
     type_tag = F.concat(F.lit("type:"), F.coalesce(lookup(rules.TYPE_TAGS, kind), F.lit("competition")))
 
-    def worded(text: Column) -> Column:
+    def worded(found: Column) -> Column:
+        text = Scanned(found["text"], found["hits"])
+
         def around(affiliations: Column) -> Column:
             return F.concat(
                 present(type_tag, level_tag(text)), affiliations, format_tags(text), present(scope_tag(text)), age_tags(text), special_tags(text), present(final_tag(text, classes)),
@@ -232,7 +234,7 @@ def extract_tags(name: Column, description: Column, discipline: Column, kind: Co
 
         return let(affiliation_tags(text, source), around)
 
-    return valid(F.concat(discipline_tags(name, classes, discipline, venue, source), let(normalised(name, description), worded)))
+    return valid(F.concat(discipline_tags(name, classes, discipline, venue, source), let(scanned(normalised(name, description)), worded)))
 
 
 def display_name(tag: Column) -> Column:

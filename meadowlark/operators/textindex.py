@@ -33,12 +33,11 @@ class TextIndex:
         texts.select("id", "text").where("text IS NOT NULL").write.mode("overwrite").parquet(f"{path}/texts")
         index = cls(spark, path)
         grams = index.texts().select(F.explode(trigrams(F.col("text"))).alias("gram"), "id")
-        counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
-        counts.write.mode("overwrite").parquet(f"{path}/counts")
-        n = index.counts().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        n = index.texts().agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]  # that many at most
         # grams alone decide the range but for hot ones: their ids are cut too
         ranged = grams.repartitionByRange(max(1, -(-n // ROWS)), "gram", "id").sortWithinPartitions("gram", "id")
         ranged.write.mode("overwrite").parquet(f"{path}/postings")
+        index.postings().groupBy("gram").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
         return index
 
     def texts(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -59,12 +59,45 @@ class Element:
         return " ".join("".join(out).split())
 
 
-class _Builder(HTMLParser):
+#: Comments, declarations and the like; end tags; start tags with their attributes, in which ">" may stand within quotes.
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements whose text isn't markup.
+RAW = {"script", "style"}
+
+
+class _Builder:
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.page = self.at = Element("#page", {}, None)
         self.joins = False  # whether text goes on with the text before it
 
+    def feed(self, html: str) -> None:
+        at = 0
+        while at < len(html):
+            found = TOKEN.search(html, at)
+            if found is None:
+                break
+            if found.start() > at:
+                self.text(html[at : found.start()])
+            at = found.end()
+            tag = (found[2] or "").lower()
+            if not tag:
+                self.joins = False
+            elif found[1]:
+                self.end(tag)
+            else:
+                closed = found[3].endswith("/")
+                self.start(tag, {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(ATTRIBUTE.finditer(found[3])))} if "=" in found[3] else {})
+                if closed and tag not in VOID:
+                    self.end(tag)
+                elif tag in RAW:
+                    stop = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                    if (stop.start() if stop else len(html)) > at:
+                        self.at.children.append(html[at : stop.start() if stop else len(html)])
+                    at = stop.start() if stop else len(html)
+        if at < len(html):
+            self.text(html[at:])
+
     def close_until(self, tags: set[str], stops: set[str]) -> bool:
         """Ends the outermost open element of the given names that isn't beyond a stop."""
         found, node = None, self.at
@@ -76,21 +109,16 @@ class _Builder(HTMLParser):
             self.at = found.parent
         return found is not None
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
         self.joins = False
         if tag in ENDED_BY:
             self.close_until(ENDED_BY[tag], SCOPE if tag in ("td", "th", "tr", "tbody", "thead", "tfoot") else SCOPE | LISTS | {"td", "th"})
-        own = Element(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
+        own = Element(tag, attrs, self.at)
         self.at.children.append(own)
         if tag not in VOID:
             self.at = own
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         self.joins = False
         node = self.at
         while node is not None and node.tag != tag:
@@ -100,7 +128,8 @@ class _Builder(HTMLParser):
         if node is not None and node.parent is not None:
             self.at = node.parent
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
+        data = unescape(data) if "&" in data else data
         own = self.at.children
         if self.joins and own and isinstance(own[-1], str):
             own[-1] += data
@@ -108,18 +137,12 @@ class _Builder(HTMLParser):
             own.append(data)
         self.joins = True
 
-    def handle_comment(self, data: str) -> None:
-        self.joins = False
-
-    handle_decl = handle_pi = unknown_decl = handle_comment
-
 
 def tree(html: str | None) -> Element:
     """The page as a tree. Whatever the markup, there is one: end tags without a start are ignored, open elements end
     with the page, cells and rows end where the next one starts, and tables keep what stands within them."""
     builder = _Builder()
     builder.feed(html or "")
-    builder.close()
     return builder.page
 
 

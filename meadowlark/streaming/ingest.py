@@ -18,46 +18,43 @@ RUN_SCHEMA = "source_id long, competitions long, others long, exact long, alias
 LAYOUT = {"events": (EVENT_SCHEMA, "month string"), "venues": (VENUE_SCHEMA, "batch int"), "runs": (RUN_SCHEMA, "batch int"), "marks": ("largest long", "batch int")}
 
 
-#: Parts of the rolling state, by the hash of the key.
-PARTS = 64
-
-
 class Rolling:
-    """The rolling state as a table in parts by the hash of its key. A batch brings the new values of the keys that it
-    changed; only the parts that hold them are read and written anew, so that a batch costs what it touches. Values
-    are whole, not increments: a batch that runs again gives the same table."""
+    """A rolling state as a log of changes: each batch writes the new values of the keys that it changed, and nothing
+    else, under its number; the state is the last value of each key. Values are whole, not increments, and a batch that
+    runs again replaces what it wrote, so the table is the same. compacted() writes the state anew, as one batch."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str):
+        self.spark, self.path, self.keys, self.schema = spark, path, keys, schema
+        self.log(spark.createDataFrame([], schema), -1)
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, parts: int = PARTS):
-        self.spark, self.path, self.keys, self.schema, self.parts = spark, path, keys, schema, parts
-        spark.createDataFrame([], f"{schema}, part int").write.mode("append").partitionBy("part").parquet(path)
+    def log(self, changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, part int").parquet(self.path)
+        changes = self.spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
+        values = [c for c in changes.columns if c not in (*self.keys, "batch")]
+        return changes.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*self.keys, "v.*")
 
-    def put(self, changed: DataFrame, number: int | None = None) -> None:
-        new = changed.withColumn("part", F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")).checkpoint()
-        touched = [r[0] for r in new.select("part").distinct().collect()]  # at most as many as there are parts
-        if touched:
-            same = [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in self.keys]
-            old = self.read().where(F.col("part").isin(touched))
-            old = old.join(new.select(*[F.col(k).alias(f"new_{k}") for k in self.keys]), same, "left_anti")
-            after = old.unionByName(new).repartition(min(len(touched), self.parts), "part").checkpoint()  # read before it is overwritten
-            after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
+    def compacted(self, path: str) -> Rolling:
+        """A state at another path that holds what this one does, with its first batch only."""
+        out = Rolling(self.spark, path, self.keys, self.schema)
+        out.log(self.read(), -1)
+        return out
 
 
 def rolling_ingest(extracted: DataFrame, files: int = 4) -> DataFrame:
     """name, date_start, first_seq, deliveries: the rows are written as files and read as a stream of one file at a
-    time, gated, and aggregated by key in the stream's state store, which writes what changes; each batch puts the keys
-    that it changed into a table (Rolling), which is returned."""
+    time, gated, and aggregated by key in the stream's state store, which writes what changes; each batch logs the keys
+    that it changed (Rolling), of which the latest values are returned."""
     spark = extracted.sparkSession
     landing = scratch(spark, "landing")
     extracted.repartition(files).write.parquet(landing)
     state = Rolling(spark, scratch(spark, "state"), ["name", "date_start"], "name string, date_start date, first_seq long, deliveries long")
     stream = spark.readStream.schema(extracted.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     counted = gate(stream).groupBy("name", "date_start").agg(F.min("batch_seq").alias("first_seq"), F.count("*").alias("deliveries"))
-    query = counted.writeStream.outputMode("update").foreachBatch(state.put).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
+    query = counted.writeStream.outputMode("update").foreachBatch(state.log).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return state.read().drop("part")
+    return state.read()
 
 
 class Listings:

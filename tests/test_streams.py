@@ -61,23 +61,24 @@ def test_overdue_sources(spark):
 
 
 def files(path):
-    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/part=*/*.parquet")}
+    return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/batch=*/*.parquet")}
 
 
-def test_a_batch_writes_the_parts_it_touches(spark):
+def test_a_batch_writes_what_it_changes(spark):
     path = scratch(spark, "state")
-    state = Rolling(spark, path, ["k"], "k string, n long", parts=8)
-    state.put(spark.range(100).select(F.col("id").cast("string").alias("k"), F.col("id").alias("n")))
+    state = Rolling(spark, path, ["k"], "k string, n long")
+    state.log(spark.range(100).select(F.col("id").cast("string").alias("k"), F.col("id").alias("n")), 0)
     first = files(path)
-    state.put(spark.createDataFrame([("7", 700)], "k string, n long"))
-    second = files(path)
-    parts = {os.path.dirname(f) for f in set(first) ^ set(second)}
-    assert len({os.path.dirname(f) for f in first}) == 8 and len(parts) == 1
-    state.put(spark.createDataFrame([("7", 700), ("new", 1), (None, 5)], "k string, n long"))
-    state.put(spark.createDataFrame([("7", 700), ("new", 1), (None, 6)], "k string, n long"))
-    state.put(spark.createDataFrame([], "k string, n long"))
-    got = {r.k: r.n for r in state.read().collect()}
-    assert got == {**{str(k): k for k in range(100)}, "7": 700, "new": 1, None: 6} and state.read().count() == 102
+    state.log(spark.createDataFrame([("7", 700)], "k string, n long").coalesce(1), 1)
+    new = [f for f in files(path) if f not in first]
+    assert all(files(path)[f] == t for f, t in first.items()) and spark.read.parquet(*new).count() == 1
+    for n in (5, 6):  # a batch that runs again
+        state.log(spark.createDataFrame([("7", 700), ("new", 1), (None, n)], "k string, n long"), 2)
+    state.log(spark.createDataFrame([], "k string, n long"), 3)
+    want = {**{str(k): k for k in range(100)}, "7": 700, "new": 1, None: 6}
+    for now in (state, state.compacted(scratch(spark, "state"))):
+        assert {r.k: r.n for r in now.read().collect()} == want and now.read().count() == 102
+    assert state.compacted(scratch(spark, "state")).read().columns == ["k", "n"]
 
 
 def test_counters_of_a_batch_that_runs_again(spark):
