@@ -636,6 +636,20 @@ def _(t):
     return feeds.FEEDS["html_table"](pages).select("name", "date_start", "date_end", "venue_name", "venue_postcode", "discipline", "url")
 
 
+@query("S2_feed_stream", f"SELECT trim({CLEAN}) AS name, date_start FROM event WHERE id % 5 <> 0")
+def _(t):
+    """The same pages as payload files that a stream reads as they come."""
+    from ..operators.storage import scratch
+
+    cells = [F.date_format("date_start", "d MMM yyyy"), C("name"), F.lit("90cm, 1m"), F.lit("Bury Farm"), F.lit(""), F.lit(""), F.when(C("id") % 5 == 0, "X").otherwise("")]
+    landing, found = scratch(t.spark, "payloads"), scratch(t.spark, "rows")
+    pages = paged(t, table_of(html_row(cells))).select("source_id", F.lit(None).cast("string").alias("url"), "body")
+    pages.repartition(3).write.json(landing)
+    rows = feeds.read(t.spark, "html_table", landing, stream=True, files=1).select("name", "date_start")
+    rows.writeStream.format("parquet").option("path", found).option("checkpointLocation", scratch(t.spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("name string, date_start date").parquet(found)
+
+
 @query("S3_rss_items", f"SELECT {CLEAN} AS name, date_start FROM event")
 def _(t):
     day = C("date_start")
@@ -703,6 +717,18 @@ def _(t):
     return sinks.ical_export(S.with_venue(t.event, t.venue))
 
 
+@query("S10_calendars", rf"SELECT CAST(venue_id AS VARCHAR) AS venue, 'BEGIN:VCALENDAR' || chr(13) || chr(10) || 'VERSION:2.0' || chr(13) || chr(10) || string_agg(text, chr(13) || chr(10) ORDER BY date_start, id) || chr(13) || chr(10) || 'END:VCALENDAR' || chr(13) || chr(10) AS calendar FROM (SELECT venue_id, date_start, id, {VEVENT} AS text FROM ({JOINED}) WHERE venue_id IS NOT NULL) GROUP BY venue_id")
+def _(t):
+    """Every venue's calendar as a file, written and read back."""
+    from ..operators.storage import scratch
+    from ..sources.calendars import write_calendars
+
+    path = scratch(t.spark, "calendars")
+    write_calendars(S.with_venue(t.event, t.venue), path)
+    back = t.spark.read.text(f"{path}/*.ics", wholetext=True)
+    return back.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.ics$", 1).alias("venue"), C("value").alias("calendar"))
+
+
 @query("S11_postcode_report", "SELECT postcode, count(*) AS n, array_to_string(list(name ORDER BY id), ';') AS names FROM venue WHERE postcode IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def _(t):
     rows = F.from_json("venues", "array<struct<id:long,name:string>>")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -25,6 +25,21 @@ def feed(key: str) -> Callable:
     return add
 
 
+PAYLOAD = "source_id long, url string, body string"
+
+
+def read(spark: SparkSession, key: str, path: str, stream: bool = False, files: int | None = None) -> DataFrame:
+    """Event rows of stored payloads: files of JSON lines with source_id, url and body in a folder, read at once or as a
+    stream (new files as they come, so many a batch). Spark splits files of lines by bytes and keeps a stream's offsets.
+    An unknown feed key is an error; lines that are no JSON have no rows."""
+    if key not in FEEDS:
+        raise KeyError(f"no feed {key}; there are {', '.join(sorted(FEEDS))}")
+    reader = (spark.readStream if stream else spark.read).schema(PAYLOAD)
+    if stream and files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return FEEDS[key](reader.json(path).where("body IS NOT NULL"))
+
+
 def unescape_html(value: Column) -> Column:
     """Character references decoded, in Arrow batches; texts without any stay in the JVM's hands."""
 

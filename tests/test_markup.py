@@ -69,3 +69,41 @@ def test_pages_for_reading(spark):
     assert cleaned(spark, f"<p>no</p><table>{cells}</table>") == " ".join(f"| cell {k} | {words.strip()} |" for k in range(2)).replace("| |", "|").strip("| ").replace("  ", " ")
     assert cleaned(spark, "<form>a<table><tr><td>" + words + "</td></tr></table></form>b") == "b"
     assert cleaned(spark, None) is None and cleaned(spark, "") == "" and len(cleaned(spark, "<p>" + "x " * 9000)) == 6000
+
+
+def test_payload_files(spark, tmp_path):
+    import json
+
+    meetings = [{"id": k, "name": f"M{k}", "start_on": "2026-01-02", "venue_country": "GBR"} for k in range(3)]
+    lines = [json.dumps({"source_id": 1, "url": None, "body": json.dumps(meetings)}), "no json", json.dumps({"source_id": 2, "body": None})]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    assert sorted(r.name for r in feeds.read(spark, "meetings_api", str(tmp_path)).collect()) == ["M0", "M1", "M2"]
+    with pytest.raises(KeyError):
+        feeds.read(spark, "nothing", str(tmp_path))
+
+
+def test_calendar_files(spark, tmp_path):
+    from meadowlark.sources.calendars import FORMAT, write_calendars
+
+    df = spark.createDataFrame([(1, "a/b", "2026-03-02", "X"), (2, "a/b", "2026-03-01", "Y"), (3, "ü", "2026-03-01", "Z"), (4, None, "2026-03-01", "N")], "id long, venue_id string, day string, name string")
+    df = df.withColumns({"date_start": F.col("day").cast("date"), "date_end": F.lit(None).cast("date"), "venue_name": F.col("venue_id"), "discipline": F.lit(None).cast("string"), "url": F.lit(None).cast("string")})
+    write_calendars(df, str(tmp_path))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["%C3%BC.ics", "a%2Fb.ics"]
+    text = (tmp_path / "a%2Fb.ics").read_bytes().decode()
+    assert text.startswith("BEGIN:VCALENDAR\r\n") and text.endswith("END:VEVENT\r\nEND:VCALENDAR\r\n") and text.index("SUMMARY:Y") < text.index("SUMMARY:X") and text.count("BEGIN:VEVENT") == 2
+
+    @F.udf("string")
+    def broken(text):
+        if "SUMMARY:Z" in text:
+            raise ValueError("no")
+        return text
+
+    other = tmp_path / "other"
+    rows = spark.createDataFrame([("k1", "SUMMARY:A"), ("k2", "SUMMARY:Z")], "key string, text string").repartition(2, "key")
+    with pytest.raises(Exception, match="no"):
+        rows.select("key", broken("text").alias("text")).write.format(FORMAT).mode("append").option("path", str(other)).save()
+    assert list(other.glob("*.ics")) == []
+    again = spark.createDataFrame([("k1", "A"), ("k2", "B"), ("k1", "C")], "key string, text string").coalesce(1)
+    with pytest.raises(Exception, match="stand together"):
+        again.write.format(FORMAT).mode("append").option("path", str(other)).save()
+    assert list(other.glob("*.ics")) == []
