@@ -68,7 +68,9 @@ def join_anew(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     longs = {k for k in keys if left.schema[k].dataType.typeName() == "long"}
 
     def anew(df: DataFrame, name: str, key: str) -> Column:
-        return F.bitwise_not(df[name]) if key in longs else F.concat(df[name].cast("binary"), F.lit(b"\x00"))
+        if key in longs:
+            return F.bitwise_not(df[name])
+        return F.concat((df[name].cast("string") if left.schema[key].dataType.typeName() == "boolean" else df[name]).cast("binary"), F.lit(b"\x00"))
 
     return left.join(other, [anew(left, k, k) == anew(other, own[k], k) for k in keys], how).drop(*own.values())
 

@@ -15,9 +15,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import fresh, named, stored
+from .common import fresh, join_anew, named, stored
 
 TOKEN = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)
@@ -35,7 +34,11 @@ LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote td th dd dt figcaption a
 #: What an opening tag closes, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 P_ENDS, P_WITHIN = {"p"}, {"table", "td", "th", "div", "li", "section", "article", "main", "body", "button", "object"}
-BOILER_TAGS = frozenset("nav footer aside form button select dialog menu svg template object canvas head".split())
+BOILER_TAGS = frozenset("nav footer aside button select label legend option optgroup datalist output dialog menu svg template object canvas head".split())
+#: Where furniture that is never closed ends.
+SECTIONS = frozenset("article main section h1 header footer".split())
+#: What a reader's remark has besides its text: a time, or an element with one of these words in its name.
+REMARK_WORDS = frozenset("author user username nickname avatar date time timestamp posted ago".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary dialog alertdialog alert search menu menubar form".split())
 #: Words of class names and ids that furniture often has, those of readers' comments, and those that say nothing.
 BOILER_WORDS = frozenset(
@@ -49,12 +52,19 @@ SAFE_TAGS = frozenset({"html", "body", "article", "main"})
 DEPTH = 6
 #: How an element's name speaks: of nothing, of furniture among other things, of furniture alone, of comments; and what
 #: the text in it counts for a score.
-PLAIN, MIXED, FURNITURE, COMMENTS = range(4)
-WEIGHT = (1.0, 0.5, 0.1, 0.0)
+PLAIN, MIXED, FURNITURE, COMMENTS, REMARK = range(5)
+WEIGHT = (1.0, 0.5, 0.1, 0.0, 0.1)
+#: Words of linked text from which it counts, and how much.
+LINKED_WORDS, LINKED = 8, 0.25
 #: Words of a block that reads like prose, and blocks that furniture by name must hold to pass for a page's body.
 PROSE_WORDS, BODY_BLOCKS = 5, 3
-#: Paths of a host that win: these many at most, with this share of the best one's votes; names of furniture told apart.
-SHARE, TOLD = 0.5, 100
+#: Paths of a host that win: with this share of the best one's votes, and of all votes of the host (so there are 50 at
+#: most); names that a host tells of: with this share of its votes on names (so there are 1,000 at most). Pages decide
+#: about others themselves.
+SHARE, SUPPORT, TOLD = 0.5, 0.02, 0.001
+#: A page whose own best container has so many characters, of which the winning paths hold less than this share, is read
+#: at both.
+OWN_SIZE, OWN_SHARE = 500, 0.1
 
 
 def words_of(value: str) -> list[str]:
@@ -74,7 +84,7 @@ def judged(tag: str, attrs: str) -> tuple[str, bool, int]:
     """(generalised label, is no content by tag or role, how its name speaks) of an element. Digits of class names
     count as one sign."""
     if not TELLING.search(attrs):
-        return tag, tag in BOILER_TAGS, PLAIN
+        return tag, tag in BOILER_TAGS, FURNITURE if tag == "form" else PLAIN
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attrs):
         found.setdefault(m[1].lower(), unescape((m[2] or "").strip("\"'")))
@@ -84,7 +94,8 @@ def judged(tag: str, attrs: str) -> tuple[str, bool, int]:
     name = PLAIN if tag in SAFE_TAGS else max(map(speaks, [*found.get("class", "").split(), found.get("id", "")]))
     if name and speaks(found.get("id", "")):
         label += "#" + re.sub(r"\d+", "#", found["id"].lower())
-    return label, hard, name
+    # a form is judged by what it holds: some pages stand in one
+    return label, hard, max(name, FURNITURE) if tag == "form" and name != COMMENTS else name
 
 
 remembered = lru_cache(maxsize=10_000)(judged)
@@ -107,6 +118,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.tag, self.path, self.boiler, self.soft = [-1], ["#"], [""], [False], [0]
+        self.ended: set[int] = set()  # furniture that a tag of its own ends
         self.name: dict[int, int] = {}
         self.holds: set[int] = set()
         self.runs: list[tuple[int, str | None]] = []
@@ -126,7 +138,10 @@ class Page:
             block = tag not in INLINE
             if m[2]:
                 if self.open.get(tag):
-                    self.close(stack, next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == tag))
+                    k = next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == tag)
+                    if self.boiler[stack[k]]:
+                        self.ended.add(stack[k])
+                    self.close(stack, k)
                 if block:
                     runs.append((stack[-1], None))
                 continue
@@ -148,22 +163,64 @@ class Page:
             self.parent.append(top)
             self.tag.append(tag)
             self.path.append(below[above, label])
-            self.boiler.append(self.boiler[top] or boiler)
+            self.boiler.append(boiler)  # its own; what stands above it counts in finish()
             node = len(self.parent) - 1
             if name:
                 self.name[node] = name
-            self.soft.append(node if name else self.soft[top])
-            if tag in ("h1", "article", "main") and not self.boiler[node]:
-                k = self.soft[top]
-                while k and k not in self.holds:
-                    self.holds.add(k)
-                    k = self.soft[self.parent[k]]
             stack.append(node)
             self.open[tag] = self.open.get(tag, 0) + 1
-        if m and at == last and unclosed(m):
-            return
-        if rest := html[at:].partition("<!--")[0]:
+        if not (m and at == last and unclosed(m)) and (rest := html[at:].partition("<!--")[0]):
             runs.append((stack[-1], rest))
+        self.finish()
+
+    def finish(self) -> None:
+        """What follows from the whole tree: where furniture ends, what are readers' remarks, which element named like
+        furniture is nearest, and which of them hold the page's heading or body."""
+        parent, tag, n = self.parent, self.tag, len(self.parent)
+        own = list(self.boiler)
+        section = [n] * n  # the first section within
+        for k in range(n - 1, 0, -1):
+            section[parent[k]] = min(section[parent[k]], k if tag[k] in SECTIONS else section[k])
+        # furniture that nothing ends stops at the first section in it
+        stops = {k: section[k] for k in range(1, n) if own[k] and tag[k] in ("nav", "aside", "footer", "header", "menu") and k not in self.ended}
+        by = [0] * n  # the nearest furniture around, by tag or role, that goes on here
+        for k in range(1, n):
+            by[k] = k if own[k] else by[parent[k]]
+            while by[k] and by[k] != k and stops.get(by[k], n) <= k:
+                by[k] = by[parent[by[k]]]
+            self.boiler[k] = by[k] != 0
+        self.remarks()
+        self.soft = [0] * n
+        for k in range(1, n):
+            self.soft[k] = k if k in self.name else self.soft[parent[k]]
+        for k in range(1, n):
+            if tag[k] in ("h1", "article", "main") and not self.boiler[k]:
+                up = self.soft[parent[k]]
+                while up and up not in self.holds:
+                    self.holds.add(up)
+                    up = self.soft[parent[up]]
+
+    def remarks(self) -> None:
+        """Siblings of one path, two at least, that all hold text with a time or a name of who wrote it, and no heading:
+        readers' remarks, whatever their names are."""
+        told, heading, filled = set(), set(), set()
+        for k in range(len(self.parent) - 1, 0, -1):
+            label = self.path[k].rpartition(">")[2]
+            signed = self.tag[k] == "time" or ("." in label and not REMARK_WORDS.isdisjoint(words_of(label)))
+            if signed or k in told:
+                told.update((k, self.parent[k]))
+            if self.tag[k] in ("h1", "h2", "h3", "article", "main") or k in heading:
+                heading.update((k, self.parent[k]))
+            if self.tag[k] in LEAF or k in filled:
+                filled.update((k, self.parent[k]))
+        groups: dict[tuple[int, str], list[int]] = {}
+        for k in range(1, len(self.parent)):
+            if self.tag[k] not in INLINE and not self.boiler[k]:
+                groups.setdefault((self.parent[k], self.path[k]), []).append(k)
+        for same in groups.values():
+            if len(same) > 1 and all(k in told and k in filled and k not in heading and self.tag[k] not in ("td", "th", "tr") for k in same):
+                for k in same:
+                    self.name.setdefault(k, REMARK)
 
     def close(self, stack: list[int], k: int) -> None:
         for node in stack[k:]:
@@ -207,7 +264,8 @@ class Page:
     def furniture_votes(self) -> dict[str, int]:
         """For each path of elements named like furniture, characters that speak for keeping it less those against.
         A name that says other things too is judged by its prose; a name of furniture alone stays if the element
-        holds the page's heading or body, or most of its prose; one of comments only if it holds the heading or body."""
+        holds the page's heading or body, or most of its prose; one of comments only if it holds the heading or body;
+        a remark if it has more prose than all that is no furniture."""
         if not self.name:
             return {}
         prose, other, count, outside = {}, {}, {}, 0
@@ -222,7 +280,7 @@ class Page:
         votes: dict[str, int] = {}
         for k, name in self.name.items():
             p, o = prose.get(k, 0), other.get(k, 0)
-            if k in self.holds or (name == FURNITURE and count.get(k, 0) >= BODY_BLOCKS and p > outside):
+            if k in self.holds or (name == FURNITURE and count.get(k, 0) >= BODY_BLOCKS and p > outside) or (name == REMARK and p > outside):
                 vote = p + o + 1
             else:
                 vote = p - o if name == MIXED else -(p + o)
@@ -230,17 +288,22 @@ class Page:
         return votes
 
     def scores(self) -> dict[int, float]:
-        """Credit of each container: the text of its paragraphs counts twice, that of its children's once; links
-        count nothing, text under names of furniture less."""
+        """Credit of each container: the text of its paragraphs counts twice, that of its children's once; long linked
+        texts count less, short ones only where there is nothing else; text under names of furniture counts less."""
+        return self.credit(False) or self.credit(True)
+
+    def credit(self, links: bool) -> dict[int, float]:
         weight = [1.0]
         for k in range(1, len(self.parent)):
-            weight.append(0.0 if self.boiler[k] else weight[self.parent[k]] * WEIGHT[self.name.get(k, 0)])
+            weight.append(weight[self.parent[k]] * WEIGHT[self.name.get(k, 0)])
         credit: dict[int, float] = {}
         for node, text in self.runs:
-            if text is None or not weight[node]:
+            if text is None or self.boiler[node] or not weight[node]:
                 continue
             size = len(text.strip()) * weight[node]
-            if not size or self.linked(node):
+            if not links and size and self.linked(node):
+                size *= LINKED if len(text.split()) >= LINKED_WORDS else 0
+            if not size:
                 continue
             k = self.holder(node)
             for share in (2, 1):
@@ -284,17 +347,17 @@ class Page:
 
     def text_at(self, chosen: set[int], gone: set[str]) -> str:
         """The text within the chosen elements without furniture, blocks in page order."""
-        inside, out = [False] * len(self.parent), list(self.boiler)
+        inside, out = [False] * len(self.parent), [False] * len(self.parent)
         for k in range(len(self.parent)):
             inside[k] = k in chosen or (k > 0 and inside[self.parent[k]])
-            out[k] = out[k] or (k > 0 and out[self.parent[k]]) or (k in self.name and self.path[k] in gone)
+            out[k] = (k > 0 and out[self.parent[k]]) or (k in self.name and self.path[k] in gone)
         blocks, part = [], []
         for node, text in self.runs:
             if text is None:
                 if part:
                     blocks += unescape("".join(part)).split()
                     part = []
-            elif inside[node] and not out[node]:
+            elif inside[node] and not out[node] and not self.boiler[node]:
                 part.append(text)
         return " ".join([*blocks, *unescape("".join(part)).split()])
 
@@ -312,13 +375,18 @@ class Page:
                 while k not in around and k >= 0:
                     around.add(k)
                     k = self.parent[k]
-        if chosen and (text := self.text_at(chosen, gone)):
-            return text
+        text = self.text_at(chosen, gone) if chosen else ""
         credit = self.scores()
         if not credit:
-            return ""
+            return text
         best = own[self.best(credit)]
-        return self.text_at({k for k in range(len(own)) if own[k] == best and not self.boiler[k]}, gone)
+        alone = {k for k in range(len(own)) if own[k] == best and not self.boiler[k]}
+        if not text:
+            return self.text_at(alone, gone)
+        # a teaser at the host's paths, and the article elsewhere
+        if len(other := self.text_at(alone, gone)) >= OWN_SIZE and len(text) < OWN_SHARE * len(other):
+            return self.text_at(chosen | alone, gone)
+        return text
 
 
 def host_of(url: Column) -> Column:
@@ -341,23 +409,24 @@ def page_votes(html: Column) -> Column:
     return votes(html)
 
 
-def host_paths(pages: DataFrame, keep: int = 3) -> DataFrame:
-    """host, paths, told: the winning paths of each host, best first (ties: by path), and which of its paths named like
-    furniture stay or go (of the TOLD with most votes either way; pages decide about others themselves). Votes are
-    whole numbers, so that sums don't depend on their order; they are summed before the shuffle, so a host of any size
-    is cheap."""
+def host_paths(pages: DataFrame) -> DataFrame:
+    """host, paths, told: the winning paths of each host, best first (ties: by path), and which of its names of
+    furniture stay or go. Votes are whole numbers, so that sums don't depend on their order; they are summed before
+    the shuffle, so a host of any size is cheap. What wins is told by shares of the host's votes, so that a host with
+    very many paths has few winners, and no task ranks its paths: the sums of a host are joined to its paths."""
     cast = pages.select(host_of(F.col("url")).alias("host"), F.explode(page_votes(F.col("html"))).alias("v"))
-    summed = cast.groupBy("host", "v.furniture", "v.path").agg(F.sum("v.votes").alias("votes"))
-    w = Window.partitionBy("host", "furniture").orderBy(F.desc(F.abs("votes")), "path")
-    ranked = summed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("furniture"), TOLD).otherwise(keep))
-    one = F.struct("place", "path", "votes")
-    best = ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.when(~F.col("furniture"), one))).alias("p"), F.array_sort(F.collect_list(F.when(F.col("furniture"), one))).alias("f"))
-    won = F.filter("p", lambda x: x["votes"] >= F.get("p", 0)["votes"] * SHARE)
-    told = F.transform("f", lambda x: F.struct(x["path"].alias("path"), (x["votes"] > 0).alias("stays")))
-    return best.select("host", F.transform(won, lambda x: x["path"]).alias("paths"), told.alias("told"))
-
-
-def extract_main_text(pages: DataFrame, keep: int = 3) -> DataFrame:
+    summed = stored(cast.groupBy("host", "v.furniture", "v.path").agg(F.sum("v.votes").alias("votes")))
+    totals = summed.groupBy("host", "furniture").agg(F.max("votes").alias("most"), F.sum(F.abs("votes")).alias("all"))
+    told = join_anew(summed, totals, ["host", "furniture"])
+    wins = (F.col("votes") >= F.col("most") * SHARE) & (F.col("votes") >= F.col("all") * SUPPORT)
+    kept = told.where(F.when(F.col("furniture"), F.abs("votes") >= F.col("all") * TOLD).otherwise(wins))
+    one = F.struct((-F.col("votes")).alias("rank"), "path")
+    best = kept.groupBy("host").agg(F.array_sort(F.collect_list(F.when(~F.col("furniture"), one))).alias("p"), F.array_sort(F.collect_list(F.when(F.col("furniture"), one))).alias("f"))
+    names = F.transform("f", lambda x: F.struct(x["path"].alias("path"), (x["rank"] < 0).alias("stays")))
+    return best.select("host", F.transform("p", lambda x: x["path"]).alias("paths"), names.alias("told"))
+
+
+def extract_main_text(pages: DataFrame) -> DataFrame:
     """pages (url, html and any other columns) with `text`, the main text of the whole html.
 
     Null or empty html: empty text. Null url: the pages without a host vote together. White space of a block becomes
@@ -366,7 +435,7 @@ def extract_main_text(pages: DataFrame, keep: int = 3) -> DataFrame:
     the partitions of large hosts (adaptive skew join).
     """
     host, found = fresh(pages, "host", "found")
-    paths = stored(host_paths(pages, keep)).select(F.col("host").alias(host), F.struct("paths", "told").alias(found))
+    paths = stored(host_paths(pages)).select(F.col("host").alias(host), F.struct("paths", "told").alias(found))
     joined = pages.withColumn(host, host_of(F.col("url"))).join(paths, host, "left")
 
     @F.arrow_udf("string")

@@ -101,3 +101,74 @@ def test_whole_table_against_plain_version(spark):
     for r in H.extract_main_text(table(spark, sf, "pages")).collect():
         body = re.sub(r"</?(?:h1|p|br|ul|li)>", " ", re.search(r"<article>(.*)</article>", r.html, re.DOTALL)[1])
         assert r.text == " ".join(unescape(re.sub("</?b>", "", body)).split())
+
+
+STORY = "The riders came down the hill in the early morning and crossed the river. " * 3
+
+
+def pages(spark, bodies):
+    return spark.createDataFrame([(k, f"https://a.example/{k}", page(b)) for k, b in enumerate(bodies)], "page_id long, url string, html string")
+
+
+def texts(spark, bodies):
+    return {r.page_id: r.text for r in H.extract_main_text(pages(spark, bodies)).collect()}
+
+
+def test_article_beside_a_teaser_at_the_hosts_path(spark):
+    got = texts(spark, [f"<div class=story><p>{STORY}</p></div>"] * 9 + [f"<div class=story><p>Read it all here, dear reader.</p></div><div class=longread><p>{STORY * 9}</p></div>"])
+    assert got[0] == STORY.strip() and got[9] == "Read it all here, dear reader. " + " ".join((STORY * 9).split())
+
+
+def test_page_within_a_form():
+    p = H.Page(page(f"<form id=aspnet><div><h1>Title</h1><p>{STORY}</p><p>{STORY}</p><label>Name</label><input><select><option>One</select><button>Go</button></div></form>"))
+    assert p.extract([]) == f"Title {STORY}{STORY}".strip()
+    small = H.Page(page(f"<div class=main><p>{STORY}</p><form><p>Sign up for news</p><label>Your name here please</label></form></div>"))
+    assert small.extract([]) == STORY.strip()
+
+
+def test_furniture_that_nothing_ends():
+    for tag in ("nav", "aside"):
+        assert H.Page(f"<body><{tag}><a href=x>Menu</a><article><p>{STORY}</p></article></body>").extract([]) == STORY.strip()
+    assert H.Page("<nav>" * 20_000 + "<aside>" * 20_000 + f"<article><p>{STORY}</p>").extract([]) == STORY.strip()
+    closed = f"<body><article><p>{STORY}</p></article><aside><section><p>{STORY} no</p></section></aside></body>"
+    assert H.Page(closed).extract([]) == STORY.strip()
+
+
+def test_article_of_links():
+    link = "<p><a href=x>A whole paragraph that is a link to somewhere else</a></p>"
+    assert H.Page(page(f"<article>{link * 3}</article>")).extract([]) == " ".join(["A whole paragraph that is a link to somewhere else"] * 3)
+    assert H.Page("<body><div><p><a href=x>One link</a></p></div></body>").extract([]) == "One link"
+
+
+def test_remarks_by_structure(spark):
+    remark = "<div class=user-post><span class=who>Ann</span><time>today</time><p>What a fine ride that must have been for all.</p></div>"
+    body = f"<div class=main><p>{STORY}</p></div><div class=discussion>{remark * 4}</div>"
+    assert set(texts(spark, [body] * 3).values()) == {STORY.strip()}
+    inside = page(f"<article><p>{STORY}</p><div class=discussion>{remark * 2}</div></article>")
+    assert H.Page(inside).extract([]) == STORY.strip()
+    thread = page(f"<div class=thread>{remark * 6}</div>")  # nothing but posts: they are the text
+    assert H.Page(thread).extract([]).count("What a fine ride") == 6
+
+
+def test_many_paths_and_names(spark):
+    """A body in four paths of like weight stays whole, and a name counts however many others there are."""
+    parts = "".join(f"<div class=part{c}><p>{STORY}</p></div>" for c in "abcd")
+    got = texts(spark, [f"<div class=w><div class=x>{parts}</div></div>"] * 4)
+    assert set(got.values()) == {(STORY * 4).strip()}
+    rare = "".join(f"<div class='ad-{'x' * k}'>Buy</div>" for k in range(1, 200))
+    got = texts(spark, [f"<div class=main><p>{STORY}</p>{rare}</div>"] * 2)
+    assert set(got.values()) == {STORY.strip()}
+
+
+def test_whole_table_without_articles(spark):
+    """The same pages with the article in a plain element: nothing but its place tells it."""
+    sf = "/root/testdata/sf0.01"
+    if not glob.glob(f"{sf}/pages.parquet*"):
+        return
+    df = table(spark, sf, "pages").selectExpr("page_id", "url", "replace(replace(html, '<article>', '<div class=\"story\">'), '</article>', '</div>') AS html")
+    rows = H.extract_main_text(df).collect()
+    right = 0
+    for r in rows:
+        body = re.sub(r"</?(?:h1|p|br|ul|li)>", " ", re.search(r'<div class="story">(.*?)</div>', r.html, re.DOTALL)[1])
+        right += r.text == " ".join(unescape(re.sub("</?b>", "", body)).split())
+    assert right == len(rows)
