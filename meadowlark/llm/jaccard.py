@@ -59,6 +59,10 @@ def shingles(texts: Joined, n: int) -> list[np.ndarray]:
     return out
 
 
+#: Where a text is compared: its group or bucket, the two blocks that meet there and its own of them, and the task.
+PLACE = ["content", "component", "band", "lo", "hi", "side", "cell"]
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """A key of each band of each row of MinHash values."""
     rows = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
@@ -126,11 +130,10 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def compare(cell: pd.DataFrame, n: int, threshold: float, band: int, same: bool) -> list[tuple[bytes, int, bytes]]:
-    """(content, links, least content reached) of the texts of one block (same) or two that have links here. Of two,
-    only pairs across are compared, so there are none if either is empty. From a bucket of a band, a pair is judged
-    only if it shares no earlier one (band -1: every pair)."""
-    cell = cell.drop_duplicates("content").sort_values(["content"])
+def candidates(cell: pd.DataFrame, threshold: float, band: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of one block (same) or two that sizes and MinHash values leave. Of two, only pairs across are
+    compared, so there are none if either is empty. From a bucket of a band, a pair is judged only if it shares no
+    earlier one (band -1: every pair)."""
     side, size = cell["side"].to_numpy(), cell["size"].to_numpy()
     near = np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
     near &= np.triu(np.ones(near.shape, bool), 1) if same else (side[:, None] == 0) & (side[None, :] == 1)
@@ -141,8 +144,14 @@ def compare(cell: pd.DataFrame, n: int, threshold: float, band: int, same: bool)
             new = keys[i, k] != keys[j, k]
             i, j = i[new], j[new]
     if not len(i):
-        return []
-    i, j = likely(np.stack([np.frombuffer(x, np.uint16) for x in cell["sig"]]), i, j, threshold)
+        return i, j
+    return likely(np.stack([np.frombuffer(x, np.uint16) for x in cell["sig"]]), i, j, threshold)
+
+
+def compare(cell: pd.DataFrame, n: int, threshold: float, band: int, same: bool) -> list[tuple[bytes, int, bytes]]:
+    """(content, links, least content reached) of the texts of one block (same) or two that have links here."""
+    cell = cell.drop_duplicates("content").sort_values(["content"])
+    i, j = candidates(cell, threshold, band, same)
     if not len(i):
         return []
     used, places = np.unique(np.concatenate([i, j]), return_inverse=True)
@@ -240,6 +249,21 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Da
             words = [b" ".join(words_of(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([digest(w) for w in words], pa.binary()), pa.array(words, pa.binary())], names=["content", "words"])
 
+    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows that have a pair left in their group."""
+        out = [pdf.iloc[:0]]
+        for (_, band, lo, hi), part in pdf.groupby(["component", "band", "lo", "hi"], sort=False):
+            part = part.drop_duplicates("content")
+            if len(part) > 1 and len(pair := np.concatenate(candidates(part, threshold, band, lo == hi))):
+                out.append(part.iloc[np.unique(pair)])
+        return pd.concat(out)[PLACE]
+
+    # a text is sent to the places of its group as sizes, bands and MinHash values, of less than 700 bytes; its words
+    # follow to those where a pair is left
+    sketched = places.join(members.select("content", "size", "bands", "sig"), "content")
+    places = stored(sketched.groupBy("cell").applyInPandas(prune, ", ".join(f"{c} {places.schema[c].dataType.simpleString()}" for c in PLACE)))
+    members = members.join(stored(places.select("content").distinct()), "content", "left_semi")
+
     # the texts of doc_ids that stand for a content; of a repeated doc_id also others, which no content here meets
     ids = stored(members.select("doc_id").distinct())
     texts = known.join(ids, "doc_id", "left_semi").select("text").mapInArrow(worded, "content binary, words binary").groupBy("content").agg(F.first("words").alias("words"))

@@ -165,3 +165,18 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 1 for k in [*range(1, 61), 200]}, 100: 100, 101: 100}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_follow_where_a_pair_is_left(spark, monkeypatch):
+    """Pages of one template that are no near copies: the places get their signatures, and the words of none."""
+    rng = random.Random(9)
+    frame = " ".join(f"frame{k}" for k in range(60))
+    docs = [(k, frame + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for k in range(120)]
+    docs += [(1000 + k, docs[k][1] + " more") for k in range(3)]
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    seen, read = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df: seen.append(read(df)) or seen[-1])
+    got = jaccard.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got.collect()) == brute(docs)
+    left = next(df for df in seen if df.columns == jaccard.PLACE)
+    assert left.select("content").distinct().count() == 6
