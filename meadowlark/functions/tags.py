@@ -79,15 +79,19 @@ def special_tags(text: Column) -> Column:
 def final_tag(text: Column, classes: Column) -> Column:
     """Championship finals: none of the excluded terms, and a phrase (from a word's start) or all terms of a group."""
     text = text.text if isinstance(text, Scanned) else text
-    joined = F.concat_ws(" | ", text, F.transform(F.coalesce(classes, F.array().cast(STRINGS)), lambda c: F.lower(F.coalesce(c, F.lit("")))))
-    barred = joined.rlike("|".join(map(escaped, rules.FINALS_EXCLUDE)))
-    phrase = joined.rlike(r"(?U)\b(?:" + "|".join(map(escaped, rules.FINALS)) + ")")
-    for group in rules.FINALS_ALL:
-        every = F.lit(True)
-        for p in group:
-            every = every & joined.rlike(rf"(?U)\b{escaped(p)}")
-        phrase = phrase | every
-    return F.when(~barred & phrase, F.lit("special:championship-final"))
+    every_text = F.concat_ws(" | ", text, F.transform(F.coalesce(classes, F.array().cast(STRINGS)), lambda c: F.lower(F.coalesce(c, F.lit("")))))
+
+    def found(joined: Column) -> Column:
+        barred = joined.rlike("|".join(map(escaped, rules.FINALS_EXCLUDE)))
+        phrase = joined.rlike(r"(?U)\b(?:" + "|".join(map(escaped, rules.FINALS)) + ")")
+        for group in rules.FINALS_ALL:
+            every = F.lit(True)
+            for p in group:
+                every = every & joined.rlike(rf"(?U)\b{escaped(p)}")
+            phrase = phrase | every
+        return F.when(~barred & phrase, F.lit("special:championship-final"))
+
+    return let(every_text, found)
 
 
 def series_tags(text: Column) -> Column:
@@ -103,20 +107,30 @@ def series_tags(text: Column) -> Column:
 def class_tags(classes: Column) -> Column:
     """Of each class text: its series (longest keyword first), its audience and its height band."""
 
-    def one(raw: Column) -> Column:
-        t = F.lower(F.coalesce(raw, F.lit("")))
-        ordered = sorted(rules.CLASS_SERIES.items(), key=lambda x: -len(x[1][0]))
-        name = first_of(*[(has(t, [k]), f"class:{v}") for v, (k, _) in ordered])
-        fixed = lookup({f"class:{v}": str(cm) for v, (_, cm) in rules.CLASS_SERIES.items() if cm}, name).cast("int")
-        metres = r"\b(\d)\.(\d\d)\s*m\b"
-        parsed = F.when(t.rlike(metres), F.regexp_extract(t, metres, 1).try_cast("int") * 100 + F.regexp_extract(t, metres, 2).try_cast("int")).otherwise(F.regexp_extract(t, r"\b(\d{2,3})\s*cm\b", 1).try_cast("int"))
-        cm = F.coalesce(fixed, F.nullif(parsed, F.lit(0)))
-        band = F.greatest(F.lit(80), F.least(F.lit(140), (F.floor(cm / 10) * 10).cast("int")))
-        who = first_of(
+    ordered = sorted(rules.CLASS_SERIES.items(), key=lambda x: -len(x[1][0]))
+    metres = r"\b(\d)\.(\d\d)\s*m\b"
+
+    def series(t: Column) -> Column:
+        """The series of a class text; one pattern tells first whether there is any."""
+        return F.when(has(t, [k for _, (k, _) in ordered]), first_of(*[(has(t, [k]), f"class:{v}") for v, (k, _) in ordered]))
+
+    def audience(t: Column) -> Column:
+        return first_of(
             (t.rlike(r"\bpony\b"), "audience:pony"), (t.rlike(r"\b(?:junior|children)\b"), "audience:junior"),
             (t.rlike(r"\bseniors?\b"), "audience:senior"), (t.rlike(r"\b(?:amateur|veteran|adult)\b"), "audience:adult"),
         )
-        return present(name, who, F.when(cm.isNotNull(), F.concat(F.lit("height:"), band.cast("string"))))
+
+    def height(t: Column, name: Column) -> Column:
+        fixed = lookup({f"class:{v}": str(cm) for v, (_, cm) in rules.CLASS_SERIES.items() if cm}, name).cast("int")
+        parsed = F.when(t.rlike(metres), F.regexp_extract(t, metres, 1).try_cast("int") * 100 + F.regexp_extract(t, metres, 2).try_cast("int")).otherwise(F.regexp_extract(t, r"\b(\d{2,3})\s*cm\b", 1).try_cast("int"))
+        return F.coalesce(fixed, F.nullif(parsed, F.lit(0)))
+
+    def band(cm: Column) -> Column:
+        rounded = F.greatest(F.lit(80), F.least(F.lit(140), (F.floor(cm / 10) * 10).cast("int")))
+        return F.when(cm.isNotNull(), F.concat(F.lit("height:"), rounded.cast("string")))
+
+    def one(raw: Column) -> Column:
+        return let(F.lower(F.coalesce(raw, F.lit(""))), lambda t: let(series(t), lambda name: present(name, audience(t), let(height(t, name), band))))
 
     return F.array_distinct(F.flatten(F.transform(F.coalesce(classes, F.array().cast(STRINGS)), one)))
 
@@ -214,8 +228,8 @@ def discipline_tags(name: Column, classes: Column, primary: Column, venue: Colum
 
 def valid(tags: Column) -> Column:
     """Tags of the vocabulary only."""
-    every = F.array(*[F.lit(f"{n}:{v}") for n, values in rules.VOCABULARY.items() for v in values])
-    return F.filter(tags, lambda t: F.array_contains(every, t))
+    every = [f"{n}:{v}" for n, values in rules.VOCABULARY.items() for v in values]
+    return F.filter(tags, lambda t: t.isin(every))
 
 
 def extract_tags(name: Column, description: Column, discipline: Column, kind: Column, source: Column, classes: Column, venue: Column) -> Column:
@@ -226,13 +240,13 @@ def extract_tags(name: Column, description: Column, discipline: Column, kind: Co
     def worded(found: Column) -> Column:
         text = Scanned(found["text"], found["hits"])
 
-        def around(affiliations: Column) -> Column:
+        def around(affiliations: Column, listed: Column) -> Column:
             return F.concat(
-                present(type_tag, level_tag(text)), affiliations, format_tags(text), present(scope_tag(text)), age_tags(text), special_tags(text), present(final_tag(text, classes)),
-                series_tags(text), class_tags(classes), category_tags(text), present(tier_tag(text, affiliations)),
+                present(type_tag, level_tag(text)), affiliations, format_tags(text), present(scope_tag(text)), age_tags(text), special_tags(text), present(final_tag(text, listed)),
+                series_tags(text), class_tags(listed), category_tags(text), present(tier_tag(text, affiliations)),
             )
 
-        return let(affiliation_tags(text, source), around)
+        return let(classes, lambda listed: let(affiliation_tags(text, source), lambda affiliations: around(affiliations, listed)))
 
     return valid(F.concat(discipline_tags(name, classes, discipline, venue, source), let(scanned(normalised(name, description)), worded)))
 
