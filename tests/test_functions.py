@@ -141,3 +141,11 @@ def test_more_ranges(spark, raw, start, end):
 def test_dates_in_slugs(spark):
     cases = {"/e/show-4th-march": "2027-03-04", "https://x/22nd-october-finals": "2026-10-22", "/e/march-4th": None, "/e/31st-feb": None, "/a-20260304": "2026-03-04"}
     assert values(spark, lambda x: dates.date_in_url(x, F.lit("2026-06-01").cast("date")).cast("string"), cases) == list(cases.values())
+
+
+def test_class_tags_bear_nulls_and_odd_heights(spark):
+    df = spark.createDataFrame([(None,), ([],), ([None, "British Novices 90cm", "Pony Foxhunter", "1.05 m", "30cm", "0cm"],)], "c array<string>")
+    got = [r.k for r in df.select(tags.class_tags(F.col("c")).alias("k")).collect()]
+    assert got == [[], [], ["height:90", "class:pony-foxhunter", "audience:pony", "height:110", "height:100", "height:80"]]
+    known = spark.range(1).select(tags.valid(F.array(F.lit("level:novice"), F.lit("x:y"), F.lit(None).cast("string"))).alias("v"))
+    assert known.first().v == ["level:novice"]
