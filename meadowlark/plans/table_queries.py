@@ -650,6 +650,47 @@ def _(t):
     return t.spark.read.schema("name string, date_start date").parquet(found)
 
 
+ARCHIVED = f"SELECT 'calendar_api' AS feed, {CLEAN} AS name, date_start, nullif(date_end, date_start) AS date_end FROM event WHERE id % 3 > 0 UNION ALL SELECT 'meetings_api', {CLEAN}, date_start, nullif(date_end, date_start) FROM event WHERE id % 3 = 0"
+
+
+def archive_pages(t):
+    """All events as payloads of two feeds: every third in those of one, the others in those of the other."""
+    last = F.concat(C("date_end").cast("string"), F.lit(" 16:00:00"))
+    row = F.struct("id", "name", C("name").alias("title"), last.alias("end_date"), C("date_start").cast("string").alias("start_date"), C("date_start").cast("string").alias("start_on"), C("date_end").cast("string").alias("end_on"), F.lit("GBR").alias("venue_country"), "url")
+    own = F.when(C("id") % 3 == 0, "meetings_api").otherwise("calendar_api").alias("feed")
+    rows = listed(t).groupBy(own, "source_id", "page", "month").agg(F.collect_list(row).alias("rows"))
+    body = F.when(C("feed") == "meetings_api", F.to_json("rows")).otherwise(F.to_json(F.struct(C("rows").alias("events"))))
+    return rows.select("feed", "source_id", F.lit(None).cast("string").alias("url"), body.alias("body"))
+
+
+@query("S1_archive", ARCHIVED)
+def _(t):
+    """Payloads of two feeds in one archive, read with small splits whose borders fall anywhere."""
+    from ..operators.storage import scratch
+
+    landing = scratch(t.spark, "archive")
+    archive_pages(t).write.json(landing)
+    found = [feeds.archived(t.spark, k, landing, split=1 << 20).select(F.lit(k).alias("feed"), "name", "date_start", "date_end") for k in ("calendar_api", "meetings_api")]
+    return found[0].union(found[1])
+
+
+@query("S1_archive_stream", ARCHIVED)
+def _(t):
+    """The same archive in three deliveries; a stream of each feed follows it, and is started anew for each delivery
+    from where it stood."""
+    from ..operators.storage import scratch
+
+    landing, base = scratch(t.spark, "archive"), scratch(t.spark, "rows")
+    for k in range(3):
+        archive_pages(t).where(F.pmod("source_id", F.lit(3)) == k).write.mode("append").json(landing)
+        for key in ("calendar_api", "meetings_api"):
+            rows = feeds.archived(t.spark, key, landing, stream=True).select(F.lit(key).alias("feed"), "name", "date_start", "date_end")
+            out = rows.writeStream.format("parquet").option("path", f"{base}/{key}").option("checkpointLocation", f"{base}/offsets-{key}")
+            out.trigger(availableNow=True).start().awaitTermination()
+    found = [t.spark.read.schema("feed string, name string, date_start date, date_end date").parquet(f"{base}/{key}") for key in ("calendar_api", "meetings_api")]
+    return found[0].union(found[1])
+
+
 @query("S3_rss_items", f"SELECT {CLEAN} AS name, date_start FROM event")
 def _(t):
     day = C("date_start")

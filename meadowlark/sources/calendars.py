@@ -14,19 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .archive import file_system
 from .sinks import ical_event
 
 FORMAT = "calendars"
 BEGIN, END = "BEGIN:VCALENDAR\r\nVERSION:2.0\r\n", "END:VCALENDAR\r\n"
 
 
-def _files(path: str):
-    """The file system of a path or URI, and the path in it."""
-    from pyarrow.fs import FileSystem, LocalFileSystem
-
-    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
-
-
 @dataclass
 class Written(WriterCommitMessage):
     """Of one task: file of the attempt, name of the calendar."""
@@ -44,7 +38,7 @@ class CalendarWriter(DataSourceWriter):
         self.job = f"{self.path}/_temporary-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[Row]) -> Written:
-        fs, folder = _files(self.job)
+        fs, folder = file_system(self.job)
         context = TaskContext.get()
         attempt = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}"
         fs.create_dir(attempt, recursive=True)
@@ -73,7 +67,7 @@ class CalendarWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, folder = _files(self.path)
+        fs, folder = file_system(self.path)
         moves = [f for m in messages if m is not None for f in m.files]
         names = [name for _, name in moves]
         if len(set(names)) < len(names):
@@ -89,7 +83,7 @@ class CalendarWriter(DataSourceWriter):
     def _clear(self) -> None:
         from pyarrow.fs import FileType
 
-        fs, folder = _files(self.job)
+        fs, folder = file_system(self.job)
         if fs.get_file_info(folder).type == FileType.Directory:
             fs.delete_dir(folder)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from . import archive
 from .markup import table_rows
 
 #: Feed key -> function of a table (source_id, url, body) to extracted rows.
@@ -40,6 +41,18 @@ def read(spark: SparkSession, key: str, path: str, stream: bool = False, files:
     return FEEDS[key](reader.json(path).where("body IS NOT NULL"))
 
 
+def archived(spark: SparkSession, key: str, path: str, stream: bool = False, split: int | None = None) -> DataFrame:
+    """Event rows of the payloads of one feed in an archive (archive.Payloads), which may hold many feeds' payloads and
+    go on growing while a stream follows it. An unknown feed key is an error."""
+    if key not in FEEDS:
+        raise KeyError(f"no feed {key}; there are {', '.join(sorted(FEEDS))}")
+    spark.dataSource.register(archive.Payloads)
+    reader = (spark.readStream if stream else spark.read).format(archive.FORMAT).option("path", path).option("feed", key)
+    if split:
+        reader = reader.option("splitbytes", split)
+    return FEEDS[key](reader.load())
+
+
 def unescape_html(value: Column) -> Column:
     """Character references decoded, in Arrow batches; texts without any stay in the JVM's hands."""
 
