@@ -463,14 +463,14 @@ HELD_VENUE = "SELECT * REPLACE (CASE WHEN id % 10 IN (5, 6) THEN 'tbd' WHEN id %
 HELD_NAMES = "lower(trim(name)) IN ('tbc', 'tba', 'tbd', 'various', 'unknown', 'none')"
 MOVED = f"""hv AS ({HELD_VENUE}), u AS (SELECT postcode AS pc, min(id) AS rid FROM hv WHERE postcode IS NOT NULL AND NOT {HELD_NAMES} GROUP BY 1 HAVING count(*) = 1),
 h AS (SELECT id AS hid, rid FROM hv LEFT JOIN u ON pc = postcode WHERE {HELD_NAMES}),
-moved AS (SELECT e.id, coalesce(h.rid, u.rid, e.venue_id) AS venue_id FROM event e LEFT JOIN h ON hid = e.venue_id LEFT JOIN venue x ON x.id = 1 + e.id % 90 LEFT JOIN u ON hid IS NOT NULL AND h.rid IS NULL AND u.pc = x.postcode)"""
+moved AS (SELECT e.id, coalesce(h.rid, u.rid, e.venue_id) AS venue_id FROM event e LEFT JOIN h ON hid = e.venue_id LEFT JOIN venue x ON x.id = 1 + e.id % (SELECT greatest(count(*) - 10, 10) FROM venue) LEFT JOIN u ON hid IS NOT NULL AND h.rid IS NULL AND u.pc = x.postcode)"""
 
 
 def held(t):
     k = C("id") % 10
     venues = t.venue.withColumn("name", F.when(k.isin(5, 6), "tbd").when(k == 8, "Various").otherwise(C("name")))
     codes = t.venue.select(C("id").alias("x_id"), F.to_json(F.struct(F.lower("postcode").alias("venue_postcode"))).alias("raw_extract"))
-    events = t.event.select("id", "venue_id").join(codes, 1 + C("id") % 90 == C("x_id"), "left").drop("x_id")
+    events = t.event.select("id", "venue_id").join(codes, 1 + C("id") % max(t.venue.count() - 10, 10) == C("x_id"), "left").drop("x_id")
     return V.resolve_placeholders(events, venues), venues
 
 
