@@ -639,14 +639,15 @@ def _(t):
 @query("S2_feed_stream", f"SELECT trim({CLEAN}) AS name, date_start FROM event WHERE id % 5 <> 0")
 def _(t):
     """The same pages as payload files that a stream reads as they come."""
-    from ..operators.storage import scratch
+    from ..operators.storage import discard, scratch
 
     cells = [F.date_format("date_start", "d MMM yyyy"), C("name"), F.lit("90cm, 1m"), F.lit("Bury Farm"), F.lit(""), F.lit(""), F.when(C("id") % 5 == 0, "X").otherwise("")]
-    landing, found = scratch(t.spark, "payloads"), scratch(t.spark, "rows")
+    landing, found, offsets = (scratch(t.spark, x) for x in ("payloads", "rows", "offsets"))
     pages = paged(t, table_of(html_row(cells))).select("source_id", F.lit(None).cast("string").alias("url"), "body")
     pages.repartition(3).write.json(landing)
     rows = feeds.read(t.spark, "html_table", landing, stream=True, files=1).select("name", "date_start")
-    rows.writeStream.format("parquet").option("path", found).option("checkpointLocation", scratch(t.spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.format("parquet").option("path", found).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    discard(t.spark, landing, offsets)
     return t.spark.read.schema("name string, date_start date").parquet(found)
 
 
@@ -678,7 +679,7 @@ def _(t):
 def _(t):
     """The same archive in three deliveries; a stream of each feed follows it, and is started anew for each delivery
     from where it stood."""
-    from ..operators.storage import scratch
+    from ..operators.storage import discard, scratch
 
     landing, base = scratch(t.spark, "archive"), scratch(t.spark, "rows")
     for k in range(3):
@@ -687,6 +688,7 @@ def _(t):
             rows = feeds.archived(t.spark, key, landing, stream=True).select(F.lit(key).alias("feed"), "name", "date_start", "date_end")
             out = rows.writeStream.format("parquet").option("path", f"{base}/{key}").option("checkpointLocation", f"{base}/offsets-{key}")
             out.trigger(availableNow=True).start().awaitTermination()
+    discard(t.spark, landing, *[f"{base}/offsets-{key}" for key in ("calendar_api", "meetings_api")])
     found = [t.spark.read.schema("feed string, name string, date_start date, date_end date").parquet(f"{base}/{key}") for key in ("calendar_api", "meetings_api")]
     return found[0].union(found[1])
 
@@ -819,12 +821,13 @@ def _(t):
 )
 def _(t):
     """Alerts as they are told while runs arrive, in three deliveries by day."""
-    from ..operators.storage import scratch
+    from ..operators.storage import discard, scratch
     from ..streaming.alerts import start, watch
 
-    landing, told = scratch(t.spark, "runs"), scratch(t.spark, "alerts")
+    landing, told, offsets = (scratch(t.spark, x) for x in ("runs", "alerts", "offsets"))
     for days in ("day <= 10", "day > 10 AND day <= 20", "day > 20"):
         t.scan.where(days).coalesce(1).write.mode("append").parquet(landing)
     runs = t.spark.readStream.schema(t.scan.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    start(t.spark, watch(runs), told, scratch(t.spark, "offsets")).awaitTermination()
+    start(t.spark, watch(runs), told, offsets).awaitTermination()
+    discard(t.spark, landing, offsets)
     return t.spark.read.schema(ALERTS).parquet(told)

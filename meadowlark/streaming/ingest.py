@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as I
 from ..operators.ingest import gate
-from ..operators.storage import scratch
+from ..operators.storage import discard, scratch
 
 EVENT_SCHEMA = (
     "id long, source_id long, name string, date_start date, venue_id long, date_end date, discipline string, event_type string, spectator boolean, hidden boolean, "
@@ -47,13 +47,14 @@ def rolling_ingest(extracted: DataFrame, files: int = 4) -> DataFrame:
     time, gated, and aggregated by key in the stream's state store, which writes what changes; each batch logs the keys
     that it changed (Rolling), of which the latest values are returned."""
     spark = extracted.sparkSession
-    landing = scratch(spark, "landing")
+    landing, offsets = scratch(spark, "landing"), scratch(spark, "offsets")
     extracted.repartition(files).write.parquet(landing)
     state = Rolling(spark, scratch(spark, "state"), ["name", "date_start"], "name string, date_start date, first_seq long, deliveries long")
     stream = spark.readStream.schema(extracted.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     counted = gate(stream).groupBy("name", "date_start").agg(F.min("batch_seq").alias("first_seq"), F.count("*").alias("deliveries"))
-    query = counted.writeStream.outputMode("update").foreachBatch(state.log).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
+    query = counted.writeStream.outputMode("update").foreachBatch(state.log).option("checkpointLocation", offsets).trigger(availableNow=True).start()
     query.awaitTermination()
+    discard(spark, landing, offsets)
     return state.read()
 
 
@@ -123,19 +124,22 @@ class Listings:
 def stream_upsert(extracted: DataFrame, venues: DataFrame, aliases: DataFrame, postcodes: DataFrame | None = None, files: int = 4, base: str | None = None) -> Listings:
     """The tables after extracted rows have arrived as files, one file a batch, as Listings."""
     spark = extracted.sparkSession
-    landing, tables = scratch(spark, "landing"), Listings(spark, base or scratch(spark, "listings"), venues, aliases, postcodes)
+    landing, offsets = scratch(spark, "landing"), scratch(spark, "offsets")
+    tables = Listings(spark, base or scratch(spark, "listings"), venues, aliases, postcodes)
     extracted.repartition(files, "source_id").write.parquet(landing)
     stream = spark.readStream.schema(extracted.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    stream.writeStream.foreachBatch(tables.merge).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(tables.merge).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    discard(spark, landing, offsets)
     return tables
 
 
 def run_log(scans: DataFrame, files: int = 3) -> DataFrame:
     """The run log after runs have been appended as they complete (file sink of a stream)."""
     spark = scans.sparkSession
-    landing, log = scratch(spark, "runs"), scratch(spark, "log")
+    landing, log, offsets = (scratch(spark, x) for x in ("runs", "log", "offsets"))
     scans.repartition(files).write.parquet(landing)
     stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    query = stream.writeStream.format("parquet").option("path", log).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", log).option("checkpointLocation", offsets).trigger(availableNow=True).start()
     query.awaitTermination()
+    discard(spark, landing, offsets)
     return spark.read.schema(scans.schema).parquet(log)

@@ -101,3 +101,13 @@ def test_counters_of_a_batch_that_runs_again(spark):
     got = {(r.batch, r.source_id): r.inserted for r in out.runs().collect()}
     assert got == want and sum(got.values()) > 1000
     assert out.events().select("id").distinct().count() == out.events().count() == out.read("marks").agg(F.max("largest")).first()[0]
+
+
+def test_streams_leave_no_landing_places(spark):
+    from meadowlark.streaming.ingest import rolling_ingest, run_log
+
+    base = os.path.dirname(scratch(spark, "x")).removeprefix("file:")
+    before = set(os.listdir(base))
+    t = Tables(spark, SF)
+    assert rolling_ingest(t.extracted, 2).count() and run_log(t.scan, 2).count()
+    assert {x.split("-")[0] for x in set(os.listdir(base)) - before} <= {"state", "log"}
