@@ -78,8 +78,9 @@ def matched(rows: DataFrame, venues: DataFrame, aliases: DataFrame) -> DataFrame
 def with_new_venues(rows: DataFrame, made: DataFrame) -> DataFrame:
     """Rows of matched() with the ids of the venues that were made for unknown names."""
     ids = made.select(F.lower("name").alias("m_key"), F.col("id").alias("m_id"))
-    joined = rows.join(ids, F.when(F.col("venue_id").isNull(), F.lower("matched_name")) == F.col("m_key"), "left")
-    return joined.withColumn("venue_id", F.coalesce("venue_id", "m_id")).drop("m_key", "m_id")
+    # rows of known venues have nothing to look up; in the join they would meet in the one task of null keys
+    joined = rows.where("venue_id IS NULL").join(ids, F.lower("matched_name") == F.col("m_key"), "left")
+    return rows.where("venue_id IS NOT NULL").unionByName(joined.withColumn("venue_id", F.col("m_id")).drop("m_key", "m_id"))
 
 
 RAW = "struct<description:string,classes:array<string>,affiliation:string,venue_postcode:string>"

@@ -18,6 +18,18 @@ RUN_SCHEMA = "source_id long, competitions long, others long, exact long, alias
 LAYOUT = {"events": (EVENT_SCHEMA, "month string"), "venues": (VENUE_SCHEMA, "batch int"), "runs": (RUN_SCHEMA, "batch int"), "marks": ("largest long", "batch int")}
 
 
+#: Rows of a landed file and of a task that tags rows, as a rule. (A task takes seconds to make its tag expressions.)
+LANDED, TAGGED = 50_000, 100_000
+
+
+def landed(rows: DataFrame, path: str, batches: int = 1, form: str = "parquet") -> int:
+    """Adds files of rows to a folder, in number as the rows ask for, and tells how many of them make one of so many
+    batches: a batch of any size is written and read by many tasks."""
+    each = max(1, -(-rows.count() // (LANDED * batches)))
+    rows.repartition(each * batches).write.mode("append").format(form).save(path)
+    return each
+
+
 class Rolling:
     """A rolling state as a log of changes: each batch writes the new values of the keys that it changed, and nothing
     else, under its number; the state is the last value of each key. Values are whole, not increments, and a batch that
@@ -96,14 +108,15 @@ class Listings:
         """One batch of extracted rows: validated, normalised, resolved against the venues, with venues made for names
         that no one knows, classified and tagged, counted, and upserted."""
         venues = self.venues(number)
-        rows = I.matched(I.prepare(batch), venues, self.aliases).checkpoint()
+        rows = I.matched(I.prepare(batch).checkpoint(), venues, self.aliases).checkpoint()
         made = I.new_venues(rows.where("venue_id IS NULL"), venues).checkpoint()
         blank = made.select("id", "name", "postcode", F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"))
         if self.postcodes is not None:
             told = made.select(F.col("id").alias("venue_id"), "batch_seq", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), F.col("postcode").alias("row_postcode"))
             blank = I.resolve_coordinates(blank, told, self.postcodes)
         self.put(blank.withColumns({"source": F.lit("dynamic"), "batch": F.lit(number)}), "venues", "batch")
-        ready = I.classified(I.with_new_venues(rows, made)).checkpoint()
+        dealt = I.with_new_venues(rows, made).repartition(max(1, -(-rows.count() // TAGGED)))
+        ready = I.classified(dealt).checkpoint()
 
         month = F.date_format("date_start", "yyyy-MM")
         months = [r[0] for r in ready.select(month).distinct().collect()]  # bounded by the calendar
@@ -118,17 +131,20 @@ class Listings:
         after = I.upsert(before, ready.select(*columns), seen, max(largest, own), {"first_batch": F.lit(number)}).checkpoint()
         mark = after.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(largest)).cast("long").alias("largest"))
         self.put(mark.withColumn("batch", F.lit(number)), "marks", "batch")
-        self.put(after.withColumn("month", month), "events", "month")  # read before it is overwritten: checkpoint()
+        # read before it is overwritten: checkpoint(); a month in as few files as its size asks for, not one for each task
+        self.put(after.withColumn("month", month).hint("rebalance", "month"), "events", "month")
 
 
 def stream_upsert(extracted: DataFrame, venues: DataFrame, aliases: DataFrame, postcodes: DataFrame | None = None, files: int = 4, base: str | None = None) -> Listings:
-    """The tables after extracted rows have arrived as files, one file a batch, as Listings."""
+    """The tables after extracted rows have arrived in so many deliveries, each of whole sources and a batch of its own,
+    as Listings. A delivery is as many files as its rows ask for; the stream goes on from its offsets with each."""
     spark = extracted.sparkSession
     landing, offsets = scratch(spark, "landing"), scratch(spark, "offsets")
     tables = Listings(spark, base or scratch(spark, "listings"), venues, aliases, postcodes)
-    extracted.repartition(files, "source_id").write.parquet(landing)
-    stream = spark.readStream.schema(extracted.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    stream.writeStream.foreachBatch(tables.merge).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    for k in range(files):
+        landed(extracted.where(F.pmod(F.hash("source_id"), F.lit(files)) == k), landing)
+        stream = spark.readStream.schema(extracted.schema).parquet(landing)
+        stream.writeStream.foreachBatch(tables.merge).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
     discard(spark, landing, offsets)
     return tables
 

@@ -111,3 +111,40 @@ def test_streams_leave_no_landing_places(spark):
     t = Tables(spark, SF)
     assert rolling_ingest(t.extracted, 2).count() and run_log(t.scan, 2).count()
     assert {x.split("-")[0] for x in set(os.listdir(base)) - before} <= {"state", "log"}
+
+
+def test_rows_of_known_venues_are_not_dealt_to_one_task(spark):
+    from meadowlark.operators.ingest import with_new_venues
+
+    before, adaptive = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        rows = spark.range(0, 4000, 1, 4).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("venue_id"), F.concat(F.lit("At "), F.col("id") % 7).alias("matched_name"))
+        made = spark.createDataFrame([(9000 + k, f"At {k}") for k in range(6)], "id long, name string")
+        got = with_new_venues(rows, made)
+        dealt = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(dealt) == 4000 and max(dealt) < 2000
+        assert got.where("venue_id >= 9000").count() == got.where("venue_id >= 9000 AND venue_id = 9000 + int(right(matched_name, 1))").count() > 300
+        assert got.where("venue_id IS NULL").select("matched_name").distinct().collect() == [("At 6",)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_deliveries_are_whole_sources_in_many_files(spark, monkeypatch):
+    """Each delivery is one batch, whatever its files: no source's rows are counted in two."""
+    from meadowlark.streaming import ingest
+
+    monkeypatch.setattr(ingest, "LANDED", 100)
+    sizes, landed = [], ingest.landed
+
+    def told(rows, *more):
+        sizes.append((rows.count(), landed(rows, *more)))
+        return sizes[-1][1]
+
+    monkeypatch.setattr(ingest, "landed", told)
+    t = Tables(spark, SF)
+    out = ingest.stream_upsert(t.extracted, t.venue, t.alias, t.postcode, files=2)
+    assert len(sizes) == 2 and sum(n for n, _ in sizes) == t.extracted.count() and all(f >= n / 100 > 1 for n, f in sizes)
+    assert out.runs().groupBy("source_id").count().where("count > 1").isEmpty() and out.runs().select("batch").distinct().count() == 2
