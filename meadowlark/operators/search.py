@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, geo, rules
 from ..functions.tags import from_json_list
 
+#: People of one task of a radius join, on average, and tasks that the people of one point are dealt to.
+PEOPLE, DEALS = 2000, 8
 TOKEN = re.compile(r"[a-z][a-z-]*:[a-z0-9-]+")
 
 
@@ -139,12 +141,22 @@ def near(df: DataFrame, lat: float, lng: float, miles: float) -> DataFrame:
 
 
 def near_each(people: DataFrame, places: DataFrame, miles: float) -> DataFrame:
-    """id, place_id, distance for all places within the radius of each person, anywhere on the globe, by an equi-join on
-    cubes of space: a person is sent to the few that the circle can reach, a place is in one, so no pair is made twice;
-    the exact distance decides."""
-    p = places.where("latitude IS NOT NULL AND longitude IS NOT NULL")
-    p = p.select(F.col("id").alias("place_id"), F.col("latitude").alias("plat"), F.col("longitude").alias("plng"), geo.cell(F.col("latitude"), F.col("longitude"), miles).alias("cell"))
-    spread = people.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("id", "latitude", "longitude")
-    spread = spread.withColumn("cell", F.explode(geo.cells_around(F.col("latitude"), F.col("longitude"), miles)))
-    joined = spread.join(p, "cell").withColumn("distance", geo.haversine_miles(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plng")))
-    return joined.where(F.col("distance") <= miles).select("id", "place_id", "distance")
+    """id, place_id, distance for all places within the radius of each person, anywhere on the globe. Points meet first,
+    each different one once, by an equi-join on cubes of space: a person's point is sent to the few that the circle can
+    reach, a place's is in one, so no pair is made twice; the exact distance decides. Places and people follow by their
+    points, so that a pair of them costs a row of a join only. The rows to make are far more than those that meet, so tasks
+    are as many as the people ask for (PEOPLE), and those of one point are dealt to several."""
+    located = "latitude IS NOT NULL AND longitude IS NOT NULL"
+    own = people.where(located).select("id", "latitude", "longitude")
+    p = places.where(located).select(F.col("id").alias("place_id"), F.col("latitude").alias("plat"), F.col("longitude").alias("plng"))
+    seen = p.select("plat", "plng").distinct().withColumn("cell", geo.cell(F.col("plat"), F.col("plng"), miles))
+    spread = own.select("latitude", "longitude").distinct().withColumn("cell", F.explode(geo.cells_around(F.col("latitude"), F.col("longitude"), miles)))
+    met = spread.join(seen, "cell").withColumn("distance", geo.haversine_miles(F.col("latitude"), F.col("longitude"), F.col("plat"), F.col("plng")))
+    around = met.where(F.col("distance") <= miles).join(p, ["plat", "plng"]).select("latitude", "longitude", "place_id", "distance")
+    # a point as one text: Spark deals doubles anew for a join, whatever they have been dealt by
+    parts, keys = max(1, -(-own.count() // PEOPLE)), ["point", "deal"]
+    point = F.concat_ws(" ", *[F.when(F.col(c) == 0, 0.0).otherwise(F.col(c)) for c in ("latitude", "longitude")])
+    dealt = own.select("id", point.alias("point"), F.pmod(F.hash("id"), F.lit(DEALS)).alias("deal")).repartition(parts, *keys)
+    around = around.select(point.alias("point"), F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"), "place_id", "distance").repartition(parts, *keys)
+    # a merge, since a broadcast would leave all rows to the few tasks of the other side
+    return dealt.join(around.hint("merge"), keys).select("id", "place_id", "distance")

@@ -47,6 +47,26 @@ def globe(rng, n):
     return [(k, *rng.choice(kinds)()) for k in range(n)]
 
 
+def test_radius_join_of_people_at_few_points(spark, monkeypatch):
+    """Each pair once, by many tasks, also where all stand at few points; ids that come twice stay twice."""
+    monkeypatch.setattr(search, "PEOPLE", 50)
+    people = spark.range(0, 1000, 1, 1).select("id", (F.lit(52.0) + F.col("id") % 2).cast("double").alias("latitude"), F.lit(-1.5).alias("longitude"))
+    places = spark.range(0, 60, 1, 1).select((F.col("id") % 30).alias("id"), F.when(F.col("id") < 50, F.lit(52.1)).otherwise(F.lit(10.0)).alias("latitude"), F.lit(-1.5).alias("longitude"))
+    got = search.near_each(people, places, 25.0).cache()
+    zero = spark.createDataFrame([(1, -0.0, 0.0), (2, 0.0, -0.0)], "id long, latitude double, longitude double")
+    assert search.near_each(zero, zero, 1.0).count() == 4
+    assert got.count() == 500 * 50 and got.select("id").distinct().where("id % 2 = 0").count() == 500
+    assert got.where("place_id < 20").count() == 500 * 40 and got.where("abs(distance - 6.9095) > 0.001").isEmpty()
+    got.unpersist()
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)  # which would join partitions as small as these
+    try:
+        made = [r["count"] for r in search.near_each(people, places, 25.0).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(made) > 3 and max(made) < 0.5 * sum(made)
+
+
 @pytest.mark.parametrize("radius", [5.0, 80.0, 3000.0])
 def test_places_of_the_whole_globe(spark, radius):
     rng = random.Random(radius)
