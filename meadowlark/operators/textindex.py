@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .scans import ROWS
 
+#: Characters of the texts that one task cuts into trigrams, on average: what it holds of them until its sorted shuffle.
+CUT = 4 * ROWS
 #: Trigrams of a term that are looked up: the rarest ones.
 LOOKED_UP = 3
 
@@ -32,8 +34,9 @@ class TextIndex:
         spark = texts.sparkSession
         texts.select("id", "text").where("text IS NOT NULL").write.mode("overwrite").parquet(f"{path}/texts")
         index = cls(spark, path)
-        grams = index.texts().select(F.explode(trigrams(F.col("text"))).alias("gram"), "id")
         n = index.texts().agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]  # that many at most
+        # a text makes a row a character: tasks are as many as these ask for, not as the files that the texts come in
+        grams = index.texts().repartition(max(1, -(-n // CUT))).select(F.explode(trigrams(F.col("text"))).alias("gram"), "id")
         # grams alone decide the range but for hot ones: their ids are cut too
         ranged = grams.repartitionByRange(max(1, -(-n // ROWS)), "gram", "id").sortWithinPartitions("gram", "id")
         ranged.write.mode("overwrite").parquet(f"{path}/postings")

@@ -5,7 +5,7 @@ from math import asin, cos, radians, sin, sqrt
 
 import pytest
 from meadowlark.functions import tags
-from meadowlark.operators import audit, scans, search
+from meadowlark.operators import audit, scans, search, textindex
 from meadowlark.operators.storage import scratch
 from meadowlark.operators.textindex import TextIndex
 from meadowlark.plans.demo import Tables
@@ -133,3 +133,17 @@ def test_class_lists_after_headings(spark):
     texts = ["Fun.\nClasses: 60cm, 70cm / 80cm | Open\nfood, bar", "Heights - 1m", "classes: a,,b", "no list: x, y", None, "Heights:"]
     rows = spark.createDataFrame([(x,) for x in texts], "x string").select(tags.classes_after_heading(F.col("x")).alias("c")).collect()
     assert [r.c for r in rows] == [["60cm", "70cm", "80cm", "Open"], ["1m"], ["a", "b"], [], None, []]
+
+
+def test_trigrams_are_cut_by_many_tasks(spark, monkeypatch):
+    """However few files the texts come in, a task cuts about CUT characters."""
+    monkeypatch.setattr(textindex, "CUT", 2000)
+    texts, grams = spark.range(0, 1000, 1, 1).select("id", F.concat(F.lit("text "), F.col("id") + 1000).alias("text")), textindex.trigrams
+    place = F.spark_partition_id().cast("string")
+    monkeypatch.setattr(textindex, "trigrams", lambda text: F.array(place))  # the task, in place of what it cuts
+    index = TextIndex.build(texts, scratch(spark, "index"))
+    counts = [r["n"] for r in index.counts().collect()]
+    assert sum(counts) == 1000 and len(counts) > 3 and max(counts) < 500
+    monkeypatch.setattr(textindex, "trigrams", grams)
+    index = TextIndex.build(texts, scratch(spark, "index"))
+    assert {r.id for r in index.find("XT 17").collect()} == set(range(700, 800)) and index.find("t 1005").count() == 1
