@@ -22,10 +22,10 @@ LAYOUT = {"events": (EVENT_SCHEMA, "month string"), "venues": (VENUE_SCHEMA, "ba
 LANDED, TAGGED = 50_000, 100_000
 
 
-def landed(rows: DataFrame, path: str, batches: int = 1, form: str = "parquet") -> int:
-    """Adds files of rows to a folder, in number as the rows ask for, and tells how many of them make one of so many
-    batches: a batch of any size is written and read by many tasks."""
-    each = max(1, -(-rows.count() // (LANDED * batches)))
+def landed(rows: DataFrame, path: str, batches: int = 1, form: str = "parquet", most: int | None = None) -> int:
+    """Adds files of rows (`most` in one, as a rule) to a folder, in number as the rows ask for, and tells how many of
+    them make one of so many batches: a batch of any size is written and read by many tasks."""
+    each = max(1, -(-rows.count() // ((most or LANDED) * batches)))
     rows.repartition(each * batches).write.mode("append").format(form).save(path)
     return each
 
@@ -55,14 +55,14 @@ class Rolling:
 
 
 def rolling_ingest(extracted: DataFrame, files: int = 4) -> DataFrame:
-    """name, date_start, first_seq, deliveries: the rows are written as files and read as a stream of one file at a
-    time, gated, and aggregated by key in the stream's state store, which writes what changes; each batch logs the keys
+    """name, date_start, first_seq, deliveries: the rows are written as files and read as a stream in so many batches,
+    gated, and aggregated by key in the stream's state store, which writes what changes; each batch logs the keys
     that it changed (Rolling), of which the latest values are returned."""
     spark = extracted.sparkSession
     landing, offsets = scratch(spark, "landing"), scratch(spark, "offsets")
-    extracted.repartition(files).write.parquet(landing)
+    each = landed(extracted, landing, files)
     state = Rolling(spark, scratch(spark, "state"), ["name", "date_start"], "name string, date_start date, first_seq long, deliveries long")
-    stream = spark.readStream.schema(extracted.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    stream = spark.readStream.schema(extracted.schema).option("maxFilesPerTrigger", each).parquet(landing)
     counted = gate(stream).groupBy("name", "date_start").agg(F.min("batch_seq").alias("first_seq"), F.count("*").alias("deliveries"))
     query = counted.writeStream.outputMode("update").foreachBatch(state.log).option("checkpointLocation", offsets).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -153,8 +153,8 @@ def run_log(scans: DataFrame, files: int = 3) -> DataFrame:
     """The run log after runs have been appended as they complete (file sink of a stream)."""
     spark = scans.sparkSession
     landing, log, offsets = (scratch(spark, x) for x in ("runs", "log", "offsets"))
-    scans.repartition(files).write.parquet(landing)
-    stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    each = landed(scans, landing, files)
+    stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", each).parquet(landing)
     query = stream.writeStream.format("parquet").option("path", log).option("checkpointLocation", offsets).trigger(availableNow=True).start()
     query.awaitTermination()
     discard(spark, landing, offsets)

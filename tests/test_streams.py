@@ -148,3 +148,18 @@ def test_deliveries_are_whole_sources_in_many_files(spark, monkeypatch):
     out = ingest.stream_upsert(t.extracted, t.venue, t.alias, t.postcode, files=2)
     assert len(sizes) == 2 and sum(n for n, _ in sizes) == t.extracted.count() and all(f >= n / 100 > 1 for n, f in sizes)
     assert out.runs().groupBy("source_id").count().where("count > 1").isEmpty() and out.runs().select("batch").distinct().count() == 2
+
+
+def test_rolling_ingest_lands_in_many_files(spark, monkeypatch):
+    """However many rows, a file holds about LANDED of them, and the batches stay as many as asked for."""
+    from meadowlark.streaming import ingest
+
+    kept = []
+    monkeypatch.setattr(ingest, "LANDED", 200)
+    monkeypatch.setattr(ingest, "discard", lambda spark, *paths: kept.extend(paths))
+    t = Tables(spark, SF)
+    got = ingest.rolling_ingest(t.extracted, 2)
+    landing, offsets = (x.removeprefix("file:") for x in kept)
+    assert len(glob.glob(f"{landing}/*.parquet")) >= t.extracted.count() / 200 > 4
+    assert len([x for x in os.listdir(f"{offsets}/offsets") if x.isdigit()]) <= 2
+    assert got.agg(F.sum("deliveries")).first()[0] == ingest.gate(t.extracted).count()
