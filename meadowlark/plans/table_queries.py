@@ -636,16 +636,21 @@ def _(t):
     return feeds.FEEDS["html_table"](pages).select("name", "date_start", "date_end", "venue_name", "venue_postcode", "discipline", "url")
 
 
+#: Pages of one file of payloads, as a rule; a page holds up to a source's events of a month in a bucket of ids.
+PAGES = 20_000
+
+
 @query("S2_feed_stream", f"SELECT trim({CLEAN}) AS name, date_start FROM event WHERE id % 5 <> 0")
 def _(t):
     """The same pages as payload files that a stream reads as they come."""
     from ..operators.storage import discard, scratch
+    from ..streaming.ingest import landed
 
     cells = [F.date_format("date_start", "d MMM yyyy"), C("name"), F.lit("90cm, 1m"), F.lit("Bury Farm"), F.lit(""), F.lit(""), F.when(C("id") % 5 == 0, "X").otherwise("")]
     landing, found, offsets = (scratch(t.spark, x) for x in ("payloads", "rows", "offsets"))
     pages = paged(t, table_of(html_row(cells))).select("source_id", F.lit(None).cast("string").alias("url"), "body")
-    pages.repartition(3).write.json(landing)
-    rows = feeds.read(t.spark, "html_table", landing, stream=True, files=1).select("name", "date_start")
+    each = landed(pages, landing, 3, "json", PAGES)
+    rows = feeds.read(t.spark, "html_table", landing, stream=True, files=each).select("name", "date_start")
     rows.writeStream.format("parquet").option("path", found).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
     discard(t.spark, landing, offsets)
     return t.spark.read.schema("name string, date_start date").parquet(found)

@@ -163,3 +163,15 @@ def test_rolling_ingest_lands_in_many_files(spark, monkeypatch):
     assert len(glob.glob(f"{landing}/*.parquet")) >= t.extracted.count() / 200 > 4
     assert len([x for x in os.listdir(f"{offsets}/offsets") if x.isdigit()]) <= 2
     assert got.agg(F.sum("deliveries")).first()[0] == ingest.gate(t.extracted).count()
+
+
+def test_feed_stream_lands_in_many_files(spark, monkeypatch):
+    """Payload files follow the number of pages; a batch takes several of them."""
+    from meadowlark.plans import QUERIES, table_queries
+    from meadowlark.sources import feeds
+
+    asked, read = [], feeds.read
+    monkeypatch.setattr(table_queries, "PAGES", 100)
+    monkeypatch.setattr(feeds, "read", lambda *a, **k: asked.append(k["files"]) or read(*a, **k))
+    got = QUERIES["S2_feed_stream"](spark, SF)
+    assert asked[0] > 1 and got.count() == Tables(spark, SF).event.where("id % 5 <> 0").count()
