@@ -1,5 +1,8 @@
 """Pages as trees: nested and broken tables, spans, and texts for reading."""
 
+import random
+from urllib.parse import urljoin
+
 import pytest
 from meadowlark.sources import feeds, markup
 from pyspark.sql import functions as F
@@ -35,6 +38,34 @@ def test_words_and_references():
     assert deep.words() == "x"
 
 
+def test_tables_in_one_pass(monkeypatch):
+    """Rows are read without a tree, and are those that the tree gives, whatever the markup."""
+    marks = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<TD rowspan=2>", "<td rowspan=99 colspan=2>", "<tbody>", "</tbody>", "<a href='/e/1'>", "<a href='../y?z'>", "<a>", "</a>", "<br>", "<p>", "</p>", "<li>", "<div/>", "<div>", "</div>"]
+    marks += ["<script>", "</script>", "</scriptx", "<style>x<td></style>", "<!-- c -->", "<!--", "<?x?>", "x", " y ", "&amp;", "&lt;b&gt;", "a & b", "<b>", "<", "'", '"', "<a title=\"x>y\" href=q>", "<a title='", "<td/>", "<tr/>", "<select>", "<option>", "<a href='/a/./b'>", "<a href='//h/p'>", "<a href=''>"]
+    pick, pages = random.Random(7), []
+    for k in range(2000):
+        html, base = "<table><tr><td>" * (k % 3) + "".join(pick.choices(marks, k=pick.randint(1, 60))), pick.choice([None, "", "https://feed.example/list?page=1", "x/y", "http://[x", "HTTP://a/b"])
+        rows = [line for t in markup.tree(html).elements("table") for line in markup.grid(t, ("td",), across=False)]
+        links = [next((a.attrs["href"] for cell in line for a in cell.elements("a") if "href" in a.attrs), None) for line in rows]
+        pages.append((html, base, [([c.words({"table"}) for c in line], None if x is None else joined(base, x)) for line, x in zip(rows, links, strict=True)]))
+
+    monkeypatch.setattr(markup, "tree", None)
+    assert [list(markup._rows(html, base)) for html, base, _ in pages] == [rows for _, _, rows in pages]
+
+
+def joined(base, link):
+    try:
+        return urljoin(base or "", link.strip())
+    except ValueError:
+        return link
+
+
+def test_table_rows_of_null_and_empty_pages(spark):
+    pages = spark.createDataFrame([(1, None, None), (2, "", None), (3, "<table><tr></tr><tr><td><td>b</table><table></table>", None), (4, "<table><tr><td><a href='/x'>é</a></table>", "http://a.b/c")], "k long, body string, url string").coalesce(1)
+    got = pages.select("k", markup.table_rows(F.col("body"), F.col("url")).alias("r")).orderBy("k").collect()
+    assert [None if r.r is None else [(x.cells, x.link) for x in r.r] for r in got] == [None, [], [([], None), (["", "b"], None)], [(["é"], "http://a.b/x")]]
+
+
 def test_rows_of_eight_cells(spark):
     rows = [
         ("go", "<a href='/e/1'>Spring Show</a>", "01/05/2026", "02/05/2026", "Dressage", "Bury Farm (B946JD)", "Kent", "3"), ("go", "<a href='e/2'>Vale Riding Club Camp</a>", "03/05/2026", "03/05/2026", "", "UK Location", "", ""),
