@@ -44,11 +44,16 @@ def date_range(text: Column) -> tuple[Column, Column]:
     piece = r"(\d{1,2})(?:\s+([A-Za-z]{3,9})\b(?:,?\s+(\d{4}|\d{2})\b)?)?"
     whole = rf"({piece}(?:\s*-\s*{piece})*)"
 
+    def parts(p: Column) -> Column:
+        """Year, month and day of a date, all by one match."""
+        words = F.split(F.regexp_replace(p, rf"(?s)^.*?{piece}.*$", "$1;$2;$3"), ";")
+        return let(words, lambda w: F.struct(full_year(F.nullif(F.get(w, 2), F.lit(""))).alias("y"), month_number(F.nullif(F.get(w, 1), F.lit(""))).alias("m"), F.nullif(F.get(w, 0), F.lit("")).alias("d")))
+
     def read(t: Column) -> Column:
         """Days of the first run of dates that ends with a year."""
         runs = F.regexp_extract_all(t, F.lit(whole), 1)
         run = F.get(F.filter(runs, lambda r: r.rlike(r"[A-Za-z]{3,9},?\s+(?:\d{4}|\d{2})$")), 0)
-        pieces = F.transform(F.regexp_extract_all(run, F.lit(rf"({piece})"), 1), lambda p: F.struct(full_year(found(p, piece, 3)).alias("y"), month_number(found(p, piece, 2)).alias("m"), found(p, piece, 1).alias("d")))
+        pieces = F.transform(F.regexp_extract_all(run, F.lit(rf"({piece})"), 1), parts)
 
         def before(later: Column, p: Column) -> Column:
             """The days so far, with p in front: of the month and year of the day after it unless it has its own."""
@@ -62,7 +67,8 @@ def date_range(text: Column) -> tuple[Column, Column]:
     t = F.regexp_replace(F.regexp_replace(F.trim(text), ORDINAL, "$1"), r"\s*(?:&|–|—|\bto\b|\band\b)\s*", " - ")
     days = let(t, read)
     both = let(days, lambda x: F.struct(*[make(F.get(x, k)["y"], F.get(x, k)["m"], F.get(x, k)["d"]).alias(n) for n, k in (("start", F.lit(0)), ("end", F.size(x) - 1))]))
-    return both["start"], let(both, lambda x: F.nullif(x["end"], x["start"]))
+    start = let(F.get(days, 0), lambda x: make(x["y"], x["m"], x["d"]))
+    return start, let(both, lambda x: F.nullif(x["end"], x["start"]))
 
 
 def mentioned(text: Column) -> tuple[Column, Column]:

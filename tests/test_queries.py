@@ -64,6 +64,15 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.skipif(not glob.glob(f"{SF}/orders.parquet*"), reason="needs the driver's tables")
+def test_pages_are_made_after_their_shuffle(spark):
+    from meadowlark.plans import table_queries as Q
+
+    pages = Q.paged(Tables(spark, SF), Q.table_of(Q.html_row(["name"])))
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("collect_list") < plan.index("Exchange")
+
+
 @pytest.mark.skipif(not glob.glob(f"{SF}/orders.parquet*"), reason="needs the driver's tables")
 @pytest.mark.parametrize(("name", "reader"), [("S7_venue_seeds", "venue_seeds"), ("S8_rule_json", "rule_rows")])
 def test_bounded_payloads(spark, monkeypatch, name, reader):
