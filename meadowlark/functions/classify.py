@@ -154,6 +154,10 @@ def is_booking_payment(name: Column) -> Column:
     return F.coalesce(let(F.regexp_replace(F.lower(name), r"\s+", " "), paid), F.lit(False))
 
 
+def is_long(start: Column, end: Column, days: int = 120) -> Column:
+    return F.coalesce(F.datediff(end, start) > days, F.lit(False))
+
+
 def is_hidden(name: Column, start: Column, end: Column, days: int = 120) -> Column:
     """Spans of more than `days` days, and booking rows."""
-    return F.coalesce(F.datediff(end, start) > days, F.lit(False)) | is_booking_payment(name)
+    return is_long(start, end, days) | is_booking_payment(name)

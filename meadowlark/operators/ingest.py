@@ -10,8 +10,9 @@ from .scans import numbered
 
 
 def iso_date(value: Column) -> Column:
-    """yyyy-MM-dd or yyyyMMdd; anything else is null."""
-    return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "yyyyMMdd"))
+    """yyyy-MM-dd or yyyyMMdd; anything else is null. (A text that can't be read costs an exception for each form, so one
+    without a digit isn't tried.)"""
+    return F.when(value.rlike("[0-9]"), F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "yyyyMMdd")))
 
 
 def gate(extracted: DataFrame) -> DataFrame:
@@ -62,11 +63,22 @@ def new_venues(rows: DataFrame, venues: DataFrame) -> DataFrame:
     return numbered(first, ["batch_seq"], largest).select(F.col("number").alias("id"), "name", "postcode", "batch_seq")
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Rows with canonical venue name and postcode, ambiguous names told apart, unlocatable rows gone."""
+    rows = rows.where(locatable(F.col("venue_name"), F.col("venue_postcode"))).withColumn("postcode", text.normalise_postcode(F.col("venue_postcode")))
+    return rows.withColumn("venue_name", text.disambiguate_venue(text.normalise_venue_name(F.coalesce("venue_name", F.lit(""))), F.col("postcode")))
+
+
 def prepare(extracted: DataFrame) -> DataFrame:
     """Gated rows with canonical venue name and postcode, ambiguous names told apart, unlocatable rows gone."""
-    rows = gate(extracted).where(locatable(F.col("venue_name"), F.col("venue_postcode")))
-    rows = rows.withColumn("postcode", text.normalise_postcode(F.col("venue_postcode")))
-    return rows.withColumn("venue_name", text.disambiguate_venue(text.normalise_venue_name(F.coalesce("venue_name", F.lit(""))), F.col("postcode")))
+    return named(gate(extracted))
+
+
+def places(gated: DataFrame) -> DataFrame:
+    """The different places that gated rows name (column place: name and postcode as they stand), without unlocatable
+    ones, with canonical venue name and postcode, and the first batch_seq of each."""
+    first = gated.groupBy("venue_name", "venue_postcode").agg(F.min("batch_seq").alias("batch_seq"))
+    return named(first.withColumn("place", F.struct("venue_name", "venue_postcode")))
 
 
 def matched(rows: DataFrame, venues: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -86,17 +98,29 @@ def with_new_venues(rows: DataFrame, made: DataFrame) -> DataFrame:
 RAW = "struct<description:string,classes:array<string>,affiliation:string,venue_postcode:string>"
 
 
-def classified(rows: DataFrame) -> DataFrame:
-    """rows with canonical discipline, event type, spectator and hidden flags, tags (JSON), and raw_extract, the parts
-    of the extract that later runs make tags and venues of anew. A column affiliation, if there is one, is the
-    feed's own."""
-    classes = tags.from_json_list(F.col("classes"))
+def raw_extract(description: Column, classes: Column, affiliation: Column, venue_postcode: Column) -> Column:
+    """The parts of an extract that later runs make tags and venues of anew, as JSON."""
+    return F.to_json(F.struct(description.alias("description"), classes.alias("classes"), affiliation.alias("affiliation"), venue_postcode.alias("venue_postcode")))
+
+
+def listing(rows: DataFrame) -> Column:
+    """All that a row is classified by, as a struct. Its venue's name counts only where the title may hold it, as the
+    title's disciplines are read without it; lower case is sure to be the same everywhere for ASCII only."""
+    plain = [F.replace(F.lower(c), F.lit("&"), F.lit(" and ")) for c in ("name", "venue_name")]
+    odd = F.concat("name", "venue_name").rlike(r"[^\x00-\x7F]")
     own = F.col("affiliation") if "affiliation" in rows.columns else F.lit(None).cast("string")
-    rows = rows.withColumns({"detail": tags.detail_text(F.col("description"), classes), "event_type": classify.event_type(F.col("name"), F.col("event_type")), "feed_affiliation": own})
+    held = F.when(odd | F.contains(*plain), F.col("venue_name"))
+    return F.struct("name", "description", "classes", "discipline", "event_type", own.alias("feed_affiliation"), held.alias("venue_name"))
+
+
+def classified(listings: DataFrame) -> DataFrame:
+    """Listings (the fields of listing() as columns) with canonical discipline, event type, spectator flag, whether they
+    are bookings, tags (JSON), and class_list, their classes."""
+    classes = tags.from_json_list(F.col("classes"))
+    rows = listings.withColumns({"detail": tags.detail_text(F.col("description"), classes), "event_type": classify.event_type(F.col("name"), F.col("event_type")), "class_list": classes})
     rows = rows.withColumns({
         "discipline": classify.discipline_of(F.col("name"), F.col("discipline"), F.col("detail")), "spectator": classify.spectator(F.col("name"), F.col("event_type")),
-        "hidden": classify.is_hidden(F.col("name"), F.col("date_start"), F.col("date_end")),
-        "raw_extract": F.to_json(F.struct("description", classes.alias("classes"), F.col("feed_affiliation").alias("affiliation"), F.col("venue_postcode"))),
+        "booking": classify.is_booking_payment(F.col("name")),
     })
     every = tags.extract_tags(F.col("name"), F.col("detail"), F.col("discipline"), F.col("event_type"), F.col("feed_affiliation"), classes, F.col("venue_name"))
     return rows.withColumn("tags", F.to_json(every))
@@ -106,6 +130,40 @@ KEY = ["name", "date_start", "venue_id"]
 REFRESHED = ["discipline", "event_type", "spectator", "hidden", "description", "classes", "tags", "raw_extract", "venue_match_type"]
 
 
+def changes(table: DataFrame, batch: DataFrame, refreshed: list[str]) -> DataFrame:
+    """What a batch does to a table of events, of which id, source_id and KEY are read: one row for each stored row that
+    it hits (t_id) and for each new one (t_id is null), with first_source, first_seq, KEY, the refreshed columns of the
+    last row, the first date_end and the last url that aren't null. Rows are in order of source_id, then batch_seq.
+
+    The batch is aggregated by key and source before its first shuffle, so that a key of any size is one row per
+    source by then. These rows meet the stored keys in one join by key; what follows is grouped by key too and needs
+    no shuffle of its own. The columns that tell most come first, as the sorts compare them in this order.
+    """
+    keys = ["k_venue_id", "k_date_start", "k_name"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"k_name": F.coalesce("name", F.lit("\x00")), "k_date_start": F.col("date_start"), "k_venue_id": F.coalesce("venue_id", F.lit(-1))})
+
+    def folded(df: DataFrame, by: list[str], by_order: str, kept: list) -> DataFrame:
+        order = F.struct(by_order)
+        ended, linked = F.when(F.col("date_end").isNotNull(), order), F.when(F.col("url").isNotNull(), order)
+        return df.groupBy(*by).agg(*kept, F.max_by("last", order).alias("last"), F.min_by("date_end", ended).alias("date_end"), F.max_by("url", linked).alias("url"))
+
+    rows = keyed(batch).withColumn("last", F.struct(*KEY, *refreshed))
+    per_source = folded(rows, [*keys, "source_id"], "batch_seq", [F.min("batch_seq").alias("first_seq")])
+    stored = keyed(table).select(*keys, F.col("id").alias("t_id"), F.col("source_id").alias("t_source"))
+    met = per_source.withColumn("all", F.struct("first_seq", "last", "date_end", "url")).join(stored, keys, "left")
+    choice = F.coalesce(F.min(F.when(F.col("t_source") == F.col("source_id"), F.col("t_id"))), F.min("t_id"))
+    targets = met.groupBy(*keys, "source_id").agg(choice.alias("t_id"), F.first("all").alias("all")).select(*keys, "source_id", "t_id", "all.*")
+    news = folded(targets, [*keys, "t_id"], "source_id", [F.min("source_id").alias("first_source"), F.min("first_seq").alias("first_seq")])
+    return news.select("t_id", "first_source", "first_seq", "last.*", "date_end", "url")
+
+
+#: The order in which new rows of changes() are numbered, and how many of them a task numbers.
+NUMBERED = 200_000
+ARRIVAL = ["first_source", "first_seq", "name", "date_start", "venue_id"]
+
+
 def upsert(table: DataFrame, batch: DataFrame, seen_at: Column, largest: int | None = None, made: dict[str, Column] | None = None) -> DataFrame:
     """The event table after a batch (columns of the table, batch with source_id and batch_seq).
 
@@ -115,39 +173,29 @@ def upsert(table: DataFrame, batch: DataFrame, seen_at: Column, largest: int | N
     null; name, date, source and first_seen_at stay. largest: the largest id in use, if the table is only a part. made: values of
     further columns of new rows.
 
-    The batch is aggregated by key and source before its first shuffle, so that a key of any size is one row per
-    source by then. These rows meet the stored keys in one join by key; what follows is grouped by key too and needs
-    no shuffle of its own but that of the ids, by which the changes meet the table.
+    The changes are found by changes(); only the ids of their new rows and their meeting with the table need shuffles
+    of their own.
     """
     refreshed = [c for c in REFRESHED if c in table.columns]
-    keys, order = [f"k_{c}" for c in KEY], F.struct("source_id", "batch_seq")
-
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumns({"k_name": F.coalesce("name", F.lit("\x00")), "k_date_start": F.col("date_start"), "k_venue_id": F.coalesce("venue_id", F.lit(-1))})
+    news = changes(table, batch, refreshed).checkpoint()
+    kept = refreshed_rows(table, news, refreshed, seen_at, "left")
+    if largest is None:
+        largest = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return kept.unionByName(new_rows(news, largest, seen_at, made or {}).select(*table.columns))
 
-    def folded(df: DataFrame, by: list[str], kept: list) -> DataFrame:
-        ended, linked = F.when(F.col("date_end").isNotNull(), order), F.when(F.col("url").isNotNull(), order)
-        return df.groupBy(*by).agg(
-            *kept, *[F.min_by(c, order).alias(c) for c in KEY], *[F.max_by(c, order).alias(c) for c in refreshed],
-            F.min_by("date_end", ended).alias("date_end"), F.max_by("url", linked).alias("url"),
-        )
 
-    per_source = folded(keyed(batch), [*keys, "source_id"], [F.min("batch_seq").alias("first_seq"), F.max("batch_seq").alias("batch_seq")])
-    stored = keyed(table).select(*keys, F.col("id").alias("t_id"), F.col("source_id").alias("t_source"))
-    choice = F.min(F.when(F.col("t_id").isNotNull(), F.struct((F.col("t_source") != F.col("source_id")).alias("other"), F.col("t_id").alias("id"))))
-    met = per_source.join(stored, keys, "left")
-    targets = met.groupBy(*keys, "source_id").agg(choice["id"].alias("t_id"), *[F.first(c).alias(c) for c in [*KEY, "first_seq", "batch_seq", *refreshed, "date_end", "url"]])
-    news = folded(targets, [*keys, "t_id"], [F.min("source_id").alias("first_source"), F.min("first_seq").alias("first_seq")]).checkpoint()
+def refreshed_rows(table: DataFrame, news: DataFrame, refreshed: list[str], seen_at: Column, how: str) -> DataFrame:
+    """Rows of the table with the values of those changes that hit them; how: left for all rows, inner for these."""
     changed = news.where("t_id IS NOT NULL").select(F.col("t_id").alias("id"), F.lit(True).alias("hit"), *[F.col(c).alias(f"new_{c}") for c in [*refreshed, "date_end", "url"]])
-    merged = table.join(changed, "id", "left")
     values = {c: F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in refreshed}
     values |= {"date_end": F.coalesce("date_end", "new_date_end"), "url": F.coalesce("new_url", "url"), "last_seen_at": F.when(F.col("hit"), seen_at).otherwise(F.col("last_seen_at"))}
-    kept = merged.select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
-    if largest is None:
-        largest = table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = numbered(news.where("t_id IS NULL").withColumn("source_id", F.col("first_source")), ["source_id", "first_seq", *keys], largest)
-    fresh = fresh.withColumns({"id": F.col("number"), "first_seen_at": seen_at, "last_seen_at": seen_at, **(made or {})})
-    return kept.unionByName(fresh.select(*table.columns))
+    return table.join(changed, "id", how).select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
+
+
+def new_rows(news: DataFrame, largest: int, seen_at: Column, made: dict[str, Column]) -> DataFrame:
+    """The changes that hit no stored row as new ones, numbered in order of arrival after the largest id."""
+    fresh = numbered(news.where("t_id IS NULL"), ARRIVAL, largest, NUMBERED)
+    return fresh.withColumns({"id": F.col("number"), "source_id": F.col("first_source"), "first_seen_at": seen_at, "last_seen_at": seen_at, **made})
 
 
 EVENT_COLUMNS = ["id", "source_id", *KEY, "date_end", *REFRESHED, "url", "first_seen_at", "last_seen_at"]

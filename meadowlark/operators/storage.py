@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -21,6 +21,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(spark: SparkSession, df: DataFrame, name: str, paths: list[str]) -> DataFrame:
+    """df written as a table in the shared folder and read again by a session: its size is known then, and whoever reads
+    it takes the columns that they need. Its path is added to those that the caller discards."""
+    paths.append(scratch(spark, name))
+    df.write.parquet(paths[-1])
+    return spark.read.schema(df.schema).parquet(paths[-1])
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Deletes folders that a finished job needs no more, such as a stream's landing place and offsets."""
     for path in paths:

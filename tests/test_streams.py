@@ -175,3 +175,52 @@ def test_feed_stream_lands_in_many_files(spark, monkeypatch):
     monkeypatch.setattr(feeds, "read", lambda *a, **k: asked.append(k["files"]) or read(*a, **k))
     got = QUERIES["S2_feed_stream"](spark, SF)
     assert asked[0] > 1 and got.count() == Tables(spark, SF).event.where("id % 5 <> 0").count()
+
+
+def test_a_batch_leaves_the_files_of_earlier_ones(spark, monkeypatch):
+    """Events that came before stay where they are; what a later batch changes is stored beside them. A listing is
+    classified once, however many rows have it."""
+    from meadowlark.operators import ingest as I
+
+    seen, classified = [], I.classified
+
+    def told(listings):
+        seen.append(listings.count())
+        return classified(listings)
+
+    monkeypatch.setattr(I, "classified", told)
+    t = Tables(spark, SF)
+    base = scratch(spark, "listings")
+    out = Listings(spark, base, t.venue, t.alias, t.postcode)
+    rows = t.extracted.where("batch_seq < 300")
+    deliveries = [rows, rows.where("batch_seq % 2 = 0").withColumn("url", F.lit("https://new")).unionByName(rows.withColumns({"batch_seq": F.col("batch_seq") + 1000, "date_start": F.lit("2001-01-01")}))]
+    out.merge(deliveries[0], 0)
+    place = base.removeprefix("file:")
+    first = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{place}/events/*/*/*.parquet")}
+    before = {r.id: r for r in out.events().collect()}
+    out.merge(deliveries[1], 1)
+    assert all(os.stat(f).st_mtime_ns == n for f, n in first.items()) and first
+    got = {r.id: r for r in out.events().collect()}
+    assert len(got) == out.events().count() == len({(r.name, r.date_start, r.venue_id) for r in got.values()}) > len(before)
+    prepared = I.prepare(rows)
+    hit = {(r.name, r.date_start) for r in prepared.where("batch_seq % 2 = 0").collect()}
+    assert {i for i in before if got[i].url == "https://new"} == {i for i, r in got.items() if (r.name, r.date_start) in hit and i in before} != set()
+    for i, r in before.items():
+        same = [c for c in r.asDict() if c not in ("url", "last_seen_at", "venue_match_type", "date_end")]
+        assert got[i].url == "https://new" or got[i] == r
+        assert (got[i].last_seen_at > r.last_seen_at) == (got[i].url == "https://new") and [got[i][c] for c in same] == [r[c] for c in same]
+    assert len(seen) == 2 and seen[0] <= prepared.count() and seen[1] <= rows.count() < I.prepare(deliveries[1]).count()
+
+
+def test_classified_once_as_row_by_row(spark):
+    """A title that holds its venue's name is read without it, whoever else has the title; other venues share a listing."""
+    from meadowlark.operators import ingest as I
+
+    names = [("Polo at Polo Farm", "Polo Farm"), ("Polo at Polo Farm", "Chard"), ("Polo at Polo Farm", "Onley"), ("Showing & Polo", "Polo Farm"), ("Élan Dressage", "ÉLAN DRESSAGE"), (None, "Chard"), ("Dressage & Polo Park Cup", "dressage & polo park")]
+    rows = spark.createDataFrame(names, "name string, venue_name string").withColumns({c: F.lit(None).cast("string") for c in ("description", "classes", "discipline", "event_type")})
+    listings = rows.select("*", I.listing(rows).alias("listing"))
+    once = I.classified(listings.select("listing").distinct().select("listing", "listing.*")).select("listing", "tags", "discipline", "event_type", "spectator")
+    each = I.classified(listings.withColumn("feed_affiliation", F.lit(None).cast("string")))
+    want = {(r.name, r.venue_name): (r.tags, r.discipline, r.event_type, r.spectator) for r in each.collect()}
+    got = {(r.name, r.venue_name): (r.tags, r.discipline, r.event_type, r.spectator) for r in listings.select("name", "venue_name", "listing").join(once, "listing").collect()}
+    assert got == want and len(got) == len(names) and once.count() == len(names) - 1
