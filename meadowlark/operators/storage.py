@@ -1,9 +1,11 @@
-"""Folders for tables that a job writes and reads again."""
+"""Folders for tables that a job writes and reads again, and the session that it runs in."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,20 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Spark's limit for one generated method, and HotSpot's for a method that it compiles, in bytes.
+METHOD = ("spark.sql.codegen.hugeMethodLimit", 8000)
+
+
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """Plans of many expressions as methods that the JVM compiles. HotSpot leaves larger ones to its interpreter, several
+    times slower, and Spark's limit is by default as large as a method may be; where a stage's code goes beyond the limit
+    Spark makes many short methods instead of one. The session's own setting is put back, and kept if it is lower."""
+    before = spark.conf.get(METHOD[0])
+    spark.conf.set(METHOD[0], min(int(before), METHOD[1]))
+    try:
+        yield
+    finally:
+        spark.conf.set(METHOD[0], before)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import is_long
 from ..operators import ingest as I
 from ..operators.ingest import gate
-from ..operators.storage import discard, kept, scratch
+from ..operators.storage import discard, kept, scratch, short_methods
 
 EVENT_SCHEMA = (
     "id long, source_id long, name string, date_start date, venue_id long, date_end date, discipline string, event_type string, spectator boolean, hidden boolean, "
@@ -123,7 +123,8 @@ class Listings:
         that no one knows, classified and tagged, counted, and upserted."""
         steps: list[str] = []
         try:
-            self.store(self.ready(batch, number, steps), number, seen_at, steps)
+            with short_methods(self.spark):
+                self.store(self.ready(batch, number, steps), number, seen_at, steps)
         finally:
             discard(self.spark, *steps)
 
@@ -194,10 +195,11 @@ def stream_upsert(extracted: DataFrame, venues: DataFrame, aliases: DataFrame, p
     spark = extracted.sparkSession
     landing, offsets = scratch(spark, "landing"), scratch(spark, "offsets")
     tables = Listings(spark, base or scratch(spark, "listings"), venues, aliases, postcodes)
-    for k in range(files):
-        landed(extracted.where(F.pmod(F.hash("source_id"), F.lit(files)) == k), landing)
-        stream = spark.readStream.schema(extracted.schema).parquet(landing)
-        stream.writeStream.foreachBatch(tables.merge).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    with short_methods(spark):
+        for k in range(files):
+            landed(extracted.where(F.pmod(F.hash("source_id"), F.lit(files)) == k), landing)
+            stream = spark.readStream.schema(extracted.schema).parquet(landing)
+            stream.writeStream.foreachBatch(tables.merge).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
     discard(spark, landing, offsets)
     return tables
 

@@ -224,3 +224,22 @@ def test_classified_once_as_row_by_row(spark):
     want = {(r.name, r.venue_name): (r.tags, r.discipline, r.event_type, r.spectator) for r in each.collect()}
     got = {(r.name, r.venue_name): (r.tags, r.discipline, r.event_type, r.spectator) for r in listings.select("name", "venue_name", "listing").join(once, "listing").collect()}
     assert got == want and len(got) == len(names) and once.count() == len(names) - 1
+
+
+def test_short_methods_are_put_back(spark):
+    """Within the ingest plans become methods that the JVM compiles; the session's own setting comes back, also after an
+    error, and a lower one stays."""
+    from meadowlark.operators.storage import METHOD, short_methods
+
+    before = spark.conf.get(METHOD[0])
+    try:
+        for own, want in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(METHOD[0], own)
+            try:
+                with short_methods(spark):
+                    assert spark.conf.get(METHOD[0]) == want
+                    raise ValueError
+            except ValueError:
+                assert spark.conf.get(METHOD[0]) == own
+    finally:
+        spark.conf.set(METHOD[0], before)
